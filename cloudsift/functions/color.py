@@ -1,12 +1,16 @@
-"""Colour expressions (X1–X6), all JVM-side Column expressions.
+"""Colour expressions (X1–X6), all JVM-side.
 
-The colour of a categorical value is a pure function of its text, so it can be
-computed over the (small) domain and joined, or computed inline per row.
+The conversion chain is applied in stages (one projection per stage), so no
+stage is recomputed per channel: Catalyst keeps a projection separate when an
+expensive expression would otherwise be inlined several times.
+
+The colour of a categorical value is a pure function of its text, so it can
+be computed over the (small) domain and joined, or computed per row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Grey for null / empty, gradient hue span, saturation, lightness.
@@ -19,6 +23,8 @@ HUE_ASSIGN_L = 0.5
 
 _TWO31 = 2 ** 31
 _TWO32 = 2 ** 32
+_TMP = ("_hh", "_ss", "_ll", "_p", "_q", "_t0", "_t1", "_t2", "_u0", "_u1", "_u2",
+        "_w0", "_w1", "_w2", "_x0", "_x1", "_x2")
 
 
 def utf16_units(s: Column) -> Column:
@@ -37,32 +43,41 @@ def category_hash(s: Column) -> Column:
 
 
 def category_hsl(h: Column) -> tuple[Column, Column, Column]:
-    """(hue, saturation, lightness) in 0..1 from a hash; % truncates, so
-    saturation and lightness keep the sign of h."""
+    """(hue, saturation, lightness) in 0..1 from a hash column; %
+    truncates, so saturation and lightness keep the sign of h."""
     hue = F.pmod(h, F.lit(360)).cast("double") / 360.0
     sat = (F.lit(70) + h % 20).cast("double") / 100.0
     light = (F.lit(50) + h % 20).cast("double") / 100.0
     return hue, sat, light
 
 
-def _hue2rgb(a: Column, b: Column, t: Column) -> Column:
-    t = F.when(t < 0, t + 1.0).otherwise(t)
-    t = F.when(t > 1, t - 1.0).otherwise(t)
-    return (F.when(t < 1.0 / 6, a + (b - a) * 6 * t)
-            .when(t < 1.0 / 2, b)
-            .when(t < 2.0 / 3, a + (b - a) * 6 * (2.0 / 3 - t))
-            .otherwise(a))
-
-
-def hsl_to_rgb(h: Column, s: Column, l: Column) -> tuple[Column, Column, Column]:
-    """HSL (0..1) → RGB (0..1)."""
-    h = ((h % 1.0) + 1.0) % 1.0  # euclidean modulo, rounding included
-    s = F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))
-    l = F.least(F.greatest(l, F.lit(0.0)), F.lit(1.0))
-    p = F.when(l <= 0.5, l * (s + 1.0)).otherwise(l + s - l * s)
-    q = l * 2.0 - p
-    chans = (_hue2rgb(q, p, h + 1.0 / 3), _hue2rgb(q, p, h), _hue2rgb(q, p, h - 1.0 / 3))
-    return tuple(F.when(s == 0, l).otherwise(c) for c in chans)
+def with_rgb(df: DataFrame, h: Column, s: Column, l: Column,
+             names: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
+    """X3 + X6: add 8-bit r, g, b from HSL (0..1) columns, in stages."""
+    c = F.col
+    t = df.withColumns({"_hh": ((h % 1.0) + 1.0) % 1.0,  # euclidean modulo, rounding included
+                        "_ss": F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)),
+                        "_ll": F.least(F.greatest(l, F.lit(0.0)), F.lit(1.0))})
+    t = t.withColumn("_p", F.when(c("_ll") <= 0.5, c("_ll") * (c("_ss") + 1.0))
+                     .otherwise(c("_ll") + c("_ss") - c("_ll") * c("_ss")))
+    t = t.withColumns({"_q": c("_ll") * 2.0 - c("_p"), "_t0": c("_hh") + 1.0 / 3,
+                       "_t1": c("_hh"), "_t2": c("_hh") - 1.0 / 3})
+    t = t.withColumns({f"_u{i}": F.when(c(f"_t{i}") < 0, c(f"_t{i}") + 1.0).otherwise(c(f"_t{i}"))
+                       for i in range(3)})
+    t = t.withColumns({f"_w{i}": F.when(c(f"_u{i}") > 1, c(f"_u{i}") - 1.0).otherwise(c(f"_u{i}"))
+                       for i in range(3)})
+
+    def chan(i: int) -> Column:
+        w, a, b = c(f"_w{i}"), c("_q"), c("_p")
+        return (F.when(c("_ss") == 0, c("_ll"))
+                .when(w < 1.0 / 6, a + (b - a) * 6 * w)
+                .when(w < 1.0 / 2, b)
+                .when(w < 2.0 / 3, a + (b - a) * 6 * (2.0 / 3 - w))
+                .otherwise(a))
+
+    t = t.withColumns({f"_x{i}": chan(i) for i in range(3)})
+    t = t.withColumns({n: to_rgb8(c(f"_x{i}")) for i, n in enumerate(names)})
+    return t.drop(*_TMP)
 
 
 def to_rgb8(c: Column) -> Column:
@@ -70,13 +85,17 @@ def to_rgb8(c: Column) -> Column:
     return F.floor(c * 255 + 0.5).cast("int")
 
 
-def rgb8_struct(r: Column, g: Column, b: Column) -> Column:
-    return F.struct(to_rgb8(r).alias("r"), to_rgb8(g).alias("g"), to_rgb8(b).alias("b"))
+def _grey(df: DataFrame, is_grey: Column, names=("r", "g", "b")) -> DataFrame:
+    return df.withColumns({n: F.when(is_grey, F.lit(g)).otherwise(F.col(n))
+                           for n, g in zip(names, NULL_RGB8)})
 
 
-def hash_rgb8(text: Column) -> Column:
-    """struct(r,g,b) 8-bit colour of a value's text (X1 → X2 → X3 → X6)."""
-    return rgb8_struct(*hsl_to_rgb(*category_hsl(category_hash(text))))
+def with_hash_rgb(df: DataFrame, value: str, names=("r", "g", "b"), grey_empty: bool = True) -> DataFrame:
+    """X5 + X1–X3: colour of a text column; grey for null or ''."""
+    v = F.col(value).cast("string")
+    t = df.withColumn("_hv", category_hash(v))
+    t = with_rgb(t, *category_hsl(F.col("_hv")), names=names).drop("_hv")
+    return _grey(t, v.isNull() | (v == ""), names) if grey_empty else t
 
 
 def number_text(v: Column) -> Column:
@@ -85,25 +104,24 @@ def number_text(v: Column) -> Column:
     return F.when(d == F.floor(d), F.floor(d).cast("bigint").cast("string")).otherwise(d.cast("string"))
 
 
-def gradient_rgb8(v: Column, lo: Column, hi: Column) -> Column:
-    """Blue at min, red at max; the flat range falls back to the hash of
-    the value's text."""
-    n = (v - lo) / (hi - lo)
-    grad = rgb8_struct(*hsl_to_rgb((1 - n) * GRADIENT_HUE_SPAN, F.lit(GRADIENT_S), F.lit(GRADIENT_L)))
-    return F.when(hi > lo, grad).otherwise(hash_rgb8(number_text(v)))
-
-
-def null_rgb8() -> Column:
-    return F.struct(*(F.lit(c).alias(n) for c, n in zip(NULL_RGB8, "rgb")))
-
-
-def categorical_rgb8(value: Column) -> Column:
-    """X5 + X1–X3: grey for null or '', else the hash colour."""
-    return F.when(value.isNull() | (value == ""), null_rgb8()).otherwise(hash_rgb8(value))
-
-
-def continuous_rgb8(v: Column, lo: Column, hi: Column) -> Column:
-    return F.when(v.isNull(), null_rgb8()).otherwise(gradient_rgb8(v, lo, hi))
+def with_gradient_rgb(df: DataFrame, value: str, lo: Column, hi: Column, names=("r", "g", "b")) -> DataFrame:
+    """Blue at min, red at max; a flat range falls back to the hash of the
+    value's text (the hash is only evaluated then); null is grey."""
+    c = F.col
+    v = F.nanvl(c(value).cast("double"), F.lit(None).cast("double"))
+    t = df.withColumns({"_v": v, "_lo": lo.cast("double"), "_hi": hi.cast("double")})
+    flat = ~F.coalesce(c("_hi") > c("_lo"), F.lit(False))  # no range or a flat one
+    t = t.withColumns({
+        "_n": F.when(~flat, (c("_v") - c("_lo")) / (c("_hi") - c("_lo"))),
+        "_fh": F.when(flat, category_hash(number_text(c("_v"))))})
+    fh, fs, fl = category_hsl(c("_fh"))
+    t = t.withColumns({
+        "_gh": F.when(flat, fh).otherwise((1 - c("_n")) * GRADIENT_HUE_SPAN),
+        "_gs": F.when(flat, fs).otherwise(F.lit(GRADIENT_S)),
+        "_gl": F.when(flat, fl).otherwise(F.lit(GRADIENT_L))})
+    t = with_rgb(t, c("_gh"), c("_gs"), c("_gl"), names)
+    t = _grey(t, c("_v").isNull(), names)
+    return t.drop("_v", "_lo", "_hi", "_n", "_fh", "_gh", "_gs", "_gl")
 
 
 def rgb_hex(r: Column, g: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def fixed(v: Column, digits: int) -> Column:
     """Fixed number of decimals (like toFixed; ties may differ, see README)."""
-    return F.format_string(f"%.{digits}f", v.cast("double"))
+    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v.cast("double")))
 
 
 def grouped(n: Column) -> Column:

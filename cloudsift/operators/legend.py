@@ -9,6 +9,7 @@ from cloudsift.functions import color as C
 from cloudsift.functions.text import fixed
 
 LEGEND_LIMIT = 100  # fixed value: legend rows shown
+MORE_RGB8 = (149, 165, 166)  # fixed value: text colour of the '... and N more' line
 STOPS = 100  # fixed value: gradient stops 0..100
 
 
@@ -32,8 +33,7 @@ def legend_categorical(domain: DataFrame, attribute: str, palette: DataFrame | N
         items = top.join(p, "value", "left").select(
             "ord", "value", *(F.coalesce(F.col(c), F.lit(g)).alias(c) for c, g in zip("rgb", C.NULL_RGB8)))
     else:
-        rgb = C.categorical_rgb8(F.col("value"))
-        items = top.select("ord", "value", rgb.r.alias("r"), rgb.g.alias("g"), rgb.b.alias("b"))
+        items = C.with_hash_rgb(top.select("ord", "value"), "value")
     items = items.select(
         F.col("ord").cast("int").alias("ord"), "value",
         F.when(F.col("value") == "", F.lit("(empty)")).otherwise(F.col("value")).alias("label"),
@@ -41,8 +41,7 @@ def legend_categorical(domain: DataFrame, attribute: str, palette: DataFrame | N
     more = rest.where(F.col("remaining") > 0).select(
         F.lit(limit + 1).alias("ord"), F.lit(None).cast("string").alias("value"),
         F.concat(F.lit("... and "), F.col("remaining").cast("string"), F.lit(" more")).alias("label"),
-        F.lit(None).cast("int").alias("r"), F.lit(None).cast("int").alias("g"),
-        F.lit(None).cast("int").alias("b"))
+        *(F.lit(v).alias(n) for v, n in zip(MORE_RGB8, "rgb")))
     return items.unionByName(more)
 
 
@@ -54,8 +53,7 @@ def legend_continuous(ranges: DataFrame, attribute: str, stops: int = STOPS) ->
     pos = F.col("stop").cast("double") / stops
     val = F.col("min_value") + (F.col("max_value") - F.col("min_value")) * pos
     st = st.select("stop", "min_value", "max_value", val.alias("value"))
-    rgb = C.continuous_rgb8(F.col("value"), F.col("min_value"), F.col("max_value"))
+    st = C.with_gradient_rgb(st, "value", F.col("min_value"), F.col("max_value"))
     return st.select(
-        F.col("stop").cast("int").alias("stop"), "value",
-        rgb.r.alias("r"), rgb.g.alias("g"), rgb.b.alias("b"),
+        F.col("stop").cast("int").alias("stop"), "value", "r", "g", "b",
         fixed(F.col("min_value"), 4).alias("min_label"), fixed(F.col("max_value"), 4).alias("max_label"))

@@ -26,8 +26,7 @@ def build_palette(domain: DataFrame, attribute: str) -> DataFrame:
     """J1 (build side): hash colour of each domain value of one attribute; ''
     is grey (X5)."""
     dom = domain.where(F.col("attribute") == attribute).select("attribute", "value")
-    rgb = C.categorical_rgb8(F.col("value"))
-    return dom.select("attribute", "value", rgb.r.alias("r"), rgb.g.alias("g"), rgb.b.alias("b"))
+    return C.with_hash_rgb(dom, "value")
 
 
 def overrides_table(spark: SparkSession, attribute: str, colours: dict[str, str]) -> DataFrame:
@@ -69,9 +68,8 @@ def hue_assignment(domain: DataFrame, attribute: str, roles: Roles, seed: int =
     ranked = two_level_rank(keyed, F.conv(F.substring("_k", 1, 2), 16, 10).cast("int"),
                             [F.col("_k"), F.col("value")], "perm", keep_total=True)
     hue = F.col("perm").cast("double") / F.col("n_rows").cast("double")
-    r, g, b = C.hsl_to_rgb(hue, F.lit(C.HUE_ASSIGN_S), F.lit(C.HUE_ASSIGN_L))
-    return ranked.select("attribute", "value", F.col("perm"),
-                         C.to_rgb8(r).alias("r"), C.to_rgb8(g).alias("g"), C.to_rgb8(b).alias("b"))
+    out = C.with_rgb(ranked, hue, F.lit(C.HUE_ASSIGN_S), F.lit(C.HUE_ASSIGN_L))
+    return out.select("attribute", "value", "perm", "r", "g", "b")
 
 
 def range_bounds(ranges: DataFrame, attribute: str) -> tuple[Column, Column]:
@@ -80,22 +78,15 @@ def range_bounds(ranges: DataFrame, attribute: str) -> tuple[Column, Column]:
     return one.select("min_value").scalar(), one.select("max_value").scalar()
 
 
-def color_column(df: DataFrame, attribute: str, roles: Roles, ranges: DataFrame | None = None) -> Column:
-    """P7 (inline form): struct(r,g,b) of each row by one attribute."""
-    if attribute in roles.continuous:
-        if ranges is None:
-            raise ValueError("continuous colours need a range table (A4)")
-        lo, hi = range_bounds(ranges, attribute)
-        v = F.nanvl(F.col(attribute).cast("double"), F.lit(None).cast("double"))
-        return C.continuous_rgb8(v, lo, hi)
-    return C.categorical_rgb8(F.col(attribute).cast("string"))
-
-
 def color_encode(df: DataFrame, attribute: str, roles: Roles, ranges: DataFrame | None = None,
                  palette: DataFrame | None = None) -> DataFrame:
     """Add r, g, b. Categorical with a palette → J1 join; otherwise the
     colour is computed inline (it is a pure function of the value)."""
     if palette is not None and attribute in roles.categorical:
         return palette_join(df, attribute, palette)
-    c = color_column(df, attribute, roles, ranges)
-    return df.select("*", c.r.alias("r"), c.g.alias("g"), c.b.alias("b"))
+    if attribute in roles.continuous:
+        if ranges is None:
+            raise ValueError("continuous colours need a range table (A4)")
+        lo, hi = range_bounds(ranges, attribute)
+        return C.with_gradient_rgb(df, attribute, lo, hi)
+    return C.with_hash_rgb(df, attribute)

@@ -147,7 +147,7 @@ def first_view(spark, sf):
 # ================================================================ sources
 
 @register("read_tables", """WITH c AS (""" + B.CELLS_SQL + """)
-SELECT row_id, CAST(cell AS BIGINT) AS cell, x, y, z, t, CAST(time_rank AS BIGINT) AS time_rank,
+SELECT row_id, CAST(cell AS BIGINT) AS cell, x, y, z, t, CAST(time_rank AS DOUBLE) AS time_rank,
   CASE WHEN structure = '' THEN NULL ELSE structure END AS structure, hf, sample, grp,
   CAST(cell_type AS BIGINT) AS cell_type, gene FROM c""")
 def q_read_tables(spark, sf):
@@ -204,15 +204,15 @@ p AS (SELECT n.*, total // 7 AS base, total % 7 AS rem FROM n, k),
 q AS (SELECT row_id, pos, CAST(CASE WHEN pos < rem * (base + 1) THEN pos // (base + 1)
       ELSE rem + (pos - rem * (base + 1)) // base END + 1 AS INTEGER) AS part FROM p),
 d AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY pos) AS BIGINT) AS line, row_id FROM q)
-SELECT part, line, row_id FROM d
-UNION ALL SELECT CAST(i AS INTEGER) AS part, CAST(0 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS row_id
+SELECT part, line, CAST(row_id AS VARCHAR) AS first_field FROM d
+UNION ALL SELECT CAST(i AS INTEGER) AS part, CAST(0 AS BIGINT) AS line, 'row_id' AS first_field
 FROM range(1, 8) r(i)"""
 
 
 @register("split_with_header", SPLIT_SQL)
 def q_split_with_header(spark, sf):
     """One gzipped TSV (from the cells) split into 7 parts with the header
-    repeated; read back as (part, line in part, row_id of the line)."""
+    repeated; read back as (part, line in part, first field of the line)."""
     src = _written(spark, sf, "tsv1")
     out = shared_dir(spark, "split")
     TS.split_with_header(spark, src, out, 7)
@@ -221,8 +221,7 @@ def q_split_with_header(spark, sf):
     return lines.select(
         F.regexp_extract("file", r"\.part(\d+)\.", 1).cast("int").alias("part"),
         (F.row_number().over(per_file) - 1).cast("bigint").alias("line"),
-        F.when(F.col("value").startswith("row_id"), F.lit(None).cast("bigint"))
-        .otherwise(F.split("value", "\t").getItem(0).cast("bigint")).alias("row_id"))
+        F.split("value", "\t").getItem(0).alias("first_field"))
 
 
 EXPORT_SQL = FIRST_VIEW_SQL
@@ -767,10 +766,10 @@ d AS (SELECT DISTINCT gene AS value FROM loaded WHERE gene IS NOT NULL),
 s AS (SELECT value, CAST(row_number() OVER (ORDER BY value) AS INTEGER) AS ord FROM d)
 SELECT ord, value FROM s WHERE ord <= 100""", "value")
 LEGEND_CAT_SQL = (f"SELECT ord, value, CASE WHEN value = '' THEN '(empty)' ELSE value END AS label, r, g, b "
-                  f"FROM ({LEGEND_CAT_SQL}) lc UNION ALL " + P + """
+                  f"FROM ({LEGEND_CAT_SQL}) lc UNION ALL SELECT * FROM (" + P + """
 SELECT 101 AS ord, CAST(NULL AS VARCHAR) AS value, concat('... and ', CAST(count(*) - 100 AS VARCHAR), ' more') AS label,
-  CAST(NULL AS INTEGER) AS r, CAST(NULL AS INTEGER) AS g, CAST(NULL AS INTEGER) AS b
-FROM (SELECT DISTINCT gene FROM loaded WHERE gene IS NOT NULL) d HAVING count(*) > 100""")
+  149 AS r, 165 AS g, 166 AS b
+FROM (SELECT DISTINCT gene FROM loaded WHERE gene IS NOT NULL) d HAVING count(*) > 100) more""")
 
 
 @register("legend_categorical", LEGEND_CAT_SQL)
@@ -858,9 +857,7 @@ def q_category_hsl(spark, sf):
           + sql_hash_rgb(CELLS_DOMAIN + "\nSELECT attribute, value FROM d", "value", grey_empty=False) + ") q")
 def q_hsl_to_rgb(spark, sf):
     """RGB (8-bit) of every categorical value's HSL."""
-    d = _cells_domain(spark, sf)
-    c = C.hash_rgb8(F.col("value"))
-    return d.select("attribute", "value", c.r.alias("r"), c.g.alias("g"), c.b.alias("b"))
+    return C.with_hash_rgb(_cells_domain(spark, sf), "value", grey_empty=False)
 
 
 GRADIENT_SQL = sql_gradient_rgb(P + """,

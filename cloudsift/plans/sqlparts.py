@@ -25,8 +25,9 @@ def sql_hash(v: str) -> str:
 def sql_rgb(inner: str, h: str, s: str, l: str, r: str = "r", g: str = "g", b: str = "b") -> str:
     """Wrap a SELECT: add INTEGER columns r, g, b from HSL expressions (0..1)
     over its columns; temporaries are dropped."""
-    s1 = (f"SELECT *, ((({h}) % 1.0) + 1.0) % 1.0 AS _hh, least(greatest(({s}), 0.0), 1.0) AS _ss, "
-          f"least(greatest(({l}), 0.0), 1.0) AS _ll FROM ({inner}) _c1")
+    s1 = (f"SELECT *, ((CAST({h} AS DOUBLE) % 1.0) + 1.0) % 1.0 AS _hh, "
+          f"least(greatest(CAST({s} AS DOUBLE), 0.0), 1.0) AS _ss, "
+          f"least(greatest(CAST({l} AS DOUBLE), 0.0), 1.0) AS _ll FROM ({inner}) _c1")
     s2 = f"SELECT *, CASE WHEN _ll <= 0.5 THEN _ll * (_ss + 1.0) ELSE _ll + _ss - _ll * _ss END AS _p FROM ({s1}) _c2"
     s3 = (f"SELECT *, _ll * 2.0 - _p AS _q, _hh + {THIRD} AS _t0, _hh AS _t1, _hh - {THIRD} AS _t2 "
           f"FROM ({s2}) _c3")

@@ -36,12 +36,13 @@ def null_tokens(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """One scan decides, per string column, bigint if every non-null value is
-    an integer, else double if every one is a number, else string."""
+    """One scan decides, per string column, as the pandas reader would:
+    bigint if every value is an integer and none is missing, double if every
+    non-missing value is a number, else string."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     if not cols:
         return df
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in cols:
         aggs += [F.count(F.col(c)).alias(f"{c}__n"),
                  F.count(F.col(c).try_cast("bigint")).alias(f"{c}__i"),
@@ -50,7 +51,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     casts = {}
     for c in cols:
         n, i, d = stats[f"{c}__n"], stats[f"{c}__i"], stats[f"{c}__d"]
-        if n > 0 and i == n:
+        if n > 0 and i == n and n == stats["__rows"]:
             casts[c] = F.col(c).cast("bigint")
         elif n > 0 and d == n:
             casts[c] = F.col(c).cast("double")
