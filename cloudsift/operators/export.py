@@ -23,10 +23,13 @@ def render_table(visible: DataFrame, roles: Roles, color_by: str, ranges: DataFr
                  palette: DataFrame | None = None, axes=(None, None, None),
                  cap: int = MAX_POINTS) -> DataFrame:
     """(row_idx, ordinal, x, y, z float32, r, g, b 8-bit): what the GPU draws."""
-    mapped = map_axes(visible, roles, *axes)
+    # cap first: the ordinal's count pass then reads only row_idx, and only
+    # rendered rows reach the colour join
+    needed = ["row_idx", color_by] + [c for c in roles.coords if c in visible.columns]
+    capped = render_cap(visible.select(*dict.fromkeys(needed)), cap)
+    mapped = map_axes(capped, roles, *axes)
     coloured = color_encode(mapped, color_by, roles, ranges=ranges, palette=palette)
-    capped = render_cap(coloured, cap)
-    return capped.select(
+    return coloured.select(
         "row_idx", "ordinal", *(F.col(a).cast("float").alias(a) for a in "xyz"),
         *(F.col(c).cast("int").alias(c) for c in "rgb"))
 

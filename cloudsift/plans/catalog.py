@@ -98,13 +98,12 @@ def _written(spark: SparkSession, sf: str, what: str) -> str:
     """Data derived from the tables and written once per session into the
     shared folder: 'shards' (S3 output), 'tsv' (cells as gzipped TSV files),
     'tsv1' (one gzipped TSV file with header, rows in row_id order)."""
-    key = (id(spark), sf, what)
+    if what == "shards":
+        return B.shards_path(spark, sf)
+    key = (spark.sparkContext.applicationId, sf, what)
     if key in _cache:
         return _cache[key]
-    if what == "shards":
-        path = shared_dir(spark, "shards")
-        SH.write_shards(B.points(spark, sf).drop("n_rows"), path)
-    elif what == "tsv":
+    if what == "tsv":
         path = shared_dir(spark, "tsv")
         (B.cells(spark, sf).write.mode("overwrite").option("sep", "\t").option("header", True)
          .option("compression", "gzip").csv(path))
@@ -283,7 +282,7 @@ def _catalog_sql2() -> str:
 def q_attribute_catalog(spark, sf):
     """Selectable attributes and coordinate options with role, type,
     default axis and statistics."""
-    return attribute_catalog(B.points(spark, sf), R).select(
+    return attribute_catalog(B.sharded(spark, sf), R).select(
         F.col("ord").cast("int").alias("ord"), "attribute", "role", "data_type", "default_axis",
         "n_distinct", "min_value", "max_value")
 
@@ -442,7 +441,7 @@ ON l.row_idx = e.row_idx""")
 def q_column_merge(spark, sf):
     """A column read separately (only morning rows carry it) attached by
     row key; rows without a partner keep null."""
-    pts = B.points(spark, sf)
+    pts = B.sharded(spark, sf)
     ld = pts.where(F.col("shard") <= 1).select("row_idx", "x")
     return PJ.late_column(ld, pts.where(F.col("grp") == "AM"), "gene")
 
@@ -453,7 +452,7 @@ SELECT row_idx, structure FROM loaded WHERE coalesce(structure, '') IN
 def q_filter_semi(spark, sf):
     """Keep rows whose structure is in a value table (the domain of the
     morning rows of shard 2)."""
-    pts = B.points(spark, sf)
+    pts = B.sharded(spark, sf)
     vals = PF.attribute_domain(pts.where((F.col("grp") == "AM") & (F.col("shard") == 2)), R, ("structure",))
     return FL.filter_semi(loaded(spark, sf), "structure", vals).select("row_idx", "structure")
 
@@ -466,8 +465,8 @@ def _rays(vis: DataFrame) -> DataFrame:
     cam = E.view_frame(E.bounding_box(pts))
     tgt = pts.groupBy(F.coalesce(F.col("structure"), F.lit("(null)")).alias("ray_id")).agg(
         *(((F.min(a) + F.max(a)) * 0.5).alias(f"t{a}") for a in "xyz"))
-    o = {a: cam.select(f"pos_{a}").scalar() for a in "xyz"}
-    rays = tgt.select("ray_id", o["x"].alias("ox"), o["y"].alias("oy"), o["z"].alias("oz"), "tx", "ty", "tz")
+    o = cam.select(F.struct("pos_x", "pos_y", "pos_z").alias("o")).scalar()  # one subquery
+    rays = tgt.select("ray_id", o.pos_x.alias("ox"), o.pos_y.alias("oy"), o.pos_z.alias("oz"), "tx", "ty", "tz")
     return PK.normalise_rays(rays)
 
 
@@ -592,7 +591,7 @@ SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, max(x) - min(x) AS span_
 FROM (SELECT coalesce(x, 0.0) AS x, coalesce(y, 0.0) AS y, coalesce(z, 0.0) AS z FROM points WHERE row_idx < 10000) h""")
 def q_extent_head(spark, sf):
     """Extents over the first 10 000 rows in load order (all shards)."""
-    pts = B.points(spark, sf)
+    pts = B.sharded(spark, sf)
     m = pts.select("row_idx", *(PJ.coord(pts, a).alias(a) for a in "xyz"))
     return E.extent_head(m, idx="row_idx")
 
@@ -606,7 +605,7 @@ STRIDE_WHERE = "ordinal % greatest(1, n_vis // 10000) = 0"
           + _frame_sql(_box_sql(f"(SELECT * FROM st WHERE {STRIDE_WHERE}) s")))
 def q_extent_stride(spark, sf):
     """Box + camera fit over every s-th visible row (all shards)."""
-    vis = FL.filter_all(B.points(spark, sf), FILTERS)
+    vis = FL.filter_all(B.sharded(spark, sf), FILTERS)
     m = vis.select("row_idx", *(PJ.coord(vis, a).alias(a) for a in "xyz"))
     return E.extent_stride(m)
 
@@ -755,7 +754,7 @@ def q_head_rows(spark, sf):
 @register("stride_sample", cte(VISIBLE_ALL_CTE, STRIDE_CTE) + f"\nSELECT row_idx, ordinal FROM st WHERE {STRIDE_WHERE}")
 def q_stride_sample(spark, sf):
     """Every s-th visible row, s = max(1, floor(n / 10 000)) (all shards)."""
-    vis = FL.filter_all(B.points(spark, sf), FILTERS)
+    vis = FL.filter_all(B.sharded(spark, sf), FILTERS)
     return E.stride_sample(RK.visible_ordinal(vis, keep_total=True)).select("row_idx", "ordinal")
 
 
@@ -800,7 +799,7 @@ SELECT row_idx, x, structure FROM points WHERE shard <= 5
 UNION ALL SELECT row_idx, x, CAST(NULL AS VARCHAR) AS structure FROM points WHERE shard > 5""")
 def q_union_tables(spark, sf):
     """Inputs with unlike columns stacked by name (missing → null)."""
-    pts = B.points(spark, sf)
+    pts = B.sharded(spark, sf)
     a = pts.where(F.col("shard") <= 5).select("row_idx", "x", "structure")
     b = pts.where(F.col("shard") > 5).select("row_idx", "x")
     return TB.union_tables([a, b])
@@ -819,7 +818,7 @@ def q_append_shards(spark, sf):
           + domain_sql("(SELECT * FROM points WHERE shard = 2) b") + ") u GROUP BY attribute, value")
 def q_domain_merge(spark, sf):
     """Domain of shard 1 ∪ domain of shard 2."""
-    pts = B.points(spark, sf)
+    pts = B.sharded(spark, sf)
     d1 = PF.attribute_domain(pts.where(F.col("shard") == 1), R)
     d2 = PF.attribute_domain(pts.where(F.col("shard") == 2), R)
     return PF.domain_merge(d1, d2)
@@ -921,7 +920,7 @@ s AS (SELECT shard, count(*) AS n FROM points GROUP BY shard)
 SELECT shard, CAST(sum(n) OVER (ORDER BY shard) AS DOUBLE) * 100.0 / CAST(sum(n) OVER () AS DOUBLE) AS pct_loaded FROM s""")
 def q_percent_ratio(spark, sf):
     """Percent of rows loaded with 1..10 shards."""
-    s = B.points(spark, sf).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    s = B.sharded(spark, sf).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
     cum = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     tot = F.sum("n").over(Window.partitionBy())
     return s.select("shard", percent_ratio(cum, tot).alias("pct_loaded"))
