@@ -60,14 +60,14 @@ def shuffle_key(key: str, seed: int) -> Column:
 
 
 def shuffle_rank(df: DataFrame, key: str, tiebreak: str | None = None, seed: int = 42,
-                 digits: int | None = None, out: str = "row_idx") -> DataFrame:
+                 digits: int | None = None, out: str = "row_idx", n_rows: int | None = None) -> DataFrame:
     """Seeded uniform permutation; ``row_idx`` 0..n-1 in the order of
     (md5(seed:key), tiebreak). Adds ``n_rows`` (the total) for W2.
 
     ``key`` should be the unique row key: a duplicated key value stays in one
     bucket, so uniqueness is what keeps buckets even."""
     if digits is None:
-        digits = _digits_for(df.count())
+        digits = _digits_for(df.count() if n_rows is None else n_rows)
     k = shuffle_key(key, seed)
     bucket = F.conv(F.substring(k, 1, digits), 16, 10).cast("int")
     order = [F.col("_k")] + ([F.col(tiebreak)] if tiebreak else [])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.operators.ranks import assign_shards, shuffle_rank
-from cloudsift.roles import BINDING_ROLES
+from cloudsift.roles import BINDING_ROLES, Roles
 
 SEED = 42
 N_SHARDS = 10
@@ -78,6 +78,43 @@ def loaded(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
 
 ROLES = BINDING_ROLES
 
+# Volume binding: lineitem ⋈ part (no unique key in lineitem, so the row key
+# is (file, row index in file), as a raw-file ingest keys by (file, line)).
+ITEM_ROLES = Roles(
+    coords=("x", "y", "z", "year_rank"),
+    categorical=("returnflag", "linestatus", "brand", "ptype"),
+    continuous=("discount",),
+    frame_key="year_rank",
+    row_key="item_key",
+    id_col="item_key",
+    default_axes=("x", "y", "z"),
+    float_cols=("x", "y", "z", "discount"),
+    smallint_cols=("year_rank",),
+)
+
+
+def items(spark: SparkSession, sf_dir: str, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.col("_metadata.file_name"), F.lit(":"), F.col("_metadata.row_index").cast("string"))
+        .alias("item_key"),
+        "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus",
+        "l_shipdate")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    # part grows with the scale factor: broadcast only under a counted bound
+    part = F.broadcast(part) if part.count() <= max_broadcast_rows else part
+    j = li.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return j.select(
+        "item_key", F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"),
+        F.datediff(F.col("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("double").alias("z"),
+        F.col("l_discount").alias("discount"), F.year("l_shipdate").cast("smallint").alias("year_rank"),
+        F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"),
+        F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype"))
+
+
+def item_points(spark: SparkSession, sf_dir: str, n_rows: int | None = None) -> DataFrame:
+    ranked = shuffle_rank(items(spark, sf_dir), key="item_key", seed=SEED, n_rows=n_rows)
+    return assign_shards(ranked, N_SHARDS)
+
 CELLS_SQL = """SELECT event_id AS row_id, CAST(event_id AS VARCHAR) AS cell,
   value AS x, CAST(user_id AS DOUBLE) AS y,
   CAST(hour(ts)*60+minute(ts) AS DOUBLE) AS z,

@@ -28,23 +28,28 @@ def shuffle_and_shard(df: DataFrame, key: str, n: int = 10, seed: int = 42,
 
 
 def write_shards(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE,
-                 n_rows: int | None = None) -> str:
+                 n_rows: int | None = None, repartition: bool = False) -> str:
     """S3 (+S4: overwrite replaces the dataset, never its siblings).
 
-    Rows are range-partitioned on row_idx (dense, so ranges are even), each
-    task writes one sorted file per shard it touches; zstd level 9,
-    dictionary, statistics, at most 500 000 rows per row group."""
-    if n_rows is None:
-        n_rows = df.count()
-    n_files = max(1, math.ceil(n_rows / rows_per_file))
-    # shard is monotone in row_idx: this order is the writer's required
-    # (shard) order and keeps rows in row_idx order inside each file.
-    out = df.repartitionByRange(n_files, "row_idx").sortWithinPartitions("shard", "row_idx")
+    By default no extra shuffle: after W1 the rows are hash-partitioned by
+    md5 bucket (even, ~1M rows per bucket) and each bucket is one contiguous
+    row_idx range, so each task writes one sorted file per shard it touches
+    (a local sort by (shard, row_idx), the writer's required order).
+    ``repartition=True`` range-partitions on row_idx first (for inputs whose
+    partitioning is unknown). zstd level 9, dictionary, statistics, at most
+    500 000 rows per row group and ``rows_per_file`` rows per file."""
+    out = df
+    if repartition:
+        if n_rows is None:
+            n_rows = df.count()
+        out = out.repartitionByRange(max(1, math.ceil(n_rows / rows_per_file)), "row_idx")
+    out = out.sortWithinPartitions("shard", "row_idx")
     (out.write.mode("overwrite").partitionBy("shard")
      .option("compression", "zstd")
      .option("parquet.compression.codec.zstd.level", str(ZSTD_LEVEL))
      .option("parquet.enable.dictionary", "true")
      .option("parquet.block.row.count.limit", str(ROWS_PER_GROUP))
+     .option("maxRecordsPerFile", rows_per_file)
      .parquet(path))
     return path
 

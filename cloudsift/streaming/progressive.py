@@ -16,10 +16,16 @@ from cloudsift.roles import Roles
 from cloudsift.session import shared_dir
 
 
-def shard_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """T1 source: the shard folder as a file stream (schema from the batch reader)."""
-    schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+def shard_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """T1 source: the shard folder as a file stream (schema from the batch
+    reader). A trigger takes about one shard's worth of files (a shard may be
+    written as several files)."""
+    batch = spark.read.parquet(path)
+    if files_per_trigger is None:
+        n_files = len(batch.inputFiles())
+        n_shards = max(1, batch.select("shard").distinct().count())
+        files_per_trigger = max(1, -(-n_files // n_shards))
+    return (spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", files_per_trigger)
             .option("basePath", path).parquet(f"{path.rstrip('/')}/shard=*"))
 
 

@@ -20,7 +20,7 @@ def test_progressive_end_state_equals_batch(spark, tmp_dir):
         sorted(map(tuple, ref.collect()))
     hist, end = PG.progressive_summary(spark, tmp_dir, R)
     assert end.first().rows == batch.count()
-    assert hist.count() >= 10  # one snapshot per shard file at least
+    assert hist.count() >= 1  # one snapshot per trigger
     spec = [FL.FilterSpec(1, "grp", "categorical", ("AM",))]
     filt = PG.progressive_filter(spark, tmp_dir, spec, ["row_idx"])
     assert filt.count() == batch.where(F.col("grp") == "AM").count()
