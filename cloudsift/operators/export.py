@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudsift.operators.palette import color_encode
 from cloudsift.operators.project import map_axes
-from cloudsift.operators.ranks import visible_ordinal
+from cloudsift.operators.ranks import ROWS_PER_BUCKET, bucket_offsets
 from cloudsift.roles import Roles
 
 MAX_POINTS = 8_000_000  # fixed value: render cap
 
 
-def render_cap(visible: DataFrame, cap: int = MAX_POINTS, idx: str = "row_idx") -> DataFrame:
+def render_cap(visible: DataFrame, cap: int = MAX_POINTS, idx: str = "row_idx",
+               width: int = ROWS_PER_BUCKET) -> DataFrame:
     """O3: the first min(visible, cap) visible rows in load order, with their
-    ordinal (W5). Exact and distributed; no one-partition sort."""
-    return visible_ordinal(visible, idx=idx).where(F.col("ordinal") < cap)
+    ordinal (W5). Buckets of ``width`` row_idx values are counted first; the
+    buckets that start at or after the cap are dropped before any sort, so
+    the window sorts at most cap + width rows whatever the visible size."""
+    b = visible.withColumn("_bkt", F.floor(F.col(idx) / width).cast("bigint"))
+    starts = bucket_offsets(b, "_bkt").where(F.col("_off") < cap).select("_bkt", "_off")
+    kept = b.join(starts, "_bkt")
+    rn = F.row_number().over(Window.partitionBy("_bkt").orderBy(idx))
+    ranked = kept.withColumn("ordinal", (F.col("_off") + rn - 1).cast("bigint"))
+    return ranked.where(F.col("ordinal") < cap).drop("_bkt", "_off")
 
 
 def render_table(visible: DataFrame, roles: Roles, color_by: str, ranges: DataFrame | None = None,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudsift.roles import Roles
+from cloudsift.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -140,7 +141,7 @@ def filter_semi(df: DataFrame, attribute: str, values: DataFrame, value_col: str
 
     The value table is broadcast only when its counted size is under the
     bound; otherwise both sides shuffle on the value."""
-    vals = values.select(F.col(value_col).cast("string").alias("_v")).distinct()
+    vals = cut_lineage(values.select(F.col(value_col).cast("string").alias("_v")).distinct())
     n = vals.count()
     if n == 0:
         return df

@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from cloudsift.functions import color as C
 from cloudsift.operators.ranks import two_level_rank
 from cloudsift.roles import Roles
+from cloudsift.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 1_000_000
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a counted size; above it, a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """Broadcast hint only behind a counted size; above it, a shuffle join.
+
+    The small table is materialised once (reliable checkpoint into the shared
+    folder), so the count and the join do not each recompute it."""
+    small = cut_lineage(df)
+    return F.broadcast(small) if small.count() <= max_rows else small
 
 
 def build_palette(domain: DataFrame, attribute: str) -> DataFrame:

@@ -30,7 +30,7 @@ def _digits_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     return min(_MAX_DIGITS, max(2, math.ceil(math.log(need, 16)) if need > 1 else 2))
 
 
-def _bucket_offsets(bucketed: DataFrame, bucket: str) -> DataFrame:
+def bucket_offsets(bucketed: DataFrame, bucket: str) -> DataFrame:
     """(bucket, offset of its first row, total rows); size = number of buckets."""
     counts = bucketed.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -46,7 +46,7 @@ def two_level_rank(df: DataFrame, bucket: Column, order: list[Column], out: str,
     """Exact 0-based global rank of ``order`` (which must start with the order
     of ``bucket``) written to ``out``."""
     b = df.withColumn("_bkt", bucket)
-    offsets = _bucket_offsets(b, "_bkt")
+    offsets = bucket_offsets(b, "_bkt")
     within = Window.partitionBy("_bkt").orderBy(*order)
     ranked = b.withColumn("_rn", F.row_number().over(within))
     res = ranked.join(offsets, "_bkt").withColumn(

@@ -63,3 +63,27 @@ def test_oracle(spark, con, name):
     o = con.sql(E.oracle_sql()[name]).df()
     assert sorted(s.columns) == sorted(o.columns)
     assert _norm(s) == _norm(o)
+
+
+VIEW_QUERIES = ["first_view", "filter_all", "filter_funnel", "palette_join", "attribute_domain",
+                "frame_counts", "render_cap", "visible_ordinal", "legend_categorical", "pick_points",
+                "extent_stride", "shuffle_rank", "bounding_box", "hue_assignment", "stride_sample"]
+
+
+def _single_partition_children(plan: str) -> list[str]:
+    lines = plan.splitlines()
+    out = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            out.append(lines[i + 1] if i + 1 < len(lines) else "")
+    return out
+
+
+@pytest.mark.parametrize("name", VIEW_QUERIES)
+def test_no_single_partition_over_rows(spark, name):
+    """A one-partition exchange may only gather aggregated output (global
+    aggregates, the bucket-count table), never point rows."""
+    plan = _plan(E.queries()[name](spark, SF_TINY))
+    for child in _single_partition_children(plan):
+        assert "HashAggregate" in child or "ObjectHashAggregate" in child, (name, child)
+    assert "CartesianProduct" not in plan

@@ -62,3 +62,12 @@ def test_line_number_multi_file(spark, tmp_dir):
         .write.mode("overwrite").text(tmp_dir)
     lines = RK.line_number(spark.read.text(tmp_dir)).collect()
     assert sorted((r.line, int(r.value)) for r in lines) == [(i, i) for i in range(1000)]
+
+
+def test_render_cap_prunes_and_is_exact(spark):
+    from cloudsift.operators.export import render_cap
+    df = spark.range(0, 20000, 3).withColumnRenamed("id", "row_idx")
+    out = render_cap(df, cap=1000, width=256).orderBy("row_idx").collect()
+    assert [r.ordinal for r in out] == list(range(1000))
+    assert [r.row_idx for r in out] == list(range(0, 3000, 3))
+    assert render_cap(df, cap=10 ** 9, width=256).count() == df.count()
