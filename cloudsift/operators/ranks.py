@@ -115,20 +115,29 @@ def visible_ordinal(df: DataFrame, idx: str = "row_idx", out: str = "ordinal",
     return two_level_rank(df, bucket, [F.col(idx)], out, keep_total=keep_total)
 
 
-def line_number(df: DataFrame, out: str = "line") -> DataFrame:
+def line_number(df: DataFrame, out: str = "line", file_line: str | None = None,
+                file_name: str | None = None) -> DataFrame:
     """Exact 0-based position of each line of a file-based read, input
-    order kept (file path, then split start, then position inside the split).
+    order kept (file path, then split start, then position inside the split);
+    ``file_line`` also names the position inside its own file and
+    ``file_name`` the file's name.
 
     Rows of one (file, split) sit contiguously in one task, so
     ``monotonically_increasing_id`` is consecutive there; only the per-split
-    counts (a table the size of the split list) are ranked."""
-    md = df.select("*", F.col("_metadata.file_path").alias("_fp"),
+    counts (a table the size of the split list, known to the driver) are
+    ranked and broadcast."""
+    extra = [F.col("_metadata.file_name").alias(file_name)] if file_name else []
+    md = df.select("*", *extra, F.col("_metadata.file_path").alias("_fp"),
                    F.col("_metadata.file_block_start").alias("_fs"),
                    F.monotonically_increasing_id().alias("_mid"))
     splits = md.groupBy("_fp", "_fs").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.orderBy("_fp", "_fs").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("_fp").orderBy("_fs").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_fp", "_fs", "_m0",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                            F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_foff"))
     res = md.join(F.broadcast(offsets), ["_fp", "_fs"]).withColumn(
         out, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint"))
-    return res.drop("_fp", "_fs", "_mid", "_m0", "_off")
+    if file_line:
+        res = res.withColumn(file_line, (F.col("_foff") + F.col("_mid") - F.col("_m0")).cast("bigint"))
+    return res.drop("_fp", "_fs", "_mid", "_m0", "_off", "_foff")

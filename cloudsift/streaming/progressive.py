@@ -1,6 +1,6 @@
 """Progressive loading as Structured Streaming.
 
-Shards arrive one file per trigger (``maxFilesPerTrigger=1``) and the query
+Shards arrive about one shard per trigger (``maxFilesPerTrigger``) and the query
 runs with ``availableNow``, so at the end its state equals the batch result on
 the same shards. Sinks are Parquet folders in the shared checkpoint area
 (exactly-once through the query checkpoint), never the driver.
@@ -56,15 +56,27 @@ def progressive_filter(spark: SparkSession, path: str, specs: list[FilterSpec],
     return spark.read.parquet(out)
 
 
-def _run_snapshots(agg: DataFrame, out: str, ckpt: str, mode: str = "complete") -> None:
+def _run_snapshots(agg: DataFrame, out: str, ckpt: str, mode: str = "complete",
+                   state_partitions: int | None = None) -> None:
     """Each micro-batch's result table written under its epoch (idempotent
-    overwrite of that epoch's folder on retry)."""
+    overwrite of that epoch's folder on retry).
+
+    The state here is a domain or one summary row, so the state store gets
+    ``state_partitions`` partitions (default: the cluster's parallelism); the
+    number is fixed when a fresh checkpoint starts and kept in it."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    q = (agg.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
-         .outputMode(mode).trigger(availableNow=True).start())
+    spark = agg.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        q = (agg.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
+             .outputMode(mode).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
 
 
