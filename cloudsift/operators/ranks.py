@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1 << 20
-_MAX_DIGITS = 6  # 16^6 buckets: offsets table stays below ~17M rows
+_MAX_DIGITS = 5  # 16^5 buckets: the offsets table stays below ~1M rows
 
 
 def _digits_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:

@@ -271,9 +271,10 @@ def _catalog_sql2() -> str:
         ax = f"'{a}'" if a in ("x", "y", "z") else "CAST(NULL AS VARCHAR)"
         lo = "CAST(NULL AS DOUBLE)" if role == "categorical" else f"min(CAST({a} AS DOUBLE))"
         hi = "CAST(NULL AS DOUBLE)" if role == "categorical" else f"max(CAST({a} AS DOUBLE))"
+        nd = f"CAST(count(DISTINCT {a}) AS BIGINT)" if role == "categorical" else "CAST(NULL AS BIGINT)"
         rows.append(f"SELECT {i} AS ord, '{a}' AS attribute, '{role}' AS role, "
                     f"'{types.get(a, 'string')}' AS data_type, {ax} AS default_axis, "
-                    f"CAST(count(DISTINCT {a}) AS BIGINT) AS n_distinct, {lo} AS min_value, "
+                    f"{nd} AS n_distinct, {lo} AS min_value, "
                     f"{hi} AS max_value FROM points")
     return P + "\n" + " UNION ALL ".join(rows)
 

@@ -76,7 +76,9 @@ def essential_columns(roles: Roles, df: DataFrame, extra: tuple[str, ...] = ())
 
 def attribute_catalog(df: DataFrame, roles: Roles) -> DataFrame:
     """Every selectable attribute and coordinate option with its role, type,
-    the default axis it serves, and its statistics from the data (one scan)."""
+    the default axis it serves, and its statistics from the data in one scan:
+    the domain size of a categorical (A3), min/max of a number (A4). Numbers
+    get no distinct count (that would shuffle every distinct double)."""
     dtypes = dict(df.dtypes)
     axes = {name: axis for axis, name in zip(("x", "y", "z"), roles.default_axes)}
     entries = []
@@ -94,7 +96,7 @@ def attribute_catalog(df: DataFrame, roles: Roles) -> DataFrame:
                 stats = [F.count_distinct(c), F.lit(None).cast("double"), F.lit(None).cast("double")]
             else:
                 v = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-                stats = [F.count_distinct(c), F.min(v), F.max(v)]
+                stats = [F.lit(None).cast("bigint"), F.min(v), F.max(v)]
         else:
             stats = [F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("double")]
         aggs.append(F.struct(
