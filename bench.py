@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -29,7 +28,7 @@ from cloudsift.operators import project as PJ  # noqa: E402
 from cloudsift.operators.export import export_points, render_table  # noqa: E402
 from cloudsift.plans import bindings as B  # noqa: E402
 from cloudsift.plans import catalog  # noqa: E402
-from cloudsift.session import get_session, shared_dir  # noqa: E402
+from cloudsift.session import checkpoint_root, get_session, shared_dir  # noqa: E402
 from cloudsift.sources import shards as SH  # noqa: E402
 from cloudsift.sources import text_split as TS  # noqa: E402
 from cloudsift.streaming import progressive as PG  # noqa: E402
@@ -50,10 +49,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=max(cpus, 8), app_name="cloudsift-bench")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="cloudsift-bench-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+    checkpoint_root(spark)  # the cluster's shared folder; a local one only when unset
     times: dict[str, float] = {}
 
     def timed(name, fn):

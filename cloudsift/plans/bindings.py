@@ -93,27 +93,42 @@ ITEM_ROLES = Roles(
 )
 
 
-def items(spark: SparkSession, sf_dir: str, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
+def _lineitem_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
         F.concat(F.col("_metadata.file_name"), F.lit(":"), F.col("_metadata.row_index").cast("string"))
         .alias("item_key"),
         "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus",
         "l_shipdate")
+
+
+def _with_part(spark: SparkSession, sf_dir: str, li: DataFrame, max_broadcast_rows: int,
+               keep: tuple[str, ...] = ()) -> DataFrame:
+    """Attach brand and type (a left join: one partner per part key, so the
+    row count is unchanged)."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     # part grows with the scale factor: broadcast only under a counted bound
     part = F.broadcast(part) if part.count() <= max_broadcast_rows else part
     j = li.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     return j.select(
-        "item_key", F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"),
+        *keep, "item_key", F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"),
         F.datediff(F.col("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("double").alias("z"),
         F.col("l_discount").alias("discount"), F.year("l_shipdate").cast("smallint").alias("year_rank"),
         F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"),
         F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype"))
 
 
-def item_points(spark: SparkSession, sf_dir: str, n_rows: int | None = None) -> DataFrame:
-    ranked = shuffle_rank(items(spark, sf_dir), key="item_key", seed=SEED, n_rows=n_rows)
-    return assign_shards(ranked, N_SHARDS)
+def items(spark: SparkSession, sf_dir: str, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    return _with_part(spark, sf_dir, _lineitem_keyed(spark, sf_dir), max_broadcast_rows)
+
+
+def item_points(spark: SparkSession, sf_dir: str, n_rows: int | None = None,
+                max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rank lineitem rows first (the count pass reads only the key), then
+    attach part: the join does not change the row count."""
+    ranked = shuffle_rank(_lineitem_keyed(spark, sf_dir), key="item_key", seed=SEED, n_rows=n_rows)
+    sharded = assign_shards(ranked, N_SHARDS)
+    return _with_part(spark, sf_dir, sharded, max_broadcast_rows, keep=("row_idx", "shard"))
+
 
 CELLS_SQL = """SELECT event_id AS row_id, CAST(event_id AS VARCHAR) AS cell,
   value AS x, CAST(user_id AS DOUBLE) AS y,

@@ -37,17 +37,23 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+_local_root: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; set a local one only when unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only
+    when it is unset (tests, a bare local session) a local folder is taken,
+    through ``SparkContext.setCheckpointDir`` (the conf key itself cannot be
+    changed at runtime)."""
+    sc = spark.sparkContext
     root = spark.conf.get(_CHECKPOINT_KEY, None)
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
+        root = _local_root.get(sc.applicationId)
     if not root:
         root = tempfile.mkdtemp(prefix="cloudsift-ckpt-")
-        spark.conf.set(_CHECKPOINT_KEY, root)
-        spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+        _local_root[sc.applicationId] = root
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
