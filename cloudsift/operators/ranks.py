@@ -55,20 +55,25 @@ def two_level_rank(df: DataFrame, bucket: Column, order: list[Column], out: str,
     return res.drop(*drop)
 
 
-def shuffle_key(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+def shuffle_key(key: str, seed: int, tiebreak: str | None = None) -> Column:
+    """md5 of 'seed:key' (or 'seed:key:tiebreak'): the permutation order."""
+    parts = [F.lit(f"{seed}:"), F.col(key).cast("string")]
+    if tiebreak:
+        parts += [F.lit(":"), F.col(tiebreak).cast("string")]
+    return F.md5(F.concat(*parts))
 
 
 def shuffle_rank(df: DataFrame, key: str, tiebreak: str | None = None, seed: int = 42,
                  digits: int | None = None, out: str = "row_idx", n_rows: int | None = None) -> DataFrame:
     """Seeded uniform permutation; ``row_idx`` 0..n-1 in the order of
-    (md5(seed:key), tiebreak). Adds ``n_rows`` (the total) for W2.
+    (md5(seed:key[:tiebreak]), tiebreak). Adds ``n_rows`` (the total) for W2.
 
-    ``key`` should be the unique row key: a duplicated key value stays in one
-    bucket, so uniqueness is what keeps buckets even."""
+    The tiebreak is hashed with the key, so copies of one key value (a group
+    that may hold a large share of the rows) spread over all buckets instead
+    of landing in one; (key, tiebreak) should be unique."""
     if digits is None:
         digits = _digits_for(df.count() if n_rows is None else n_rows)
-    k = shuffle_key(key, seed)
+    k = shuffle_key(key, seed, tiebreak)
     bucket = F.conv(F.substring(k, 1, digits), 16, 10).cast("int")
     order = [F.col("_k")] + ([F.col(tiebreak)] if tiebreak else [])
     ranked = two_level_rank(df.withColumn("_k", k), bucket, order, out, keep_total=True)

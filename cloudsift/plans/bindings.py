@@ -145,7 +145,7 @@ FROM events"""
 
 # WITH-clause prefix defining cells, points (row_idx, shard) and loaded (shard 1).
 POINTS_CTE = f"""WITH cells AS ({CELLS_SQL}),
-ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat('{SEED}:', cell)), row_id) - 1 AS row_idx,
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat('{SEED}:', cell, ':', CAST(row_id AS VARCHAR))), row_id) - 1 AS row_idx,
   count(*) OVER () AS n_rows FROM cells),
 points AS (SELECT * EXCLUDE (n_rows),
   CAST(CASE WHEN n_rows < {N_SHARDS} THEN {N_SHARDS}

@@ -665,7 +665,7 @@ def q_shard_floor(spark, sf):
 
 
 @register("shard_even", "WITH c AS (" + B.CELLS_SQL + """)
-SELECT row_id, CAST(ntile(7) OVER (ORDER BY md5(concat('42:', cell)), row_id) AS INTEGER) AS part FROM c""")
+SELECT row_id, CAST(ntile(7) OVER (ORDER BY md5(concat('42:', cell, ':', CAST(row_id AS VARCHAR))), row_id) AS INTEGER) AS part FROM c""")
 def q_shard_even(spark, sf):
     """7 parts, remainder over the first parts (ntile assignment)."""
     ranked = RK.shuffle_rank(B.cells(spark, sf), "cell", "row_id", seed=B.SEED)

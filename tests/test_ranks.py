@@ -9,7 +9,7 @@ from tests.conftest import SF_TINY
 def test_shuffle_rank_equals_global_row_number(spark):
     cells = B.cells(spark, SF_TINY)
     got = {r.row_id: r.row_idx for r in RK.shuffle_rank(cells, "cell", "row_id").collect()}
-    k = F.md5(F.concat(F.lit("42:"), F.col("cell")))
+    k = F.md5(F.concat(F.lit("42:"), F.col("cell"), F.lit(":"), F.col("row_id").cast("string")))
     ref = cells.select("row_id", (F.row_number().over(Window.orderBy(k, "row_id")) - 1).alias("i"))
     assert got == {r.row_id: r.i for r in ref.collect()}
     assert sorted(got.values()) == list(range(len(got)))
@@ -71,3 +71,13 @@ def test_render_cap_prunes_and_is_exact(spark):
     assert [r.ordinal for r in out] == list(range(1000))
     assert [r.row_idx for r in out] == list(range(0, 3000, 3))
     assert render_cap(df, cap=10 ** 9, width=256).count() == df.count()
+
+
+def test_copies_of_a_key_spread_over_buckets(spark):
+    """A third of the rows share one key value: they must not share a bucket."""
+    df = spark.range(3000).select(F.col("id").alias("rid"),
+                                  F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    ranked = RK.shuffle_rank(df, "k", "rid", digits=2)
+    assert sorted(r.row_idx for r in ranked.collect()) == list(range(3000))
+    hot = ranked.where(F.col("k") == "hot").select(RK.shuffle_key("k", 42, "rid").substr(1, 2).alias("b"))
+    assert hot.select("b").distinct().count() > 100
