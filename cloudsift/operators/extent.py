@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudsift.operators.ranks import visible_ordinal
+from cloudsift.operators.ranks import select_ordinals
 
 # Fixed values of the viewer's camera fit.
 FOV_DEG = 75.0
@@ -59,18 +59,20 @@ def extent_head(df: DataFrame, n: int = EXTENT_SAMPLE, idx: str = "ordinal") ->
     return _span_row(df.where(F.col(idx) < n))
 
 
-def stride_sample(df: DataFrame, target: int = EXTENT_SAMPLE, idx: str = "ordinal",
-                  total: str = "n_rows") -> DataFrame:
-    """Every s-th visible row, s = max(1, floor(n / target)). Expects the
-    W5 ordinal and its total (``visible_ordinal(..., keep_total=True)``)."""
-    step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col(total) / target).cast("bigint"))
-    return df.where(F.col(idx) % step == 0)
+def stride_sample(df: DataFrame, target: int = EXTENT_SAMPLE, idx: str = "row_idx") -> DataFrame:
+    """Every s-th visible row in load order, s = max(1, floor(n / target))
+    (at most 2 × target rows), with its ordinal. Only the sampled rows are
+    ranked (W5 by hierarchical counts), never the whole visible set."""
+    spark = df.sparkSession
+    n = df.select(idx).count()
+    step = max(1, n // target)
+    targets = spark.range(0, n, step).select(F.col("id").alias("ordinal"))
+    return select_ordinals(df, targets, idx=idx)
 
 
-def extent_stride(df: DataFrame, target: int = EXTENT_SAMPLE) -> DataFrame:
+def extent_stride(df: DataFrame, target: int = EXTENT_SAMPLE, idx: str = "row_idx") -> DataFrame:
     """A6 + A7 over the stride sample of the visible rows."""
-    sampled = stride_sample(visible_ordinal(df, keep_total=True), target)
-    return view_frame(bounding_box(sampled))
+    return view_frame(bounding_box(stride_sample(df, target, idx)))
 
 
 def head_rows(df: DataFrame, n: int = HEAD_ROWS, idx: str = "row_idx") -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudsift.operators.ranks import select_ordinals
+
 MAX_BROADCAST_RAYS = 10_000
 POINT_SIZE = 1.0
 THRESHOLD_PER_SIZE = 5.0
@@ -66,6 +68,7 @@ def pick_points(points: DataFrame, rays: DataFrame, threshold: float = POINT_SIZ
     return best.select("ray_id", F.col(f"h.{idx}").alias(idx), F.col("h.distance").alias("distance"))
 
 
-def fetch_rows(ordinals: DataFrame, rows: DataFrame, key: str = "ordinal") -> DataFrame:
-    """From ordinals in the rendered set back to source rows (equi-join)."""
-    return rows.join(ordinals.select(key).distinct(), key, "left_semi")
+def fetch_rows(visible: DataFrame, ordinals: DataFrame, idx: str = "row_idx") -> DataFrame:
+    """From ordinals in the rendered (visible, load-ordered) set back to
+    source rows, exactly, ranking only around the asked ordinals."""
+    return select_ordinals(visible, ordinals.select("ordinal"), idx=idx)

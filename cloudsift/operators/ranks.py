@@ -146,3 +146,65 @@ def line_number(df: DataFrame, out: str = "line", file_line: str | None = None,
     if file_line:
         res = res.withColumn(file_line, (F.col("_foff") + F.col("_mid") - F.col("_m0")).cast("bigint"))
     return res.drop("_fp", "_fs", "_mid", "_m0", "_off", "_foff")
+
+
+def _locate(starts: DataFrame, targets: DataFrame, parent: list[str], bucket: str) -> DataFrame:
+    """Interval lookup: for each target (parent…, _t, _r) the bucket of
+    ``starts`` (parent…, bucket, _off) with the largest _off <= _r, and the
+    residual _r - _off. A sort-merge of the two small tables (bucket starts
+    before targets at equal position), no range join."""
+    ev = starts.select(*parent, F.col("_off").alias("_pos"), F.lit(0).alias("_kind"),
+                       F.col(bucket), F.col("_off"), F.lit(None).cast("bigint").alias("_t"))
+    tg = targets.select(*parent, F.col("_r").alias("_pos"), F.lit(1).alias("_kind"),
+                        F.lit(None).cast("bigint").alias(bucket), F.lit(None).cast("bigint").alias("_off"), "_t")
+    w = (Window.partitionBy(*parent) if parent else Window.partitionBy()).orderBy("_pos", "_kind") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = ev.unionByName(tg).select(
+        *parent, "_pos", "_kind", "_t",
+        F.last(bucket, ignorenulls=True).over(w).alias(bucket),
+        F.last("_off", ignorenulls=True).over(w).alias("_off"))
+    return both.where(F.col("_kind") == 1).select(
+        *parent, bucket, "_t", (F.col("_pos") - F.col("_off")).alias("_r"))
+
+
+def select_ordinals(df: DataFrame, targets: DataFrame, idx: str = "row_idx", out: str = "ordinal",
+                    widths: tuple[int, int] = (ROWS_PER_BUCKET, 1 << 10)) -> DataFrame:
+    """Rows of ``df`` whose 0-based position in ``idx`` order is one of the
+    ``targets`` (column ``out``), exactly, without ranking every row.
+
+    Hierarchical counting: counts per ``idx div widths[0]`` bucket locate each
+    target's bucket; counts per ``idx div widths[1]`` inside those buckets
+    only locate its sub-bucket; the ≤ widths[1] rows of each chosen
+    sub-bucket are ranked. Two scans read only ``idx``; what is shuffled is
+    counts plus about targets × widths[1] rows. ``targets`` must be small
+    (its count is checked before it is broadcast)."""
+    w0, w1 = widths
+    t = targets.select(F.col(out).cast("bigint").alias("_t")).distinct()
+    from cloudsift.session import cut_lineage
+    t = cut_lineage(t)
+    small = t.count() <= 1_000_000
+    bc = F.broadcast if small else (lambda x: x)
+    keys = df.select(F.col(idx).cast("bigint").alias("_i"))
+
+    c0 = keys.groupBy(F.floor(F.col("_i") / w0).cast("bigint").alias("_b0")).agg(F.count(F.lit(1)).alias("_n"))
+    before0 = Window.orderBy("_b0").rowsBetween(Window.unboundedPreceding, -1)
+    s0 = c0.select("_b0", F.coalesce(F.sum("_n").over(before0), F.lit(0)).cast("bigint").alias("_off"),
+                   F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    total = s0.select(F.max("_total")).scalar()
+    t0 = t.where((F.col("_t") >= 0) & (F.col("_t") < total)).select("_t", F.col("_t").alias("_r"))
+    hit0 = _locate(s0, t0, [], "_b0")
+
+    cand0 = hit0.select("_b0").distinct()
+    k1 = keys.withColumn("_b0", F.floor(F.col("_i") / w0).cast("bigint")).join(bc(cand0), "_b0", "left_semi")
+    c1 = k1.groupBy("_b0", F.floor(F.col("_i") / w1).cast("bigint").alias("_b1")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    before1 = Window.partitionBy("_b0").orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)
+    s1 = c1.select("_b0", "_b1", F.coalesce(F.sum("_n").over(before1), F.lit(0)).cast("bigint").alias("_off"))
+    hit1 = _locate(s1, hit0, ["_b0"], "_b1")
+
+    cand1 = hit1.select("_b1").distinct()
+    rows = df.withColumn("_b1", F.floor(F.col(idx) / w1).cast("bigint")).join(bc(cand1), "_b1", "left_semi")
+    local = Window.partitionBy("_b1").orderBy(idx)
+    ranked = rows.withColumn("_r", (F.row_number().over(local) - 1).cast("bigint"))
+    picked = ranked.join(bc(hit1.select("_b1", "_r", "_t")), ["_b1", "_r"])
+    return picked.withColumnRenamed("_t", out).drop("_b1", "_r")

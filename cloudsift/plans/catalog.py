@@ -500,15 +500,18 @@ def q_pick_points(spark, sf):
     return PK.pick_points(pts, _rays(vis)).select("ray_id", "row_idx")
 
 
-@register("fetch_rows", cte(VISIBLE_CTE, """o AS (SELECT *, row_number() OVER (ORDER BY row_idx) - 1 AS ordinal FROM visible)""") + """
-SELECT ordinal, row_idx, x, y, z FROM o WHERE ordinal IN
-  (SELECT min(ordinal) FROM o GROUP BY coalesce(time_rank, 0))""")
+@register("fetch_rows", cte(VISIBLE_CTE, """o AS (SELECT *, row_number() OVER (ORDER BY row_idx) - 1 AS ordinal FROM visible)""",
+                          """f AS (SELECT coalesce(time_rank, 0) AS fr, count(*) AS n FROM visible GROUP BY 1)""",
+                          """t AS (SELECT coalesce(sum(n) OVER (ORDER BY fr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ordinal FROM f)""") + """
+SELECT ordinal, row_idx, x, y, z FROM o WHERE ordinal IN (SELECT ordinal FROM t)""")
 def q_fetch_rows(spark, sf):
-    """Rows at given ordinals of the rendered set (first ordinal of each
-    frame)."""
-    ren = render_cap(visible(spark, sf))
-    firsts = ren.groupBy(FR.frame_value("time_rank")).agg(F.min("ordinal").alias("ordinal"))
-    return PK.fetch_rows(firsts, ren).select("ordinal", "row_idx", "x", "y", "z")
+    """Rows at given ordinals of the rendered set (the first ordinal of
+    each frame, from the frame counts)."""
+    vis = visible(spark, sf)
+    counts = FR.frame_counts(vis, "time_rank")
+    before = Window.orderBy("time_rank").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("ordinal"))
+    return PK.fetch_rows(vis, firsts).select("ordinal", "row_idx", "x", "y", "z")
 
 
 # ================================================================ aggregations
@@ -607,8 +610,7 @@ STRIDE_WHERE = "ordinal % greatest(1, n_vis // 10000) = 0"
 def q_extent_stride(spark, sf):
     """Box + camera fit over every s-th visible row (all shards)."""
     vis = FL.filter_all(B.sharded(spark, sf), FILTERS)
-    m = vis.select("row_idx", *(PJ.coord(vis, a).alias(a) for a in "xyz"))
-    return E.extent_stride(m)
+    return E.extent_stride(vis.select("row_idx", *(PJ.coord(vis, a).alias(a) for a in "xyz")))
 
 
 @register("shard_report")
@@ -756,7 +758,7 @@ def q_head_rows(spark, sf):
 def q_stride_sample(spark, sf):
     """Every s-th visible row, s = max(1, floor(n / 10 000)) (all shards)."""
     vis = FL.filter_all(B.sharded(spark, sf), FILTERS)
-    return E.stride_sample(RK.visible_ordinal(vis, keep_total=True)).select("row_idx", "ordinal")
+    return E.stride_sample(vis.select("row_idx")).select("row_idx", "ordinal")
 
 
 # ================================================================ legends

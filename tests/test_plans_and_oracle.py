@@ -70,13 +70,39 @@ VIEW_QUERIES = ["first_view", "filter_all", "filter_funnel", "palette_join", "at
                 "extent_stride", "shuffle_rank", "bounding_box", "hue_assignment", "stride_sample"]
 
 
-def _single_partition_children(plan: str) -> list[str]:
-    lines = plan.splitlines()
-    out = []
-    for i, line in enumerate(lines):
-        if "Exchange SinglePartition" in line:
-            out.append(lines[i + 1] if i + 1 < len(lines) else "")
-    return out
+def _tree(plan: str):
+    """(depth, text, parent index) per plan line, from the tree drawing."""
+    nodes, stack = [], []
+    for line in plan.splitlines():
+        stripped = line.lstrip(" :|")
+        if stripped.startswith("+- "):
+            stripped = stripped[3:]
+        depth = len(line) - len(line.lstrip(" :|+-"))
+        while stack and nodes[stack[-1]][0] >= depth:
+            stack.pop()
+        nodes.append((depth, stripped, stack[-1] if stack else None))
+        stack.append(len(nodes) - 1)
+    return nodes
+
+
+def _rows_reach_single_partition(plan: str) -> list[str]:
+    """Scans whose rows reach an `Exchange SinglePartition` without an
+    aggregate between them."""
+    nodes = _tree(plan)
+    bad = []
+    for i, (_, text, parent) in enumerate(nodes):
+        if not text.startswith("FileScan"):
+            continue
+        j, aggregated = parent, False
+        while j is not None:
+            t = nodes[j][1]
+            if "HashAggregate" in t or "ObjectHashAggregate" in t:
+                aggregated = True
+            if t.startswith("Exchange SinglePartition") and not aggregated:
+                bad.append(text[:80])
+                break
+            j = nodes[j][2]
+    return bad
 
 
 @pytest.mark.parametrize("name", VIEW_QUERIES)
@@ -84,6 +110,15 @@ def test_no_single_partition_over_rows(spark, name):
     """A one-partition exchange may only gather aggregated output (global
     aggregates, the bucket-count table), never point rows."""
     plan = _plan(E.queries()[name](spark, SF_TINY))
-    for child in _single_partition_children(plan):
-        assert "HashAggregate" in child or "ObjectHashAggregate" in child, (name, child)
+    assert _rows_reach_single_partition(plan) == [], name
     assert "CartesianProduct" not in plan
+
+
+def test_plan_walker_flags_a_global_sort(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.read.parquet(f"{SF_TINY}/events.parquet")
+    bad = df.select(F.row_number().over(Window.orderBy("event_id")).alias("r"))
+    assert _rows_reach_single_partition(_plan(bad))
+    good = df.agg(F.count(F.lit(1)))
+    assert not _rows_reach_single_partition(_plan(good))

@@ -81,3 +81,14 @@ def test_copies_of_a_key_spread_over_buckets(spark):
     assert sorted(r.row_idx for r in ranked.collect()) == list(range(3000))
     hot = ranked.where(F.col("k") == "hot").select(RK.shuffle_key("k", 42, "rid").substr(1, 2).alias("b"))
     assert hot.select("b").distinct().count() > 100
+
+
+def test_select_ordinals_matches_full_rank(spark):
+    df = spark.range(0, 60000, 7).select(F.col("id").alias("row_idx"), (F.col("id") * 2).alias("v")) \
+        .where(F.col("row_idx") % 5 != 0)
+    full = {r.ordinal: r.row_idx for r in RK.visible_ordinal(df, width=512).collect()}
+    targets = spark.createDataFrame([(o,) for o in (0, 1, 17, 1000, 4096, len(full) - 1, len(full) + 5)],
+                                    "ordinal long")
+    got = {r.ordinal: (r.row_idx, r.v) for r in
+           RK.select_ordinals(df, targets, widths=(4096, 64)).collect()}
+    assert got == {o: (full[o], full[o] * 2) for o in (0, 1, 17, 1000, 4096, len(full) - 1)}
