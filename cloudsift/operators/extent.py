@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudsift.operators.ranks import select_ordinals
+from cloudsift.operators.ranks import select_ordinals, visible_ordinal
 
 # Fixed values of the viewer's camera fit.
 FOV_DEG = 75.0
@@ -16,6 +16,7 @@ DEPTH_FACTOR = 1.5
 MIN_HEIGHT = 100.0
 EXTENT_SAMPLE = 10_000
 HEAD_ROWS = 5
+FULL_RANK_MAX_ROWS = 4_000_000  # below this, ranking every row in one shuffle is cheaper
 
 
 def bounding_box(df: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
@@ -59,20 +60,27 @@ def extent_head(df: DataFrame, n: int = EXTENT_SAMPLE, idx: str = "ordinal") ->
     return _span_row(df.where(F.col(idx) < n))
 
 
-def stride_sample(df: DataFrame, target: int = EXTENT_SAMPLE, idx: str = "row_idx") -> DataFrame:
+def stride_sample(df: DataFrame, target: int = EXTENT_SAMPLE, idx: str = "row_idx",
+                  full_rank_max_rows: int = FULL_RANK_MAX_ROWS) -> DataFrame:
     """Every s-th visible row in load order, s = max(1, floor(n / target))
-    (at most 2 × target rows), with its ordinal. Only the sampled rows are
-    ranked (W5 by hierarchical counts), never the whole visible set."""
+    (at most 2 × target rows), with its ordinal.
+
+    The visible count decides the plan: a few million rows are ranked in one
+    shuffle (W5); above that only the sampled ordinals are located, by
+    hierarchical counts, so the visible set is never shuffled."""
     spark = df.sparkSession
     n = df.select(idx).count()
     step = max(1, n // target)
+    if n <= full_rank_max_rows:
+        return visible_ordinal(df, idx=idx).where(F.col("ordinal") % step == 0)
     targets = spark.range(0, n, step).select(F.col("id").alias("ordinal"))
-    return select_ordinals(df, targets, idx=idx)
+    return select_ordinals(df, targets, idx=idx, checked_small=True)
 
 
-def extent_stride(df: DataFrame, target: int = EXTENT_SAMPLE, idx: str = "row_idx") -> DataFrame:
+def extent_stride(df: DataFrame, target: int = EXTENT_SAMPLE, idx: str = "row_idx",
+                  full_rank_max_rows: int = FULL_RANK_MAX_ROWS) -> DataFrame:
     """A6 + A7 over the stride sample of the visible rows."""
-    return view_frame(bounding_box(stride_sample(df, target, idx)))
+    return view_frame(bounding_box(stride_sample(df, target, idx, full_rank_max_rows)))
 
 
 def head_rows(df: DataFrame, n: int = HEAD_ROWS, idx: str = "row_idx") -> DataFrame:

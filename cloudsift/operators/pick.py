@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudsift.operators.ranks import select_ordinals
+from cloudsift.operators.ranks import select_ordinals, visible_ordinal
 
 MAX_BROADCAST_RAYS = 10_000
 POINT_SIZE = 1.0
@@ -68,7 +68,15 @@ def pick_points(points: DataFrame, rays: DataFrame, threshold: float = POINT_SIZ
     return best.select("ray_id", F.col(f"h.{idx}").alias(idx), F.col("h.distance").alias("distance"))
 
 
-def fetch_rows(visible: DataFrame, ordinals: DataFrame, idx: str = "row_idx") -> DataFrame:
+FULL_RANK_MAX_ROWS = 4_000_000
+
+
+def fetch_rows(visible: DataFrame, ordinals: DataFrame, idx: str = "row_idx",
+               full_rank_max_rows: int = FULL_RANK_MAX_ROWS) -> DataFrame:
     """From ordinals in the rendered (visible, load-ordered) set back to
-    source rows, exactly, ranking only around the asked ordinals."""
+    source rows, exactly. A small visible set is ranked whole (W5) and
+    semi-joined; a large one is only ranked around the asked ordinals."""
+    if visible.select(idx).count() <= full_rank_max_rows:
+        wanted = ordinals.select(F.col("ordinal").cast("bigint")).distinct()
+        return visible_ordinal(visible, idx=idx).join(wanted, "ordinal", "left_semi")
     return select_ordinals(visible, ordinals.select("ordinal"), idx=idx)

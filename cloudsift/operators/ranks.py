@@ -168,7 +168,8 @@ def _locate(starts: DataFrame, targets: DataFrame, parent: list[str], bucket: st
 
 
 def select_ordinals(df: DataFrame, targets: DataFrame, idx: str = "row_idx", out: str = "ordinal",
-                    widths: tuple[int, int] = (ROWS_PER_BUCKET, 1 << 10)) -> DataFrame:
+                    widths: tuple[int, int] = (ROWS_PER_BUCKET, 1 << 10),
+                    checked_small: bool = False) -> DataFrame:
     """Rows of ``df`` whose 0-based position in ``idx`` order is one of the
     ``targets`` (column ``out``), exactly, without ranking every row.
 
@@ -176,13 +177,17 @@ def select_ordinals(df: DataFrame, targets: DataFrame, idx: str = "row_idx", out
     target's bucket; counts per ``idx div widths[1]`` inside those buckets
     only locate its sub-bucket; the ≤ widths[1] rows of each chosen
     sub-bucket are ranked. Two scans read only ``idx``; what is shuffled is
-    counts plus about targets × widths[1] rows. ``targets`` must be small
-    (its count is checked before it is broadcast)."""
+    counts plus about targets × widths[1] rows. ``targets`` is broadcast
+    after its size is counted, or directly when the caller built it with a
+    known bound (``checked_small``)."""
     w0, w1 = widths
     t = targets.select(F.col(out).cast("bigint").alias("_t")).distinct()
-    from cloudsift.session import cut_lineage
-    t = cut_lineage(t)
-    small = t.count() <= 1_000_000
+    if checked_small:
+        small = True
+    else:
+        from cloudsift.session import cut_lineage
+        t = cut_lineage(t)
+        small = t.count() <= 1_000_000
     bc = F.broadcast if small else (lambda x: x)
     keys = df.select(F.col(idx).cast("bigint").alias("_i"))
 

@@ -92,3 +92,11 @@ def test_select_ordinals_matches_full_rank(spark):
     got = {r.ordinal: (r.row_idx, r.v) for r in
            RK.select_ordinals(df, targets, widths=(4096, 64)).collect()}
     assert got == {o: (full[o], full[o] * 2) for o in (0, 1, 17, 1000, 4096, len(full) - 1)}
+
+
+def test_stride_sample_both_plans_agree(spark):
+    from cloudsift.operators.extent import stride_sample
+    df = spark.range(0, 90000, 3).select(F.col("id").alias("row_idx")).where(F.col("row_idx") % 7 != 1)
+    a = sorted(map(tuple, stride_sample(df, target=1000).select("row_idx", "ordinal").collect()))
+    b = sorted(map(tuple, stride_sample(df, target=1000, full_rank_max_rows=0).select("row_idx", "ordinal").collect()))
+    assert a == b and len(a) >= 1000

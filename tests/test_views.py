@@ -103,3 +103,11 @@ def test_pick_chunked_rays_equal_single_broadcast(spark):
     a = sorted(map(tuple, PK.pick_points(pts, rays, 3.0).collect()))
     b = sorted(map(tuple, PK.pick_points(pts, rays, 3.0, max_broadcast_rays=7).collect()))
     assert a == b and len(a) > 0
+
+
+def test_fetch_rows_both_plans_agree(spark):
+    df = spark.range(0, 30000, 2).select(F.col("id").alias("row_idx"), F.col("id").cast("double").alias("x"))
+    ords = spark.createDataFrame([(0,), (5,), (14999,), (20000,)], "ordinal long")
+    a = sorted(map(tuple, PK.fetch_rows(df, ords).select("ordinal", "row_idx").collect()))
+    b = sorted(map(tuple, PK.fetch_rows(df, ords, full_rank_max_rows=0).select("ordinal", "row_idx").collect()))
+    assert a == b == [(0, 0), (5, 10), (14999, 29998)]
