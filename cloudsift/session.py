@@ -16,6 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+def cluster_conf(input_bytes: float, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized to the data: enough shuffle partitions that each holds
+    about ``partition_bytes`` (AQE coalesces small ones at run time and splits
+    skewed ones), scan splits of the same size."""
+    parts = max(cores * 2, int(input_bytes // partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
                 app_name: str = "cloudsift", extra: dict | None = None) -> SparkSession:
     builder = (
