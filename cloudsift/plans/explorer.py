@@ -116,6 +116,8 @@ class Explorer:
 
     def pick(self, rays: DataFrame, point_size: float = PK.POINT_SIZE) -> DataFrame:
         hits = PK.pick_points(self._mapped(self.visible()), rays, threshold=point_size * PK.THRESHOLD_PER_SIZE)
-        details = self.visible().select("row_idx", PJ.point_details(self.visible(), self.roles, *self.axes)
-                                        .alias("details"))
-        return hits.join(details, "row_idx", "left")
+        # at most one hit per ray (rays were counted): only those rows get details
+        vis = self.visible()
+        picked = vis.join(F.broadcast(hits.select("row_idx")), "row_idx", "left_semi")
+        details = picked.select("row_idx", PJ.point_details(vis, self.roles, *self.axes).alias("details"))
+        return hits.join(F.broadcast(details), "row_idx", "left")
