@@ -81,7 +81,6 @@ def cte(*parts: str) -> str:
 
 
 VISIBLE_CTE = f"visible AS (SELECT * FROM loaded WHERE {FILTER_SQL})"
-ALL_CTE = "allp AS (SELECT * FROM points)"
 VISIBLE_ALL_CTE = f"visible_all AS (SELECT * FROM points WHERE {FILTER_SQL})"
 
 

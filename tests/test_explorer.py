@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from cloudsift.operators import pick as PK
 from cloudsift.plans import bindings as B
 from cloudsift.plans.explorer import Explorer
 from tests.conftest import SF_TINY

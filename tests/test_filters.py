@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from cloudsift.operators import filters as FL
 from cloudsift.operators import profile as PF

@@ -2,10 +2,8 @@ import gzip
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from cloudsift.plans import bindings as B
-from cloudsift.roles import BINDING_ROLES as R
 from cloudsift.sources import shards as SH
 from cloudsift.sources import tables as TB
 from cloudsift.sources import text_split as TS
