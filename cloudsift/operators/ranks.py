@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1 << 20
+ROWS_PER_GROUP = 2_000_000  # rows per task of the permutation (and per written range)
 _MAX_DIGITS = 5  # 16^5 buckets: the offsets table stays below ~1M rows
 
 
@@ -42,17 +43,28 @@ def bucket_offsets(bucketed: DataFrame, bucket: str) -> DataFrame:
 
 
 def two_level_rank(df: DataFrame, bucket: Column, order: list[Column], out: str,
-                   keep_total: bool = False) -> DataFrame:
+                   keep_total: bool = False, group_size: int | None = None,
+                   n_groups: int | None = None) -> DataFrame:
     """Exact 0-based global rank of ``order`` (which must start with the order
-    of ``bucket``) written to ``out``."""
+    of ``bucket``) written to ``out``.
+
+    With ``group_size`` (buckets per group) the one shuffle is on the group,
+    a run of consecutive buckets: each task then holds whole contiguous rank
+    ranges (good file layout downstream), and the window, partitioned by
+    (group, bucket), needs no second exchange."""
     b = df.withColumn("_bkt", bucket)
     offsets = bucket_offsets(b, "_bkt")
-    within = Window.partitionBy("_bkt").orderBy(*order)
+    if group_size:
+        b = b.withColumn("_grp", F.floor(F.col("_bkt") / group_size).cast("bigint"))
+        b = b.repartition(n_groups, "_grp")
+        within = Window.partitionBy("_grp", "_bkt").orderBy(*order)
+    else:
+        within = Window.partitionBy("_bkt").orderBy(*order)
     ranked = b.withColumn("_rn", F.row_number().over(within))
     res = ranked.join(offsets, "_bkt").withColumn(
         out, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
-    drop = ["_bkt", "_rn", "_off"] + ([] if keep_total else ["n_rows"])
-    return res.drop(*drop)
+    drop = ["_bkt", "_rn", "_off", "_grp"] + ([] if keep_total else ["n_rows"])
+    return res.drop(*[c for c in drop if c in res.columns])
 
 
 def shuffle_key(key: str, seed: int, tiebreak: str | None = None) -> Column:
@@ -64,19 +76,28 @@ def shuffle_key(key: str, seed: int, tiebreak: str | None = None) -> Column:
 
 
 def shuffle_rank(df: DataFrame, key: str, tiebreak: str | None = None, seed: int = 42,
-                 digits: int | None = None, out: str = "row_idx", n_rows: int | None = None) -> DataFrame:
+                 digits: int | None = None, out: str = "row_idx", n_rows: int | None = None,
+                 rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Seeded uniform permutation; ``row_idx`` 0..n-1 in the order of
     (md5(seed:key[:tiebreak]), tiebreak). Adds ``n_rows`` (the total) for W2.
 
     The tiebreak is hashed with the key, so copies of one key value (a group
     that may hold a large share of the rows) spread over all buckets instead
     of landing in one; (key, tiebreak) should be unique."""
+    if n_rows is None:
+        n_rows = df.count()
     if digits is None:
-        digits = _digits_for(df.count() if n_rows is None else n_rows)
+        digits = _digits_for(n_rows)
     k = shuffle_key(key, seed, tiebreak)
     bucket = F.conv(F.substring(k, 1, digits), 16, 10).cast("int")
     order = [F.col("_k")] + ([F.col(tiebreak)] if tiebreak else [])
-    ranked = two_level_rank(df.withColumn("_k", k), bucket, order, out, keep_total=True)
+    # tasks of about rows_per_group rows, each a run of consecutive buckets
+    n_buckets = 16 ** digits
+    n_groups = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows / rows_per_group))
+    n_groups = min(n_groups, n_buckets)
+    group_size = math.ceil(n_buckets / n_groups)
+    ranked = two_level_rank(df.withColumn("_k", k), bucket, order, out, keep_total=True,
+                            group_size=group_size, n_groups=math.ceil(n_buckets / group_size))
     return ranked.drop("_k")
 
 

@@ -31,10 +31,11 @@ def write_shards(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE,
                  n_rows: int | None = None, repartition: bool = False) -> str:
     """S3 (+S4: overwrite replaces the dataset, never its siblings).
 
-    By default no extra shuffle: after W1 the rows are hash-partitioned by
-    md5 bucket (even, ~1M rows per bucket) and each bucket is one contiguous
-    row_idx range, so each task writes one sorted file per shard it touches
-    (a local sort by (shard, row_idx), the writer's required order).
+    By default no extra shuffle: after W1 each task holds whole runs of
+    consecutive md5 buckets, i.e. contiguous row_idx ranges of about 2M rows,
+    so each task writes one sorted file per shard it touches (usually one),
+    and row-group statistics on row_idx prune range predicates (a local sort
+    by (shard, row_idx) is the writer's required order).
     ``repartition=True`` range-partitions on row_idx first (for inputs whose
     partitioning is unknown). zstd level 9, dictionary, statistics, at most
     500 000 rows per row group and ``rows_per_file`` rows per file."""
