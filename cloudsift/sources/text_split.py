@@ -17,6 +17,14 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
+def parts_for_limit(spark: SparkSession, path: str, limit_bytes: int = PART_LIMIT_BYTES) -> int:
+    """Parts needed so each gzip part stays under the limit, estimated from
+    the gzipped source size (same codec in and out). This also bounds the
+    work of each writing task."""
+    total = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return max(1, -(-int(total) // limit_bytes))
+
+
 def split_with_header(spark: SparkSession, path: str, out: str, n: int, rename: bool = True) -> list[str]:
     """Keep line order, n near-equal parts (the first rows % n parts one
     line longer), the header repeated at the top of each part, gzip output

@@ -122,3 +122,11 @@ def test_split_errors(spark, tmp_dir):
     _write_gz(src, b"")
     with pytest.raises(ValueError):
         TS.split_with_header(spark, src, f"{tmp_dir}/o2", 2)
+
+
+def test_parts_for_limit(spark, tmp_dir):
+    src = f"{tmp_dir}/big.csv.gz"
+    with gzip.open(src, "wb", compresslevel=0) as f:
+        f.write(b"h\n" + b"x" * 5000 + b"\n")
+    assert TS.parts_for_limit(spark, src, limit_bytes=1000) >= 5
+    assert TS.parts_for_limit(spark, src) == 1
