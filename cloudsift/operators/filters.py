@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudsift.roles import Roles
-from cloudsift.session import cut_lineage
+from cloudsift.session import BROADCAST_MAX_ROWS, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def filter_funnel(df: DataFrame, specs: list[FilterSpec]) -> DataFrame:
 
 
 def filter_semi(df: DataFrame, attribute: str, values: DataFrame, value_col: str = "value",
-                max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """F1 with the value set as a table; an empty table skips the filter.
 
     The value table is broadcast only when its counted size is under the

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from cloudsift.functions import color as C
 from cloudsift.operators.ranks import two_level_rank
 from cloudsift.roles import Roles
-from cloudsift.session import cut_lineage
+from cloudsift.session import BROADCAST_MAX_ROWS, cut_lineage
 
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = BROADCAST_MAX_ROWS
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cloudsift.operators.ranks import assign_shards, shuffle_rank
 from cloudsift.roles import BINDING_ROLES, Roles
+from cloudsift.session import BROADCAST_MAX_ROWS
 
 SEED = 42
 N_SHARDS = 10
@@ -117,12 +118,12 @@ def _with_part(spark: SparkSession, sf_dir: str, li: DataFrame, max_broadcast_ro
         F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype"))
 
 
-def items(spark: SparkSession, sf_dir: str, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     return _with_part(spark, sf_dir, _lineitem_keyed(spark, sf_dir), max_broadcast_rows)
 
 
 def item_points(spark: SparkSession, sf_dir: str, n_rows: int | None = None,
-                max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Rank lineitem rows first (the count pass reads only the key), then
     attach part: the join does not change the row count."""
     ranked = shuffle_rank(_lineitem_keyed(spark, sf_dir), key="item_key", seed=SEED, n_rows=n_rows)

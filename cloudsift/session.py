@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# Largest table (rows) we hint for broadcast after counting it: palettes,
+# value sets and dimension tables of about 10-15 MB; larger ones shuffle-join.
+BROADCAST_MAX_ROWS = 250_000
+
 
 def cluster_conf(input_bytes: float, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings sized to the data: enough shuffle partitions that each holds
