@@ -69,9 +69,27 @@ def category_color(value) -> tuple[int, int, int]:
 
 
 def js_number_text(v: float) -> str:
-    if v == math.floor(v):
-        return str(int(v))
-    return repr(v)
+    """Number::toString for finite doubles, from the shortest digits."""
+    from decimal import Decimal
+
+    if v == 0:
+        return "0"
+    sign = "-" if v < 0 else ""
+    _, digits, exp = Decimal(repr(abs(v))).normalize().as_tuple()
+    s = "".join(map(str, digits))
+    k = len(s)
+    n = exp + k  # 10^(n-1) <= |v| < 10^n
+    if k <= n <= 21:
+        out = s + "0" * (n - k)
+    elif 0 < n <= 21:
+        out = s[:n] + "." + s[n:]
+    elif -6 < n <= 0:
+        out = "0." + "0" * (-n) + s
+    else:
+        e = n - 1
+        mant = s[0] + ("." + s[1:] if k > 1 else "")
+        out = f"{mant}e{'+' if e >= 0 else '-'}{abs(e)}"
+    return sign + out
 
 
 def gradient_color(v, lo, hi) -> tuple[int, int, int]:
