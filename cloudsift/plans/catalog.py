@@ -159,12 +159,18 @@ def q_read_tables(spark, sf):
 
 @register("normalise_types", "WITH c AS (" + B.CELLS_SQL + """)
 SELECT row_id, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z,
-  CAST(t AS FLOAT) AS t, CAST(time_rank AS SMALLINT) AS time_rank, structure, hf, sample, grp,
-  cell_type, gene FROM c""")
+  CAST(t AS FLOAT) AS t, CAST(CAST(time_rank AS SMALLINT) AS DOUBLE) AS time_rank, structure, hf, sample, grp,
+  cell_type, gene, 'x:float,y:float,z:float,t:float,time_rank:smallint' AS narrowed_types FROM c""")
 def q_normalise_types(spark, sf):
-    """coordinates/continuous → float, frame key → smallint, categoricals → string."""
+    """coordinates/continuous → float, frame key → smallint, categoricals →
+    string. The frame key's values are shown as double (a nullable integer
+    column converts differently per engine), its narrowed type in
+    ``narrowed_types``, read from the normalised schema."""
     df = TB.normalise_types(B.cells(spark, sf), R)
-    return df.select("row_id", "x", "y", "z", "t", "time_rank", *CAT_ATTRS)
+    types = dict(df.dtypes)
+    narrowed = ",".join(f"{c}:{types[c]}" for c in ("x", "y", "z", "t", "time_rank"))
+    return df.select("row_id", "x", "y", "z", "t", F.col("time_rank").cast("double").alias("time_rank"),
+                     *CAT_ATTRS, F.lit(narrowed).alias("narrowed_types"))
 
 
 @register("write_shards", P + "\nSELECT row_id, row_idx, shard FROM points")
@@ -270,7 +276,7 @@ def _catalog_sql2() -> str:
         ax = f"'{a}'" if a in ("x", "y", "z") else "CAST(NULL AS VARCHAR)"
         lo = "CAST(NULL AS DOUBLE)" if role == "categorical" else f"min(CAST({a} AS DOUBLE))"
         hi = "CAST(NULL AS DOUBLE)" if role == "categorical" else f"max(CAST({a} AS DOUBLE))"
-        nd = f"CAST(count(DISTINCT {a}) AS BIGINT)" if role == "categorical" else "CAST(NULL AS BIGINT)"
+        nd = f"CAST(count(DISTINCT {a}) AS DOUBLE)" if role == "categorical" else "CAST(NULL AS DOUBLE)"
         rows.append(f"SELECT {i} AS ord, '{a}' AS attribute, '{role}' AS role, "
                     f"'{types.get(a, 'string')}' AS data_type, {ax} AS default_axis, "
                     f"{nd} AS n_distinct, {lo} AS min_value, "
@@ -308,11 +314,13 @@ def q_point_details(spark, sf):
     return ld.select("row_idx", PJ.point_details(ld, R).alias("details"))
 
 
-@register("essential_columns", P + "\nSELECT row_idx, x, y, z, time_rank, t, structure FROM loaded")
+@register("essential_columns", P + "\nSELECT row_idx, x, y, z, CAST(time_rank AS DOUBLE) AS time_rank, t, structure FROM loaded")
 def q_essential_columns(spark, sf):
-    """The column set of the first view."""
+    """The column set of the first view (the frame key shown as a
+    coordinate value, double)."""
     ld = loaded(spark, sf)
-    return ld.select(*essential_columns(R, ld, extra=("row_idx",)))
+    cols = essential_columns(R, ld, extra=("row_idx",))
+    return ld.select(*(F.col(c).cast("double").alias(c) if c == R.frame_key else F.col(c) for c in cols))
 
 
 @register("color_encode", sql_hash_rgb(P + "\nSELECT row_idx, gene FROM loaded", "gene"))

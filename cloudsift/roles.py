@@ -78,7 +78,8 @@ def attribute_catalog(df: DataFrame, roles: Roles) -> DataFrame:
     """Every selectable attribute and coordinate option with its role, type,
     the default axis it serves, and its statistics from the data in one scan:
     the domain size of a categorical (A3), min/max of a number (A4). Numbers
-    get no distinct count (that would shuffle every distinct double)."""
+    get no distinct count (that would shuffle every distinct double). All
+    statistics are doubles (one table of mixed statistics)."""
     dtypes = dict(df.dtypes)
     axes = {name: axis for axis, name in zip(("x", "y", "z"), roles.default_axes)}
     entries = []
@@ -103,6 +104,6 @@ def attribute_catalog(df: DataFrame, roles: Roles) -> DataFrame:
             F.lit(i).alias("ord"), F.lit(name).alias("attribute"), F.lit(role).alias("role"),
             F.lit(dtypes.get(name, "absent")).alias("data_type"),
             F.lit(axes.get(name)).cast("string").alias("default_axis"),
-            stats[0].cast("bigint").alias("n_distinct"), stats[1].alias("min_value"),
+            stats[0].cast("double").alias("n_distinct"), stats[1].alias("min_value"),
             stats[2].alias("max_value")))
     return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
