@@ -29,18 +29,39 @@ class IngestResult:
 
 
 def _header(spark: SparkSession, path: str) -> str:
-    """The first line of one file (a bounded read)."""
-    first = spark.read.text(path).limit(1).collect()
-    return first[0].value if first else ""
+    """The first line of one file, through Hadoop FileSystem and the file's
+    codec: a few KB are read whatever the file size, and no Spark job runs."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    raw = p.getFileSystem(conf).open(p)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+        stream = codec.createInputStream(raw) if codec is not None else raw
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        line = reader.readLine()
+        return line.rstrip("\r") if line is not None else ""
+    finally:
+        raw.close()
+
+
+def headers(spark: SparkSession, files: list[str], threads: int = 16) -> dict[str, list[str]]:
+    """Files grouped by their header line (read in parallel, bounded per file)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        firsts = list(pool.map(lambda f: _header(spark, f), files))
+    groups: dict[str, list[str]] = {}
+    for f, h in zip(files, firsts):
+        groups.setdefault(h, []).append(f)
+    return groups
 
 
 def read_keyed(spark: SparkSession, pattern: str, sep: str = "\t") -> DataFrame:
     """Every data line of every file as typed columns plus its row key
     ``source_file``/``source_line``. Files may have unlike columns (U1)."""
     files = TB.list_inputs(spark, pattern)
-    groups: dict[str, list[str]] = {}
-    for f in files:  # files with the same header are read together
-        groups.setdefault(_header(spark, f), []).append(f)
+    groups = headers(spark, files)  # files with the same header are read together
     frames = []
     for header, paths in groups.items():
         names = header.split(sep)
