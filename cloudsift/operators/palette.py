@@ -70,7 +70,9 @@ def hue_assignment(domain: DataFrame, attribute: str, roles: Roles, seed: int =
     dom = domain.where(F.col("attribute") == attribute).select("attribute", "value")
     k = F.md5(F.concat(F.lit(f"{seed}:"), F.col("value")))
     keyed = dom.withColumn("_k", k)
-    ranked = two_level_rank(keyed, F.conv(F.substring("_k", 1, 2), 16, 10).cast("int"),
+    # 16^4 buckets: only non-empty ones reach the count table, so a small
+    # domain pays nothing and a huge one keeps small windows
+    ranked = two_level_rank(keyed, F.conv(F.substring("_k", 1, 4), 16, 10).cast("int"),
                             [F.col("_k"), F.col("value")], "perm", keep_total=True)
     hue = F.col("perm").cast("double") / F.col("n_rows").cast("double")
     out = C.with_rgb(ranked, hue, F.lit(C.HUE_ASSIGN_S), F.lit(C.HUE_ASSIGN_L))
