@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cloudsift.operators.ranks import select_ordinals, visible_ordinal
 
 MAX_BROADCAST_RAYS = 10_000
+# Default point size and the picking radius per unit of size.
 POINT_SIZE = 1.0
 THRESHOLD_PER_SIZE = 5.0
 

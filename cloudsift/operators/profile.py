@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cloudsift.roles import Roles
 
+# Slider step = max((max - min) / 1000, 1e-4), 1e-4 when flat.
 MIN_STEP = 1e-4
 STEP_DIVISOR = 1000
 
