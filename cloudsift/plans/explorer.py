@@ -21,6 +21,7 @@ from cloudsift.operators import profile as PF
 from cloudsift.operators import project as PJ
 from cloudsift.operators.export import MAX_POINTS, export_points, render_table
 from cloudsift.roles import Roles
+from cloudsift.session import cut_lineage
 from cloudsift.sources import shards as SH
 
 
@@ -36,6 +37,7 @@ class Explorer:
     axes: tuple[str | None, str | None, str | None] = (None, None, None)
     overrides: dict[str, str] = field(default_factory=dict)
     cap: int = MAX_POINTS
+    _profiles: dict = field(default_factory=dict, repr=False)
 
     # ---- loading
     def set_sample_rate(self, pct: float) -> Explorer:
@@ -67,18 +69,27 @@ class Explorer:
     def funnel(self) -> DataFrame:
         return FL.filter_funnel(self.loaded(), self.filters)
 
-    # ---- profiles
+    # ---- profiles (A3, A4): computed once per loaded set, kept as small
+    # checkpointed tables in the shared folder (reused by palette, legend,
+    # default filters and colours)
+    def _profile(self, kind: str) -> DataFrame:
+        key = (kind, self.loaded_shards)
+        if key not in self._profiles:
+            fn = PF.attribute_domain if kind == "domain" else PF.attribute_range
+            self._profiles[key] = cut_lineage(fn(self.loaded(), self.roles))
+        return self._profiles[key]
+
     def domain(self) -> DataFrame:
-        return PF.attribute_domain(self.loaded(), self.roles)
+        return self._profile("domain")
 
     def ranges(self) -> DataFrame:
-        return PF.attribute_range(self.loaded(), self.roles)
+        return self._profile("ranges")
 
     # ---- colour
     def palette(self) -> DataFrame | None:
         if not self.color_by or self.color_by not in self.roles.categorical:
             return None
-        pal = PL.build_palette(PF.attribute_domain(self.loaded(), self.roles, (self.color_by,)), self.color_by)
+        pal = PL.build_palette(self.domain(), self.color_by)
         if self.overrides:
             pal = PL.palette_override(pal, PL.overrides_table(self.spark, self.color_by, self.overrides))
         return pal
