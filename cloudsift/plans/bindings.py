@@ -72,8 +72,9 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(shards_path(spark, sf_dir))
 
 
-def loaded(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
-    """The first k shards (k * 10 % sample): partition pruning on the scan."""
+def loaded(spark: SparkSession, sf_dir: str, k: int = N_SHARDS) -> DataFrame:
+    """The first k shards (k * 10 % sample; default all): partition pruning on
+    the scan."""
     return sharded(spark, sf_dir).where(F.col("shard") <= k)
 
 
@@ -144,7 +145,8 @@ CELLS_SQL = """SELECT event_id AS row_id, CAST(event_id AS VARCHAR) AS cell,
   concat('g', CAST(user_id AS VARCHAR)) AS gene
 FROM events"""
 
-# WITH-clause prefix defining cells, points (row_idx, shard) and loaded (shard 1).
+# WITH-clause prefix defining cells, points (row_idx, shard), loaded (all
+# shards: the 100 % load) and loaded1 (shard 1: the first 10 % view).
 POINTS_CTE = f"""WITH cells AS ({CELLS_SQL}),
 ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat('{SEED}:', cell, ':', CAST(row_id AS VARCHAR))), row_id) - 1 AS row_idx,
   count(*) OVER () AS n_rows FROM cells),
@@ -152,4 +154,5 @@ points AS (SELECT * EXCLUDE (n_rows),
   CAST(CASE WHEN n_rows < {N_SHARDS} THEN {N_SHARDS}
        ELSE least(row_idx // (n_rows // {N_SHARDS}), {N_SHARDS - 1}) + 1 END AS INTEGER) AS shard
   FROM ranked),
-loaded AS (SELECT * FROM points WHERE shard <= 1)"""
+loaded AS (SELECT * FROM points),
+loaded1 AS (SELECT * FROM points WHERE shard <= 1)"""

@@ -67,11 +67,13 @@ def register(name: str, sql: str | None = None):
 
 # ---------------------------------------------------------------- helpers
 
-def loaded(spark, sf, k: int = 1) -> DataFrame:
+def loaded(spark, sf, k: int = B.N_SHARDS) -> DataFrame:
+    """Loaded shards; the exploration queries load all (whole table), the
+    sampling features pass their own k."""
     return B.loaded(spark, sf, k)
 
 
-def visible(spark, sf, k: int = 1) -> DataFrame:
+def visible(spark, sf, k: int = B.N_SHARDS) -> DataFrame:
     return FL.filter_all(loaded(spark, sf, k), FILTERS)
 
 
@@ -81,6 +83,7 @@ def cte(*parts: str) -> str:
 
 
 VISIBLE_CTE = f"visible AS (SELECT * FROM loaded WHERE {FILTER_SQL})"
+VISIBLE1_CTE = f"visible1 AS (SELECT * FROM loaded1 WHERE {FILTER_SQL})"
 VISIBLE_ALL_CTE = f"visible_all AS (SELECT * FROM points WHERE {FILTER_SQL})"
 
 
@@ -125,10 +128,10 @@ def _written(spark: SparkSession, sf: str, what: str) -> str:
 # ================================================================ flagship
 
 FIRST_VIEW_SQL = sql_hash_rgb(
-    cte(VISIBLE_CTE) + """
+    cte(VISIBLE1_CTE) + """
 SELECT row_idx, CAST(row_number() OVER (ORDER BY row_idx) - 1 AS BIGINT) AS ordinal,
   CAST(coalesce(x, 0.0) AS FLOAT) AS x, CAST(coalesce(y, 0.0) AS FLOAT) AS y,
-  CAST(coalesce(z, 0.0) AS FLOAT) AS z, structure FROM visible""", "structure")
+  CAST(coalesce(z, 0.0) AS FLOAT) AS z, structure FROM visible1""", "structure")
 FIRST_VIEW_SQL = f"SELECT row_idx, ordinal, x, y, z, r, g, b FROM ({FIRST_VIEW_SQL}) f WHERE ordinal < 8000000"
 
 
@@ -136,7 +139,7 @@ FIRST_VIEW_SQL = f"SELECT row_idx, ordinal, x, y, z, r, g, b FROM ({FIRST_VIEW_S
 def first_view(spark, sf):
     """First 10 % sample, filters, coloured by structure through the palette
     of the loaded domain, capped, render-ready."""
-    ld = loaded(spark, sf)
+    ld = loaded(spark, sf, 1)
     vis = FL.filter_all(ld, FILTERS)
     pal = PL.build_palette(PF.attribute_domain(ld, R, ("structure",)), "structure")
     return render_table(vis, R, "structure", palette=pal)
@@ -450,18 +453,17 @@ def q_column_merge(spark, sf):
     """A column read separately (only morning rows carry it) attached by
     row key; rows without a partner keep null."""
     pts = B.sharded(spark, sf)
-    ld = pts.where(F.col("shard") <= 1).select("row_idx", "x")
-    return PJ.late_column(ld, pts.where(F.col("grp") == "AM"), "gene")
+    return PJ.late_column(pts.select("row_idx", "x"), pts.where(F.col("grp") == "AM"), "gene")
 
 
 @register("filter_semi", P + """
 SELECT row_idx, structure FROM loaded WHERE coalesce(structure, '') IN
-  (SELECT structure FROM points WHERE grp = 'AM' AND shard = 2 AND structure IS NOT NULL)""")
+  (SELECT structure FROM points WHERE grp = 'AM' AND structure IS NOT NULL)""")
 def q_filter_semi(spark, sf):
     """Keep rows whose structure is in a value table (the domain of the
-    morning rows of shard 2)."""
+    morning rows)."""
     pts = B.sharded(spark, sf)
-    vals = PF.attribute_domain(pts.where((F.col("grp") == "AM") & (F.col("shard") == 2)), R, ("structure",))
+    vals = PF.attribute_domain(pts.where(F.col("grp") == "AM"), R, ("structure",))
     return FL.filter_semi(loaded(spark, sf), "structure", vals).select("row_idx", "structure")
 
 
@@ -531,11 +533,11 @@ def q_row_counts(spark, sf):
 
 
 @register("load_summary", cte(VISIBLE_CTE) + """
-SELECT (SELECT count(*) FROM loaded) AS loaded, 10 AS percent_loaded, count(*) AS visible,
+SELECT (SELECT count(*) FROM loaded) AS loaded, 100 AS percent_loaded, count(*) AS visible,
   least(count(*), 8000000) AS rendered, count(*) > 8000000 AS capped FROM visible""")
 def q_load_summary(spark, sf):
     """A2: loaded, percent loaded, visible, rendered, capped."""
-    return PF.load_summary(loaded(spark, sf), FL.compile_filters(FILTERS), shards_loaded=1)
+    return PF.load_summary(loaded(spark, sf), FL.compile_filters(FILTERS), shards_loaded=B.N_SHARDS)
 
 
 @register("attribute_domain", P + "\n" + domain_sql("loaded"))
@@ -824,13 +826,14 @@ def q_append_shards(spark, sf):
 
 
 @register("domain_merge", P + "\nSELECT attribute, value, CAST(sum(n) AS BIGINT) AS n FROM ("
-          + domain_sql("(SELECT * FROM points WHERE shard = 1) a") + " UNION ALL "
-          + domain_sql("(SELECT * FROM points WHERE shard = 2) b") + ") u GROUP BY attribute, value")
+          + domain_sql("(SELECT * FROM points WHERE shard <= 5) a") + " UNION ALL "
+          + domain_sql("(SELECT * FROM points WHERE shard > 5) b") + ") u GROUP BY attribute, value")
 def q_domain_merge(spark, sf):
-    """Domain of shard 1 ∪ domain of shard 2."""
+    """Domain of the rows loaded first (shards 1-5) ∪ domain of the rows
+    appended later (shards 6-10)."""
     pts = B.sharded(spark, sf)
-    d1 = PF.attribute_domain(pts.where(F.col("shard") == 1), R)
-    d2 = PF.attribute_domain(pts.where(F.col("shard") == 2), R)
+    d1 = PF.attribute_domain(pts.where(F.col("shard") <= 5), R)
+    d2 = PF.attribute_domain(pts.where(F.col("shard") > 5), R)
     return PF.domain_merge(d1, d2)
 
 
