@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudsift.functions import color as C
-from cloudsift.functions.text import fixed
+from cloudsift.functions.text import with_fixed
 
 LEGEND_LIMIT = 100  # fixed value: legend rows shown
 MORE_RGB8 = (149, 165, 166)  # fixed value: text colour of the '... and N more' line
@@ -54,6 +54,5 @@ def legend_continuous(ranges: DataFrame, attribute: str, stops: int = STOPS) ->
     val = F.col("min_value") + (F.col("max_value") - F.col("min_value")) * pos
     st = st.select("stop", "min_value", "max_value", val.alias("value"))
     st = C.with_gradient_rgb(st, "value", F.col("min_value"), F.col("max_value"))
-    return st.select(
-        F.col("stop").cast("int").alias("stop"), "value", "r", "g", "b",
-        fixed(F.col("min_value"), 4).alias("min_label"), fixed(F.col("max_value"), 4).alias("max_label"))
+    st = with_fixed(with_fixed(st, "min_value", 4, "min_label"), "max_value", 4, "max_label")
+    return st.select(F.col("stop").cast("int").alias("stop"), "value", "r", "g", "b", "min_label", "max_label")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudsift.functions import color as C
-from cloudsift.functions.text import fixed, grouped, part_name, percent_ratio
+from cloudsift.functions.text import grouped, part_name, percent_ratio, with_fixed
 from cloudsift.operators import extent as E
 from cloudsift.operators import filters as FL
 from cloudsift.operators import frames as FR
@@ -313,8 +313,7 @@ def _details_sql() -> str:
 @register("point_details", _details_sql())
 def q_point_details(spark, sf):
     """P5: one text line per point."""
-    ld = loaded(spark, sf)
-    return ld.select("row_idx", PJ.point_details(ld, R).alias("details"))
+    return PJ.with_point_details(loaded(spark, sf), R).select("row_idx", "details")
 
 
 @register("essential_columns", P + "\nSELECT row_idx, x, y, z, CAST(time_rank AS DOUBLE) AS time_rank, t, structure FROM loaded")
@@ -911,9 +910,9 @@ def q_rgb_hex(spark, sf):
 SELECT row_idx, printf('%.2f', x) AS x_2, printf('%.4f', t) AS t_4, format('{:,}', row_id * 1000) AS id_grouped FROM loaded""")
 def q_fixed_text(spark, sf):
     """Fixed decimals and grouped thousands."""
-    ld = loaded(spark, sf)
-    return ld.select("row_idx", fixed(F.col("x"), 2).alias("x_2"), fixed(F.col("t"), 4).alias("t_4"),
-                     grouped(F.col("row_id") * 1000).alias("id_grouped"))
+    ld = loaded(spark, sf).select("row_idx", "x", "t", grouped(F.col("row_id") * 1000).alias("id_grouped"))
+    out = with_fixed(with_fixed(ld, "x", 2, "x_2"), "t", 4, "t_4")
+    return out.select("row_idx", "x_2", "t_4", "id_grouped")
 
 
 @register("part_name", """SELECT CAST(i AS INTEGER) AS part, concat('cells.part', lpad(CAST(i AS VARCHAR), 2, '0'), '.tsv.gz') AS name

@@ -130,5 +130,5 @@ class Explorer:
         # at most one hit per ray (rays were counted): only those rows get details
         vis = self.visible()
         picked = vis.join(F.broadcast(hits.select("row_idx")), "row_idx", "left_semi")
-        details = picked.select("row_idx", PJ.point_details(vis, self.roles, *self.axes).alias("details"))
+        details = PJ.with_point_details(picked, self.roles, *self.axes).select("row_idx", "details")
         return hits.join(F.broadcast(details), "row_idx", "left")

@@ -99,3 +99,12 @@ def gradient_color(v, lo, hi) -> tuple[int, int, int]:
         n = (v - lo) / (hi - lo)
         return rgb8(set_hsl((1 - n) * 0.7, 0.8, 0.5))
     return category_color(js_number_text(v))
+
+
+def js_to_fixed(v: float, f: int) -> str:
+    """Number.prototype.toFixed for |v| < 1e21, on the exact binary value."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    sign = "-" if v < 0 else ""
+    q = Decimal(abs(v)).quantize(Decimal(1).scaleb(-f), rounding=ROUND_HALF_UP)
+    return sign + (f"{q:.{f}f}")

@@ -89,3 +89,17 @@ def test_number_text_equals_javascript(spark, values):
     # Java's %e may round an already rounded 17-digit string (rare 17-digit ties)
     bad = [(v, g) for v, g in zip(values, got) if g != js_number_text(v)]
     assert len(bad) <= len(values) // 200, bad
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.floats(-1e9, 1e9, allow_nan=False),
+                          st.decimals(-10 ** 6, 10 ** 6, places=3, allow_nan=False).map(float),
+                          st.sampled_from([1.005, 0.125, 2.675, -0.001, -0.0, 0.5, 1.5, 2.5, 1e-9, 123.4565])),
+                min_size=1, max_size=300))
+def test_fixed_equals_javascript_to_fixed(spark, values):
+    from cloudsift.functions.text import with_fixed
+    from tests.jsref import js_to_fixed
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for f in (0, 2, 4):
+        got = [r.t for r in with_fixed(df, "v", f, "t").orderBy("i").collect()]
+        assert got == [js_to_fixed(v, f) for v in values], f
