@@ -122,3 +122,15 @@ def test_plan_walker_flags_a_global_sort(spark):
     assert _rows_reach_single_partition(_plan(bad))
     good = df.agg(F.count(F.lit(1)))
     assert not _rows_reach_single_partition(_plan(good))
+
+
+def test_no_python_or_cartesian_in_any_registered_plan(spark):
+    """Every registered query stays JVM-side (no Python evaluation) and has no
+    Cartesian product."""
+    bad = []
+    for name, fn in E.queries().items():
+        plan = _plan(fn(spark, SF_TINY))
+        for marker in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "PythonUDF"):
+            if marker in plan:
+                bad.append((name, marker))
+    assert bad == []
