@@ -1,13 +1,13 @@
 """Session construction and the shared scratch location.
 
 On a cluster the shared folder is whatever ``spark.checkpoint.dir`` names; we
-only pick our own (under the system temp dir) when the session has none, which
-is the local/test case.
+only pick our own (under the system temp dir) when the session has none and
+the master is local, as in tests.
 """
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 
@@ -59,34 +59,77 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 _local_root: dict[str, str] = {}
+_made: list[tuple[str, str]] = []     # (application id, folder) of shared_dir
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only
-    when it is unset (tests, a bare local session) a local folder is taken,
-    through ``SparkContext.setCheckpointDir`` (the conf key itself cannot be
-    changed at runtime)."""
+    """The folder all executors share: the context's checkpoint folder if one
+    is set (Spark sets it from ``spark.checkpoint.dir``, or the user through
+    ``setCheckpointDir``), else the session's ``spark.checkpoint.dir``. With
+    neither, a local master gets a temporary folder; a cluster raises, since a
+    machine-local folder would lose data there."""
     sc = spark.sparkContext
-    root = spark.conf.get(_CHECKPOINT_KEY, None)
+    root = sc.getCheckpointDir()
     if not root:
-        root = _local_root.get(sc.applicationId)
-    if not root:
-        root = tempfile.mkdtemp(prefix="cloudsift-ckpt-")
-        _local_root[sc.applicationId] = root
-    if not sc.getCheckpointDir():
+        root = spark.conf.get(_CHECKPOINT_KEY, None)
+        if not root:
+            if not (sc.master or "").startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = _local_root.setdefault(sc.applicationId, "")
+            if not root:
+                root = _local_root[sc.applicationId] = tempfile.mkdtemp(prefix="cloudsift-ckpt-")
         sc.setCheckpointDir(root)
+        root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused folder below the shared checkpoint root."""
-    root = checkpoint_root(spark)
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
+    """A fresh, never reused folder below the shared checkpoint root, made
+    through Hadoop's file system. It is deleted when the driver ends, or
+    earlier by ``release``."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    p, fs = _fs(spark, path)
+    if not fs.mkdirs(p):
+        raise OSError(f"cannot create {path}")
+    _made.append((spark.sparkContext.applicationId, path))
     return path
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``shared_dir`` whose data nobody reads any more."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+    _made[:] = [m for m in _made if m[1] != path]
+
+
+@atexit.register
+def _release_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or not _made:
+        return
+    try:
+        app = spark.sparkContext.applicationId
+        for owner, path in list(_made):
+            if owner == app:
+                release(spark, path)
+    except Exception:  # the JVM is already gone: nothing left to ask
+        return
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: later
+    jobs reuse it, its lineage is cut, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark, name)}/data"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_root(df.sparkSession)
