@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudsift.llm import bpe, packing
+from cloudsift.llm import bpe, neardup, packing, quality_clf, quality_rules
+from cloudsift.session import show_package
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -19,9 +20,18 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    show_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _in_fold(modulus: int, rest: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_documents(spark, sf_dir), vocabulary())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -31,9 +41,25 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), vocabulary())
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_documents(spark, sf_dir))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_clf.score(_documents(spark, sf_dir), _labels(spark, sf_dir))
+    return scored.select("doc_id", _in_fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op6_bpe": op6_bpe,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {}
