@@ -8,6 +8,7 @@ the master is local, as in tests.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -134,3 +135,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def show_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the
+    driver has it. On a cluster, install it there or pass it as --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
