@@ -31,9 +31,10 @@ from cloudsift.session import staged
 #: Names of the statistics, in the order of the vector.
 STATS = [
     "log_words", "word_length", "symbols", "upper", "digits", "exclamation", "commas_stops", "wide",
-    "repeat_words", "dup_lines", "distinct_words", "top_word", "words_per_line", "bad_lines", "long_words",
+    "repeat_words", "dup_lines", "distinct_words", "top_word", "words_per_line", "bad_lines", "long_words", "stutter",
 ]
-SHRINK_POOLED, SHRINK_IDENTITY = 0.1, 0.02
+SHRINK_POOLED, SHRINK_IDENTITY = 0.3, 0.05
+SMOOTH = 1.0
 
 
 def statistics(b: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -52,23 +53,31 @@ def statistics(b: np.ndarray, offs: np.ndarray) -> np.ndarray:
     kinds = np.bincount(w.row[o[begin]], minlength=n)
     top = np.zeros(n, np.int64)
     np.maximum.at(top, w.row[o[begin]], often)
+    few = lambda x, of: np.log((x + SMOOTH) / (of + 10 * SMOOTH))  # noqa: E731  short texts prove little
     rare = lambda x: np.log(x + 1e-3)
+    stutter = np.zeros(n, np.int64)
+    if len(w.hash) > 1:
+        twice = (w.hash[1:] == w.hash[:-1]) & (w.row[1:] == w.row[:-1])
+        stutter = np.bincount(w.row[1:][twice], minlength=n)
+    marred = g.punctuation | g.navigation
+    lost = np.bincount(g.row[marred], weights=g.words[marred], minlength=n)
     out = np.stack([
         np.log1p(w.count),
         np.log(np.maximum(g.word_chars, 1) / nw),
-        rare(g.symbols / nw),
+        few(g.symbols, w.count),
         rare(part((b >= 65) & (b <= 90))),
         rare(part((b >= 48) & (b <= 57))),
         rare(part(b == 0x21)),
         np.sqrt(part((b == 0x2C) | (b == 0x2E))),
         rare(part((b & 0xC0) == 0xC0)),
-        rare(g.repeat_words / nw),
-        rare(g.dup_lines / lines),
+        few(g.repeat_words, w.count),
+        few(g.dup_lines, np.bincount(g.row, minlength=n)),
         np.log(np.maximum(kinds, 1)) / np.log(nw + 1),
-        rare(top / nw),
+        few(top, w.count),
         np.log(nw / lines),
-        rare(g.lost / np.maximum(g.word_chars, 1)),
-        rare(np.bincount(w.row[size > 20], minlength=n) / nw),
+        few(lost, w.count),
+        few(np.bincount(w.row[size > 20], minlength=n), w.count),
+        few(stutter, w.count),
     ], axis=1)
     return out
 

@@ -5,8 +5,8 @@ document that loses too much of its text goes.
 
 * **Punctuation.** A line fails when it carries more than one sign of
   ``[#*$%&|<>]`` per two words, or more than one exclamation mark per two
-  words, or does not end in closing punctuation although it has at least
-  ``open_words`` words.
+  words, or is a fragment: fewer than ``open_words`` words and no closing
+  punctuation at its end. (A long line that breaks off is text.)
 * **Navigation.** A line fails when two or more of its words, and at least a
   fifth of them, are bare separators (``|``, ``>``, ``»``, ``·``, ``/``).
 * **Boilerplate.** A line fails when it holds one of ``BOILERPLATE``, or when
@@ -36,7 +36,7 @@ BOILERPLATE = [
     "skip to content", "spdx-license-identifier", "subscribe to our", "terms of service", "terms of use",
 ]
 MIN_WORDS, MAX_REPEAT = 50, 50
-MAX_LOST, OPEN_WORDS = 0.5, 12
+MAX_LOST, OPEN_WORDS = 0.5, 8
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -123,7 +123,7 @@ class Judged:
         closed[wide] = np.isin(two, _CLOSE_WIDE) | np.isin(three, _CLOSE_WIDE)
         signs = _sum(symbol, self.start, self.end)
         shouts = _sum(b == 0x21, self.start, self.end)
-        return (2 * signs > self.words) | (2 * shouts > self.words) & (shouts > 1) | ~closed & (self.words >= open_words)
+        return (2 * signs > self.words) | (2 * shouts > self.words) & (shouts > 1) | ~closed & (self.words < open_words)
 
     def _boilerplate(self, b) -> np.ndarray:
         out = np.zeros(len(self.start), bool)

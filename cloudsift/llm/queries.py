@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudsift.llm import bpe, neardup, packing, quality_clf, quality_rules
+from cloudsift.llm import bpe, fingerprints, langid, neardup, packing, quality_clf, quality_rules
 from cloudsift.session import show_package
 
 
@@ -37,6 +37,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(_documents(spark, sf_dir))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    told = langid.predict(docs, langid.learn(langid.training(docs)))
+    return told.select("doc_id", _in_fold(5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), vocabulary())
 
@@ -56,6 +66,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
