@@ -24,7 +24,8 @@ are linked when the Jaccard similarity of their sets reaches ``percent``.
 * **Components** by alternating large-star and small-star steps on staged
   edges.
 
-At a similarity of 0.85 a pair shares no key with probability 4e-7.
+There are as many bands as make a pair at the threshold share no key with a
+probability of at most ``MISS`` (19 bands for 0.85).
 
 Rows: null or wordless text is an empty set, linked with nothing. Rows with
 one doc_id are one document. A null doc_id cannot be named in a result: such a
@@ -33,6 +34,8 @@ row keeps null as its component and is kept. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,15 +44,21 @@ from pyspark.sql import functions as F
 from cloudsift.llm import _text
 from cloudsift.session import staged
 
-WORDS = 3
-PERCENT = 85
-BANDS, ROWS = 20, 4
+WORDS, PERCENT = 3, 85
+ROWS = 4                                # registers in a band
+MISS = 1e-6                             # chance that a pair at the threshold shares no key
 B, A, TOP = 1.001, 20.0, 65535          # base, rate and largest value of registers
 
 _SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, regs binary"
 
 
-def registers(row: np.ndarray, h: np.ndarray, starts: np.ndarray, m: int = BANDS * ROWS) -> np.ndarray:
+def bands(percent: int) -> int:
+    """Number of bands for a threshold."""
+    t = (percent / 100) ** ROWS
+    return 1 if t >= 1 else math.ceil(math.log(MISS) / math.log(1 - t))
+
+
+def registers(row: np.ndarray, h: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
     """Registers (rows x m, unsigned 16 bit) of the sets whose distinct hashes
     h begin at ``starts``. Sets must not be empty."""
     low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
@@ -87,7 +96,7 @@ def _sets(b: pa.RecordBatch, k: int):
         yield i, j, row, h
 
 
-def sketches(docs: DataFrame, k: int = WORDS) -> DataFrame:
+def sketches(docs: DataFrame, k: int = WORDS, m: int = ROWS * 19) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, regs): the set's size, its 128-bit
     signature and its registers."""
     def run(batches):
@@ -101,7 +110,7 @@ def sketches(docs: DataFrame, k: int = WORDS) -> DataFrame:
                     with np.errstate(over="ignore"):
                         sig[0, full] = np.add.reduceat(_text.mix64(h), starts)
                         sig[1, full] = np.add.reduceat(_text.mix64(h ^ _text._GOLD), starts)
-                    for r, x in zip(full.tolist(), registers(row, h, starts)):
+                    for r, x in zip(full.tolist(), registers(row, h, starts, m)):
                         regs[r] = x.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0)[i:j], pa.array(n.astype(np.int64)), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), pa.array(regs, pa.binary())],
@@ -113,13 +122,13 @@ def sketches(docs: DataFrame, k: int = WORDS) -> DataFrame:
 def _keys(classes: DataFrame) -> DataFrame:
     """One row per class and band: (key, rep, n)."""
     def run(batches):
-        salt = _text.seeds(BANDS, salt=9)
         for b in batches:
             if b.num_rows:
-                regs = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(b.num_rows, BANDS)
-                key = _text.mix64(regs ^ salt[None, :])
+                regs = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+                n = regs.shape[1]
+                key = _text.mix64(regs ^ _text.seeds(n, salt=9)[None, :])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(np.repeat(b.column(1).to_numpy(), BANDS))],
+                    [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n))],
                     names=["key", "rep", "n"])
 
     return classes.select("rep", "n", "regs").mapInArrow(run, "key long, rep long, n long")
@@ -148,7 +157,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, k: int = WORDS) -> DataFrame:
     return found.groupBy("rep", F.xxhash64("items").alias("sig")).agg(F.first("items").alias("items")).drop("sig")
 
 
-def _candidates(active: DataFrame, turn: int) -> DataFrame:
+def _candidates(active: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (x, p) of round ``turn``: members of the key against those of its
     turn-th highest level that are not connected with them."""
     at = F.col("top") - turn
@@ -156,14 +165,14 @@ def _candidates(active: DataFrame, turn: int) -> DataFrame:
     pairs = active.filter(F.col("level") <= at).join(pivots, "key").filter(
         (F.col("comp") != F.col("pcomp"))
         & ((F.col("level") < at) | (F.col("rep") < F.col("p")))
-        & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
+        & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
     return pairs.select(F.col("rep").alias("x"), "p").distinct()
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose estimated similarity may reach the threshold."""
-    t = PERCENT / 100
-    low = t - 5 * (t * (1 - t) / (BANDS * ROWS)) ** 0.5
+    t = percent / 100
+    low = t - 5 * (t * (1 - t) / (bands(percent) * ROWS)) ** 0.5
 
     def run(batches):
         for b in batches:
@@ -182,11 +191,11 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("x", "p", "nx", "rx", "np", "rp").mapInArrow(run, "x long, p long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs confirmed on the full sets, as edges from the larger id."""
     both = pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("p", "sp"), "p")
     both = both.select("x", "p", (F.size("sx") + F.size("sp")).alias("total"), F.size(F.array_intersect("sx", "sp")).alias("common"))
-    ok = both.filter(100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common")))
+    ok = both.filter(100 * F.col("common") >= percent * (F.col("total") - F.col("common")))
     return ok.select(F.greatest("x", "p").alias("a"), F.least("x", "p").alias("b")).filter("a <> b").distinct()
 
 
@@ -211,10 +220,10 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(nodes.select("comp", "comp").distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest
     doc_id reachable by links), kept (the document stands for its group)."""
-    sk = staged(sketches(docs, k), "neardup-sketch")
+    sk = staged(sketches(docs, k, ROWS * bands(percent)), "neardup-sketch")
     filled = sk.filter("n_shingles > 0 and doc_id is not null")
     classes = staged(filled.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "neardup-classes")
     first = staged(members(classes), "neardup-members")
@@ -222,8 +231,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
     active, turn, edges, labels = first.withColumn("comp", F.col("rep")), 0, None, None
     while active is not None:
-        pairs = staged(_candidates(active, turn), "neardup-pairs")
-        found = _linked(_likely(pairs, classes), sets)
+        pairs = staged(_candidates(active, turn, percent), "neardup-pairs")
+        found = _linked(_likely(pairs, classes, percent), sets, percent)
         if labels is not None:      # the stars of the components so far
             found = found.union(labels.filter("rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b")))
         labels = components(found)
@@ -241,9 +250,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicate(docs: DataFrame, k: int = WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group of near copies; of repeated
     rows with one doc_id, one stays. Rows without doc_id all stay."""
-    kept = near_duplicates(docs, k).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = near_duplicates(docs, k, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
     named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))

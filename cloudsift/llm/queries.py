@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudsift.llm import bpe, fingerprints, langid, neardup, packing, quality_clf, quality_rules
+from cloudsift.llm import bpe, fingerprints, langid, lm, neardup, packing, pii, quality_clf, quality_rules, token_counts
 from cloudsift.session import show_package
 
 
@@ -37,6 +37,31 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits to every document: 20 code points go at a quarter of it,
+    its first 12 come in at the middle, its last 10 turn to capitals."""
+    import public_tokenizers
+    docs = _documents(spark, sf_dir)
+    text = F.coalesce("text", F.lit(""))
+    n = F.length(text)
+    quarter = (n / 4).cast("int")
+    gone = F.least(F.lit(20), n - quarter)
+    left = n - gone
+    head = F.substring(text, 1, 12)
+    grown = left + F.length(head)
+    tail = F.greatest(F.lit(0), grown - 10)
+    edit = lambda a, b, s: F.struct(a.alias("start"), b.alias("end"), s.alias("new"))
+    middle = (left / 2).cast("int")
+    edits = F.array(edit(quarter, quarter + gone, F.lit("")), edit(middle, middle, head), edit(tail, grown, F.upper(F.substring(text, -10, 10))))
+    counted = token_counts.count_edits(docs, vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN, edits)
+    return counted.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return pii.find(docs, pii.train(docs))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(_documents(spark, sf_dir))
 
@@ -55,6 +80,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_documents(spark, sf_dir), vocabulary())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf_dir))
 
@@ -66,10 +95,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_token_counts": op2_token_counts,
+    "op3_personal_data": op3_personal_data,
     "op4_fingerprints": op4_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_lm_scores": op8_lm_scores,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
