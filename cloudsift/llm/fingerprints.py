@@ -128,8 +128,11 @@ def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
         got = rows.agg(F.percentile_approx("doc_id", at, max(10_000, 20 * parts)).alias("q")).first()   # at most MAX_RANGES values
         limits = sorted({float(x) for x in got.q})
     keyed = rows.withColumn("id_number", F.col("doc_id").cast("double"))
-    place = Bucketizer(splits=[-math.inf, *limits, math.inf], inputCol="id_number", outputCol="place", handleInvalid="keep")
-    dealt = place.transform(keyed).select(F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("place").cast("int")).alias("range"), "doc_id", "text")
+    if limits:
+        keyed = Bucketizer(splits=[-math.inf, *limits, math.inf], inputCol="id_number", outputCol="place", handleInvalid="keep").transform(keyed)
+    else:
+        keyed = keyed.withColumn("place", F.lit(0))
+    dealt = keyed.select(F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("place").cast("int")).alias("range"), "doc_id", "text")
     # the first document of every range, from the ids alone
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("f")
     firsts = dealt.groupBy("range").agg(first).orderBy("range").collect()                # one row per range

@@ -11,12 +11,15 @@ are linked when the Jaccard similarity of their sets reaches ``percent``.
 * **Classes.** Documents with equal sets form one class; only its smallest
   doc_id goes on, so thousands of copies cost one row.
 * **Candidates.** Bands of four registers are keys. Inside a key no pairs are
-  listed up: members have random levels (halving in number from level to
-  level), and round r compares the members of the r-th highest level with the
-  rest. Members that are connected already are not compared again, and a key
-  leaves the work once all members not yet compared are connected. So a large
-  group of near copies takes one or two rounds, and every candidate pair that
-  could still join two components is compared: nothing is capped.
+  listed up. First every member is compared with the key's hub, the member that
+  meets most others over all its keys: near copies of one text are usually
+  connected by then. Members that are connected are not compared again, and a
+  key leaves the work once all members not yet compared are connected. Of the
+  keys left, those with at most ``FEW`` members compare the rest at once; in
+  larger ones members have random levels (halving in number from level to
+  level), and round after round the members of the next level are compared
+  with the rest. So every candidate pair that could still join two components
+  is compared: nothing is capped.
 * **Estimate, verify.** For each candidate pair the similarity is estimated
   from how many registers are larger, smaller and equal, by maximum likelihood
   (set sizes are known); pairs more than five standard deviations below the
@@ -46,6 +49,7 @@ from cloudsift.session import staged
 
 WORDS, PERCENT = 3, 85
 ROWS = 4                                # registers in a band
+FEW = 16                                # members of a key that may be compared with one another
 MISS = 1e-6                             # chance that a pair at the threshold shares no key
 B, A, TOP = 1.001, 20.0, 65535          # base, rate and largest value of registers
 
@@ -135,12 +139,19 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 
 def members(classes: DataFrame) -> DataFrame:
-    """Members of all keys that two classes or more share, with their level
-    and the highest level of the key: (key, rep, n, level, top)."""
+    """Members of all keys that two classes or more share: (key, rep, n,
+    level, top, hub, few). ``top`` is the key's highest level, ``hub`` marks
+    the member with most neighbours, ``few`` that the key has at most FEW
+    members."""
     level = F.expr("cast(least(60D, floor(-log2((xxhash64(rep) & 9223372036854775807) / 9.3e18D + 1e-18D))) as int)")
     rows = _keys(classes).withColumn("level", level)
     top = rows.groupBy("key").agg(F.count("*").alias("size"), F.max("level").alias("top"), F.min("rep").alias("a"), F.max("rep").alias("z"))
-    return rows.join(top.filter("size > 1 and a <> z").select("key", "top"), "key")
+    shared = staged(rows.join(top.filter("size > 1 and a <> z").select("key", "top", "size"), "key"), "neardup-shared")
+    degree = shared.groupBy("rep").agg(F.sum("size").alias("degree"))
+    ranked = shared.join(degree, "rep")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", F.bitwise_not("rep").alias("flip"))).alias("h"))   # ties: smallest id
+    out = ranked.join(hubs, "key").withColumn("hub", F.col("rep") == F.bitwise_not("h.flip"))
+    return out.select("key", "rep", "n", "level", "top", "hub", (F.col("size") <= FEW).alias("few"))
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, k: int = WORDS) -> DataFrame:
@@ -158,17 +169,28 @@ def full_sets(docs: DataFrame, reps: DataFrame, k: int = WORDS) -> DataFrame:
 
 
 def _candidates(active: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (x, p) of round ``turn``: members of the key against those of its
-    turn-th highest level that are not connected with them."""
-    at = F.col("top") - turn
-    pivots = active.filter(F.col("level") == at).select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-    pairs = active.filter(F.col("level") <= at).join(pivots, "key").filter(
-        (F.col("comp") != F.col("pcomp"))
-        & ((F.col("level") < at) | (F.col("rep") < F.col("p")))
-        & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
+    """Pairs (x, p) of round ``turn``: pivots of each key against members that
+    are not connected with them. Round 0: the hub. Later: in a key with few
+    members all of them, else those of the next highest level."""
+    at = F.col("top") - (turn - 1)
+    pivot = F.col("hub") if turn == 0 else F.col("few") | (F.col("level") == at)
+    rest = ~F.col("hub") if turn == 0 else F.col("few") | (F.col("level") <= at)
+    twice = F.lit(False) if turn == 0 else (F.col("few") | (F.col("level") == at)) & (F.col("rep") > F.col("p"))
+    pivots = active.filter(pivot).select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
+    pairs = active.filter(rest).join(pivots, "key").filter(
+        (F.col("comp") != F.col("pcomp")) & ~twice & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
     return pairs.select(F.col("rep").alias("x"), "p").distinct()
 
 
+def _left(active: DataFrame, turn: int, labels: DataFrame) -> DataFrame:
+    """Members whose pairs are not all compared after round ``turn``, with
+    their components, in keys where these differ."""
+    done = F.col("hub") if turn == 0 else F.col("few") | (F.col("level") >= F.col("top") - (turn - 1))
+    rest = active.filter(~done).drop("comp", "few").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    keys = rest.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), (F.count("*") <= FEW).alias("few"))
+    return rest.join(keys.filter("a <> z").select("key", "few"), "key").select(*active.columns)
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose estimated similarity may reach the threshold."""
     t = percent / 100
@@ -199,23 +221,25 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ok.select(F.greatest("x", "p").alias("a"), F.least("x", "p").alias("b")).filter("a <> b").distinct()
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, which has none."""
+    role = e.select(F.col("a").alias("u"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("b", F.lit(0), F.lit(1)))
+    per = role.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return per.filter("out > 1 or (out > 0 and into > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(rep, comp) for every node with an edge (a > b): comp is the smallest
-    node reachable. Large-star and small-star steps until nothing changes."""
-    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    node reachable. Large-star and small-star steps until only stars around
+    their smallest nodes are left."""
     e = staged(edges.distinct(), "neardup-edges")
-    last = state(e)
-    while last[0]:
+    while not _stars(e):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low)
         e = staged(small.distinct(), "neardup-edges")
-        now = state(e)
-        if now == last:
-            break
-        last = now
     nodes = e.select(F.col("a").alias("rep"), F.col("b").alias("comp"))
     return nodes.union(nodes.select("comp", "comp").distinct())
 
@@ -229,17 +253,14 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     first = staged(members(classes), "neardup-members")
     sets = staged(full_sets(docs, first.select("rep").distinct(), k), "neardup-sets")
 
-    active, turn, edges, labels = first.withColumn("comp", F.col("rep")), 0, None, None
+    active, turn, labels = first.withColumn("comp", F.col("rep")), 0, None
     while active is not None:
         pairs = staged(_candidates(active, turn, percent), "neardup-pairs")
         found = _linked(_likely(pairs, classes, percent), sets, percent)
         if labels is not None:      # the stars of the components so far
             found = found.union(labels.filter("rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b")))
         labels = components(found)
-        rest = active.filter(F.col("level") < F.col("top") - turn).drop("comp")
-        rest = rest.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        open_ = rest.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a <> z").select("key")
-        active, turn = staged(rest.join(open_, "key", "left_semi").select(*active.columns), "neardup-active"), turn + 1
+        active, turn = staged(_left(active, turn, labels), "neardup-active"), turn + 1
         if active.isEmpty():
             active = None
 
