@@ -15,11 +15,15 @@ are linked when the Jaccard similarity of their sets reaches ``percent``.
   meets most others over all its keys: near copies of one text are usually
   connected by then. Members that are connected are not compared again, and a
   key leaves the work once all members not yet compared are connected. Of the
-  keys left, those with at most ``FEW`` members compare the rest at once; in
-  larger ones members have random levels (halving in number from level to
-  level), and round after round the members of the next level are compared
-  with the rest. So every candidate pair that could still join two components
-  is compared: nothing is capped.
+  keys left, those with at most ``FEW`` unconnected pairs per member compare
+  them at once. The members of the others (texts that share much, but less than the threshold)
+  get finer keys: two sets can only reach the threshold if they share one of
+  their rarest elements, as many as the set sizes leave room for (the prefix
+  filter, which loses no pair). In these keys the hub comes first again; in
+  what is still large, members have random levels (halving in number from
+  level to level), and round after round the members of the next level are
+  compared with the rest. So every candidate pair that could still join two
+  components is compared or cannot be linked: nothing is capped.
 * **Estimate, verify.** For each candidate pair the similarity is estimated
   from how many registers are larger, smaller and equal, by maximum likelihood
   (set sizes are known); pairs more than five standard deviations below the
@@ -41,7 +45,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudsift.llm import _text
@@ -49,7 +53,7 @@ from cloudsift.session import staged
 
 WORDS, PERCENT = 3, 85
 ROWS = 4                                # registers in a band
-FEW = 16                                # members of a key that may be compared with one another
+FEW = 16                                # unconnected pairs per member that a key may compare at once
 MISS = 1e-6                             # chance that a pair at the threshold shares no key
 B, A, TOP = 1.001, 20.0, 65535          # base, rate and largest value of registers
 
@@ -138,20 +142,69 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "regs").mapInArrow(run, "key long, rep long, n long")
 
 
-def members(classes: DataFrame) -> DataFrame:
-    """Members of all keys that two classes or more share: (key, rep, n,
-    level, top, hub, few). ``top`` is the key's highest level, ``hub`` marks
-    the member with most neighbours, ``few`` that the key has at most FEW
-    members."""
-    level = F.expr("cast(least(60D, floor(-log2((xxhash64(rep) & 9223372036854775807) / 9.3e18D + 1e-18D))) as int)")
-    rows = _keys(classes).withColumn("level", level)
-    top = rows.groupBy("key").agg(F.count("*").alias("size"), F.max("level").alias("top"), F.min("rep").alias("a"), F.max("rep").alias("z"))
-    shared = staged(rows.join(top.filter("size > 1 and a <> z").select("key", "top", "size"), "key"), "neardup-shared")
+def _level():
+    return F.expr("cast(least(60D, floor(-log2((xxhash64(rep) & 9223372036854775807) / 9.3e18D + 1e-18D))) as int)").alias("level")
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """Members (key, rep, n, side) of all keys that two or more share, with
+    their level, the key's highest level (``top``) and ``hub`` (the member
+    with most neighbours). Members of sides -1 and 1 are only compared with
+    the other side."""
+    rows = rows.select("key", "rep", "n", "side", _level())
+    top = rows.groupBy("key").agg(F.count("*").alias("size"), F.max("level").alias("top"), F.min("rep").alias("a"), F.max("rep").alias("z"),
+                                  F.min("side").alias("low"), F.max("side").alias("high"))
+    shared = staged(rows.join(top.filter(_OPEN).select("key", "top", "size"), "key"), "neardup-shared")
     degree = shared.groupBy("rep").agg(F.sum("size").alias("degree"))
     ranked = shared.join(degree, "rep")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", F.bitwise_not("rep").alias("flip"))).alias("h"))   # ties: smallest id
     out = ranked.join(hubs, "key").withColumn("hub", F.col("rep") == F.bitwise_not("h.flip"))
-    return out.select("key", "rep", "n", "level", "top", "hub", (F.col("size") <= FEW).alias("few"))
+    return out.select("key", "rep", "n", "side", "level", "top", "hub")
+
+
+#: A key whose members differ and, if it has sides, has both of them.
+_OPEN = "a <> z and (low = 0 or low <> high)"
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Members (with ``comp``) of the keys that still have unconnected ones,
+    with the component that most members have (``main``) and ``few``: the key
+    has at most FEW unconnected pairs per member, so all are compared next."""
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("side").alias("low"), F.max("side").alias("high"),
+                                          F.count_if(F.col("side") < 0).alias("lower"), F.count_if(F.col("side") > 0).alias("upper"))
+    keys = per.groupBy("key").agg(
+        F.min("comp").alias("a"), F.max("comp").alias("z"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sum("c").alias("size"), F.sum("lower").alias("lower"), F.sum("upper").alias("upper"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.max(F.struct("c", "comp")).alias("most"))
+    few = F.col("size") * F.col("size") - F.col("inside") <= 2 * FEW * F.col("size")
+    few = few | (F.col("lower") * F.col("upper") <= FEW * F.col("size")) & (F.col("low") < 0)
+    return rows.join(keys.filter(_OPEN).select("key", few.alias("few"), F.col("most.comp").alias("main")), "key")
+
+
+STEP = 1.02             # ratio of neighbouring size classes
+
+
+def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """Finer keys (key, rep, n) of sets (rep, items): an element among the
+    rarest ones of a set, together with the size classes of the two sets of a
+    pair. Sets of n and m elements at the threshold t have at least
+    t / (1 + t) * (n + m) in common, so they share one of the first
+    n - that + 1 elements of each in any common order; here the order is by
+    the number of sets that hold an element. Elements of one set only are
+    first and need no key. ``side`` tells the smaller class from the larger."""
+    t = percent / 100
+    each = sets.select("rep", F.size("items").alias("n"), F.explode("items").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    mine = Window.partitionBy("rep")
+    shared = each.join(often, "s").withColumn("place", F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "s")))
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / math.log(STEP) + 1e-9).cast("int")
+    least = lambda c: F.floor(F.pow(F.lit(STEP), c) * (1 - 1e-6))  # noqa: E731  no set of the class is smaller
+    room = lambda other: F.col("n") - F.ceil(F.lit(t / (1 + t)) * (F.col("n") + other) - 1e-6) + 1
+    reach = math.ceil(math.log(1 / t) / math.log(STEP)) + 1
+    near = shared.filter(F.col("place") <= room(F.floor(F.col("n") * t) - 1)).withColumn("c", size_class(F.col("n")))
+    near = near.withColumn("d", F.explode(F.sequence(F.greatest(F.col("c") - reach, F.lit(0)), F.col("c") + reach)))
+    near = near.filter(F.col("place") <= room(F.greatest(least(F.col("d")), F.floor(F.col("n") * t) - 1)))
+    key = F.xxhash64("s", F.least("c", "d"), F.greatest("c", "d"))
+    return near.select(key.alias("key"), "rep", F.col("n").cast("long").alias("n"), F.signum(F.col("c") - F.col("d")).cast("int").alias("side"))
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, k: int = WORDS) -> DataFrame:
@@ -170,25 +223,35 @@ def full_sets(docs: DataFrame, reps: DataFrame, k: int = WORDS) -> DataFrame:
 
 def _candidates(active: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (x, p) of round ``turn``: pivots of each key against members that
-    are not connected with them. Round 0: the hub. Later: in a key with few
-    members all of them, else those of the next highest level."""
+    are not connected with them. Pivots of a key with few pairs are all members
+    outside its main component; else the hub in round 0, later the members of
+    the next highest level."""
     at = F.col("top") - (turn - 1)
-    pivot = F.col("hub") if turn == 0 else F.col("few") | (F.col("level") == at)
-    rest = ~F.col("hub") if turn == 0 else F.col("few") | (F.col("level") <= at)
-    twice = F.lit(False) if turn == 0 else (F.col("few") | (F.col("level") == at)) & (F.col("rep") > F.col("p"))
-    pivots = active.filter(pivot).select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-    pairs = active.filter(rest).join(pivots, "key").filter(
-        (F.col("comp") != F.col("pcomp")) & ~twice & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
+    outside = F.col("comp") != F.col("main")
+    pivot = F.when(F.col("few"), outside).otherwise(F.col("hub") if turn == 0 else F.col("level") == at)
+    other = F.col("few") | (~F.col("hub") if turn == 0 else F.col("level") <= at)
+    both = F.when(F.col("few"), outside).otherwise(F.lit(False) if turn == 0 else F.col("level") == at)
+    pivots = active.filter(pivot).select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), (-F.col("side")).alias("side"), F.col("comp").alias("pcomp"))
+    pairs = active.filter(other).join(pivots, ["key", "side"]).filter(
+        (F.col("comp") != F.col("pcomp")) & (~both | (F.col("rep") < F.col("p")))
+        & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
     return pairs.select(F.col("rep").alias("x"), "p").distinct()
 
 
 def _left(active: DataFrame, turn: int, labels: DataFrame) -> DataFrame:
     """Members whose pairs are not all compared after round ``turn``, with
     their components, in keys where these differ."""
-    done = F.col("hub") if turn == 0 else F.col("few") | (F.col("level") >= F.col("top") - (turn - 1))
-    rest = active.filter(~done).drop("comp", "few").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    keys = rest.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), (F.count("*") <= FEW).alias("few"))
-    return rest.join(keys.filter("a <> z").select("key", "few"), "key").select(*active.columns)
+    done = F.col("few") | (F.col("hub") if turn == 0 else F.col("level") >= F.col("top") - (turn - 1))
+    rest = active.filter(~done).drop("comp", "few", "main").join(labels, "rep", "left")
+    return _open(rest.withColumn("comp", F.coalesce("comp", "rep"))).select(*active.columns)
+
+
+def _refined(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What is left after the hubs: keys with few pairs as they are, the
+    members of the others under finer keys."""
+    crowd = left.filter(~F.col("few")).select("rep", "comp").distinct()
+    fine = members(prefix_keys(sets.join(crowd.select("rep"), "rep", "left_semi"), percent)).join(crowd, "rep")
+    return left.filter("few").unionByName(_open(fine).select(*left.columns))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -250,19 +313,26 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     sk = staged(sketches(docs, k, ROWS * bands(percent)), "neardup-sketch")
     filled = sk.filter("n_shingles > 0 and doc_id is not null")
     classes = staged(filled.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "neardup-classes")
-    first = staged(members(classes), "neardup-members")
+    first = staged(members(_keys(classes).withColumn("side", F.lit(0))), "neardup-members")
     sets = staged(full_sets(docs, first.select("rep").distinct(), k), "neardup-sets")
 
-    active, turn, labels = first.withColumn("comp", F.col("rep")), 0, None
-    while active is not None:
-        pairs = staged(_candidates(active, turn, percent), "neardup-pairs")
-        found = _linked(_likely(pairs, classes, percent), sets, percent)
+    labels = None
+
+    def compared(active: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Labels after one round, and what is left."""
+        found = _linked(_likely(staged(_candidates(active, turn, percent), "neardup-pairs"), classes, percent), sets, percent)
         if labels is not None:      # the stars of the components so far
             found = found.union(labels.filter("rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b")))
-        labels = components(found)
-        active, turn = staged(_left(active, turn, labels), "neardup-active"), turn + 1
-        if active.isEmpty():
-            active = None
+        now = components(found)
+        return now, staged(_left(active, turn, now), "neardup-active")
+
+    labels, active = compared(first.withColumns({"comp": F.col("rep"), "few": F.lit(False), "main": F.col("rep")}), 0)
+    if not active.isEmpty():
+        active = staged(_refined(active, sets, percent), "neardup-active")
+    turn = 0
+    while not active.isEmpty():
+        labels, active = compared(active, turn)
+        turn += 1
 
     rep = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "rep").join(labels, "rep", "left")
     rep = rep.select("h1", "h2", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
