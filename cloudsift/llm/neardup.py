@@ -45,7 +45,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudsift.llm import _text
@@ -181,30 +181,91 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 STEP = 1.02             # ratio of neighbouring size classes
+SLOTS = 1 << 24         # counters of the order of elements: 16 MB, whatever the data
+_BLOCKS = 256
+
+
+def _slot(items: np.ndarray) -> np.ndarray:
+    return (_text.mix64(items ^ _text._GOLD) >> np.uint64(40)).astype(np.int64)
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many sets (255 at most) have an element in each of SLOTS hash
+    slots. Tasks count their own sets; the counts of a block of slots are added
+    up in one group, a bounded array per task."""
+    size = SLOTS // _BLOCKS
+
+    def count(batches):
+        found = [np.zeros(0, np.int64)]
+        for b in batches:
+            found.append(_slot(b.column(0).flatten().to_numpy().view(np.uint64)))
+        slot, n = np.unique(np.concatenate(found), return_counts=True)
+        cut = np.searchsorted(slot, np.arange(_BLOCKS + 1) * size)
+        at = np.flatnonzero(np.diff(cut))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at.astype(np.int32)),
+             pa.array([(slot[cut[k]:cut[k + 1]] - k * size).astype("<u4").tobytes() for k in at], pa.binary()),
+             pa.array([np.minimum(n[cut[k]:cut[k + 1]], 255).astype(np.uint8).tobytes() for k in at], pa.binary())],
+            names=["block", "slots", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for slots, counts in zip(t.column("slots").to_pylist(), t.column("counts").to_pylist()):
+            total[np.frombuffer(slots, "<u4")] += np.frombuffer(counts, np.uint8)
+        return pa.table({"block": t.column("block").slice(0, 1), "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
+
+    parts = sets.select("items").mapInArrow(count, "block int, slots binary, counts binary")
+    out = np.zeros(SLOTS, np.uint8)
+    for r in parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect():     # SLOTS bytes
+        out[r.block * size:(r.block + 1) * size] = np.frombuffer(r.counts, np.uint8)
+    return out
+
+
+def _size_class(n):
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(STEP) + 1e-9).astype(np.int64)
 
 
 def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """Finer keys (key, rep, n) of sets (rep, items): an element among the
-    rarest ones of a set, together with the size classes of the two sets of a
-    pair. Sets of n and m elements at the threshold t have at least
+    """Finer keys (key, rep, n, side) of sets (rep, items): an element among
+    the rarest ones of a set, together with the size classes of the two sets of
+    a pair. Sets of n and m elements at the threshold t have at least
     t / (1 + t) * (n + m) in common, so they share one of the first
-    n - that + 1 elements of each in any common order; here the order is by
-    the number of sets that hold an element. Elements of one set only are
-    first and need no key. ``side`` tells the smaller class from the larger."""
+    n - that + 1 elements of each in any common order. The order here is by
+    the counters of ``_rarity``; an element whose counter is one is in no other
+    set and needs no key. ``side`` tells the smaller class from the larger."""
     t = percent / 100
-    each = sets.select("rep", F.size("items").alias("n"), F.explode("items").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    mine = Window.partitionBy("rep")
-    shared = each.join(often, "s").withColumn("place", F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "s")))
-    size_class = lambda n: F.floor(F.log(n.cast("double")) / math.log(STEP) + 1e-9).cast("int")
-    least = lambda c: F.floor(F.pow(F.lit(STEP), c) * (1 - 1e-6))  # noqa: E731  no set of the class is smaller
-    room = lambda other: F.col("n") - F.ceil(F.lit(t / (1 + t)) * (F.col("n") + other) - 1e-6) + 1
-    reach = math.ceil(math.log(1 / t) / math.log(STEP)) + 1
-    near = shared.filter(F.col("place") <= room(F.floor(F.col("n") * t) - 1)).withColumn("c", size_class(F.col("n")))
-    near = near.withColumn("d", F.explode(F.sequence(F.greatest(F.col("c") - reach, F.lit(0)), F.col("c") + reach)))
-    near = near.filter(F.col("place") <= room(F.greatest(least(F.col("d")), F.floor(F.col("n") * t) - 1)))
-    key = F.xxhash64("s", F.least("c", "d"), F.greatest("c", "d"))
-    return near.select(key.alias("key"), "rep", F.col("n").cast("long").alias("n"), F.signum(F.col("c") - F.col("d")).cast("int").alias("side"))
+    log_step = math.log(STEP)
+    sizes = F.floor(F.log(F.size("items").cast("double")) / log_step + 1e-9).cast("int")
+    present = sorted(r.c for r in sets.select(sizes.alias("c")).distinct().collect())       # a thousand classes at most
+    bc = sets.sparkSession.sparkContext.broadcast((_rarity(sets), np.array(present, np.int64)))
+
+    def run(batches):
+        rare, classes = bc.value
+        smallest = np.floor(STEP ** classes.astype(float) * (1 - 1e-6))
+        for b in batches:
+            items, offs = b.column(1).flatten().to_numpy().view(np.uint64), b.column(1).value_lengths().to_numpy()
+            end = np.cumsum(offs)
+            keys, reps, ns, sides = [], [], [], []
+            for rep, hi, n in zip(b.column(0).to_pylist(), end.tolist(), offs.tolist()):
+                mine = items[hi - n:hi]
+                count = rare[_slot(mine)]
+                order = np.lexsort((mine, count))
+                c = int(_size_class(n))
+                room = n - np.ceil(t / (1 + t) * (n + np.maximum(smallest, math.floor(n * t) - 1)) - 1e-6).astype(np.int64) + 1
+                for d, m in zip(classes.tolist(), room.tolist()):
+                    if m > 0 and (n * t - 1) / STEP <= STEP ** d <= (n / t + 1) * STEP:
+                        first = order[:m]
+                        first = mine[first[count[first] > 1]]
+                        pair = np.uint64((min(c, d) << 20) + max(c, d))
+                        keys.append(_text.mix64(first ^ _text.mix64(np.full(1, pair, np.uint64))))
+                        reps.append(np.full(len(first), rep))
+                        ns.append(np.full(len(first), n))
+                        sides.append(np.full(len(first), (c > d) - (c < d), np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(sides))],
+                                                 names=["key", "rep", "n", "side"])
+
+    return sets.select("rep", "items").mapInArrow(run, "key long, rep long, n long, side int")
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, k: int = WORDS) -> DataFrame:
@@ -250,7 +311,7 @@ def _refined(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """What is left after the hubs: keys with few pairs as they are, the
     members of the others under finer keys."""
     crowd = left.filter(~F.col("few")).select("rep", "comp").distinct()
-    fine = members(prefix_keys(sets.join(crowd.select("rep"), "rep", "left_semi"), percent)).join(crowd, "rep")
+    fine = members(prefix_keys(staged(sets.join(crowd.select("rep"), "rep", "left_semi"), "neardup-crowd"), percent)).join(crowd, "rep")
     return left.filter("few").unionByName(_open(fine).select(*left.columns))
 
 
