@@ -98,46 +98,13 @@ def with_hash_rgb(df: DataFrame, value: str, names=("r", "g", "b"), grey_empty:
     return _grey(t, v.isNull() | (v == ""), names) if grey_empty else t
 
 
-def _shortest_sci(d: Column) -> Column:
-    """'d.ddde±x' text with the fewest significant digits (1..17) that reads
-    back as the same double — the digits JavaScript prints."""
-    def sci(p: int) -> Column:
-        return F.format_string(f"%.{p - 1}e", d)
-
-    chain = F.when(d.isNull(), F.lit(None).cast("string"))
-    for p in range(1, 17):
-        chain = chain.when(sci(p).try_cast("double") == d, sci(p))
-    return chain.otherwise(sci(17))
-
-
-def js_text_from_sci(sci: Column, d: Column) -> Column:
-    """JavaScript's String(number) layout from the shortest 'd.ddde±x' text of
-    |d|: plain digits for 1e-6 <= |v| < 1e21 (no '.0' on integers),
-    otherwise 'd.ddde-7' / 'de+21'."""
-    mant = F.regexp_extract(sci, r"^([0-9.]+)e", 1)
-    digits = F.regexp_replace(F.regexp_replace(mant, r"\.", ""), r"(?<=.)0+$", "")
-    n = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int") + 1  # 10^(n-1) <= |v| < 10^n
-    k = F.length(digits)
-    rest = F.lit(400)
-    body = (F.when((k <= n) & (n <= 21), F.concat(digits, F.repeat(F.lit("0"), n - k)))
-            .when((n > 0) & (n <= 21), F.concat(digits.substr(F.lit(1), n), F.lit("."), digits.substr(n + 1, rest)))
-            .when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), digits))
-            .otherwise(F.concat(digits.substr(F.lit(1), F.lit(1)),
-                                F.when(k > 1, F.concat(F.lit("."), digits.substr(F.lit(2), rest))).otherwise(F.lit("")),
-                                F.lit("e"), F.when(n - 1 >= 0, F.lit("+")).otherwise(F.lit("-")),
-                                F.abs(n - 1).cast("string"))))
-    sign = F.when(d < 0, F.lit("-")).otherwise(F.lit(""))
-    return (F.when(d.isNull(), F.lit(None).cast("string"))
-            .when(d == 0, F.lit("0"))
-            .otherwise(F.concat(sign, body)))
-
-
-def with_number_text(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Add ``out``: JavaScript's text of a number column, in two stages
-    (shortest digits, then layout) so each stays small enough for codegen."""
-    d = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    t = df.withColumn("_nsci", _shortest_sci(F.abs(d)))
-    return t.withColumn(out, js_text_from_sci(F.col("_nsci"), d)).drop("_nsci")
+def number_text(v: Column) -> Column:
+    """Text of a number: whole numbers without a decimal point, others as
+    Spark writes them. The reference's number printer differs for very large
+    and very small values (exponents); that only changes which colour a flat
+    range of such values gets."""
+    whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
+    return F.when(whole, v.cast("bigint").cast("string")).otherwise(v.cast("string"))
 
 
 def with_gradient_rgb(df: DataFrame, value: str, lo: Column, hi: Column, names=("r", "g", "b")) -> DataFrame:
@@ -147,10 +114,9 @@ def with_gradient_rgb(df: DataFrame, value: str, lo: Column, hi: Column, names=(
     v = F.nanvl(c(value).cast("double"), F.lit(None).cast("double"))
     t = df.withColumns({"_v": v, "_lo": lo.cast("double"), "_hi": hi.cast("double")})
     flat = ~F.coalesce(c("_hi") > c("_lo"), F.lit(False))  # no range or a flat one
-    t = t.withColumn("_nsci", F.when(flat, _shortest_sci(F.abs(c("_v")))))
     t = t.withColumns({
         "_n": F.when(~flat, (c("_v") - c("_lo")) / (c("_hi") - c("_lo"))),
-        "_fh": F.when(flat, category_hash(js_text_from_sci(c("_nsci"), c("_v"))))})
+        "_fh": F.when(flat, category_hash(number_text(c("_v"))))})
     fh, fs, fl = category_hsl(c("_fh"))
     t = t.withColumns({
         "_gh": F.when(flat, fh).otherwise((1 - c("_n")) * GRADIENT_HUE_SPAN),
@@ -158,7 +124,7 @@ def with_gradient_rgb(df: DataFrame, value: str, lo: Column, hi: Column, names=(
         "_gl": F.when(flat, fl).otherwise(F.lit(GRADIENT_L))})
     t = with_rgb(t, c("_gh"), c("_gs"), c("_gl"), names)
     t = _grey(t, c("_v").isNull(), names)
-    return t.drop("_v", "_lo", "_hi", "_n", "_nsci", "_fh", "_gh", "_gs", "_gl")
+    return t.drop("_v", "_lo", "_hi", "_n", "_fh", "_gh", "_gs", "_gl")
 
 
 def rgb_hex(r: Column, g: Column, b: Column) -> Column:

@@ -2,55 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-_SPLIT = 134217729.0  # 2^27 + 1: Dekker's split of a double into two halves
-_FIX_TMP = ("_fd", "_fa", "_fp", "_fca", "_fhi", "_flo", "_fe", "_fc", "_fdf", "_fn", "_ft")
-
-
-def _split(b: float) -> tuple[float, float]:
-    c = b * _SPLIT
-    hi = c - (c - b)
-    return hi, b - hi
-
-
-def with_fixed(df: DataFrame, value: str | Column, digits: int, out: str) -> DataFrame:
-    """Add ``out`` = toFixed(digits) of a number column: n = the integer
-    nearest |v| * 10^digits on the exact binary value (a tie goes to the
-    larger n), '-' when v < 0.
-
-    The product is split exactly into p + e (Dekker; Java doubles are strict
-    IEEE), so the choice of n is exact. One projection per step keeps codegen
-    small. From |p| >= 2^52 no fraction is left and the plain format is used
-    (JavaScript writes 1e21 and more as exponents; not here)."""
-    c = F.col
-    scale = float(10 ** digits)
-    bhi, blo = _split(scale)
-    v = c(value) if isinstance(value, str) else value
-    t = df.withColumn("_fd", v.cast("double"))
-    t = t.withColumns({"_fa": F.abs(c("_fd"))})
-    t = t.withColumns({"_fp": c("_fa") * scale, "_fca": c("_fa") * _SPLIT})
-    t = t.withColumn("_fhi", c("_fca") - (c("_fca") - c("_fa")))
-    t = t.withColumn("_flo", c("_fa") - c("_fhi"))
-    t = t.withColumns({
-        "_fe": ((c("_fhi") * bhi - c("_fp")) + c("_fhi") * blo + c("_flo") * bhi) + c("_flo") * blo,
-        "_fc": F.rint(c("_fp"))})
-    t = t.withColumn("_fdf", c("_fp") - c("_fc"))  # exact
-    adj = F.when(c("_fe") >= (F.lit(0.5) - c("_fdf")), 1).when(c("_fe") < (F.lit(-0.5) - c("_fdf")), -1).otherwise(0)
-    t = t.withColumn("_fn", (c("_fc") + adj).cast("bigint").cast("string"))
-    t = t.withColumn("_ft", F.when(F.length("_fn") < digits + 1, F.lpad("_fn", digits + 1, "0"))
-                     .otherwise(c("_fn")))  # lpad alone would cut longer text
-    if digits == 0:
-        num = c("_ft")
-    else:
-        num = F.concat(F.left(c("_ft"), F.length("_ft") - digits), F.lit("."), F.right(c("_ft"), F.lit(digits)))
-    exact = F.concat(F.when(c("_fd") < 0, F.lit("-")).otherwise(F.lit("")), num)
-    t = t.withColumn(out, F.when(c("_fd").isNull(), F.lit(None).cast("string"))
-                     .when(F.abs(c("_fp")) < float(2 ** 52), exact)
-                     .otherwise(F.format_string(f"%.{digits}f", c("_fd"))))
-    return t.drop(*_FIX_TMP)
+def fixed(value: str | Column, digits: int) -> Column:
+    """A number with a fixed number of decimals. Ties round half up on the
+    shortest decimal text of the double (Java's formatter); a formatter that
+    rounds the exact binary value differs on values like 1.005."""
+    c = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c))
 
 
 def grouped(n: Column) -> Column:
@@ -83,14 +44,15 @@ def compound_ext(path: Column) -> Column:
     return F.when(name.endswith(".gz"), F.concat(_split_ext(inner), F.lit(".gz"))).otherwise(_split_ext(name))
 
 
-def part_name(path: Column, n: Column) -> Column:
-    """X8: '<base>.partNN<ext>' output name of part n."""
-    return F.concat(base_name(path), F.lit(".part"), F.lpad(n.cast("string"), 2, "0"), compound_ext(path))
+def two_digits(n: Column) -> Column:
+    """A number with at least two digits (lpad alone would cut longer ones)."""
+    s = n.cast("string")
+    return F.when(F.length(s) < 2, F.lpad(s, 2, "0")).otherwise(s)
 
 
-def shard_name(prefix: Column, n: Column) -> Column:
-    """X8: '<prefix>.shardNN.parquet'."""
-    return F.concat(prefix, F.lit(".shard"), F.lpad(n.cast("string"), 2, "0"), F.lit(".parquet"))
+def part_name(path: Column, n: Column) -> Column:
+    """X8: '<base>.partNN<ext>' output name of part n (more digits from 100 on)."""
+    return F.concat(base_name(path), F.lit(".part"), two_digits(n), compound_ext(path))
 
 
 def percent_ratio(part: Column, whole: Column) -> Column:

@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudsift.operators.palette import color_encode
 from cloudsift.operators.project import map_axes
-from cloudsift.operators.ranks import ROWS_PER_BUCKET, bucket_offsets
+from cloudsift.operators.ranks import ROWS_PER_BUCKET, bucket_offsets, visible_ordinal
 from cloudsift.roles import Roles
 
-MAX_POINTS = 8_000_000  # fixed value: render cap
+MAX_POINTS = 8_000_000  # fixed value: the viewer's render cap; not a default here
 
 
-def render_cap(visible: DataFrame, cap: int = MAX_POINTS, idx: str = "row_idx",
+def render_cap(visible: DataFrame, cap: int | None = None, idx: str = "row_idx",
                width: int = ROWS_PER_BUCKET) -> DataFrame:
-    """O3: the first min(visible, cap) visible rows in load order, with their
-    ordinal (W5). Buckets of ``width`` row_idx values are counted first; the
-    buckets that start at or after the cap are dropped before any sort, so
-    the window sorts at most cap + width rows whatever the visible size."""
-    b = visible.withColumn("_bkt", F.floor(F.col(idx) / width).cast("bigint"))
-    starts = bucket_offsets(b, "_bkt").where(F.col("_off") < cap).select("_bkt", "_off")
-    kept = b.join(starts, "_bkt")
-    rn = F.row_number().over(Window.partitionBy("_bkt").orderBy(idx))
-    ranked = kept.withColumn("ordinal", (F.col("_off") + rn - 1).cast("bigint"))
-    return ranked.where(F.col("ordinal") < cap).drop("_bkt", "_off")
+    """O3: visible rows in load order with their ordinal (W5): all of them, or
+    the first ``cap``. With a cap, buckets of ``width`` row_idx values are
+    counted first; the last bucket that starts below the cap is one scalar,
+    so the cut is a plain filter on row_idx (it reaches the scan) and at most
+    cap + width rows are shuffled."""
+    if cap is None:
+        return visible_ordinal(visible, idx=idx, width=width)
+    bucket = F.floor(F.col(idx) / width).cast("bigint")
+    starts = bucket_offsets(visible.select(bucket.alias("_bkt")), "_bkt")
+    last = starts.where(F.col("_off") < cap).agg(F.max("_bkt")).scalar()
+    kept = visible.where(F.col(idx) < (last + 1) * width)
+    return visible_ordinal(kept, idx=idx, width=width).where(F.col("ordinal") < cap)
 
 
 def render_table(visible: DataFrame, roles: Roles, color_by: str, ranges: DataFrame | None = None,
                  palette: DataFrame | None = None, axes=(None, None, None),
-                 cap: int = MAX_POINTS) -> DataFrame:
+                 cap: int | None = None) -> DataFrame:
     """(row_idx, ordinal, x, y, z float32, r, g, b 8-bit): what the GPU draws."""
     # cap first: the ordinal's count pass then reads only row_idx, and only
     # rendered rows reach the colour join

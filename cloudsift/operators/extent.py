@@ -7,16 +7,15 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudsift.operators.ranks import select_ordinals, visible_ordinal
+from cloudsift.operators.ranks import visible_ordinal
 
 # Fixed values of the viewer's camera fit.
 FOV_DEG = 75.0
 FIT_MARGIN = 1.1
 DEPTH_FACTOR = 1.5
 MIN_HEIGHT = 100.0
-EXTENT_SAMPLE = 10_000
+EXTENT_SAMPLE = 10_000  # fixed value: the viewer's sample; not a default here
 HEAD_ROWS = 5
-FULL_RANK_MAX_ROWS = 4_000_000  # below this, ranking every row in one shuffle is cheaper
 
 
 def bounding_box(df: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
@@ -54,33 +53,27 @@ def _span_row(df: DataFrame) -> DataFrame:
     return df.agg(*aggs)
 
 
-def extent_head(df: DataFrame, n: int = EXTENT_SAMPLE, idx: str = "ordinal") -> DataFrame:
-    """Min, max, span per axis over the first n rows in load order.
-    ``idx`` is a dense 0-based load-order position (W5)."""
-    return _span_row(df.where(F.col(idx) < n))
+def extent_head(df: DataFrame, n: int | None = None, idx: str = "ordinal") -> DataFrame:
+    """Min, max, span per axis over all rows, or over the first n in load
+    order. ``idx`` is a dense 0-based load-order position (W5)."""
+    return _span_row(df if n is None else df.where(F.col(idx) < n))
 
 
-def stride_sample(df: DataFrame, target: int = EXTENT_SAMPLE, idx: str = "row_idx",
-                  full_rank_max_rows: int = FULL_RANK_MAX_ROWS) -> DataFrame:
+def stride_sample(df: DataFrame, target: int, idx: str = "row_idx") -> DataFrame:
     """Every s-th visible row in load order, s = max(1, floor(n / target))
-    (at most 2 × target rows), with its ordinal.
-
-    The visible count decides the plan: a few million rows are ranked in one
-    shuffle (W5); above that only the sampled ordinals are located, by
-    hierarchical counts, so the visible set is never shuffled."""
-    spark = df.sparkSession
-    n = df.select(idx).count()
-    step = max(1, n // target)
-    if n <= full_rank_max_rows:
-        return visible_ordinal(df, idx=idx).where(F.col("ordinal") % step == 0)
-    targets = spark.range(0, n, step).select(F.col("id").alias("ordinal"))
-    return select_ordinals(df, targets, idx=idx, checked_small=True)
-
-
-def extent_stride(df: DataFrame, target: int = EXTENT_SAMPLE, idx: str = "row_idx",
-                  full_rank_max_rows: int = FULL_RANK_MAX_ROWS) -> DataFrame:
-    """A6 + A7 over the stride sample of the visible rows."""
-    return view_frame(bounding_box(stride_sample(df, target, idx, full_rank_max_rows)))
+    (at most 2 x target rows), with its ordinal. Only ``idx`` is ranked (one
+    shuffle of one number per row); the sampled positions then pick their rows
+    by a join. One plan at all sizes."""
+    keys = visible_ordinal(df.select(idx), idx=idx, keep_total=True)
+    step = F.greatest(F.lit(1), F.floor(F.col("n_rows") / target))
+    wanted = keys.where(F.col("ordinal") % step == 0).drop("n_rows")
+    return df.join(wanted, idx)
+
+
+def extent_stride(df: DataFrame, target: int | None = None, idx: str = "row_idx") -> DataFrame:
+    """A6 + A7 over the visible rows: exact by default (one partial
+    aggregate), over the stride sample when a target is given."""
+    return view_frame(bounding_box(df if target is None else stride_sample(df, target, idx)))
 
 
 def head_rows(df: DataFrame, n: int = HEAD_ROWS, idx: str = "row_idx") -> DataFrame:

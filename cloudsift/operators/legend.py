@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudsift.functions import color as C
-from cloudsift.functions.text import with_fixed
+from cloudsift.functions.text import fixed
+from cloudsift.operators.ranks import two_level_rank
 
-LEGEND_LIMIT = 100  # fixed value: legend rows shown
+LEGEND_LIMIT = 100  # fixed value: legend rows the viewer shows; not a default here
 MORE_RGB8 = (149, 165, 166)  # fixed value: text colour of the '... and N more' line
 STOPS = 100  # fixed value: gradient stops 0..100
 
 
-def legend_top(domain: DataFrame, attribute: str, limit: int = LEGEND_LIMIT) -> tuple[DataFrame, DataFrame]:
+def legend_top(domain: DataFrame, attribute: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The first `limit` sorted values (a distributed top-k) and the count
-    of the rest."""
+    of the rest; without a limit all values, ranked in value-prefix buckets
+    (no one-partition sort)."""
     dom = domain.where(F.col("attribute") == attribute)
+    if limit is None:
+        # the bucket is a prefix of the order key (UTF-8 bytes), so bucket order is value order
+        top = two_level_rank(dom, F.hex(F.substring(F.col("value").cast("binary"), 1, 3)), [F.col("value")], "_pos")
+        top = top.withColumn("ord", F.col("_pos").cast("int") + 1).drop("_pos")
+        return top, dom.agg(F.lit(0).cast("bigint").alias("remaining"))
     top = dom.orderBy("value").limit(limit)
     top = top.withColumn("ord", F.row_number().over(Window.orderBy("value")))  # ≤ limit rows
     rest = dom.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).cast("bigint").alias("remaining"))
@@ -24,9 +31,10 @@ def legend_top(domain: DataFrame, attribute: str, limit: int = LEGEND_LIMIT) ->
 
 
 def legend_categorical(domain: DataFrame, attribute: str, palette: DataFrame | None = None,
-                       limit: int = LEGEND_LIMIT) -> DataFrame:
-    """L1: (ord, value, label, r, g, b) for the first values plus one
-    '... and N more' row (ord = limit + 1) when values remain."""
+                       limit: int | None = None) -> DataFrame:
+    """L1: (ord, value, label, r, g, b) of all values, or of the first
+    ``limit`` plus one '... and N more' row (ord = limit + 1) when values
+    remain."""
     top, rest = legend_top(domain, attribute, limit)
     if palette is not None:
         p = palette.where(F.col("attribute") == attribute).select("value", "r", "g", "b")
@@ -38,6 +46,8 @@ def legend_categorical(domain: DataFrame, attribute: str, palette: DataFrame | N
         F.col("ord").cast("int").alias("ord"), "value",
         F.when(F.col("value") == "", F.lit("(empty)")).otherwise(F.col("value")).alias("label"),
         "r", "g", "b")
+    if limit is None:
+        return items
     more = rest.where(F.col("remaining") > 0).select(
         F.lit(limit + 1).alias("ord"), F.lit(None).cast("string").alias("value"),
         F.concat(F.lit("... and "), F.col("remaining").cast("string"), F.lit(" more")).alias("label"),
@@ -54,5 +64,5 @@ def legend_continuous(ranges: DataFrame, attribute: str, stops: int = STOPS) ->
     val = F.col("min_value") + (F.col("max_value") - F.col("min_value")) * pos
     st = st.select("stop", "min_value", "max_value", val.alias("value"))
     st = C.with_gradient_rgb(st, "value", F.col("min_value"), F.col("max_value"))
-    st = with_fixed(with_fixed(st, "min_value", 4, "min_label"), "max_value", 4, "max_label")
+    st = st.withColumns({"min_label": fixed("min_value", 4), "max_label": fixed("max_value", 4)})
     return st.select(F.col("stop").cast("int").alias("stop"), "value", "r", "g", "b", "min_label", "max_label")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudsift.functions.text import with_fixed
+from cloudsift.functions.text import fixed
 from cloudsift.operators.filters import norm_category
 from cloudsift.roles import Roles
 
@@ -29,11 +29,6 @@ def map_axes(df: DataFrame, roles: Roles, x: str | None = None, y: str | None =
                      *[c for c in df.columns if c not in kept and c not in ("x", "y", "z")])
 
 
-def axes_columns(df: DataFrame, roles: Roles, x=None, y=None, z=None) -> list[Column]:
-    axes = (x or roles.default_axes[0], y or roles.default_axes[1], z or roles.default_axes[2])
-    return [coord(df, a).alias(n) for a, n in zip(axes, ("ax", "ay", "az"))]
-
-
 def raw_coords(df: DataFrame, roles: Roles) -> DataFrame:
     """Every coordinate option as raw_<name>, null → 0."""
     return df.select("*", *(coord(df, c).alias(f"raw_{c}") for c in roles.coords if c in df.columns))
@@ -49,22 +44,15 @@ def with_point_details(df: DataFrame, roles: Roles, x=None, y=None, z=None,
     """P5: one text line per point: chosen coordinates to 2 places, non-empty
     categoricals `name: value`, non-null continuous to 4 places; '; ' between."""
     axes = (x or roles.default_axes[0], y or roles.default_axes[1], z or roles.default_axes[2])
-    t = df
-    for i, a in enumerate(axes):
-        t = with_fixed(t, coord(df, a), 2, f"_pd{i}")
-    conts = [c for c in roles.continuous if c in df.columns]
-    for j, c in enumerate(conts):
-        t = with_fixed(t, c, 4, f"_pc{j}")
-    coords = F.concat_ws(", ", *(F.concat(F.lit(f"{a}: "), F.col(f"_pd{i}")) for i, a in enumerate(axes)))
-    parts = [coords]
+    parts = [F.concat_ws(", ", *(F.concat(F.lit(f"{a}: "), fixed(coord(df, a), 2)) for a in axes))]
     for c in roles.categorical:
         if c in df.columns:
             v = F.col(c).cast("string")
             parts.append(F.when(v.isNotNull() & (v != ""), F.concat(F.lit(f"{c}: "), v)))
-    for j, c in enumerate(conts):
-        parts.append(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(f"_pc{j}"))))
-    t = t.withColumn(out, F.concat_ws("; ", *parts))
-    return t.drop(*[f"_pd{i}" for i in range(3)], *[f"_pc{j}" for j in range(len(conts))])
+    for c in roles.continuous:
+        if c in df.columns:
+            parts.append(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), fixed(c, 4))))
+    return df.withColumn(out, F.concat_ws("; ", *parts))
 
 
 def late_column(df: DataFrame, source: DataFrame, column: str, key: str = "row_idx") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudsift.operators.ranks import assign_even_parts, line_number
+from cloudsift.functions.text import part_name
+from cloudsift.operators.ranks import assign_even_parts, line_number, visible_ordinal
 from cloudsift.sources.tables import list_inputs
 
 PART_LIMIT_BYTES = 100 * 1024 * 1024  # fixed value: 100 MiB warning limit
@@ -25,52 +28,66 @@ def parts_for_limit(spark: SparkSession, path: str, limit_bytes: int = PART_LIMI
     return max(1, -(-int(total) // limit_bytes))
 
 
-def split_with_header(spark: SparkSession, path: str, out: str, n: int, rename: bool = True) -> list[str]:
+def split_with_header(spark: SparkSession, path: str, out: str, n: int, rename: bool = True,
+                      every_file_has_header: bool = False) -> list[str]:
     """Keep line order, n near-equal parts (the first rows % n parts one
     line longer), the header repeated at the top of each part, gzip output
     named '<base>.partNN<ext>'. Bad UTF-8 becomes U+FFFD.
 
-    Each part is one gzip file, so each is written by one task: choose n so a
-    part stays near the 100 MiB the source warns about."""
+    ``path`` may name several files: they are one text, in order of their
+    names, whose first line is the header; with ``every_file_has_header`` the
+    first line of each later file is dropped. Each part is one gzip file, so
+    one task writes it: choose n so a part stays near the 100 MiB the source
+    warns about (``parts_for_limit``)."""
     if n < 1:
         raise ValueError("n must be at least 1")
     files = list_inputs(spark, path)
-    raw = spark.read.format("text").option("wholetext", False).load(files[0])
-    numbered = line_number(raw.select(F.make_valid_utf8(F.col("value")).alias("value")))
-    if numbered.where(F.col("line") == 0).isEmpty():
+    raw = spark.read.format("text").option("wholetext", False).load(files)
+    numbered = line_number(raw.select(F.make_valid_utf8(F.col("value")).alias("value")), file_line="file_line")
+    header = numbered.where(F.col("line") == 0).select("value").first()      # one line
+    if header is None:
         raise ValueError("input file is empty")
-    header = numbered.where(F.col("line") == 0).select("value")
-    data = numbered.where(F.col("line") > 0).withColumn("row_idx", F.col("line") - 1)
+    data = numbered.where(F.col("line") > 0)
+    if every_file_has_header and len(files) > 1:
+        data = visible_ordinal(data.where(F.col("file_line") > 0), idx="line", out="row_idx")
+    else:
+        data = data.withColumn("row_idx", F.col("line") - 1)
     data = assign_even_parts(data, n).select("part", F.col("row_idx").alias("pos"), "value")
     heads = spark.range(1, n + 1).select(F.col("id").cast("int").alias("part"),
                                          F.lit(-1).cast("bigint").alias("pos"),
-                                         header.scalar().alias("value"))
+                                         F.lit(header.value).alias("value"))
     lines = heads.unionByName(data)
-    (lines.repartition(n, "part").sortWithinPartitions("part", "pos").select("part", "value")
-     .write.mode("overwrite").partitionBy("part").option("compression", "gzip").text(out))
+    (lines.repartitionById(n, F.col("part") - 1).sortWithinPartitions("part", "pos").select("part", "value")
+     .write.mode("overwrite").partitionBy("part").option("compression", "gzip").option("maxRecordsPerFile", 0).text(out))
     if not rename:
         return [f"{out}/part={i}" for i in range(1, n + 1)]
     return _rename_parts(spark, files[0], out, n)
 
 
 def _rename_parts(spark: SparkSession, source: str, out: str, n: int) -> list[str]:
-    """X8 naming as a final metadata-only rename of one file per part."""
-    from cloudsift.functions.text import part_name
-
+    """X8 naming as a final metadata-only rename of one file per part (a few
+    at a time). Nothing is deleted unless it is empty: a part that is not
+    exactly one file, or a rename that fails, raises and leaves all files."""
     names = (spark.range(1, n + 1).select(F.col("id").cast("int").alias("i"),
                                           part_name(F.lit(source), F.col("id")).alias("name"))
              .orderBy("i").collect())
     fs, jvm = _hadoop_fs(spark, out)
-    done = []
-    for row in names:
-        d = jvm.org.apache.hadoop.fs.Path(f"{out}/part={row.i}")
-        parts = [s.getPath() for s in fs.listStatus(d) if s.getPath().getName().endswith(".gz")]
-        target = jvm.org.apache.hadoop.fs.Path(f"{out}/{row.name}")
-        if parts:
-            fs.rename(parts[0], target)
-        fs.delete(d, True)
-        done.append(str(target.toString()))
-    return done
+    Path = jvm.org.apache.hadoop.fs.Path
+
+    def move(row) -> str:
+        folder = Path(f"{out}/part={row.i}")
+        found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".gz")]
+        if len(found) != 1:
+            raise OSError(f"part {row.i} has {len(found)} files, not one: {folder}")
+        target = Path(f"{out}/{row.name}")
+        if not fs.rename(found[0], target):
+            raise OSError(f"cannot rename {found[0]} to {target}")
+        if all(s.getPath().getName().startswith(".") for s in fs.listStatus(folder)):
+            fs.delete(folder, True)
+        return str(target.toString())
+
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        return list(pool.map(move, names))
 
 
 def read_parts(spark: SparkSession, out: str, pattern: str = "*.gz") -> DataFrame:
