@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudsift.operators.ranks import select_ordinals, visible_ordinal
+from cloudsift.operators.ranks import visible_ordinal
 
-MAX_BROADCAST_RAYS = 10_000
 # Default point size and the picking radius per unit of size.
 POINT_SIZE = 1.0
 THRESHOLD_PER_SIZE = 5.0
+MAX_SLABS = 256         # grid cells along the box's longest side
 
 
 def normalise_rays(rays: DataFrame) -> DataFrame:
@@ -32,52 +32,80 @@ def _f32(c: str) -> Column:
     return F.col(c).cast("float").cast("double")
 
 
+def _ray_cells(rays: DataFrame, low: list[float], high: list[float], edge: float, reach: float) -> DataFrame:
+    """The grid cells inside the box in which a hit of each ray can lie.
+
+    Along the ray's longest direction the box is cut into slabs of one cell;
+    within a slab (widened by ``reach``) the ray's other two coordinates span
+    an interval, which is widened by ``reach`` too. A hit is less than
+    ``reach`` away from its closest point on the ray, so it lies in there. The
+    ray starts at its origin, so slabs behind it count up to ``reach``."""
+    r = rays.withColumns({"_o": F.array("ox", "oy", "oz"), "_d": F.array("dx", "dy", "dz"),
+                          "_lo": F.array(*map(F.lit, low)), "_hi": F.array(*map(F.lit, high))})
+    ax, ay, az = (F.abs(F.col(c)) for c in ("dx", "dy", "dz"))
+    r = r.withColumn("_a", F.when((ax >= ay) & (ax >= az), 0).when(ay >= az, 1).otherwise(2))
+    r = r.withColumns({"_b": (F.col("_a") + 1) % 3, "_c": (F.col("_a") + 2) % 3})
+    at = lambda arr, i: F.get(F.col(arr), F.col(i))
+    cell = lambda x: F.floor(x / edge).cast("bigint")
+    o, d, lo, hi = (at(arr, "_a") for arr in ("_o", "_d", "_lo", "_hi"))
+    first = F.when(d > 0, F.greatest(lo, o - reach)).otherwise(lo)
+    last = F.when(d > 0, hi).otherwise(F.least(hi, o + reach))
+    r = r.withColumns({"_k0": cell(first), "_k1": cell(last)}).where(F.col("_k0") <= F.col("_k1"))
+    r = r.withColumn("_k", F.explode(F.sequence("_k0", "_k1")))
+    # the ray's parameter where it enters and leaves the widened slab, not before its origin
+    t1 = ((F.col("_k") * edge - reach) - at("_o", "_a")) / at("_d", "_a")
+    t2 = (((F.col("_k") + 1) * edge + reach) - at("_o", "_a")) / at("_d", "_a")
+    r = r.withColumns({"_t0": F.greatest(F.least(t1, t2), F.lit(0.0)), "_t1": F.greatest(F.greatest(t1, t2), F.lit(0.0))})
+    for axis, name in (("_b", "_kb"), ("_c", "_kc")):
+        p = at("_o", axis) + at("_d", axis) * F.col("_t0")
+        q = at("_o", axis) + at("_d", axis) * F.col("_t1")
+        a = F.greatest(F.least(p, q) - reach, at("_lo", axis))
+        b = F.least(F.greatest(p, q) + reach, at("_hi", axis))
+        r = r.withColumns({"_ka": cell(a), "_kz": cell(b)}).where(F.col("_ka") <= F.col("_kz"))
+        r = r.withColumn(name, F.explode(F.sequence("_ka", "_kz")))
+    pick = lambda axis: F.when(F.col("_a") == axis, F.col("_k")).when(F.col("_b") == axis, F.col("_kb")).otherwise(F.col("_kc"))
+    return r.select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz", *(pick(i).alias(f"_c{i}") for i in range(3)))
+
+
 def pick_points(points: DataFrame, rays: DataFrame, threshold: float = POINT_SIZE * THRESHOLD_PER_SIZE,
-                idx: str = "row_idx", max_broadcast_rays: int = MAX_BROADCAST_RAYS) -> DataFrame:
+                idx: str = "row_idx") -> DataFrame:
     """For each ray, the nearest point along it within the radius:
-    (ray_id, <idx>, distance). Rays are broadcast in chunks of a checked size
-    over the distributed points; the per-ray winner is a partial-aggregated
-    min, so a ray with many candidates never gathers them in one task."""
-    n_rays = rays.count()
-    if n_rays == 0:
-        return points.sparkSession.createDataFrame([], f"ray_id string, {idx} bigint, distance double")
-    n_chunks = max(1, -(-n_rays // max_broadcast_rays))
-    ray_cols = ["ray_id", "ox", "oy", "oz", "dx", "dy", "dz"]
-    pts = points.select(idx, "x", "y", "z")
-    results = []
-    for c in range(n_chunks):
-        chunk = rays.select(*ray_cols)
-        if n_chunks > 1:
-            chunk = chunk.where(F.pmod(F.xxhash64("ray_id"), F.lit(n_chunks)) == c)
-        p = pts.select(idx, _f32("x").alias("_px"), _f32("y").alias("_py"), _f32("z").alias("_pz"))
-        t = ((F.col("_px") - F.col("ox")) * F.col("dx") + (F.col("_py") - F.col("oy")) * F.col("dy")
-             + (F.col("_pz") - F.col("oz")) * F.col("dz"))
-        behind = t < 0
-        cx = F.when(behind, F.col("ox")).otherwise(F.col("dx") * t + F.col("ox"))
-        cy = F.when(behind, F.col("oy")).otherwise(F.col("dy") * t + F.col("oy"))
-        cz = F.when(behind, F.col("oz")).otherwise(F.col("dz") * t + F.col("oz"))
-        ex, ey, ez = cx - F.col("_px"), cy - F.col("_py"), cz - F.col("_pz")
-        d2 = ex * ex + ey * ey + ez * ez
-        fx, fy, fz = F.col("ox") - cx, F.col("oy") - cy, F.col("oz") - cz
-        along = F.sqrt(fx * fx + fy * fy + fz * fz)
-        hits = p.join(F.broadcast(chunk), d2 < F.lit(threshold * threshold), "inner")
-        results.append(hits.select("ray_id", F.struct(along.alias("distance"), F.col(idx).alias(idx)).alias("h")))
-    allhits = results[0]
-    for r in results[1:]:
-        allhits = allhits.unionByName(r)
-    best = allhits.groupBy("ray_id").agg(F.min("h").alias("h"))
-    return best.select("ray_id", F.col(f"h.{idx}").alias(idx), F.col("h.distance").alias("distance"))
-
+    (ray_id, <idx>, distance).
 
-FULL_RANK_MAX_ROWS = 4_000_000
+    Points get the cell of a grid over their box; each ray becomes the cells
+    it passes inside the box; both meet in an equi-join on the cell, the exact
+    predicate follows. Neither side is broadcast, there is no loop over rays,
+    and the winner of a ray is a partially aggregated min. A crowded cell is
+    split by the join's skew handling."""
+    p = points.select(idx, _f32("x").alias("_px"), _f32("y").alias("_py"), _f32("z").alias("_pz"))
+    box = p.agg(*(f(c).alias(f"{n}{c}") for c in ("_px", "_py", "_pz") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    low, high = ([box[f"{n}{c}"] for c in ("_px", "_py", "_pz")] for n in ("lo", "hi"))
+    if None in low:
+        return rays.select("ray_id", F.lit(0).cast("bigint").alias(idx), F.lit(0.0).alias("distance")).limit(0)
+    edge = max(4 * threshold, max(h - l for l, h in zip(low, high)) / MAX_SLABS, 1e-9)
+    cells = p.withColumns({f"_c{i}": F.floor(F.col(c) / edge).cast("bigint") for i, c in enumerate(("_px", "_py", "_pz"))})
+    # a little more than the radius, so that rounding cannot lose a cell
+    reach = threshold * (1 + 1e-9) + 1e-9 * max(map(abs, [*low, *high, 1.0]))
+    both = cells.join(_ray_cells(rays, low, high, edge, reach).hint("shuffle_merge"), ["_c0", "_c1", "_c2"])
+    t = ((F.col("_px") - F.col("ox")) * F.col("dx") + (F.col("_py") - F.col("oy")) * F.col("dy")
+         + (F.col("_pz") - F.col("oz")) * F.col("dz"))
+    behind = t < 0
+    cx = F.when(behind, F.col("ox")).otherwise(F.col("dx") * t + F.col("ox"))
+    cy = F.when(behind, F.col("oy")).otherwise(F.col("dy") * t + F.col("oy"))
+    cz = F.when(behind, F.col("oz")).otherwise(F.col("dz") * t + F.col("oz"))
+    ex, ey, ez = cx - F.col("_px"), cy - F.col("_py"), cz - F.col("_pz")
+    fx, fy, fz = F.col("ox") - cx, F.col("oy") - cy, F.col("oz") - cz
+    hits = both.where(ex * ex + ey * ey + ez * ez < F.lit(threshold * threshold))
+    along = F.sqrt(fx * fx + fy * fy + fz * fz)
+    best = hits.groupBy("ray_id").agg(F.min(F.struct(along.alias("distance"), F.col(idx).alias(idx))).alias("h"))
+    return best.select("ray_id", F.col(f"h.{idx}").alias(idx), F.col("h.distance").alias("distance"))
 
 
-def fetch_rows(visible: DataFrame, ordinals: DataFrame, idx: str = "row_idx",
-               full_rank_max_rows: int = FULL_RANK_MAX_ROWS) -> DataFrame:
+def fetch_rows(visible: DataFrame, ordinals: DataFrame, idx: str = "row_idx") -> DataFrame:
     """From ordinals in the rendered (visible, load-ordered) set back to
-    source rows, exactly. A small visible set is ranked whole (W5) and
-    semi-joined; a large one is only ranked around the asked ordinals."""
-    if visible.select(idx).count() <= full_rank_max_rows:
-        wanted = ordinals.select(F.col("ordinal").cast("bigint")).distinct()
-        return visible_ordinal(visible, idx=idx).join(wanted, "ordinal", "left_semi")
-    return select_ordinals(visible, ordinals.select("ordinal"), idx=idx)
+    source rows, exactly. Only ``idx`` is ranked; the wanted ordinals meet the
+    ranks in an equi-join, and the found positions their rows. One plan at all
+    sizes."""
+    wanted = ordinals.select(F.col("ordinal").cast("bigint")).distinct()
+    found = visible_ordinal(visible.select(idx), idx=idx).join(wanted, "ordinal")
+    return visible.join(found, idx)

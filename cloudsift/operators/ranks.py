@@ -21,9 +21,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudsift.session import staged
+
 ROWS_PER_BUCKET = 1 << 20
 ROWS_PER_GROUP = 2_000_000  # rows per task of the permutation (and per written range)
-_MAX_DIGITS = 5  # 16^5 buckets: the offsets table stays below ~1M rows
+_MAX_DIGITS = 5  # 16^5 buckets: the offsets table stays below ~1M rows (24 MB)
+MAX_BROADCAST_SPLITS = 50_000  # file splits (a path and two numbers each, about 10 MB)
 
 
 def _digits_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
@@ -55,13 +58,15 @@ def two_level_rank(df: DataFrame, bucket: Column, order: list[Column], out: str,
     b = df.withColumn("_bkt", bucket)
     offsets = bucket_offsets(b, "_bkt")
     if group_size:
-        b = b.withColumn("_grp", F.floor(F.col("_bkt") / group_size).cast("bigint"))
-        b = b.repartition(n_groups, "_grp")
+        b = b.withColumn("_grp", F.floor(F.col("_bkt") / group_size).cast("int"))
+        b = b.repartitionById(n_groups, F.col("_grp"))
         within = Window.partitionBy("_grp", "_bkt").orderBy(*order)
     else:
         within = Window.partitionBy("_bkt").orderBy(*order)
     ranked = b.withColumn("_rn", F.row_number().over(within))
-    res = ranked.join(offsets, "_bkt").withColumn(
+    # one row of three numbers per bucket of about a million rows: about 24 MB
+    # at 10^12 rows, so it is broadcast and the ranked rows do not move again
+    res = ranked.join(F.broadcast(offsets), "_bkt").withColumn(
         out, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
     drop = ["_bkt", "_rn", "_off", "_grp"] + ([] if keep_total else ["n_rows"])
     return res.drop(*[c for c in drop if c in res.columns])
@@ -148,89 +153,25 @@ def line_number(df: DataFrame, out: str = "line", file_line: str | None = None,
     ``file_line`` also names the position inside its own file and
     ``file_name`` the file's name.
 
-    Rows of one (file, split) sit contiguously in one task, so
-    ``monotonically_increasing_id`` is consecutive there; only the per-split
-    counts (a table the size of the split list, known to the driver) are
-    ranked and broadcast."""
+    The read happens once: lines are staged in the shared folder with their
+    (file, split) and ``monotonically_increasing_id``, which is consecutive
+    inside a split. The per-split counts come from the staged copy; they are
+    broadcast only when counted to be few, else joined by a shuffle."""
     extra = [F.col("_metadata.file_name").alias(file_name)] if file_name else []
-    md = df.select("*", *extra, F.col("_metadata.file_path").alias("_fp"),
-                   F.col("_metadata.file_block_start").alias("_fs"),
-                   F.monotonically_increasing_id().alias("_mid"))
-    splits = md.groupBy("_fp", "_fs").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    before = Window.orderBy("_fp", "_fs").rowsBetween(Window.unboundedPreceding, -1)
+    md = staged(df.select("*", *extra, F.col("_metadata.file_path").alias("_fp"),
+                          F.col("_metadata.file_block_start").alias("_fs"),
+                          F.monotonically_increasing_id().alias("_mid")), "lines")
+    splits = staged(md.groupBy("_fp", "_fs").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0")), "splits")
+    # positions: inside each file, then of the files
     in_file = Window.partitionBy("_fp").orderBy("_fs").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("_fp", "_fs", "_m0",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-                            F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_foff"))
-    res = md.join(F.broadcast(offsets), ["_fp", "_fs"]).withColumn(
-        out, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint"))
+    files = splits.groupBy("_fp").agg(F.sum("_n").alias("_fn"))
+    before = Window.orderBy("_fp").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_fp", F.coalesce(F.sum("_fn").over(before), F.lit(0)).alias("_at"))     # one row per file
+    offsets = splits.select("_fp", "_fs", "_m0", F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_foff")).join(starts, "_fp")
+    few = splits.count() <= MAX_BROADCAST_SPLITS
+    res = md.join(F.broadcast(offsets) if few else offsets, ["_fp", "_fs"])
+    at = F.col("_foff") + F.col("_mid") - F.col("_m0")
+    res = res.withColumn(out, (F.col("_at") + at).cast("bigint"))
     if file_line:
-        res = res.withColumn(file_line, (F.col("_foff") + F.col("_mid") - F.col("_m0")).cast("bigint"))
-    return res.drop("_fp", "_fs", "_mid", "_m0", "_off", "_foff")
-
-
-def _locate(starts: DataFrame, targets: DataFrame, parent: list[str], bucket: str) -> DataFrame:
-    """Interval lookup: for each target (parent…, _t, _r) the bucket of
-    ``starts`` (parent…, bucket, _off) with the largest _off <= _r, and the
-    residual _r - _off. A sort-merge of the two small tables (bucket starts
-    before targets at equal position), no range join."""
-    ev = starts.select(*parent, F.col("_off").alias("_pos"), F.lit(0).alias("_kind"),
-                       F.col(bucket), F.col("_off"), F.lit(None).cast("bigint").alias("_t"))
-    tg = targets.select(*parent, F.col("_r").alias("_pos"), F.lit(1).alias("_kind"),
-                        F.lit(None).cast("bigint").alias(bucket), F.lit(None).cast("bigint").alias("_off"), "_t")
-    w = (Window.partitionBy(*parent) if parent else Window.partitionBy()).orderBy("_pos", "_kind") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = ev.unionByName(tg).select(
-        *parent, "_pos", "_kind", "_t",
-        F.last(bucket, ignorenulls=True).over(w).alias(bucket),
-        F.last("_off", ignorenulls=True).over(w).alias("_off"))
-    return both.where(F.col("_kind") == 1).select(
-        *parent, bucket, "_t", (F.col("_pos") - F.col("_off")).alias("_r"))
-
-
-def select_ordinals(df: DataFrame, targets: DataFrame, idx: str = "row_idx", out: str = "ordinal",
-                    widths: tuple[int, int] = (ROWS_PER_BUCKET, 1 << 10),
-                    checked_small: bool = False) -> DataFrame:
-    """Rows of ``df`` whose 0-based position in ``idx`` order is one of the
-    ``targets`` (column ``out``), exactly, without ranking every row.
-
-    Hierarchical counting: counts per ``idx div widths[0]`` bucket locate each
-    target's bucket; counts per ``idx div widths[1]`` inside those buckets
-    only locate its sub-bucket; the ≤ widths[1] rows of each chosen
-    sub-bucket are ranked. Two scans read only ``idx``; what is shuffled is
-    counts plus about targets × widths[1] rows. ``targets`` is broadcast
-    after its size is counted, or directly when the caller built it with a
-    known bound (``checked_small``)."""
-    w0, w1 = widths
-    t = targets.select(F.col(out).cast("bigint").alias("_t")).distinct()
-    if checked_small:
-        small = True
-    else:
-        from cloudsift.session import cut_lineage
-        t = cut_lineage(t)
-        small = t.count() <= 1_000_000
-    bc = F.broadcast if small else (lambda x: x)
-    keys = df.select(F.col(idx).cast("bigint").alias("_i"))
-
-    c0 = keys.groupBy(F.floor(F.col("_i") / w0).cast("bigint").alias("_b0")).agg(F.count(F.lit(1)).alias("_n"))
-    before0 = Window.orderBy("_b0").rowsBetween(Window.unboundedPreceding, -1)
-    s0 = c0.select("_b0", F.coalesce(F.sum("_n").over(before0), F.lit(0)).cast("bigint").alias("_off"),
-                   F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    total = s0.select(F.max("_total")).scalar()
-    t0 = t.where((F.col("_t") >= 0) & (F.col("_t") < total)).select("_t", F.col("_t").alias("_r"))
-    hit0 = _locate(s0, t0, [], "_b0")
-
-    cand0 = hit0.select("_b0").distinct()
-    k1 = keys.withColumn("_b0", F.floor(F.col("_i") / w0).cast("bigint")).join(bc(cand0), "_b0", "left_semi")
-    c1 = k1.groupBy("_b0", F.floor(F.col("_i") / w1).cast("bigint").alias("_b1")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    before1 = Window.partitionBy("_b0").orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)
-    s1 = c1.select("_b0", "_b1", F.coalesce(F.sum("_n").over(before1), F.lit(0)).cast("bigint").alias("_off"))
-    hit1 = _locate(s1, hit0, ["_b0"], "_b1")
-
-    cand1 = hit1.select("_b1").distinct()
-    rows = df.withColumn("_b1", F.floor(F.col(idx) / w1).cast("bigint")).join(bc(cand1), "_b1", "left_semi")
-    local = Window.partitionBy("_b1").orderBy(idx)
-    ranked = rows.withColumn("_r", (F.row_number().over(local) - 1).cast("bigint"))
-    picked = ranked.join(bc(hit1.select("_b1", "_r", "_t")), ["_b1", "_r"])
-    return picked.withColumnRenamed("_t", out).drop("_b1", "_r")
+        res = res.withColumn(file_line, at.cast("bigint"))
+    return res.drop("_fp", "_fs", "_mid", "_m0", "_at", "_foff")
