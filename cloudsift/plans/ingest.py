@@ -1,8 +1,8 @@
 """The ingest job: gzipped TSV files → typed, shuffled, sharded Parquet.
 
-S1 (list, sorted, fail if none) → per-file line numbers (W1b) → header
-dropped, fields parsed → missing tokens nulled, types inferred (S1) → union by
-name (U1) → narrow types (S2) → permutation keyed by (file, line) (W1) →
+S1 (list, sorted, fail if none; one pass over the raw files stages the records
+with their file and position, W1b; columns by name, U1; missing tokens nulled,
+types inferred) → narrow types (S2) → permutation keyed by (file, line) (W1) →
 shards (W2) → sharded write (S3/S4) → reports (A1, A10, A11, W6).
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudsift.operators.ranks import assign_shards, line_number, shuffle_rank
+from cloudsift.operators.ranks import assign_shards, shuffle_rank
 from cloudsift.roles import Roles
 from cloudsift.sources import shards as SH
 from cloudsift.sources import tables as TB
@@ -28,58 +28,17 @@ class IngestResult:
     reduction: DataFrame  # A11
 
 
-def _header(spark: SparkSession, path: str) -> str:
-    """The first line of one file, through Hadoop FileSystem and the file's
-    codec: a few KB are read whatever the file size, and no Spark job runs."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    raw = p.getFileSystem(conf).open(p)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
-        stream = codec.createInputStream(raw) if codec is not None else raw
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-        return line.rstrip("\r") if line is not None else ""
-    finally:
-        raw.close()
-
-
-def headers(spark: SparkSession, files: list[str], threads: int = 16) -> dict[str, list[str]]:
-    """Files grouped by their header line (read in parallel, bounded per file)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        firsts = list(pool.map(lambda f: _header(spark, f), files))
-    groups: dict[str, list[str]] = {}
-    for f, h in zip(files, firsts):
-        groups.setdefault(h, []).append(f)
-    return groups
-
-
-def read_keyed(spark: SparkSession, pattern: str, sep: str = "\t") -> DataFrame:
-    """Every data line of every file as typed columns plus its row key
-    ``source_file``/``source_line``. Files may have unlike columns (U1)."""
-    files = TB.list_inputs(spark, pattern)
-    groups = headers(spark, files)  # files with the same header are read together
-    frames = []
-    for header, paths in groups.items():
-        names = header.split(sep)
-        lines = line_number(spark.read.text(paths), out="_g", file_line="source_line",
-                            file_name="source_file")
-        data = lines.where(F.col("source_line") > 0)
-        ddl = ", ".join(f"`{n}` string" for n in names)
-        parsed = data.select("source_file", "source_line",
-                             F.from_csv(F.col("value"), ddl, {"sep": sep}).alias("_r")).select(
-            "source_file", "source_line", "_r.*")
-        frames.append(parsed)
-    df = TB.union_tables(frames)
-    return TB.infer_types(TB.null_tokens(df))
+def read_keyed(spark: SparkSession, pattern: str, roles: Roles | None = None, sep: str = "\t") -> DataFrame:
+    """Every data record of every file as typed columns plus its row key
+    ``source_file``/``source_line``. Files may have unlike columns (U1); ids
+    and categories stay text."""
+    text = (*roles.categorical, *([roles.id_col] if roles.id_col else [])) if roles else ()
+    return TB.read_tables(spark, pattern, sep, with_source=True, text_columns=text)
 
 
 def run_ingest(spark: SparkSession, pattern: str, out: str, roles: Roles, n_shards: int = 10,
                seed: int = 42, sep: str = "\t") -> IngestResult:
-    df = TB.normalise_types(read_keyed(spark, pattern, sep), roles)
+    df = TB.normalise_types(read_keyed(spark, pattern, roles, sep), roles)
     if roles.row_key and roles.row_key in df.columns:
         key, tiebreak = roles.row_key, None
     else:

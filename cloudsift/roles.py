@@ -23,16 +23,6 @@ class Roles:
     def attributes(self) -> tuple[str, ...]:
         return self.categorical + self.continuous
 
-    def role_of(self, name: str) -> str:
-        if name in self.categorical:
-            return "categorical"
-        if name in self.continuous:
-            return "continuous"
-        if name in self.coords:
-            return "coordinate"
-        raise ValueError(f"unknown attribute {name!r}")
-
-
 # The reference's column roles and narrow-type lists.
 REFERENCE_ROLES = Roles(
     coords=("x", "y", "z", "transformedX", "transformedY", "transformedZ",

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudsift.functions.text import reduction_percent
-from cloudsift.operators.ranks import assign_shards, shuffle_rank
 
 ROWS_PER_GROUP = 500_000  # fixed value: parquet row group rows
 ZSTD_LEVEL = 9
@@ -21,12 +20,6 @@ SHARD_LIMIT_BYTES = 100e6  # fixed value: warning limit per shard file
 ROWS_PER_FILE = 2_000_000
 
 
-def shuffle_and_shard(df: DataFrame, key: str, n: int = 10, seed: int = 42,
-                      tiebreak: str | None = None) -> DataFrame:
-    """W1 + W2: row_idx from a seeded permutation, then the shard."""
-    return assign_shards(shuffle_rank(df, key=key, tiebreak=tiebreak, seed=seed), n)
-
-
 def write_shards(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE,
                  n_rows: int | None = None, repartition: bool = False) -> str:
     """S3 (+S4: overwrite replaces the dataset, never its siblings).

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cloudsift.operators.ranks import MAX_BROADCAST_SPLITS
 from cloudsift.roles import Roles
+from cloudsift.session import staged
 
 # Tokens the pandas CSV reader treats as missing by default.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -35,46 +37,95 @@ def null_tokens(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
                            for f in df.schema.fields if isinstance(f.dataType, StringType)})
 
 
-def infer_types(df: DataFrame) -> DataFrame:
+#: What counts as a number in text: digits with an optional sign, point and
+#: exponent, or infinity. (Spark's cast also takes "12d" or "7f"; those are text.)
+_INTEGER = r"^\s*[+-]?\d+\s*$"
+_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[Ii]nf(inity)?)\s*$"
+
+
+def infer_types(df: DataFrame, text_columns=()) -> DataFrame:
     """One scan decides, per string column, as the pandas reader would:
     bigint if every value is an integer and none is missing, double if every
-    non-missing value is a number, else string."""
-    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    non-missing value is a number, else string. ``text_columns`` stay text
+    whatever they hold (ids and categories such as 007)."""
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in text_columns]
     if not cols:
         return df
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in cols:
-        aggs += [F.count(F.col(c)).alias(f"{c}__n"),
-                 F.count(F.col(c).try_cast("bigint")).alias(f"{c}__i"),
-                 F.count(F.col(c).try_cast("double")).alias(f"{c}__d")]
+        col = F.col(c)
+        aggs += [F.count(col).alias(f"{c}__n"),
+                 F.count(F.when(col.rlike(_INTEGER), F.trim(col).try_cast("bigint"))).alias(f"{c}__i"),
+                 F.count(F.when(col.rlike(_NUMBER), F.trim(col).try_cast("double"))).alias(f"{c}__d")]
     stats = df.agg(*aggs).first()
     casts = {}
     for c in cols:
         n, i, d = stats[f"{c}__n"], stats[f"{c}__i"], stats[f"{c}__d"]
         if n > 0 and i == n and n == stats["__rows"]:
-            casts[c] = F.col(c).cast("bigint")
+            casts[c] = F.trim(F.col(c)).cast("bigint")
         elif n > 0 and d == n:
-            casts[c] = F.col(c).cast("double")
+            casts[c] = F.trim(F.col(c)).cast("double")
     return df.withColumns(casts) if casts else df
 
 
-def read_tables(spark: SparkSession, pattern: str, sep: str = "\t", schema=None,
-                infer: bool = True, with_source: bool = False) -> DataFrame:
-    """Every file of the glob (sorted), header line first, missing tokens
-    nulled, types inferred (or taken from ``schema``). Gzip is decoded by the
-    reader (one task per gzip file; repartition downstream)."""
+MAX_COLUMNS = 128
+
+
+def read_records(spark: SparkSession, pattern: str, sep: str = "\t", max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """Every data record of every file as text columns, matched by the name in
+    its own file's header (a column that a file lacks is null), with its key
+    ``source_file``, ``source_line`` (1 for the first record after the header).
+
+    The files are read once: the CSV reader (quotes, quoted line breaks, blank
+    lines skipped) takes all of them without a header, and the records are
+    staged in the shared folder with their file and position; the headers are
+    the first records of the staged copy. A gzip file, or one with quoted line
+    breaks, is one task."""
     files = list_inputs(spark, pattern)
-    reader = spark.read.option("sep", sep).option("header", True).option("mode", "PERMISSIVE")
+    names = [f"_c{i}" for i in range(max_columns + 1)]
+    raw = (spark.read.schema(", ".join(f"{n} string" for n in names)).option("sep", sep).option("header", False)
+           .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(files))
+    if not raw.columns:
+        raise ValueError("no columns")
+    fields = F.array(*names)
+    size = F.array_max(F.transform(fields, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)))
+    rec = staged(raw.select(F.col("_metadata.file_path").alias("_fp"), F.col("_metadata.file_name").alias("_fn"),
+                            F.monotonically_increasing_id().alias("_mid"),
+                            F.slice(fields, 1, size).alias("_f")), "records")
+    heads = staged(rec.groupBy("_fp", "_fn").agg(F.min(F.struct("_mid", "_f")).alias("_h"))
+                   .select("_fp", "_fn", F.col("_h._mid").alias("_m0"), F.col("_h._f").alias("_head")), "headers")
+    layouts = [r[0] for r in heads.select("_head").distinct().collect()]       # the unlike headers
+    layouts.sort(key=lambda h: [x or "" for x in h])
+    if any(len(h) > max_columns for h in layouts):
+        raise ValueError(f"a file has more than {max_columns} columns: pass max_columns")
+    every = list(dict.fromkeys(x for h in layouts for x in h if x))
+    few = heads.count() <= MAX_BROADCAST_SPLITS
+    data = rec.drop("_fn").join(F.broadcast(heads) if few else heads, "_fp").where(F.col("_mid") > F.col("_m0"))
+    cols = []
+    for name in every:
+        value = F.lit(None).cast("string")
+        for h in layouts:
+            if name in h:
+                value = F.when(F.col("_head") == F.array(*(F.lit(x).cast("string") for x in h)), F.get("_f", F.lit(h.index(name)))).otherwise(value) \
+                    if len(layouts) > 1 else F.get("_f", F.lit(h.index(name)))
+        cols.append(value.alias(name))
+    return data.select(*cols, F.col("_fn").alias("source_file"), (F.col("_mid") - F.col("_m0")).alias("source_line"))
+
+
+def read_tables(spark: SparkSession, pattern: str, sep: str = "\t", schema=None,
+                infer: bool = True, with_source: bool = False, text_columns=()) -> DataFrame:
+    """Every file of the glob, header line first, columns matched by name,
+    missing tokens nulled, types inferred (or taken from ``schema``);
+    ``text_columns`` stay text. ``with_source`` adds ``source_file`` and
+    ``source_line``."""
+    df = null_tokens(read_records(spark, pattern, sep))
+    key = ["source_file", "source_line"]
     if schema is not None:
-        df = reader.schema(schema).csv(files)
-    else:
-        df = reader.option("inferSchema", False).csv(files)
-        df = null_tokens(df)
-        if infer:
-            df = infer_types(df)
-    if with_source:
-        df = df.withColumn("source_file", F.col("_metadata.file_name"))
-    return df
+        fields = schema.fields if hasattr(schema, "fields") else spark.createDataFrame([], schema).schema.fields
+        df = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields), *key)
+    elif infer:
+        df = infer_types(df, {*text_columns, "source_file"})
+    return df if with_source else df.drop(*key)
 
 
 def normalise_types(df: DataFrame, roles: Roles, strict: bool = True) -> DataFrame:
@@ -102,7 +153,7 @@ def union_tables(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def row_counts(df: DataFrame) -> DataFrame:
-    """A1: rows per input file, plus the total (file = null)."""
-    return (df.select(F.col("_metadata.file_name").alias("file"))
-            .rollup("file").agg(F.count(F.lit(1)).alias("n")))
+def row_counts(df: DataFrame, file: str = "source_file") -> DataFrame:
+    """A1: rows per input file (of ``read_tables`` with its source), plus the
+    total (file = null)."""
+    return df.select(F.col(file).alias("file")).rollup("file").agg(F.count(F.lit(1)).alias("n"))
