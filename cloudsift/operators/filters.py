@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudsift.roles import Roles
-from cloudsift.session import BROADCAST_MAX_ROWS, cut_lineage
+from cloudsift.session import small_or_whole
 
 
 @dataclass(frozen=True)
@@ -136,15 +136,14 @@ def filter_funnel(df: DataFrame, specs: list[FilterSpec]) -> DataFrame:
 
 
 def filter_semi(df: DataFrame, attribute: str, values: DataFrame, value_col: str = "value",
-                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """F1 with the value set as a table; an empty table skips the filter.
-
-    The value table is broadcast only when its counted size is under the
-    bound; otherwise both sides shuffle on the value."""
-    vals = cut_lineage(values.select(F.col(value_col).cast("string").alias("_v")).distinct())
-    n = vals.count()
-    if n == 0:
+                empty_keeps_all: bool = False) -> DataFrame:
+    """F1 with the value set as a table: rows whose value is in it. An
+    empty table keeps nothing, or everything with ``empty_keeps_all`` (the
+    rule of an empty filter, F4).
+
+    The value table is broadcast only when it is known to be small; otherwise
+    both sides shuffle on the value."""
+    vals = small_or_whole(values.select(F.col(value_col).cast("string").alias("_v")).distinct())
+    if empty_keeps_all and vals.isEmpty():
         return df
-    if n <= max_broadcast_rows:
-        vals = F.broadcast(vals)
     return df.join(vals, norm_category(F.col(attribute)) == F.col("_v"), "left_semi")

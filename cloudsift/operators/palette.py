@@ -11,21 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.functions import color as C
+from cloudsift.operators.profile import attribute_domain
 from cloudsift.operators.ranks import two_level_rank
 from cloudsift.roles import Roles
-from cloudsift.session import BROADCAST_MAX_ROWS, cut_lineage
-
-MAX_BROADCAST_ROWS = BROADCAST_MAX_ROWS
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a counted size; above it, a shuffle join.
-
-    The small table is materialised once (reliable checkpoint into the shared
-    folder), so the count and the join do not each recompute it."""
-    small = cut_lineage(df)
-    return F.broadcast(small) if small.count() <= max_rows else small
-
+from cloudsift.session import BROADCAST_MAX_ROWS, small_or_whole
 
 def build_palette(domain: DataFrame, attribute: str) -> DataFrame:
     """J1 (build side): hash colour of each domain value of one attribute; ''
@@ -41,20 +30,23 @@ def overrides_table(spark: SparkSession, attribute: str, colours: dict[str, str]
 
 
 def palette_override(palette: DataFrame, overrides: DataFrame) -> DataFrame:
-    """User colours win over generated ones."""
-    o = overrides.select("attribute", "value", C.hex_rgb8(F.col("hex")).alias("o"))
-    j = palette.join(F.broadcast(o) if overrides.isLocal() else o, ["attribute", "value"], "left")
+    """Colours given by the user win over generated ones. ``overrides``
+    has (attribute, value) and either ``hex`` text or r, g, b (such as the
+    table of ``hue_assignment``)."""
+    colour = C.hex_rgb8(F.col("hex")) if "hex" in overrides.columns else F.struct("r", "g", "b")
+    o = small_or_whole(overrides.select("attribute", "value", colour.alias("o")))
+    j = palette.join(o, ["attribute", "value"], "left")
     return j.select("attribute", "value",
                     *(F.coalesce(F.col(f"o.{c}"), F.col(c)).alias(c) for c in "rgb"))
 
 
 def palette_join(df: DataFrame, attribute: str, palette: DataFrame,
-                 max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                 max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Per-row colour by value; null (no partner) is grey."""
     p = palette.where(F.col("attribute") == attribute).select(
         F.col("value").alias("_pv"), F.col("r").alias("_pr"), F.col("g").alias("_pg"),
         F.col("b").alias("_pb"))
-    p = sized_broadcast(p, max_broadcast_rows)
+    p = small_or_whole(p, max_broadcast_rows)
     j = df.join(p, F.col(attribute).cast("string") == F.col("_pv"), "left")
     grey = C.NULL_RGB8
     return j.select(*df.columns, *(F.coalesce(F.col(f"_p{c}"), F.lit(g)).alias(c)
@@ -87,9 +79,12 @@ def range_bounds(ranges: DataFrame, attribute: str) -> tuple[Column, Column]:
 
 def color_encode(df: DataFrame, attribute: str, roles: Roles, ranges: DataFrame | None = None,
                  palette: DataFrame | None = None) -> DataFrame:
-    """Add r, g, b. Categorical with a palette → J1 join; otherwise the
-    colour is computed inline (it is a pure function of the value)."""
-    if palette is not None and attribute in roles.categorical:
+    """Add r, g, b. Categoricals get their colour by a join with the
+    palette (J1), which is built on the values once, not per row; continuous
+    ones by the gradient."""
+    if attribute in roles.categorical:
+        if palette is None:
+            palette = build_palette(attribute_domain(df, roles, (attribute,)), attribute)
         return palette_join(df, attribute, palette)
     if attribute in roles.continuous:
         if ranges is None:

@@ -58,29 +58,31 @@ def attribute_range(df: DataFrame, roles: Roles, attributes: tuple[str, ...] | N
 
 def distinct_counts(df: DataFrame, roles: Roles, exact_id: bool = True) -> DataFrame:
     """A5: distinct values per categorical and for the id column (nulls not
-    counted); the id column can use the HyperLogLog sketch instead."""
+    counted). Categoricals are counted from their domain (A3), which partial
+    aggregation keeps small; the near-unique id has an aggregate of its own,
+    or the HyperLogLog sketch."""
     attrs = [a for a in roles.categorical if a in df.columns]
-    aggs = [F.count_distinct(F.col(a)).alias(a) for a in attrs]
+    found = attribute_domain(df, roles, tuple(attrs)).groupBy("attribute").agg(F.count(F.lit(1)).cast("bigint").alias("n_distinct"))
+    names = df.sparkSession.createDataFrame([(a,) for a in attrs], "attribute string")
+    out = names.join(found, "attribute", "left").select("attribute", F.coalesce("n_distinct", F.lit(0).cast("bigint")).alias("n_distinct"))
     if roles.id_col and roles.id_col in df.columns:
         idc = F.col(roles.id_col)
-        aggs.append((F.count_distinct(idc) if exact_id else F.approx_count_distinct(idc)).alias(roles.id_col))
-        attrs.append(roles.id_col)
-    wide = df.agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("bigint").alias("n_distinct"))
-                     for a in attrs))
-    return wide.select(F.inline(rows))
+        n = F.count_distinct(idc) if exact_id else F.approx_count_distinct(idc)
+        out = out.unionByName(df.agg(n.cast("bigint").alias("n_distinct")).select(F.lit(roles.id_col).alias("attribute"), "n_distinct"))
+    return out
 
 
-def load_summary(df: DataFrame, visible: Column, shards_loaded: int, rendered_cap: int = 8_000_000,
+def load_summary(df: DataFrame, visible: Column, shards_loaded: int, rendered_cap: int | None = None,
                  shard_percent: int = 10) -> DataFrame:
-    """A2: loaded, percent loaded, visible, rendered, capped?"""
+    """A2: loaded, percent loaded, visible, rendered (all visible rows without
+    a cap), capped?"""
     out = df.agg(F.count(F.lit(1)).alias("loaded"),
                  F.sum(F.when(visible, 1).otherwise(0)).cast("bigint").alias("visible"))
     out = out.withColumn("visible", F.coalesce(F.col("visible"), F.lit(0).cast("bigint")))
     return out.select(
         "loaded", F.lit(shards_loaded * shard_percent).alias("percent_loaded"), "visible",
-        F.least(F.col("visible"), F.lit(rendered_cap).cast("bigint")).alias("rendered"),
-        (F.col("visible") > rendered_cap).alias("capped"))
+        (F.col("visible") if rendered_cap is None else F.least(F.col("visible"), F.lit(rendered_cap).cast("bigint"))).alias("rendered"),
+        (F.lit(False) if rendered_cap is None else F.col("visible") > rendered_cap).alias("capped"))
 
 
 def domain_merge(old: DataFrame, new: DataFrame) -> DataFrame:

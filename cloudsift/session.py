@@ -13,12 +13,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# Largest table (rows) we hint for broadcast after counting it: palettes,
-# value sets and dimension tables of about 10-15 MB; larger ones shuffle-join.
+# Largest table we hint for broadcast after measuring it: palettes, value sets
+# and dimension tables; larger ones shuffle-join.
 BROADCAST_MAX_ROWS = 250_000
+BROADCAST_MAX_BYTES = 16 << 20
 
 
 def cluster_conf(input_bytes: float, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
@@ -137,6 +139,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_or_whole(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``df`` staged once, with a broadcast hint when it has at most
+    ``max_rows`` rows and ``max_bytes`` bytes of text and fixed-width values;
+    above that as it is (a shuffle join)."""
+    t = staged(df, "small")
+    wide = F.lit(0)
+    for f in t.schema.fields:
+        wide = wide + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8))
+    size = t.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(wide), F.lit(0)).alias("b")).first()
+    return F.broadcast(t) if size.n <= max_rows and size.b <= max_bytes else t
+
+
 def show_package(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the
     driver has it. On a cluster, install it there or pass it as --py-files."""

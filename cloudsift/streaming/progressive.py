@@ -1,119 +1,112 @@
 """Progressive loading as Structured Streaming.
 
-Shards arrive about one shard per trigger (``maxFilesPerTrigger``) and the query
-runs with ``availableNow``, so at the end its state equals the batch result on
-the same shards. Sinks are Parquet folders in the shared checkpoint area
-(exactly-once through the query checkpoint), never the driver.
+What streams are *arrival notices*: one small file per shard in a folder of
+its own, stamped in the order of the shards. A query takes one notice per
+trigger, so shards arrive one by one and in order k+1 .. m, whatever number of
+files a shard has; each trigger reads its shard (partition pruning) and writes
+its own epoch folder, which a retry overwrites. Sinks and the query's
+checkpoint lie in the shared folder, nothing passes through the driver but the
+shard number, and no session setting is touched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudsift.operators.filters import FilterSpec, compile_filters
+from cloudsift.operators.profile import attribute_domain, clean_number, domain_merge
 from cloudsift.roles import Roles
 from cloudsift.session import shared_dir
 
 
-def shard_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """T1 source: the shard folder as a file stream (schema from the batch
-    reader). A trigger takes about one shard's worth of files (a shard may be
-    written as several files)."""
-    batch = spark.read.parquet(path)
-    if files_per_trigger is None:
-        n_files = len(batch.inputFiles())
-        n_shards = max(1, batch.select("shard").distinct().count())
-        files_per_trigger = max(1, -(-n_files // n_shards))
-    return (spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", files_per_trigger)
-            .option("basePath", path).parquet(f"{path.rstrip('/')}/shard=*"))
+def post_notices(spark: SparkSession, folder: str, shards: list[int]) -> None:
+    """One notice per shard; modification times follow the order given, since
+    the file source takes the oldest first."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for i, k in enumerate(shards):
+        p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{i:06d}.json")
+        fs = p.getFileSystem(conf)
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(f'{{"shard": {k}}}\n'.encode()))
+        finally:
+            out.close()
+        fs.setTimes(p, 1_000_000_000_000 + 1000 * i, -1)
+
+
+def arrivals(spark: SparkSession, path: str, out: str, each: Callable[[DataFrame, int], DataFrame],
+             start: int = 0, stop: int | None = None) -> list[int]:
+    """Run ``each(rows of the shard, shard)`` for the shards start+1 .. stop in
+    order, one per trigger, writing every result below ``out/epoch=N``.
+    Returns the shards in order of arrival."""
+    data = spark.read.parquet(path)
+    if stop is None:
+        stop = data.agg(F.max("shard")).first()[0] or 0          # shards are 1..n
+    notices, ckpt = shared_dir(spark, "notices"), shared_dir(spark, "arrivals-ckpt")
+    shards = list(range(start + 1, stop + 1))
+    if not shards:
+        return []
+    post_notices(spark, notices, shards)
+    seen: list[int] = []
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        for row in batch.select("shard").collect():               # one notice
+            seen.append(row.shard)
+            each(data.where(F.col("shard") == row.shard), row.shard).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    q = (spark.readStream.schema("shard int").option("maxFilesPerTrigger", 1).json(notices)
+         .writeStream.foreachBatch(take).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return seen
 
 
-def _run_append(stream: DataFrame, out: str, ckpt: str) -> None:
-    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+def _appended(spark: SparkSession, path: str, name: str, each: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    out = shared_dir(spark, name)
+    arrivals(spark, path, out, each)
+    return spark.read.parquet(out)
 
 
 def progressive_load(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Every arriving row, appended; the end state is all shards."""
-    s = shard_stream(spark, path)
-    if columns:
-        s = s.select(*columns)
-    out, ckpt = shared_dir(spark, "t1-out"), shared_dir(spark, "t1-ckpt")
-    _run_append(s, out, ckpt)
-    return spark.read.parquet(out)
+    return _appended(spark, path, "t1", lambda d, k: d.select(*columns) if columns else d).drop("epoch")
 
 
 def progressive_filter(spark: SparkSession, path: str, specs: list[FilterSpec],
                        columns: list[str] | None = None) -> DataFrame:
     """T4: the filter list applied to arriving rows (stateless, append)."""
-    s = shard_stream(spark, path).where(compile_filters(specs))
-    if columns:
-        s = s.select(*columns)
-    out, ckpt = shared_dir(spark, "t4-out"), shared_dir(spark, "t4-ckpt")
-    _run_append(s, out, ckpt)
-    return spark.read.parquet(out)
-
-
-def _run_snapshots(agg: DataFrame, out: str, ckpt: str, mode: str = "complete",
-                   state_partitions: int | None = None) -> None:
-    """Each micro-batch's result table written under its epoch (idempotent
-    overwrite of that epoch's folder on retry).
-
-    The state here is a domain or one summary row, so the state store gets
-    ``state_partitions`` partitions (default: the cluster's parallelism); the
-    number is fixed when a fresh checkpoint starts and kept in it."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    spark = agg.sparkSession
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
-    try:
-        q = (agg.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
-             .outputMode(mode).trigger(availableNow=True).start())
-    finally:
-        spark.conf.set(key, before)
-    q.awaitTermination()
-
+    def each(d: DataFrame, k: int) -> DataFrame:
+        kept = d.where(compile_filters(specs))
+        return kept.select(*columns) if columns else kept
 
-def _last_epoch(spark: SparkSession, out: str) -> DataFrame:
-    snaps = spark.read.parquet(out)
-    last = snaps.agg(F.max("epoch")).scalar()
-    return snaps.where(F.col("epoch") == last).drop("epoch")
+    return _appended(spark, path, "t4", each).drop("epoch")
 
 
 def progressive_domain(spark: SparkSession, path: str, roles: Roles) -> DataFrame:
-    """Running (attribute, value, n) as shards arrive; returns the end state."""
-    s = shard_stream(spark, path)
-    attrs = [a for a in roles.categorical if a in s.columns]
-    pairs = F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value"))
-                      for a in attrs))
-    agg = (s.select(F.inline(pairs)).where(F.col("value").isNotNull())
-           .groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n")))
-    out, ckpt = shared_dir(spark, "t2-out"), shared_dir(spark, "t2-ckpt")
-    _run_snapshots(agg, out, ckpt)
-    return _last_epoch(spark, out)
+    """(attribute, value, n) as shards arrive: each trigger writes its
+    shard's domain only (a delta); the state is their merge (U3)."""
+    deltas = _appended(spark, path, "t2", lambda d, k: attribute_domain(d, roles))
+    return domain_merge(deltas.drop("epoch"), spark.createDataFrame([], "attribute string, value string, n bigint"))
 
 
 def progressive_summary(spark: SparkSession, path: str, roles: Roles,
                         axes: tuple[str, str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Running row count, range and extents after each shard.
-    Returns (history by epoch, end state)."""
-    s = shard_stream(spark, path)
+    """Row count, range and extents after each shard. Returns (history
+    with one row per shard loaded so far, end state)."""
     axes = axes or roles.default_axes
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for c in roles.continuous:
-        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        aggs += [F.min(v).alias(f"min_{c}"), F.max(v).alias(f"max_{c}")]
-    for name, a in zip("xyz", axes):
-        v = F.coalesce(F.col(a).cast("double"), F.lit(0.0))
+    aggs, mins, maxs = [F.count(F.lit(1)).alias("rows")], [], []
+    for name, v in [(c, clean_number(F.col(c))) for c in roles.continuous] + \
+            [(n, F.coalesce(F.col(a).cast("double"), F.lit(0.0))) for n, a in zip("xyz", axes)]:
         aggs += [F.min(v).alias(f"min_{name}"), F.max(v).alias(f"max_{name}")]
-    agg = s.agg(*aggs)
-    out, ckpt = shared_dir(spark, "t3-out"), shared_dir(spark, "t3-ckpt")
-    _run_snapshots(agg, out, ckpt)
-    history = spark.read.parquet(out)
-    return history, _last_epoch(spark, out)
+        mins.append(f"min_{name}")
+        maxs.append(f"max_{name}")
+    steps = _appended(spark, path, "t3", lambda d, k: d.agg(*aggs).withColumn("shard", F.lit(k)))
+    so_far = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)      # one row per shard
+    run = lambda c: F.min(c) if c in mins else F.max(c)
+    history = steps.select("shard", F.sum("rows").over(so_far).cast("bigint").alias("rows"),
+                           *(run(c).over(so_far).alias(c) for pair in zip(mins, maxs) for c in pair))
+    end = steps.agg(F.sum("rows").cast("bigint").alias("rows"), *(run(c).alias(c) for pair in zip(mins, maxs) for c in pair))
+    return history, end
