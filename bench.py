@@ -28,6 +28,7 @@ from cloudsift.operators import project as PJ  # noqa: E402
 from cloudsift.operators.export import export_points, render_table  # noqa: E402
 from cloudsift.plans import bindings as B  # noqa: E402
 from cloudsift.plans import catalog  # noqa: E402
+from cloudsift.plans.ingest import run_ingest  # noqa: E402
 from cloudsift.session import checkpoint_root, get_session, shared_dir  # noqa: E402
 from cloudsift.sources import shards as SH  # noqa: E402
 from cloudsift.sources import text_split as TS  # noqa: E402
@@ -69,11 +70,10 @@ def main() -> None:
         run(catalog.first_view(spark, warm))
 
     item_path = shared_dir(spark, "bench-items")
-    n_items = B.items(spark, sf_dir).count()
-    timed("ingest_items", lambda: SH.write_shards(B.item_points(spark, sf_dir, n_items).drop("n_rows"),
-                                                  item_path))
+    timed("ingest_items", lambda: SH.write_shards(B.item_points(spark, sf_dir).drop("n_rows"), item_path))
     timed("ingest_cells", lambda: B.shards_path(spark, sf_dir))
     ds = spark.read.parquet(item_path)
+    n_items = ds.count()
     loaded1 = ds.where(F.col("shard") <= 1)
     full = ds
 
@@ -108,8 +108,11 @@ def main() -> None:
     timed("pick_points", pick)
     timed("progressive_domain", lambda: run(PG.progressive_domain(spark, item_path, IR)))
 
-    tsv = catalog._written(spark, sf_dir, "tsv1")
-    timed("split_with_header", lambda: TS.split_with_header(spark, tsv, shared_dir(spark, "bench-split"), 10))
+    lines = f"{catalog._written(spark, sf_dir, 'lines')}/*.gz"
+    timed("split_with_header", lambda: TS.split_with_header(spark, lines, shared_dir(spark, "bench-split"), 10,
+                                                            every_file_has_header=True))
+    tsv = f"{catalog._written(spark, sf_dir, 'tsv')}/*.csv.gz"
+    timed("ingest_raw_text", lambda: run_ingest(spark, tsv, shared_dir(spark, "bench-raw"), B.ROLES))
 
     # the registered catalog queries over the cells binding (sf tables)
     t0 = time.perf_counter()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cloudsift.operators.ranks import assign_shards, shuffle_rank
 from cloudsift.roles import BINDING_ROLES, Roles
-from cloudsift.session import BROADCAST_MAX_ROWS
+from cloudsift.session import BROADCAST_MAX_ROWS, small_or_whole
 
 SEED = 42
 N_SHARDS = 10
@@ -108,8 +108,8 @@ def _with_part(spark: SparkSession, sf_dir: str, li: DataFrame, max_broadcast_ro
     """Attach brand and type (a left join: one partner per part key, so the
     row count is unchanged)."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    # part grows with the scale factor: broadcast only under a counted bound
-    part = F.broadcast(part) if part.count() <= max_broadcast_rows else part
+    # part grows with the scale factor: broadcast only under a measured bound
+    part = small_or_whole(part, max_broadcast_rows)
     j = li.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     return j.select(
         *keep, "item_key", F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"),
@@ -145,6 +145,13 @@ CELLS_SQL = """SELECT event_id AS row_id, CAST(event_id AS VARCHAR) AS cell,
   concat('g', CAST(user_id AS VARCHAR)) AS gene
 FROM events"""
 
+# DuckDB twin of ``items`` without its row key.
+ITEMS_SQL = """SELECT l_extendedprice AS x, l_quantity AS y,
+  CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS z,
+  l_discount AS discount, CAST(year(l_shipdate) AS SMALLINT) AS year_rank, l_returnflag AS returnflag,
+  l_linestatus AS linestatus, p_brand AS brand, p_type AS ptype
+FROM lineitem LEFT JOIN part ON l_partkey = p_partkey"""
+
 # WITH-clause prefix defining cells, points (row_idx, shard), loaded (all
 # shards: the 100 % load) and loaded1 (shard 1: the first 10 % view).
 POINTS_CTE = f"""WITH cells AS ({CELLS_SQL}),

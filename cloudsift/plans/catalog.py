@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudsift.functions import color as C
-from cloudsift.functions.text import grouped, part_name, percent_ratio, with_fixed
+from cloudsift.functions.text import fixed, grouped, part_name, percent_ratio
 from cloudsift.operators import extent as E
 from cloudsift.operators import filters as FL
 from cloudsift.operators import frames as FR
@@ -99,7 +99,8 @@ _cache: dict[tuple, str] = {}
 def _written(spark: SparkSession, sf: str, what: str) -> str:
     """Data derived from the tables and written once per session into the
     shared folder: 'shards' (S3 output), 'tsv' (cells as gzipped TSV files),
-    'tsv1' (one gzipped TSV file with header, rows in row_id order)."""
+    'lines' (gzipped TSV files with header in row_id order), 'by-sample' (a
+    folder of files per value of sample)."""
     if what == "shards":
         return B.shards_path(spark, sf)
     key = (spark.sparkContext.applicationId, sf, what)
@@ -109,16 +110,14 @@ def _written(spark: SparkSession, sf: str, what: str) -> str:
         path = shared_dir(spark, "tsv")
         (B.cells(spark, sf).write.mode("overwrite").option("sep", "\t").option("header", True)
          .option("compression", "gzip").csv(path))
-    elif what == "tsv1":
-        d = shared_dir(spark, "tsv1")
-        tmp = f"{d}/w"
-        (B.cells(spark, sf).orderBy("row_id").coalesce(1).write.mode("overwrite")
-         .option("sep", "\t").option("header", True).option("compression", "gzip").csv(tmp))
-        fs, jvm = TS._hadoop_fs(spark, tmp)
-        src = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(tmp))
-               if s.getPath().getName().endswith(".gz")][0]
-        path = f"{d}/cells.tsv.gz"
-        fs.rename(src, jvm.org.apache.hadoop.fs.Path(path))
+    elif what == "lines":
+        path = shared_dir(spark, "lines-in")
+        (B.cells(spark, sf).repartitionByRange(8, "row_id").sortWithinPartitions("row_id").write.mode("overwrite")
+         .option("sep", "\t").option("header", True).option("compression", "gzip").csv(path))
+    elif what == "by-sample":
+        path = shared_dir(spark, "by-sample")
+        (B.cells(spark, sf).repartition("sample").withColumn("file", F.col("sample")).write.mode("overwrite")
+         .partitionBy("file").option("sep", "\t").option("header", True).option("compression", "gzip").csv(path))
     else:
         raise ValueError(what)
     _cache[key] = path
@@ -132,13 +131,13 @@ FIRST_VIEW_SQL = sql_hash_rgb(
 SELECT row_idx, CAST(row_number() OVER (ORDER BY row_idx) - 1 AS BIGINT) AS ordinal,
   CAST(coalesce(x, 0.0) AS FLOAT) AS x, CAST(coalesce(y, 0.0) AS FLOAT) AS y,
   CAST(coalesce(z, 0.0) AS FLOAT) AS z, structure FROM visible1""", "structure")
-FIRST_VIEW_SQL = f"SELECT row_idx, ordinal, x, y, z, r, g, b FROM ({FIRST_VIEW_SQL}) f WHERE ordinal < 8000000"
+FIRST_VIEW_SQL = f"SELECT row_idx, ordinal, x, y, z, r, g, b FROM ({FIRST_VIEW_SQL}) f"
 
 
 @register("first_view", FIRST_VIEW_SQL)
 def first_view(spark, sf):
     """First 10 % sample, filters, coloured by structure through the palette
-    of the loaded domain, capped, render-ready."""
+    of the loaded domain, render-ready."""
     ld = loaded(spark, sf, 1)
     vis = FL.filter_all(ld, FILTERS)
     pal = PL.build_palette(PF.attribute_domain(ld, R, ("structure",)), "structure")
@@ -148,18 +147,35 @@ def first_view(spark, sf):
 # ================================================================ sources
 
 @register("read_tables", """WITH c AS (""" + B.CELLS_SQL + """)
-SELECT row_id, CAST(cell AS BIGINT) AS cell, x, y, z, t, CAST(time_rank AS DOUBLE) AS time_rank,
+SELECT row_id, cell, x, y, z, t, CAST(time_rank AS DOUBLE) AS time_rank,
   CASE WHEN structure = '' THEN NULL ELSE structure END AS structure, hf, sample, grp,
-  CAST(cell_type AS BIGINT) AS cell_type, gene FROM c""")
+  cell_type, gene FROM c""")
 def q_read_tables(spark, sf):
     """The cells written as gzipped TSV, read back (types inferred, missing
-    tokens and empty fields null)."""
+    tokens and empty fields null; ids and categories stay text)."""
     path = _written(spark, sf, "tsv")
-    return TB.read_tables(spark, f"{path}/*.csv.gz").select(
+    return TB.read_tables(spark, f"{path}/*.csv.gz", text_columns=(*R.categorical, R.id_col)).select(
         "row_id", "cell", "x", "y", "z", "t", "time_rank", "structure", "hf", "sample", "grp",
         "cell_type", "gene")
 
 
+@register("read_unlike_headers", """WITH c AS (""" + B.CELLS_SQL + """)
+SELECT row_id, concat(cell, 'd') AS cell, y, x, CASE WHEN grp = 'PM' THEN gene END AS gene,
+  concat('line one', chr(10), 'line "two" ', cell) AS note FROM c""")
+def q_read_unlike_headers(spark, sf):
+    """Two sets of files whose headers have other columns and another
+    order, ids like 12d, quoted headers, quotes and line breaks inside fields;
+    columns meet by name."""
+    out = shared_dir(spark, "unlike")
+    note = F.concat(F.lit('line one\nline "two" '), F.col("cell"))
+    c = B.cells(spark, sf).withColumns({"note": note, "cell": F.concat("cell", F.lit("d"))})
+    for name, rows, cols in (("a", "AM", ["x", "cell", "note", "y", "row_id"]), ("b", "PM", ["row_id", "gene", "y", "x", "cell", "note"])):
+        (c.where(F.col("grp") == rows).select(*cols).write.option("sep", "\t").option("header", True).option("quoteAll", True)
+         .option("escape", '"').option("compression", "gzip").csv(f"{out}/{name}"))
+    got = TB.read_tables(spark, f"{out}/*/*.csv.gz", text_columns=("cell",))
+    return got.select("row_id", "cell", "y", "x", "gene", "note")
+
+
 @register("normalise_types", "WITH c AS (" + B.CELLS_SQL + """)
 SELECT row_id, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z,
   CAST(t AS FLOAT) AS t, CAST(CAST(time_rank AS SMALLINT) AS DOUBLE) AS time_rank, structure, hf, sample, grp,
@@ -204,26 +220,31 @@ def q_sample_rate(spark, sf):
     return SH.sample_rate(spark, _written(spark, sf, "shards"), 35, ["row_idx", "t"])
 
 
-SPLIT_SQL = """WITH c AS (""" + B.CELLS_SQL + """),
+N_PARTS = 120
+
+SPLIT_SQL = """WITH c AS (""" + B.CELLS_SQL + f"""),
 n AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM c),
 k AS (SELECT count(*) AS total FROM c),
-p AS (SELECT n.*, total // 7 AS base, total % 7 AS rem FROM n, k),
+p AS (SELECT n.*, total // {N_PARTS} AS base, total % {N_PARTS} AS rem FROM n, k),
 q AS (SELECT row_id, pos, CAST(CASE WHEN pos < rem * (base + 1) THEN pos // (base + 1)
       ELSE rem + (pos - rem * (base + 1)) // base END + 1 AS INTEGER) AS part FROM p),
 d AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY pos) AS BIGINT) AS line, row_id FROM q)
 SELECT part, line, CAST(row_id AS VARCHAR) AS first_field FROM d
-UNION ALL SELECT CAST(i AS INTEGER) AS part, CAST(0 AS BIGINT) AS line, 'row_id' AS first_field
-FROM range(1, 8) r(i)"""
+UNION ALL SELECT DISTINCT part, CAST(0 AS BIGINT) AS line, 'row_id' AS first_field FROM d"""
+
+
+def _split(spark, sf, name: str) -> str:
+    out = shared_dir(spark, name)
+    TS.split_with_header(spark, f"{_written(spark, sf, 'lines')}/*.gz", out, N_PARTS, every_file_has_header=True)
+    return out
 
 
 @register("split_with_header", SPLIT_SQL)
 def q_split_with_header(spark, sf):
-    """One gzipped TSV (from the cells) split into 7 parts with the header
-    repeated; read back as (part, line in part, first field of the line)."""
-    src = _written(spark, sf, "tsv1")
-    out = shared_dir(spark, "split")
-    TS.split_with_header(spark, src, out, 7)
-    lines = TS.read_parts(spark, out)
+    """The cells' lines (several gzipped TSV files, one text) split into
+    120 parts with the header repeated; read back as (part, line in part,
+    first field of the line)."""
+    lines = TS.read_parts(spark, _split(spark, sf, "split"))
     per_file = Window.partitionBy("file").orderBy("g")
     return lines.select(
         F.regexp_extract("file", r"\.part(\d+)\.", 1).cast("int").alias("part"),
@@ -231,14 +252,20 @@ def q_split_with_header(spark, sf):
         F.split("value", "\t").getItem(0).alias("first_field"))
 
 
-EXPORT_SQL = FIRST_VIEW_SQL
+EXPORT_SQL = sql_hash_rgb(
+    cte(VISIBLE_CTE) + """
+SELECT row_idx, CAST(row_number() OVER (ORDER BY row_idx) - 1 AS BIGINT) AS ordinal,
+  CAST(coalesce(x, 0.0) AS FLOAT) AS x, CAST(coalesce(y, 0.0) AS FLOAT) AS y,
+  CAST(coalesce(z, 0.0) AS FLOAT) AS z, gene FROM visible""", "gene")
+EXPORT_SQL = f"SELECT row_idx, ordinal, x, y, z, r, g, b FROM ({EXPORT_SQL}) f"
 
 
 @register("export_points", EXPORT_SQL)
 def q_export_points(spark, sf):
-    """The render-ready table written as Parquet and read back."""
+    """The render-ready table of all loaded visible rows written as
+    Parquet and read back."""
     path = shared_dir(spark, "export")
-    export_points(first_view(spark, sf), path)
+    export_points(render_table(visible(spark, sf), R, "gene"), path)
     return spark.read.parquet(path)
 
 
@@ -327,7 +354,7 @@ def q_essential_columns(spark, sf):
 
 @register("color_encode", sql_hash_rgb(P + "\nSELECT row_idx, gene FROM loaded", "gene"))
 def q_color_encode(spark, sf):
-    """Colour of each loaded row by gene (inline, pure function of value)."""
+    """Colour of each loaded row by gene, through the values' palette."""
     ld = loaded(spark, sf).select("row_idx", "gene")
     return PL.color_encode(ld, "gene", R)
 
@@ -456,37 +483,45 @@ def q_column_merge(spark, sf):
 
 
 @register("filter_semi", P + """
-SELECT row_idx, structure FROM loaded WHERE coalesce(structure, '') IN
-  (SELECT structure FROM points WHERE grp = 'AM' AND structure IS NOT NULL)""")
+SELECT row_idx, gene FROM loaded WHERE coalesce(gene, '') IN
+  (SELECT gene FROM points WHERE grp = 'AM' AND gene IS NOT NULL AND sample = 'S1' AND hf < 'HF2')""")
 def q_filter_semi(spark, sf):
-    """Keep rows whose structure is in a value table (the domain of the
-    morning rows)."""
+    """Keep rows whose gene is in a value table (the genes of some rows)."""
     pts = B.sharded(spark, sf)
-    vals = PF.attribute_domain(pts.where(F.col("grp") == "AM"), R, ("structure",))
-    return FL.filter_semi(loaded(spark, sf), "structure", vals).select("row_idx", "structure")
+    some = pts.where((F.col("grp") == "AM") & (F.col("sample") == "S1") & (F.col("hf") < "HF2"))
+    vals = PF.attribute_domain(some, R, ("gene",))
+    return FL.filter_semi(loaded(spark, sf), "gene", vals).select("row_idx", "gene")
 
 
 def _rays(vis: DataFrame) -> DataFrame:
-    """Rays from the fitted camera position through the box centre of each
-    structure value's points (all derived from the visible rows)."""
+    """Rays derived from the visible rows: from the fitted camera position
+    through the box centre of each gene's points, and from that centre towards
+    the camera and sideways (points lie behind these origins)."""
     f32 = {a: F.col(a).cast("float").cast("double") for a in "xyz"}
-    pts = vis.select("structure", *(f32[a].alias(a) for a in "xyz"))
+    pts = vis.select("gene", *(f32[a].alias(a) for a in "xyz"))
     cam = E.view_frame(E.bounding_box(pts))
-    tgt = pts.groupBy(F.coalesce(F.col("structure"), F.lit("(null)")).alias("ray_id")).agg(
+    tgt = pts.groupBy(F.coalesce(F.col("gene"), F.lit("(null)")).alias("g")).agg(
         *(((F.min(a) + F.max(a)) * 0.5).alias(f"t{a}") for a in "xyz"))
     o = cam.select(F.struct("pos_x", "pos_y", "pos_z").alias("o")).scalar()  # one subquery
-    rays = tgt.select("ray_id", o.pos_x.alias("ox"), o.pos_y.alias("oy"), o.pos_z.alias("oz"), "tx", "ty", "tz")
-    return PK.normalise_rays(rays)
+    r = tgt.select("g", o.pos_x.alias("ox"), o.pos_y.alias("oy"), o.pos_z.alias("oz"), "tx", "ty", "tz")
+    down = r.select(F.concat(F.lit("d:"), "g").alias("ray_id"), "ox", "oy", "oz", "tx", "ty", "tz")
+    up = r.select(F.concat(F.lit("u:"), "g").alias("ray_id"), F.col("tx").alias("ox"), F.col("ty").alias("oy"), F.col("tz").alias("oz"),
+                  F.col("ox").alias("tx"), F.col("oy").alias("ty"), F.col("oz").alias("tz"))
+    side = r.select(F.concat(F.lit("s:"), "g").alias("ray_id"), F.col("tx").alias("ox"), F.col("ty").alias("oy"), F.col("tz").alias("oz"),
+                    (F.col("tx") + 1.0).alias("tx"), (F.col("ty") + 3.0).alias("ty"), (F.col("tz") - 2.0).alias("tz"))
+    return PK.normalise_rays(down.union(up).union(side))
 
 
-PICK_SQL = cte(VISIBLE_CTE, """pts AS (SELECT row_idx, structure, CAST(CAST(coalesce(x, 0.0) AS FLOAT) AS DOUBLE) AS x,
+PICK_SQL = cte(VISIBLE_CTE, """pts AS (SELECT row_idx, gene, CAST(CAST(coalesce(x, 0.0) AS FLOAT) AS DOUBLE) AS x,
   CAST(CAST(coalesce(y, 0.0) AS FLOAT) AS DOUBLE) AS y, CAST(CAST(coalesce(z, 0.0) AS FLOAT) AS DOUBLE) AS z FROM visible)""",
                """box AS (SELECT (min(x) + max(x)) * 0.5 AS cx, (min(y) + max(y)) * 0.5 AS cy, (min(z) + max(z)) * 0.5 AS cz,
   max(x) - min(x) AS sx, max(y) - min(y) AS sy, max(z) - min(z) AS sz FROM pts)""",
                f"""cam AS (SELECT cx AS ox, cy AS oy, cz + greatest((greatest(sx, sy) / 2) / {TAN_HALF_FOV} * 1.1, sz * 1.5, 100.0) AS oz FROM box)""",
-               """tg AS (SELECT coalesce(structure, '(null)') AS ray_id, (min(x) + max(x)) * 0.5 AS tx,
+               """tg AS (SELECT coalesce(gene, '(null)') AS g, (min(x) + max(x)) * 0.5 AS tx,
   (min(y) + max(y)) * 0.5 AS ty, (min(z) + max(z)) * 0.5 AS tz FROM pts GROUP BY 1)""",
-               """r0 AS (SELECT ray_id, ox, oy, oz, tx - ox AS dx, ty - oy AS dy, tz - oz AS dz FROM tg, cam)""",
+               """r0 AS (SELECT concat('d:', g) AS ray_id, ox, oy, oz, tx - ox AS dx, ty - oy AS dy, tz - oz AS dz FROM tg, cam
+  UNION ALL SELECT concat('u:', g), tx, ty, tz, ox - tx, oy - ty, oz - tz FROM tg, cam
+  UNION ALL SELECT concat('s:', g), tx, ty, tz, (tx + 1.0) - tx, (ty + 3.0) - ty, (tz - 2.0) - tz FROM tg)""",
                """rays AS (SELECT ray_id, ox, oy, oz, dx / sqrt(dx * dx + dy * dy + dz * dz) AS dx,
   dy / sqrt(dx * dx + dy * dy + dz * dz) AS dy, dz / sqrt(dx * dx + dy * dy + dz * dz) AS dz FROM r0
   WHERE sqrt(dx * dx + dy * dy + dz * dz) > 0)""",
@@ -524,19 +559,22 @@ def q_fetch_rows(spark, sf):
 
 # ================================================================ aggregations
 
-@register("row_counts")
+@register("row_counts", "WITH c AS (" + B.CELLS_SQL + ")\nSELECT sample AS file, count(*) AS n FROM c GROUP BY ROLLUP (sample)")
 def q_row_counts(spark, sf):
-    """A1: rows per input TSV file and in total (file names are the writer's)."""
-    path = _written(spark, sf, "tsv")
-    return TB.row_counts(TB.read_tables(spark, f"{path}/*.csv.gz", infer=False))
+    """A1: rows per input and in total. The inputs are folders named by
+    sample (single file names are the writer's choice)."""
+    path = _written(spark, sf, "by-sample")
+    frames = [TB.read_tables(spark, f"{path}/file={v}/*.csv.gz", infer=False).select(F.lit(v).alias("source_file"))
+              for v in [r.file for r in spark.read.option("sep", "\t").csv(path).select("file").distinct().collect()]]
+    return TB.row_counts(TB.union_tables(frames))
 
 
 @register("load_summary", cte(VISIBLE_CTE) + """
 SELECT (SELECT count(*) FROM loaded) AS loaded, 100 AS percent_loaded, count(*) AS visible,
-  least(count(*), 8000000) AS rendered, count(*) > 8000000 AS capped FROM visible""")
+  least(count(*), 2000) AS rendered, count(*) > 2000 AS capped FROM visible""")
 def q_load_summary(spark, sf):
     """A2: loaded, percent loaded, visible, rendered, capped."""
-    return PF.load_summary(loaded(spark, sf), FL.compile_filters(FILTERS), shards_loaded=B.N_SHARDS)
+    return PF.load_summary(loaded(spark, sf), FL.compile_filters(FILTERS), shards_loaded=B.N_SHARDS, rendered_cap=2000)
 
 
 @register("attribute_domain", P + "\n" + domain_sql("loaded"))
@@ -600,17 +638,18 @@ def q_view_frame(spark, sf):
 SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, max(x) - min(x) AS span_x,
   min(y) AS min_y, max(y) AS max_y, max(y) - min(y) AS span_y,
   min(z) AS min_z, max(z) AS max_z, max(z) - min(z) AS span_z
-FROM (SELECT coalesce(x, 0.0) AS x, coalesce(y, 0.0) AS y, coalesce(z, 0.0) AS z FROM points WHERE row_idx < 10000) h""")
+FROM (SELECT coalesce(x, 0.0) AS x, coalesce(y, 0.0) AS y, coalesce(z, 0.0) AS z FROM points WHERE row_idx < 700) h""")
 def q_extent_head(spark, sf):
-    """Extents over the first 10 000 rows in load order (all shards)."""
+    """Extents over the first 700 rows in load order."""
     pts = B.sharded(spark, sf)
     m = pts.select("row_idx", *(PJ.coord(pts, a).alias(a) for a in "xyz"))
-    return E.extent_head(m, idx="row_idx")
+    return E.extent_head(m, 700, idx="row_idx")
 
 
 STRIDE_CTE = """st AS (SELECT *, row_number() OVER (ORDER BY row_idx) - 1 AS ordinal, count(*) OVER () AS n_vis
   FROM (SELECT row_idx, coalesce(x, 0.0) AS x, coalesce(y, 0.0) AS y, coalesce(z, 0.0) AS z FROM visible_all) v)"""
-STRIDE_WHERE = "ordinal % greatest(1, n_vis // 10000) = 0"
+STRIDE_TARGET = 100
+STRIDE_WHERE = f"ordinal % greatest(1, n_vis // {STRIDE_TARGET}) = 0"
 
 
 @register("extent_stride", cte(VISIBLE_ALL_CTE, STRIDE_CTE) + "\n"
@@ -618,27 +657,41 @@ STRIDE_WHERE = "ordinal % greatest(1, n_vis // 10000) = 0"
 def q_extent_stride(spark, sf):
     """Box + camera fit over every s-th visible row (all shards)."""
     vis = FL.filter_all(B.sharded(spark, sf), FILTERS)
-    return E.extent_stride(vis.select("row_idx", *(PJ.coord(vis, a).alias(a) for a in "xyz")))
+    return E.extent_stride(vis.select("row_idx", *(PJ.coord(vis, a).alias(a) for a in "xyz")), STRIDE_TARGET)
 
 
-@register("shard_report")
+@register("shard_report", P + """
+SELECT CAST(shard AS DOUBLE) AS shard, count(*) AS rows, false AS over_limit, true AS sized FROM points GROUP BY ROLLUP (shard)""")
 def q_shard_report(spark, sf):
-    """A10: per shard files, rows, bytes, over-limit flag, and the total."""
-    return SH.shard_report(spark, _written(spark, sf, "shards"))
+    """A10: per shard rows, over-limit flag and that files and bytes are
+    there, and the total (file sizes are the writer's)."""
+    rep = SH.shard_report(spark, _written(spark, sf, "shards"))
+    return rep.select(F.col("shard").cast("double").alias("shard"), F.col("rows").cast("bigint").alias("rows"), "over_limit",
+                      ((F.col("files") > 0) & (F.col("bytes") > 0) & (F.col("max_file_bytes") <= F.col("bytes"))).alias("sized"))
 
 
-@register("size_reduction")
+@register("size_reduction", P + """
+SELECT count(DISTINCT shard) > 0 AS written, count(*) AS rows, true AS adds_up FROM points""")
 def q_size_reduction(spark, sf):
-    """Gzipped TSV bytes vs shard bytes."""
-    return SH.size_reduction(spark, f"{_written(spark, sf, 'tsv')}/*.csv.gz", _written(spark, sf, "shards"))
+    """Gzipped TSV bytes vs shard bytes: the percentage follows from the
+    two sums, and the shards hold all rows (byte counts are the writer's)."""
+    path = _written(spark, sf, "shards")
+    red = SH.size_reduction(spark, f"{_written(spark, sf, 'tsv')}/*.csv.gz", path)
+    rows = spark.read.parquet(path).agg(F.count(F.lit(1))).scalar()
+    same = F.abs(F.col("reduction_pct") - 100 * (F.col("old_bytes") - F.col("new_bytes")) / F.col("old_bytes")) < 1e-9
+    return red.select((F.col("new_files") > 0).alias("written"), rows.alias("rows"), same.alias("adds_up"))
 
 
-@register("part_report")
+@register("part_report", "WITH c AS (" + B.CELLS_SQL + f""")
+SELECT CAST({N_PARTS} AS BIGINT) AS parts, count(*) AS data_lines, false AS any_over_limit, true AS ordered FROM c""")
 def q_part_report(spark, sf):
-    """Sizes of the parts of a header-preserving split."""
-    out = shared_dir(spark, "split-report")
-    TS.split_with_header(spark, _written(spark, sf, "tsv1"), out, 7)
-    return TS.part_report(spark, out)
+    """Number of parts, flags and the lines they hold (sizes are the
+    writer's)."""
+    out = _split(spark, sf, "split-report")
+    rep = TS.part_report(spark, out)
+    lines = spark.read.text(f"{out}/*.gz").agg(F.count(F.lit(1)) - N_PARTS).scalar()
+    inside = (F.col("min_mib") > 0) & (F.col("min_mib") <= F.col("avg_mib")) & (F.col("avg_mib") <= F.col("max_mib"))
+    return rep.select("parts", lines.alias("data_lines"), "any_over_limit", inside.alias("ordered"))
 
 
 @register("frame_counts", cte(VISIBLE_CTE) + """
@@ -725,24 +778,40 @@ def q_hue_assignment(spark, sf):
 
 # ================================================================ sorts / limits
 
-@register("sorted_domain", P + "\nSELECT * FROM (" + domain_sql("loaded") + ") d ORDER BY attribute, value")
+def _positions(spark, ordered: DataFrame, name: str) -> DataFrame:
+    """The rows of a sorted result with their position: written as it comes
+    (files in order, rows in order inside) and numbered as read (W1b)."""
+    path = shared_dir(spark, name)
+    cols = ordered.columns
+    ordered.select(F.to_json(F.struct(*cols)).alias("value")).write.mode("overwrite").text(path)
+    lines = RK.line_number(spark.read.text(path), out="ord")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema.fields)
+    return lines.select(F.from_json("value", schema).alias("v"), "ord").select("v.*", "ord")
+
+
+@register("sorted_domain", P + "\nSELECT *, row_number() OVER (ORDER BY attribute, value) - 1 AS ord FROM (" + domain_sql("loaded") + ") d")
 def q_sorted_domain(spark, sf):
-    """O1: domain values in binary string order."""
-    return PF.sorted_domain(PF.attribute_domain(loaded(spark, sf), R))
+    """O1: domain values in binary string order, with the position at which
+    each comes."""
+    return _positions(spark, PF.sorted_domain(PF.attribute_domain(loaded(spark, sf), R)), "sorted-domain")
 
 
-@register("sorted_frames", P + "\nSELECT DISTINCT CAST(coalesce(time_rank, 0) AS INTEGER) AS time_rank FROM loaded ORDER BY 1")
+@register("sorted_frames", P + """
+SELECT time_rank, row_number() OVER (ORDER BY time_rank) - 1 AS ord
+FROM (SELECT DISTINCT CAST(coalesce(time_rank, 0) AS INTEGER) AS time_rank FROM loaded) d""")
 def q_sorted_frames(spark, sf):
-    """O2: time ranks in numeric order."""
-    return FR.sorted_frames(loaded(spark, sf), "time_rank")
+    """O2: time ranks in numeric order, with the position at which each
+    comes."""
+    return _positions(spark, FR.sorted_frames(loaded(spark, sf), "time_rank"), "sorted-frames")
 
 
 @register("render_cap", cte(VISIBLE_CTE) + """
 SELECT row_idx, ordinal FROM (SELECT row_idx, CAST(row_number() OVER (ORDER BY row_idx) - 1 AS BIGINT) AS ordinal
-FROM visible) v WHERE ordinal < 8000000""")
+FROM visible) v WHERE ordinal < 300""")
 def q_render_cap(spark, sf):
-    """O3: first min(visible, 8 000 000) visible rows in load order."""
-    return render_cap(visible(spark, sf)).select("row_idx", "ordinal")
+    """O3: first min(visible, 300) visible rows in load order (a cap below the
+    number of visible rows)."""
+    return render_cap(visible(spark, sf), 300, width=128).select("row_idx", "ordinal")
 
 
 @register("legend_top", P + """,
@@ -751,7 +820,7 @@ s AS (SELECT value, CAST(row_number() OVER (ORDER BY value) AS INTEGER) AS ord F
 SELECT ord, value, (SELECT CAST(greatest(count(*) - 100, 0) AS BIGINT) FROM d) AS remaining FROM s WHERE ord <= 100""")
 def q_legend_top(spark, sf):
     """First 100 sorted gene values and the count of the rest."""
-    top, rest = LG.legend_top(PF.attribute_domain(loaded(spark, sf), R, ("gene",)), "gene")
+    top, rest = LG.legend_top(PF.attribute_domain(loaded(spark, sf), R, ("gene",)), "gene", 100)
     return top.select(F.col("ord").cast("int").alias("ord"), "value",
                       rest.select("remaining").scalar().alias("remaining"))
 
@@ -764,9 +833,9 @@ def q_head_rows(spark, sf):
 
 @register("stride_sample", cte(VISIBLE_ALL_CTE, STRIDE_CTE) + f"\nSELECT row_idx, ordinal FROM st WHERE {STRIDE_WHERE}")
 def q_stride_sample(spark, sf):
-    """Every s-th visible row, s = max(1, floor(n / 10 000)) (all shards)."""
+    """Every s-th visible row, s = max(1, floor(n / 100)) (all shards)."""
     vis = FL.filter_all(B.sharded(spark, sf), FILTERS)
-    return E.stride_sample(vis.select("row_idx")).select("row_idx", "ordinal")
+    return E.stride_sample(vis.select("row_idx"), STRIDE_TARGET).select("row_idx", "ordinal")
 
 
 # ================================================================ legends
@@ -785,6 +854,18 @@ FROM (SELECT DISTINCT gene FROM loaded WHERE gene IS NOT NULL) d HAVING count(*)
 @register("legend_categorical", LEGEND_CAT_SQL)
 def q_legend_categorical(spark, sf):
     """L1: legend of gene: first 100 values with colours, then '... and N more'."""
+    return LG.legend_categorical(PF.attribute_domain(loaded(spark, sf), R, ("gene",)), "gene", limit=100)
+
+
+LEGEND_ALL_SQL = sql_hash_rgb(P + """,
+d AS (SELECT DISTINCT gene AS value FROM loaded WHERE gene IS NOT NULL)
+SELECT CAST(row_number() OVER (ORDER BY value) AS INTEGER) AS ord, value FROM d""", "value")
+LEGEND_ALL_SQL = f"SELECT ord, value, CASE WHEN value = '' THEN '(empty)' ELSE value END AS label, r, g, b FROM ({LEGEND_ALL_SQL}) la"
+
+
+@register("legend_categorical_all", LEGEND_ALL_SQL)
+def q_legend_categorical_all(spark, sf):
+    """L1 without a limit: all values of gene."""
     return LG.legend_categorical(PF.attribute_domain(loaded(spark, sf), R, ("gene",)), "gene")
 
 
@@ -818,10 +899,9 @@ def q_union_tables(spark, sf):
 
 @register("append_shards", P + "\nSELECT row_idx, shard FROM points WHERE shard <= 5")
 def q_append_shards(spark, sf):
-    """2 shards loaded, target 5 → shards 1..5 (a lower target is a no-op)."""
+    """2 shards loaded, target 5 → shards 1..5, no row twice."""
     path = _written(spark, sf, "shards")
-    up = SH.append_shards(spark, path, loaded=2, target=5, columns=["row_idx", "shard"])
-    return SH.append_shards(spark, path, loaded=5, target=3, columns=["row_idx", "shard"]).unionByName(up).distinct()
+    return SH.append_shards(spark, path, loaded=2, target=5, columns=["row_idx", "shard"])
 
 
 @register("domain_merge", P + "\nSELECT attribute, value, CAST(sum(n) AS BIGINT) AS n FROM ("
@@ -910,21 +990,20 @@ def q_rgb_hex(spark, sf):
 SELECT row_idx, printf('%.2f', x) AS x_2, printf('%.4f', t) AS t_4, format('{:,}', row_id * 1000) AS id_grouped FROM loaded""")
 def q_fixed_text(spark, sf):
     """Fixed decimals and grouped thousands."""
-    ld = loaded(spark, sf).select("row_idx", "x", "t", grouped(F.col("row_id") * 1000).alias("id_grouped"))
-    out = with_fixed(with_fixed(ld, "x", 2, "x_2"), "t", 4, "t_4")
-    return out.select("row_idx", "x_2", "t_4", "id_grouped")
+    return loaded(spark, sf).select("row_idx", fixed("x", 2).alias("x_2"), fixed("t", 4).alias("t_4"),
+                                    grouped(F.col("row_id") * 1000).alias("id_grouped"))
 
 
-@register("part_name", """SELECT CAST(i AS INTEGER) AS part, concat('cells.part', lpad(CAST(i AS VARCHAR), 2, '0'), '.tsv.gz') AS name
-FROM range(1, 8) r(i)""")
+@register("part_name", "WITH c AS (" + B.CELLS_SQL + """)
+SELECT DISTINCT CAST(CAST(substr(hf, 3) AS INTEGER) * 37 + 1 AS INTEGER) AS part,
+  concat('cells.v2.part', CASE WHEN CAST(substr(hf, 3) AS INTEGER) * 37 + 1 < 10 THEN '0' ELSE '' END,
+         CAST(CAST(substr(hf, 3) AS INTEGER) * 37 + 1 AS VARCHAR), '.tsv.gz') AS name FROM c""")
 def q_part_name(spark, sf):
-    """Output names of the parts of a split of the cells TSV (read back
-    from the written files)."""
-    out = shared_dir(spark, "split-names")
-    TS.split_with_header(spark, _written(spark, sf, "tsv1"), out, 7)
-    files = spark.read.format("binaryFile").load(f"{out}/*.gz").select(F.col("path"))
-    nums = files.select(F.regexp_extract("path", r"\.part(\d+)\.", 1).cast("int").alias("part"))
-    return nums.select("part", part_name(F.lit(_written(spark, sf, "tsv1")), F.col("part")).alias("name"))
+    """Output names of parts whose numbers come from the cells (one to
+    four digits)."""
+    part = (F.substring("hf", 3, 10).cast("int") * 37 + 1).alias("part")
+    nums = B.cells(spark, sf).select(part).distinct()
+    return nums.select("part", part_name(F.lit("/data/in/cells.v2.tsv.gz"), F.col("part")).alias("name"))
 
 
 @register("percent_ratio", P + """,
@@ -962,7 +1041,113 @@ def q_progressive_summary(spark, sf):
     return end
 
 
+@register("progressive_history", P + """
+SELECT s.shard AS shard, count(*) AS rows, min(t) AS min_t, max(t) AS max_t, min(coalesce(x, 0.0)) AS min_x, max(coalesce(x, 0.0)) AS max_x,
+  min(coalesce(y, 0.0)) AS min_y, max(coalesce(y, 0.0)) AS max_y, min(coalesce(z, 0.0)) AS min_z, max(coalesce(z, 0.0)) AS max_z
+FROM (SELECT DISTINCT shard FROM points) s JOIN points p ON p.shard <= s.shard GROUP BY s.shard""")
+def q_progressive_history(spark, sf):
+    """Count, range and extents after each of the ten shards."""
+    return PG.progressive_summary(spark, _written(spark, sf, "shards"), R)[0]
+
+
 @register("progressive_filter", cte(VISIBLE_ALL_CTE) + "\nSELECT row_idx, row_id FROM visible_all")
 def q_progressive_filter(spark, sf):
     """T4: the filter list on arriving rows."""
     return PG.progressive_filter(spark, _written(spark, sf, "shards"), FILTERS, ["row_idx", "row_id"])
+
+
+# ================================================================ the volume binding (lineitem ⋈ part)
+
+IR = B.ITEM_ROLES
+I_CTE = "WITH items AS (" + B.ITEMS_SQL + ")"
+ITEM_FILTERS = [
+    FL.FilterSpec(1, "returnflag", "categorical", ("A", "R")),
+    FL.FilterSpec(2, "discount", "continuous", None, (0.02, 0.06)),
+]
+I_WHERE = "returnflag IN ('A', 'R') AND discount BETWEEN 0.02 AND 0.06"
+
+
+def _items(spark, sf) -> DataFrame:
+    return B.items(spark, sf).drop("item_key")
+
+
+@register("items_domain", I_CTE + "\n" + domain_sql("items", IR.categorical))
+def q_items_domain(spark, sf):
+    """A3 over lineitem ⋈ part."""
+    return PF.attribute_domain(_items(spark, sf), IR)
+
+
+@register("items_range", I_CTE + """
+SELECT 'discount' AS attribute, min(discount) AS min_value, max(discount) AS max_value,
+  CASE WHEN max(discount) > min(discount) THEN greatest((max(discount) - min(discount)) / 1000, 0.0001) ELSE 0.0001 END AS step
+FROM items HAVING min(discount) IS NOT NULL""")
+def q_items_range(spark, sf):
+    """A4 over lineitem ⋈ part."""
+    return PF.attribute_range(_items(spark, sf), IR)
+
+
+@register("items_distinct", I_CTE + "\n" + " UNION ALL ".join(
+    f"SELECT '{a}' AS attribute, CAST(count(DISTINCT {a}) AS BIGINT) AS n_distinct FROM items" for a in IR.categorical))
+def q_items_distinct(spark, sf):
+    """A5 over lineitem ⋈ part."""
+    return PF.distinct_counts(_items(spark, sf), IR)
+
+
+@register("items_funnel", I_CTE + f"""
+SELECT 0 AS step, '(all)' AS attribute, true AS applied, count(*) AS n_before, count(*) FILTER (WHERE {I_WHERE}) AS n_after FROM items
+UNION ALL SELECT 1, 'returnflag', true, count(*), count(*) FILTER (WHERE returnflag IN ('A', 'R')) FROM items
+UNION ALL SELECT 2, 'discount', true, count(*) FILTER (WHERE returnflag IN ('A', 'R')), count(*) FILTER (WHERE {I_WHERE}) FROM items""")
+def q_items_funnel(spark, sf):
+    """F8 over lineitem ⋈ part."""
+    return FL.filter_funnel(_items(spark, sf), ITEM_FILTERS)
+
+
+@register("items_frame_counts", I_CTE + f"""
+SELECT CAST(coalesce(year_rank, 0) AS INTEGER) AS time_rank, count(*) AS n FROM items WHERE {I_WHERE} GROUP BY 1""")
+def q_items_frame_counts(spark, sf):
+    """A13 over the filtered lineitem ⋈ part."""
+    return FR.frame_counts(FL.filter_all(_items(spark, sf), ITEM_FILTERS), "year_rank")
+
+
+@register("items_box", I_CTE + "\n" + _box_sql(f"(SELECT * FROM items WHERE {I_WHERE})"))
+def q_items_box(spark, sf):
+    """A6 over the filtered lineitem ⋈ part."""
+    return E.bounding_box(FL.filter_all(_items(spark, sf), ITEM_FILTERS))
+
+
+@register("items_view_frame", I_CTE + "\n" + _frame_sql(_box_sql("items")))
+def q_items_view_frame(spark, sf):
+    """A7 over lineitem ⋈ part."""
+    return E.view_frame(E.bounding_box(_items(spark, sf)))
+
+
+@register("items_legend", "SELECT ord, value, CASE WHEN value = '' THEN '(empty)' ELSE value END AS label, r, g, b FROM ("
+          + sql_hash_rgb(I_CTE + """
+SELECT CAST(row_number() OVER (ORDER BY value) AS INTEGER) AS ord, value
+FROM (SELECT DISTINCT ptype AS value FROM items WHERE ptype IS NOT NULL) d""", "value") + ") l")
+def q_items_legend(spark, sf):
+    """L1 over the part types."""
+    return LG.legend_categorical(PF.attribute_domain(_items(spark, sf), IR, ("ptype",)), "ptype")
+
+
+@register("items_summary", I_CTE + f"""
+SELECT count(*) AS loaded, 100 AS percent_loaded, count(*) FILTER (WHERE {I_WHERE}) AS visible,
+  count(*) FILTER (WHERE {I_WHERE}) AS rendered, false AS capped FROM items""")
+def q_items_summary(spark, sf):
+    """A2 over lineitem ⋈ part, without a cap."""
+    return PF.load_summary(_items(spark, sf), FL.compile_filters(ITEM_FILTERS), shards_loaded=B.N_SHARDS)
+
+
+@register("items_colours", sql_hash_rgb(I_CTE + "\nSELECT brand AS value, count(*) AS n FROM items GROUP BY brand", "value"))
+def q_items_colours(spark, sf):
+    """P7/J1 over lineitem ⋈ part: rows by brand and colour."""
+    done = PL.color_encode(_items(spark, sf).select("brand"), "brand", IR)
+    return done.groupBy(F.col("brand").alias("value"), "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("items_ranks", I_CTE + """
+SELECT shard, count(*) AS n FROM (SELECT CAST(least(i // (t // 10), 9) + 1 AS INTEGER) AS shard
+FROM (SELECT row_number() OVER () - 1 AS i, count(*) OVER () AS t FROM items) r) s GROUP BY shard""")
+def q_items_ranks(spark, sf):
+    """W1 + W2 over lineitem ⋈ part: rows per shard."""
+    return B.item_points(spark, sf).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))

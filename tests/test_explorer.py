@@ -34,3 +34,34 @@ def test_explorer_workflow(spark):
     assert ex.visible().count() >= n_vis
     ex.color_by = "t"
     assert ex.legend().count() == 101
+
+
+def test_explorer_colours_frames_and_filters(spark):
+    ex = Explorer(spark, B.shards_path(spark, SF_TINY), B.ROLES, loaded_shards=10)
+    ex.color_by = "structure"
+    plain = {r.value: (r.r, r.g, r.b) for r in ex.legend().collect()}
+    ex.randomise_colours("structure", seed=7)
+    dealt = {r.value: (r.r, r.g, r.b) for r in ex.legend().collect()}
+    assert dealt.keys() == plain.keys() and dealt != plain
+    drawn = ex.render().join(ex.visible().select("row_idx", "structure"), "row_idx").where("structure is not null")
+    assert {(r.structure, (r.r, r.g, r.b)) for r in drawn.select("structure", "r", "g", "b").distinct().collect()} == set(dealt.items())
+    # the frame reaches picking and fitting
+    rank = ex.frames().where("frame_idx = 3").first().time_rank
+    n = ex.visible(rank).count()
+    assert 0 < n < ex.visible().count() and ex.render(rank).count() == n
+    rays = spark.createDataFrame([("r", 0.0, 0.0, -100.0, 0.0, 0.0, 1.0)],
+                                 "ray_id string, ox double, oy double, oz double, dx double, dy double, dz double")
+    hit = ex.pick(rays, point_size=1000.0, frame_rank=rank).first()
+    assert hit.row_idx in {r.row_idx for r in ex.visible(rank).select("row_idx").collect()} and hit.details
+    box = ex.visible().agg(((F.min(F.coalesce("x", F.lit(0.0))) + F.max(F.coalesce("x", F.lit(0.0)))) / 2).alias("x")).first()
+    assert abs(ex.fit_view().first().target_x - box.x) < 1e-9           # all points, not a sample
+    # default filters, select and deselect all, pushed ranges
+    f, g = ex.default_filter("structure"), ex.default_filter("t")
+    lo, hi = next(s.range for s in ex.filters if s.id == g)
+    # '' is one of the values, so rows without a structure stay (null is '')
+    assert ex.visible().count() == ex.loaded().where("t is not null").count() < ex.loaded().count()
+    ex.deselect_all(f)
+    assert ex.visible().count() == ex.loaded().where("t is not null").count()
+    ex.select_all(f).move_range(g, "min", hi + 5)
+    assert next(s.range for s in ex.filters if s.id == g) == (hi + 5, hi + 5)
+    assert ex.visible().count() == 0

@@ -33,3 +33,13 @@ def test_ingest_end_to_end(spark, tmp_dir):
     assert cum[-1].cum_rows == 65
     red = res.reduction.first()
     assert red.old_files == 2 and red.new_bytes > 0
+
+
+def test_raw_files_are_read_once(spark, tmp_dir):
+    """After the records are staged the raw files may go: later passes over
+    types, counts and shards do not touch them."""
+    import os
+    _gz(f"{tmp_dir}/a.tsv.gz", "x\tGene\tcell\n" + "".join(f"{i}\tG{i}\tc{i}\n" for i in range(50)))
+    keyed = read_keyed(spark, f"{tmp_dir}/a.tsv.gz", REFERENCE_ROLES)
+    os.rename(f"{tmp_dir}/a.tsv.gz", f"{tmp_dir}/gone")
+    assert keyed.count() == 50 and keyed.agg(F.max("x")).first()[0] == 49

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from cloudsift.plans import catalog
 from tests.conftest import SF_TINY
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -57,10 +58,10 @@ def _norm(df: pd.DataFrame):
     return sorted(out)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_oracle(spark, con, name):
-    s = E.queries()[name](spark, SF_TINY).toPandas()
-    o = con.sql(E.oracle_sql()[name]).df()
+    s = catalog.QUERIES[name](spark, SF_TINY).toPandas()
+    o = con.sql(catalog.ORACLE[name]).df()
     assert sorted(s.columns) == sorted(o.columns)
     assert _norm(s) == _norm(o)
 
@@ -128,9 +129,65 @@ def test_no_python_or_cartesian_in_any_registered_plan(spark):
     """Every registered query stays JVM-side (no Python evaluation) and has no
     Cartesian product."""
     bad = []
-    for name, fn in E.queries().items():
+    for name, fn in catalog.QUERIES.items():
         plan = _plan(fn(spark, SF_TINY))
         for marker in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "PythonUDF"):
             if marker in plan:
                 bad.append((name, marker))
     assert bad == []
+
+
+def _row_exchanges(plan: str) -> int:
+    """Shuffles that carry unaggregated rows (below them a scan without an
+    aggregate or a broadcast between)."""
+    nodes = _tree(plan)
+    found = set()
+    for _, text, parent in nodes:
+        if not text.startswith("FileScan"):
+            continue
+        while parent is not None:
+            t = nodes[parent][1]
+            if "HashAggregate" in t or t.startswith("BroadcastExchange"):
+                break
+            if t.startswith("Exchange "):
+                found.add(parent)
+            parent = nodes[parent][2]
+    return len(found)
+
+
+@pytest.fixture()
+def no_auto_broadcast(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[0], "1")
+    spark.conf.set(keys[1], "false")
+    yield
+    for k, v in zip(keys, old):
+        spark.conf.set(k, v)
+
+
+def test_rank_moves_rows_once(spark, no_auto_broadcast):
+    """Above any broadcast estimate the permutation still has one exchange of
+    rows; the cap has none before its cut (one of the kept rows after it)."""
+    from pyspark.sql import functions as F
+
+    from cloudsift.operators import ranks as RK
+    from cloudsift.operators.export import render_cap
+    ev = spark.read.parquet(f"{SF_TINY}/events.parquet")
+    ranked = RK.shuffle_rank(ev, "event_id", n_rows=1000)
+    assert _row_exchanges(_plan(ranked)) == 1, _plan(ranked)
+    capped = _plan(render_cap(ev.select(F.col("event_id").alias("row_idx"), "value"), 100))
+    assert _row_exchanges(capped) == 1
+    assert "SortMergeJoin" not in capped and "Subquery" in capped
+
+
+def test_shared_folder_follows_the_context(spark):
+    from cloudsift.session import checkpoint_root, release, shared_dir
+    root = spark.sparkContext.getCheckpointDir()
+    assert checkpoint_root(spark) == root.rstrip("/")
+    d = shared_dir(spark, "t")
+    spark.range(3).write.parquet(f"{d}/x")
+    assert spark.read.parquet(f"{d}/x").count() == 3
+    release(spark, d)
+    import os
+    assert not os.path.exists(d.replace("file:", ""))

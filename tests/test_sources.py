@@ -18,12 +18,38 @@ def _write_gz(path, text: bytes):
 def test_read_tables_na_tokens_and_types(spark, tmp_dir):
     _write_gz(f"{tmp_dir}/b.tsv.gz", b"x\tGene\tTimeRank\n1.5\tNA\t3\n2\tKrt14\t\n")
     _write_gz(f"{tmp_dir}/a.tsv.gz", b"x\tGene\tTimeRank\n0.25\tnull\t1\n")
-    df = TB.read_tables(spark, f"{tmp_dir}/*.tsv.gz")
+    df = TB.read_tables(spark, f"{tmp_dir}/*.tsv.gz", with_source=True).drop("source_line")
+    counts = {r.file: r.n for r in TB.row_counts(df).collect()}
+    assert counts == {"a.tsv.gz": 1, "b.tsv.gz": 2, None: 3}
+    df = df.drop("source_file")
     assert dict(df.dtypes) == {"x": "double", "Gene": "string", "TimeRank": "double"}
     rows = sorted((r.x, r.Gene, r.TimeRank) for r in df.collect())
     assert rows == [(0.25, None, 1.0), (1.5, None, 3.0), (2.0, "Krt14", None)]
-    counts = {r.file: r.n for r in TB.row_counts(df).collect()}
-    assert counts == {"a.tsv.gz": 1, "b.tsv.gz": 2, None: 3}
+
+
+def test_read_tables_as_pandas_reads(spark, tmp_dir):
+    """Columns by name, ids that look like numbers, blank lines, quoted
+    headers, quotes and line breaks in fields: the pandas reader is the
+    measure."""
+    import pandas as pd
+    files = {
+        "a": 'x\ty\tcell\n1\t2\t12d\n\n3\t4\t7f\n',
+        "b": '"y"\t"x"\t"Gene"\n20\t10\t"two\nlines"\n21\t11\t"a ""q"" b"\n\n',
+        "c": 'cell\tx\ty\n007\t-1e3\t+.5\n',
+    }
+    for n, t in files.items():
+        _write_gz(f"{tmp_dir}/{n}.tsv.gz", t.encode())
+    want = pd.concat([pd.read_csv(f"{tmp_dir}/{n}.tsv.gz", sep="\t", dtype={"cell": str}) for n in files])
+    df = TB.read_tables(spark, f"{tmp_dir}/*.tsv.gz", text_columns=("cell",))
+    assert dict(df.dtypes) == {"x": "double", "y": "double", "cell": "string", "Gene": "string"}
+    none = lambda v: None if v is None or v != v else v
+    key = lambda r: r[0]
+    assert sorted(((r.x, r.y, r.cell, r.Gene) for r in df.collect()), key=key) == \
+        sorted(((float(r.x), float(r.y), none(r.cell), none(r.Gene)) for r in want.itertuples()), key=key)
+    lines = {(r.source_file, r.source_line) for r in TB.read_tables(spark, f"{tmp_dir}/*.tsv.gz", with_source=True).collect()}
+    assert lines == {("a.tsv.gz", 1), ("a.tsv.gz", 2), ("b.tsv.gz", 1), ("b.tsv.gz", 2), ("c.tsv.gz", 1)}
+    ids = TB.read_tables(spark, f"{tmp_dir}/a.tsv.gz")
+    assert dict(ids.dtypes)["cell"] == "string"          # 12d is not a number
 
 
 def test_read_tables_empty_glob_fails(spark, tmp_dir):
@@ -103,6 +129,29 @@ def test_split_23_rows_10_parts(spark, tmp_dir):
     assert [x for p in parts for x in p[1:]] == lines[1:]
 
 
+def test_split_keeps_every_line(spark, tmp_dir):
+    """More than 99 parts, several input files, and a session that limits the
+    records of a file: no line is lost."""
+    os.makedirs(f"{tmp_dir}/in")
+    lines = [f"{i},v{i}" for i in range(1000)]
+    for k in range(4):
+        _write_gz(f"{tmp_dir}/in/{k}.csv.gz", ("\n".join(["h1,h2", *lines[k * 250:k * 250 + 250]]) + "\n").encode())
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        names = TS.split_with_header(spark, f"{tmp_dir}/in/*.gz", f"{tmp_dir}/out", 120, every_file_has_header=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert [os.path.basename(n) for n in names] == [f"0.part{i:02d}.csv.gz" for i in range(1, 121)]
+    got = []
+    for n in names:
+        with gzip.open(n.replace("file:", ""), "rt") as f:
+            head, *rest = f.read().splitlines()
+            assert head == "h1,h2"
+            got += rest
+    assert got == lines
+    assert not [x for x in os.listdir(f"{tmp_dir}/out") if x.startswith("part=")]
+
+
 def test_split_header_only_and_bad_utf8(spark, tmp_dir):
     _, parts = _split(spark, tmp_dir, b"h\n", 3)
     assert parts == [["h"], ["h"], ["h"]]

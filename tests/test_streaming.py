@@ -20,7 +20,20 @@ def test_progressive_end_state_equals_batch(spark, tmp_dir):
         sorted(map(tuple, ref.collect()))
     hist, end = PG.progressive_summary(spark, tmp_dir, R)
     assert end.first().rows == batch.count()
-    assert hist.count() >= 1  # one snapshot per trigger
+    ref = [batch.where(F.col("shard") <= k).agg(F.count(F.lit(1)).alias("rows"), F.min("t").alias("a"), F.max("t").alias("z")).first()
+           for k in range(1, 11)]
+    assert [(r.shard, r.rows, r.min_t, r.max_t) for r in hist.orderBy("shard").collect()] == \
+        [(k + 1, r.rows, r.a, r.z) for k, r in enumerate(ref)]
     spec = [FL.FilterSpec(1, "grp", "categorical", ("AM",))]
     filt = PG.progressive_filter(spark, tmp_dir, spec, ["row_idx"])
     assert filt.count() == batch.where(F.col("grp") == "AM").count()
+
+
+def test_shards_arrive_one_by_one_in_order(spark, tmp_dir):
+    SH.write_shards(B.points(spark, SF_TINY).drop("n_rows"), f"{tmp_dir}/d", rows_per_file=17)   # many files a shard
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = PG.arrivals(spark, f"{tmp_dir}/d", f"{tmp_dir}/out", lambda d, k: d.select("shard"), start=2)
+    assert seen == list(range(3, 11))
+    got = spark.read.parquet(f"{tmp_dir}/out").groupBy("epoch").agg(F.min("shard").alias("a"), F.max("shard").alias("z")).orderBy("epoch").collect()
+    assert [(r.a, r.z) for r in got] == [(k, k) for k in range(3, 11)]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before

@@ -48,7 +48,7 @@ def test_range_nan_and_flat_step(spark):
 
 def test_legend_150_values(spark):
     dom = spark.createDataFrame([("gene", f"g{i:03d}", 1) for i in range(150)], "attribute string, value string, n long")
-    leg = LG.legend_categorical(dom, "gene").orderBy("ord").collect()
+    leg = LG.legend_categorical(dom, "gene", limit=100).orderBy("ord").collect()
     assert len(leg) == 101
     assert leg[-1].label == "... and 50 more"
     assert leg[0].value == "g000" and (leg[0].r, leg[0].g, leg[0].b) == category_color("g000")
@@ -92,22 +92,55 @@ def test_pick_nearest_along_ray_ties_by_row(spark):
     assert PK.pick_points(tie, rays.where("ray_id = 'r1'"), threshold=1.0).first().row_idx == 4
 
 
-def test_pick_chunked_rays_equal_single_broadcast(spark):
-    pts = spark.range(200).select(F.col("id").alias("row_idx"), (F.col("id") % 17).cast("double").alias("x"),
-                                  (F.col("id") % 5).cast("double").alias("y"), F.col("id").cast("double").alias("z"))
-    rays = spark.range(30).select(F.col("id").cast("string").alias("ray_id"), F.lit(0.0).alias("ox"),
-                                  F.lit(0.0).alias("oy"), F.lit(-10.0).alias("oz"),
-                                  (F.col("id") % 17).cast("double").alias("tx"), F.lit(2.0).alias("ty"),
-                                  F.lit(100.0).alias("tz"))
-    rays = PK.normalise_rays(rays)
-    a = sorted(map(tuple, PK.pick_points(pts, rays, 3.0).collect()))
-    b = sorted(map(tuple, PK.pick_points(pts, rays, 3.0, max_broadcast_rays=7).collect()))
-    assert a == b and len(a) > 0
-
-
-def test_fetch_rows_both_plans_agree(spark):
+def _pick_brute(pts, rays, thr):
+    out = {}
+    for ray, ox, oy, oz, dx, dy, dz in rays:
+        for i, x, y, z in pts:
+            t = (x - ox) * dx + (y - oy) * dy + (z - oz) * dz
+            c = (ox, oy, oz) if t < 0 else (dx * t + ox, dy * t + oy, dz * t + oz)
+            if sum((a - b) ** 2 for a, b in zip(c, (x, y, z))) < thr * thr:
+                h = (math.sqrt(sum((a - b) ** 2 for a, b in zip((ox, oy, oz), c))), i)
+                out[ray] = min(out.get(ray, h), h)
+    return {k: v[1] for k, v in out.items()}
+
+
+def test_pick_equals_brute_force(spark):
+    """Random points and rays: origins inside and outside the box, points
+    behind origins, axis-parallel and slanted rays, small and large radius."""
+    import random
+    rng = random.Random(9)
+    pts = [(i, *(float(rng.randint(-200, 200)) / 4 for _ in range(3))) for i in range(400)]
+    rays = []
+    for k in range(200):
+        d = rng.choice([(1, 0, 0), (0, -1, 0), (0, 0, 1), None, None, None])
+        d = d or tuple(rng.uniform(-1, 1) for _ in range(3))
+        n = math.sqrt(sum(x * x for x in d))
+        rays.append((f"r{k}", *(rng.uniform(-90, 90) for _ in range(3)), *(x / n for x in d)))
+    p = spark.createDataFrame(pts, "row_idx long, x double, y double, z double")
+    r = spark.createDataFrame(rays, "ray_id string, ox double, oy double, oz double, dx double, dy double, dz double")
+    for thr in (0.5, 5.0, 40.0):
+        out = PK.pick_points(p, r, threshold=thr)
+        assert {x.ray_id: x.row_idx for x in out.collect()} == _pick_brute(pts, rays, thr)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert PK.pick_points(p.where("row_idx < 0"), r).count() == 0
+
+
+def test_fetch_rows(spark):
     df = spark.range(0, 30000, 2).select(F.col("id").alias("row_idx"), F.col("id").cast("double").alias("x"))
-    ords = spark.createDataFrame([(0,), (5,), (14999,), (20000,)], "ordinal long")
-    a = sorted(map(tuple, PK.fetch_rows(df, ords).select("ordinal", "row_idx").collect()))
-    b = sorted(map(tuple, PK.fetch_rows(df, ords, full_rank_max_rows=0).select("ordinal", "row_idx").collect()))
-    assert a == b == [(0, 0), (5, 10), (14999, 29998)]
+    ords = spark.createDataFrame([(0,), (5,), (5,), (14999,), (20000,)], "ordinal long")
+    assert sorted(map(tuple, PK.fetch_rows(df, ords).select("ordinal", "row_idx", "x").collect())) == \
+        [(0, 0, 0.0), (5, 10, 10.0), (14999, 29998, 29998.0)]
+
+
+def test_defaults_keep_everything(spark):
+    from cloudsift.operators.export import render_cap
+    dom = spark.createDataFrame([("g", f"v{i:04d}", 1) for i in range(150)], "attribute string, value string, n long")
+    leg = LG.legend_categorical(dom, "g").orderBy("ord").collect()
+    assert [r.value for r in leg] == [f"v{i:04d}" for i in range(150)]
+    assert LG.legend_categorical(dom, "g", limit=100).count() == 101
+    df = spark.range(1000).withColumnRenamed("id", "row_idx")
+    assert render_cap(df).count() == 1000
+    far = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(20000)], "ordinal long, x double, y double, z double")
+    assert E.extent_head(far).first().max_x == 19999.0 and E.extent_head(far, 10).first().max_x == 9.0
+    assert E.extent_stride(far.withColumnRenamed("ordinal", "row_idx")).first().target_x == 19999 / 2
