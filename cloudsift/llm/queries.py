@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudsift.llm import bpe, fingerprints, langid, lm, neardup, packing, pii, quality_clf, quality_rules, token_counts
+from cloudsift.llm import bpe, fingerprints, langid, lm, neardup, packing, pii, quality_clf, quality_rules, sql, token_counts
 from cloudsift.session import show_package
 
 
@@ -106,4 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_near_duplicates": sql.near_duplicates(),
+    "op9_quality_rules": sql.quality_rules(),
+}
