@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloudsift.llm import _text
 
@@ -420,7 +421,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids
     broadcast. Works per row: repeated rows and other columns stay."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(vocabulary))
     keep = [c for c in docs.columns if c != out]
-    schema = docs.select(*keep).schema.add(out, "array<int>")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for b in batches:
@@ -440,7 +441,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
     kept). Null ids give an empty text."""
     spec = df.sparkSession.sparkContext.broadcast(read_spec(vocabulary))
     keep = [c for c in df.columns if c != out]
-    schema = df.select(*keep).schema.add(out, "string")
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.StringType())])
 
     def run(batches):
         for b in batches:

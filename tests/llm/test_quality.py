@@ -48,11 +48,8 @@ def test_rule_counts(spark, tiny, edges, empty):
     assert quality_rules.judge(empty).count() == 0 and quality_rules.clean(empty).count() == 0
 
 
-BODY = "The river ran past the old mill and the people of the village came out to see it rise in the spring of that year.\n"
-
-
 def test_line_rules_and_cleaning(spark):
-    body = [BODY.replace("river", f"river{i}") for i in range(6)]
+    body = [" ".join(f"word{i}{c}" for c in "abcdefghijklmnop") + ".\n" for i in range(6)]
     good = "".join(body)
     rows = [
         (1, good, None),
