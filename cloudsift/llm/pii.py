@@ -19,7 +19,7 @@ more digits behind it, a phone number without its plus sign.
   Viterbi pass with the CRF transitions runs over the whole region. A span is
   added when its mean posterior reaches ``SURE``, it meets the definition of
   its kind, it does not touch a letter or digit outside, and overlaps no base
-  span.
+  span but one of its kind that it widens.
 
 Offsets count code points; ends are exclusive. Rows: null text is the empty
 text and has no spans; repeated rows get equal results; other columns stay in
@@ -286,7 +286,7 @@ def viterbi(e: np.ndarray, size: np.ndarray, tr: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(windows: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 16, batch: int = 96, rate: float = 0.03, seed: int = 11) -> Tagger:
+def fit(windows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 250, batch: int = 96, rate: float = 0.03, seed: int = 11) -> Tagger:
     """Train on windows with their spans (offsets in the window)."""
     model, rng = Tagger.fresh(), np.random.default_rng(seed)
     if not windows:
@@ -301,20 +301,19 @@ def fit(windows: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 16,
                 tags[r, a] -= 1
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(x) for k, x in model.p.items()}
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(ids))
-        for i in range(0, len(order), batch):
-            pick = order[i:i + batch]
-            _, grad = model.gradient(ids[pick], tags[pick])
-            norm = np.sqrt(sum((g * g).sum() for g in grad.values()))
-            step += 1
-            lr = rate * (1 - epoch / epochs)
-            for k, g in grad.items():
-                g = g / max(1.0, norm / 5)
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                model.p[k] -= lr * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
+    order = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if not len(order):
+            order = rng.permutation(len(ids))
+        pick, order = order[:batch], order[batch:]
+        _, grad = model.gradient(ids[pick], tags[pick])
+        norm = np.sqrt(sum((g * g).sum() for g in grad.values()))
+        lr = rate * (1 - (step - 1) / steps)
+        for k, g in grad.items():
+            g = g / max(1.0, norm / 5)
+            m[k] += 0.1 * (g - m[k])
+            v[k] += 0.01 * (g * g - v[k])
+            model.p[k] -= lr * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
     return model
 
 
@@ -413,16 +412,24 @@ def _decode(model: Tagger, texts: list[str], some: list, out: list) -> None:
                 out[r].append((kind, lo, hi))
 
 
+def _widens(text: str, s: tuple, o: tuple) -> bool:
+    """Whether a span contains another of its kind and adds letters or digits
+    to it (such as the accented start of an address)."""
+    more = text[s[1]:o[1]] + text[o[2]:s[2]]
+    return s[0] == o[0] and s[1] <= o[1] and o[2] <= s[2] and any(c.isalnum() for c in more)
+
+
 def find_spans(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     out = []
     for text, more in zip(texts, tagged(model, texts)):
         base = base_spans(text)
-        extra = []
+        extra: list = []
         for s in more:
-            if not any(s[1] < b and a < s[2] for _, a, b in [*base, *extra]):
+            met = [o for o in [*base, *extra] if s[1] < o[2] and o[1] < s[2]]
+            if all(_widens(text, s, o) for o in met):
                 extra.append(s)
-        out.append((base, sorted(base + extra, key=lambda s: (KINDS.index(s[0]), s[1]))))
+        out.append((base, sorted(base + extra, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 
 

@@ -14,7 +14,7 @@ from cloudsift.llm import lm, pii, queries
 from .conftest import EDGES, table
 
 SF = "/root/testdata/sf0.001"
-SF_MORE = "/root/testdata/sf0.01"
+SF_MORE = "/root/testdata/sf0.1"
 
 
 def plain_spans(t):
@@ -70,8 +70,7 @@ def test_viterbi_equals_enumeration():
 
 @pytest.fixture(scope="module")
 def model(spark):
-    docs = spark.read.parquet(f"{SF_MORE}/documents.parquet")
-    return pii.train(queries._documents(spark, SF_MORE).unionByName(docs))
+    return pii.train(queries._documents(spark, SF_MORE))
 
 
 def test_tagger_finds_what_patterns_miss(model):
@@ -79,16 +78,22 @@ def test_tagger_finds_what_patterns_miss(model):
     (got,) = pii.find_spans(model, [text])
     assert ("email", 16, 46) in got[1] and any(k == "phone" for k, _, _ in got[1])
     clean = ["The year 1999 was good, page 12 of 300.", 'token = "9233a8ecf7c5b09fe5949719b6b82bc439"', "no digits at all", ""]
-    assert all(not every for _, every in pii.find_spans(model, clean))
-
-
-def test_windows_of_a_long_region_agree(model):
-    """A region of many windows has the spans that short ones have."""
-    mail = "anna.berg12@mail3.example.com"
-    text = " ".join(f"{i % 10} word {mail if i % 9 == 4 else 'more'}" for i in range(200))
-    assert len(pii.regions(text)) == 1
-    (got,) = pii.tagged(model, [text])
-    assert {(k, a, b) for k, a, b in got if k == "email"} == {("email", m.start(), m.end()) for m in re.finditer(re.escape(mail), text)}
+    assert pii.find_spans(model, clean) == [([], [])] * 4
+
+
+def test_windows_of_a_long_region_agree(spark, model):
+    """A region of many overlapping windows gives nearly the spans that its
+    parts give alone."""
+    texts = [r.text for r in spark.read.parquet(f"{SF_MORE}/documents.parquet").filter("text like '%@%'").limit(40).collect()]
+    parts = [t[max(0, a - 12):b + 12].replace("\n", " ") for t in texts for k, a, b in pii.base_spans(t) if k == "email"]
+    whole = " ".join(parts)
+    assert len(parts) > 20 and len(pii.regions(whole)) == 1
+    (got,) = pii.tagged(model, [whole])
+    want, at = set(), 0
+    for part, found in zip(parts, pii.tagged(model, parts)):
+        want |= {(k, a + at, b + at) for k, a, b in found}
+        at += len(part) + 1
+    assert len(want) > 20 and len(want ^ set(got)) <= len(want) // 10
 
 
 def test_personal_data_query(spark, tiny):
