@@ -221,36 +221,33 @@ def _rarity(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _size_class(n):
-    return np.floor(np.log(np.maximum(n, 1)) / math.log(STEP) + 1e-9).astype(np.int64)
+def _size_class(n: str):
+    return F.floor(F.log(F.col(n).cast("double")) / math.log(STEP) + 1e-9).cast("int")
 
 
 def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """Finer keys (key, rep, n, side) of sets (rep, items): an element among
-    the rarest ones of a set, together with the size classes of the two sets of
-    a pair. Sets of n and m elements at the threshold t have at least
+    """Finer keys (key, rep, n, side) of sets (rep, items, own, classes): an
+    element among the rarest ones of a set, together with the size classes of
+    the two sets of a pair (``own``, and ``classes`` of the sets it may meet). Sets of n and m elements at the threshold t have at least
     t / (1 + t) * (n + m) in common, so they share one of the first
     n - that + 1 elements of each in any common order. The order here is by
     the counters of ``_rarity``; an element whose counter is one is in no other
     set and needs no key. ``side`` tells the smaller class from the larger."""
     t = percent / 100
-    log_step = math.log(STEP)
-    sizes = F.floor(F.log(F.size("items").cast("double")) / log_step + 1e-9).cast("int")
-    present = sorted(r.c for r in sets.select(sizes.alias("c")).distinct().collect())       # a thousand classes at most
-    bc = sets.sparkSession.sparkContext.broadcast((_rarity(sets), np.array(present, np.int64)))
+    bc = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
     def run(batches):
-        rare, classes = bc.value
-        smallest = np.floor(STEP ** classes.astype(float) * (1 - 1e-6))
+        rare = bc.value
         for b in batches:
             items, offs = b.column(1).flatten().to_numpy().view(np.uint64), b.column(1).value_lengths().to_numpy()
             end = np.cumsum(offs)
             keys, reps, ns, sides = [], [], [], []
-            for rep, hi, n in zip(b.column(0).to_pylist(), end.tolist(), offs.tolist()):
+            for rep, hi, n, c, others in zip(b.column(0).to_pylist(), end.tolist(), offs.tolist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 mine = items[hi - n:hi]
                 count = rare[_slot(mine)]
                 order = np.lexsort((mine, count))
-                c = int(_size_class(n))
+                classes = np.array(sorted(others), np.int64)
+                smallest = np.floor(STEP ** classes.astype(float) * (1 - 1e-6))
                 room = n - np.ceil(t / (1 + t) * (n + np.maximum(smallest, math.floor(n * t) - 1)) - 1e-6).astype(np.int64) + 1
                 for d, m in zip(classes.tolist(), room.tolist()):
                     if m > 0 and (n * t - 1) / STEP <= STEP ** d <= (n / t + 1) * STEP:
@@ -265,7 +262,7 @@ def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(sides))],
                                                  names=["key", "rep", "n", "side"])
 
-    return sets.select("rep", "items").mapInArrow(run, "key long, rep long, n long, side int")
+    return sets.select("rep", "items", "own", "classes").mapInArrow(run, "key long, rep long, n long, side int")
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, k: int = WORDS) -> DataFrame:
@@ -277,7 +274,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, k: int = WORDS) -> DataFrame:
                 offs = _text.run_ends(row, j - i).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(pa.array(offs), pa.array(h.view(np.int64)))], names=["rep", "items"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(reps, "rep", "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(reps.hint("merge"), "rep", "left_semi")
     found = chosen.mapInArrow(run, "rep long, items array<long>")
     return found.groupBy("rep", F.xxhash64("items").alias("sig")).agg(F.first("items").alias("items")).drop("sig")
 
@@ -310,8 +307,11 @@ def _left(active: DataFrame, turn: int, labels: DataFrame) -> DataFrame:
 def _refined(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """What is left after the hubs: keys with few pairs as they are, the
     members of the others under finer keys."""
-    crowd = left.filter(~F.col("few")).select("rep", "comp").distinct()
-    fine = members(prefix_keys(staged(sets.join(crowd.select("rep"), "rep", "left_semi"), "neardup-crowd"), percent)).join(crowd, "rep")
+    rows = left.filter(~F.col("few")).withColumn("own", _size_class("n"))
+    met = rows.groupBy("key").agg(F.collect_set("own").alias("met"))                    # at most a thousand classes
+    crowd = rows.join(met, "key").groupBy("rep", "comp", "own").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("classes"))   # a rep has as many keys as bands
+    crowd = staged(sets.join(crowd, "rep"), "neardup-crowd")
+    fine = members(prefix_keys(crowd, percent)).join(crowd.select("rep", "comp").distinct(), "rep")
     return left.filter("few").unionByName(_open(fine).select(*left.columns))
 
 
@@ -339,7 +339,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs confirmed on the full sets, as edges from the larger id."""
-    both = pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("p", "sp"), "p")
+    both = pairs.join(sets.toDF("x", "sx").hint("merge"), "x").join(sets.toDF("p", "sp").hint("merge"), "p")
     both = both.select("x", "p", (F.size("sx") + F.size("sp")).alias("total"), F.size(F.array_intersect("sx", "sp")).alias("common"))
     ok = both.filter(100 * F.col("common") >= percent * (F.col("total") - F.col("common")))
     return ok.select(F.greatest("x", "p").alias("a"), F.least("x", "p").alias("b")).filter("a <> b").distinct()
@@ -406,5 +406,5 @@ def deduplicate(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     """``docs`` with one document of each group of near copies; of repeated
     rows with one doc_id, one stays. Rows without doc_id all stay."""
     kept = near_duplicates(docs, k, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))
