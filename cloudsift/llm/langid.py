@@ -14,9 +14,8 @@ counted, and the count is corrected for the filter's false positives, whose
 rate follows from the share of its bits that are set. The highest corrected
 count decides; the score is its share of the sum over all languages.
 
-Learning counts n-grams over a sample of about ``SAMPLE`` training documents
-(a documented bound; all of them when there are fewer), chosen by a hash, each
-n-gram counted in Spark. Only the text is an input of a prediction.
+Learning counts the n-grams of all training documents, in each task and then
+in Spark. Only the text is an input of a prediction.
 
 Rows: null text, and text without a letter, is ``und`` with score 0; a text
 whose n-grams no language contains gets the language with most training
@@ -41,8 +40,8 @@ from cloudsift.session import staged
 SIZES = (3, 4)
 RATE = 1e-5
 HASHES = 3
-SAMPLE = 20_000
 UNKNOWN = "und"
+_HELD = 1 << 20             # n-grams of all languages that a task holds before it adds them up
 
 
 @functools.cache
@@ -146,29 +145,49 @@ def _build(rows: list, totals: dict[str, int]) -> Filters | None:
     return f
 
 
-def learn(train: DataFrame, sample: int = SAMPLE) -> Filters | None:
-    """Filters from ``train`` (text, lang); rows with null lang or text are
-    left out. None without training rows."""
+def _added(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of (n-grams, counts) pairs, with summed counts."""
+    u, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return u, np.bincount(at, weights=np.concatenate([m for _, m in parts]), minlength=len(u)).astype(np.int64)
+
+
+def learn(train: DataFrame) -> Filters | None:
+    """Filters from all rows of ``train`` (text, lang); rows with null lang or
+    text are left out. None without training rows."""
     known = train.filter("lang is not null and text is not null")
-    size = known.count()
-    part = min(1.0, sample / max(1, size))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in known.columns]), F.lit(1 << 30))
-    chosen = known.filter(salt < int(part * (1 << 30)) + 1) if part < 1 else known
 
     def count(batches):
         """N-gram counts of a task, added up before the shuffle."""
+        held: dict[str, list] = {}
+        size = 0
+
+        def out():
+            for name, parts in held.items():
+                for u, m in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(m)], names=["lang", "h", "n"])
+
         for b in batches:
             langs = b.column(1).to_pylist()
             for i, j, raw, offs in _text.chunks(b.column(0)):
                 row, h, _ = ngrams(raw, offs)
                 names = sorted(set(langs[i:j]))
-                code = np.array([names.index(x) for x in langs[i:j]])
+                number = {x: c for c, x in enumerate(names)}
+                code = np.array([number[x] for x in langs[i:j]])
                 k = code[row] if len(row) else np.zeros(0, np.int64)
                 for c, name in enumerate(names):
                     u, m = np.unique(h[k == c], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(m)], names=["lang", "h", "n"])
-
-    counts = chosen.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(count, "lang string, h long, n long")
+                    held.setdefault(name, []).append((u, m))
+                    size += len(u)
+                if size >= _HELD:
+                    held = {name: [_added(parts)] for name, parts in held.items()}
+                    size = sum(len(u) for parts in held.values() for u, _ in parts)
+                    if size >= _HELD // 2:
+                        yield from out()
+                        held, size = {}, 0
+        held = {name: [_added(parts)] for name, parts in held.items()}
+        yield from out()
+
+    counts = known.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(count, "lang string, h long, n long")
     summed = counts.groupBy("lang", "h").agg(F.sum("n").alias("n"))
     summed = staged(summed, "langid-counts")
     totals = {r.lang: r.n for r in summed.groupBy("lang").agg(F.sum("n").alias("n")).collect()}     # one row per language

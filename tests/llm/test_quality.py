@@ -135,6 +135,25 @@ def test_language_edges(spark, edges, empty):
     assert kept.columns == edges.columns and {r.doc_id for r in kept.collect()} == {i for i, t, _ in EDGES if t and re.search(r"[^\W\d_]", t)}
 
 
+def test_language_with_one_document_is_learned(spark):
+    """In a table of any size, and with the counts that a loop gives."""
+    many = spark.range(200_000).selectExpr("id as doc_id", "'the cat and the mat' as text", "'en' as lang")
+    rare = spark.createDataFrame([(-1, "ytterst sällsynt språk", "sv"), (-2, None, "no")], "doc_id long, text string, lang string")
+    f = langid.learn(many.union(rare))
+    assert f.languages == ["en", "sv"] and f.languages[f.usual] == "en"
+    (got,) = langid.predict(rare.filter("text is not null"), f).collect()
+    assert got.lang_pred == "sv" and got.score > 0.9
+
+
+def test_counts_are_added_up(monkeypatch, spark):
+    """Filters do not depend on how often a task adds its counts up."""
+    docs = langid.training(spark.read.parquet(f"{SF}/documents.parquet"))
+    whole = langid.learn(docs)
+    monkeypatch.setattr(langid, "_HELD", 1000)
+    parts = langid.learn(docs)
+    assert whole.languages == parts.languages and (whole.slots == parts.slots).all()
+
+
 def test_filter_bits_equal_sets():
     """A filter returns every language that contains an n-gram, and its false
     positives stay near the rate it is corrected for."""
