@@ -165,6 +165,23 @@ def test_scores_equal_a_loop(spark, tiny):
     assert np.bincount(m.classes.of, weights=probs) == pytest.approx(np.ones(lm.CLASSES))
 
 
+def test_every_position_is_trained_on(spark):
+    """Each token of a row of 32 follows from its neighbours; all are learned,
+    wherever in the row they stand."""
+    row = np.arange(32, dtype="<u4")
+    ids = spark.createDataFrame([(i, bytearray(row.tobytes())) for i in range(10_000)], "doc_id long, ids binary").coalesce(1)
+    m = lm.train(ids, 32)
+    c = m.classes.of[row]
+    assert lm.log_probs(m.weights, lm.windows(c, np.array([0, 32])), c).min() > -0.5
+
+
+def test_rounds_take_each_position_once():
+    offs = np.array([0, 0, 1, 6, 6, 13])
+    for rounds in (1, 2, 3):
+        parts = [lm.targets(offs, t, rounds) for t in range(rounds)]
+        assert sorted(np.concatenate(parts).tolist()) == list(range(13))
+
+
 def test_lm_edges(edges, empty):
     got = lm.score_documents(edges, queries.vocabulary()).collect()
     assert len(got) == len(EDGES)
