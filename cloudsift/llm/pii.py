@@ -11,9 +11,9 @@ more digits behind it, a phone number without its plus sign.
   is taken by hash over all documents; half of the windows with spans get
   the span rewritten to a variant of its kind. Embeddings, both LSTMs and the
   CRF are trained on it in numpy with Adam.
-* **Regions.** Every kind holds a digit or an at sign, so only the surroundings
-  of such characters (``MARGIN`` on both sides) can hold a span; they are
-  found in the whole text, whatever its length.
+* **Regions.** Every kind holds a digit or an at sign, so only the run of
+  non-blank characters around such a character, with ``MARGIN`` on both sides,
+  can hold a span; they are found in the whole text, whatever its length.
 * **Windows.** A region is read in overlapping windows; each position takes
   its emission scores from the window in which it lies most central, and one
   Viterbi pass with the CRF transitions runs over the whole region. A span is
@@ -55,6 +55,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _ANCHOR = re.compile("[0-9@]")
+_SPACE = re.compile(r"\s")
+_NAME = re.compile(r"[\w.%+-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -319,11 +321,36 @@ def fit(windows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 250,
 
 # --- finding ---------------------------------------------------------------------
 
-def regions(text: str) -> list[tuple[int, int]]:
+def surroundings(text: str) -> list[tuple[int, int]]:
     """Surroundings of digits and at signs, merged."""
+    return _merged(text, ((m.start(), m.end()) for m in _ANCHOR.finditer(text)))
+
+
+def regions(text: str) -> list[tuple[int, int]]:
+    """Runs of non-blank characters that hold a digit or an at sign, with their
+    surroundings, merged."""
+    return _merged(text, _runs(text))
+
+
+def _runs(text: str):
+    """The runs of non-blank characters around digits and at signs."""
+    end = 0
+    m = _ANCHOR.search(text)
+    while m:
+        a = m.start()
+        while a > end and not text[a - 1].isspace():
+            a -= 1
+        blank = _SPACE.search(text, m.end())
+        end = blank.start() if blank else len(text)
+        yield a, end
+        m = _ANCHOR.search(text, end)
+
+
+def _merged(text: str, spots) -> list[tuple[int, int]]:
+    """The spots with MARGIN on both sides."""
     out: list[tuple[int, int]] = []
-    for m in _ANCHOR.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+    for a, b in spots:
+        a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], b)
         else:
@@ -357,6 +384,27 @@ def _inner_card(text: str, lo: int, hi: int) -> tuple[int, int]:
     return lo, hi
 
 
+def _whole_email(text: str, lo: int, hi: int) -> tuple[int, int]:
+    """A tagged address with the rest of its name and host, which may reach
+    beyond the windows that see its at sign, and without marks at its end; a
+    span that is no part of an address as it is."""
+    at = text.find("@", lo, hi)
+    if at < 0:                                          # in what follows, or before
+        at = text.find("@", hi)
+        if at < 0 or _NAME.match(text, hi, at).end() < at:
+            at = text.rfind("@", 0, lo)
+            if at < 0 or _NAME.match(text, at + 1, lo).end() < lo:
+                return lo, hi
+    lo = min(lo, at)
+    while lo and _NAME.match(text, lo - 1, lo).end() == lo:
+        lo -= 1
+    host = _DOMAIN.match(text, at + 1)
+    hi = max(hi, host.end() if host else hi)
+    while hi > at + 1 and not text[hi - 1].isalnum():
+        hi -= 1
+    return lo, hi
+
+
 def tagged(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans of the tagger in each text, before base spans are looked at."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
@@ -407,6 +455,8 @@ def _decode(model: Tagger, texts: list[str], some: list, out: list) -> None:
             kind = KINDS[(int(row[s]) - 1) // 2]
             if kind == "card" and not meets(kind, text[lo:hi]):
                 lo, hi = _inner_card(text, lo, hi)
+            elif kind == "email":
+                lo, hi = _whole_email(text, lo, hi)
             alone = not (lo and text[lo - 1].isalnum()) and not (hi < len(text) and text[hi].isalnum())
             if alone and sure[np.arange(s, end), row[s:end]].mean() >= SURE and meets(kind, text[lo:hi]):
                 out[r].append((kind, lo, hi))
@@ -449,7 +499,7 @@ def _windows(docs: DataFrame) -> DataFrame:
                 rows = []
                 for t in texts:
                     base = base_spans(t)
-                    spots = [(a, z) for _, a, z in base] + [x for x in regions(t) if not any(x[0] < z and a < x[1] for _, a, z in base)]
+                    spots = [(a, z) for _, a, z in base] + [x for x in surroundings(t) if not any(x[0] < z and a < x[1] for _, a, z in base)]
                     for a, z in spots:
                         lo = max(0, (a + z - LENGTH) // 2)
                         inside = [(k, s - lo, e - lo) for k, s, e in base if s >= lo and e <= lo + LENGTH]

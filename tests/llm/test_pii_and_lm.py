@@ -81,6 +81,29 @@ def test_tagger_finds_what_patterns_miss(model):
     assert pii.find_spans(model, clean) == [([], [])] * 4
 
 
+@pytest.mark.parametrize("address", [
+    "josé@mail.research-department-of-the-university.example.org",
+    "josé@" + "x.example-" * 200 + "y.org",
+    "pérez.de.la.fuente.y.gonzalez.maria.del.carmen@mail.example.com",
+    "sánchez.with.a.very.long.local.part.that.goes.on.and.on.and.on.for.ever.and.ever.until.it.ends.here@mail.example.com",
+    "é" + "abc." * 300 + "z@mail.example.org",
+])
+def test_long_addresses_are_whole(model, address):
+    """However far an address that the tagger sees reaches from its at sign."""
+    text = "Please write to " + address + " today."
+    ((_, got),) = pii.find_spans(model, [text])
+    assert ("email", 16, 16 + len(address)) in got
+    assert pii.masked(text, got) == "Please write to <EMAIL> today."
+
+
+def test_regions_hold_whole_runs():
+    t = "ab cd " + "é" * 100 + "@" + "x.y" * 50 + " " + "no " * 40 + "1" + "z" * 70 + " " + "w" * 100
+    (a, b), (c, d) = pii.regions(t)
+    assert t[a:b].startswith("ab cd é") and b == t.index(" no") + pii.MARGIN
+    assert c == t.index("1z") - pii.MARGIN and d == t.index(" www") + pii.MARGIN
+    assert pii.regions("") == pii.regions("no such characters") == [] and pii.regions("@") == [(0, 1)]
+
+
 def test_windows_of_a_long_region_agree(spark, model):
     """A region of many overlapping windows gives nearly the spans that its
     parts give alone."""
