@@ -375,13 +375,17 @@ def meets(kind: str, s: str) -> bool:
 def _inner_card(text: str, lo: int, hi: int) -> tuple[int, int]:
     """The longest run of a tagged span's digit groups that is a card number,
     else the span as it is."""
-    groups = [(m.start() + lo, m.end() + lo) for m in re.finditer("[0-9]+", text[lo:hi])][:40]
-    for n in range(len(groups) - 1, 0, -1):
-        for i in range(len(groups) - n + 1):
-            a, b = groups[i][0], groups[i + n - 1][1]
-            if meets("card", text[a:b]):
-                return a, b
-    return lo, hi
+    groups = [(m.start() + lo, m.end() + lo) for m in re.finditer("[0-9]+", text[lo:hi])]
+    most, found = 0, (lo, hi)
+    for i, (a, _) in enumerate(groups):
+        digits = 0
+        for j in range(i, len(groups)):
+            digits += groups[j][1] - groups[j][0]
+            if digits > 19:
+                break
+            if digits >= 13 and j - i >= most and meets("card", text[a:groups[j][1]]):
+                most, found = j - i + 1, (a, groups[j][1])
+    return found
 
 
 def _whole_email(text: str, lo: int, hi: int) -> tuple[int, int]:

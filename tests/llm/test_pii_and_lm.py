@@ -104,6 +104,22 @@ def test_regions_hold_whole_runs():
     assert pii.regions("") == pii.regions("no such characters") == [] and pii.regions("@") == [(0, 1)]
 
 
+def test_card_inside_a_long_span():
+    """The longest run of groups with the first place, as a search of all runs
+    finds it, however many groups stand before it."""
+    card = "4111 1111 1111 1111"
+    for n in (0, 3, 40, 500):
+        text = "00000000000000000007 " * n + card + " 00000000000000000007" * n
+        a = text.index(card)
+        assert pii._inner_card(text, 0, len(text)) == (a, a + len(card))
+    rng = random.Random(4)
+    for _ in range(300):
+        t = "".join(rng.choice("0123456789012345678901234567 -.x") for _ in range(rng.randint(0, 60)))
+        g = [m.span() for m in re.finditer("[0-9]+", t)]
+        runs = [(j - i, -g[i][0], g[i][0], g[j][1]) for i in range(len(g)) for j in range(i, len(g)) if pii.meets("card", t[g[i][0]:g[j][1]])]
+        assert pii._inner_card(t, 0, len(t)) == (max(runs)[2:] if runs else (0, len(t)))
+
+
 def test_windows_of_a_long_region_agree(spark, model):
     """A region of many overlapping windows gives nearly the spans that its
     parts give alone."""
