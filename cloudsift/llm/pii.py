@@ -7,8 +7,9 @@ the patterns miss: accented local parts, other separators, a card number with
 more digits behind it, a phone number without its plus sign.
 
 * **Training.** Labelled spans are those of the base detector. A bounded
-  sample of distinct windows (``SAMPLE`` with spans, a third of that without)
-  is taken by hash over all documents; half of the windows with spans get
+  sample of distinct windows (``SAMPLE`` with spans, at least a quarter of that
+  of each kind, as far as there are, and a third of it without) is taken by
+  hash over all documents; half of the windows with spans get
   the span rewritten to a variant of its kind. Embeddings, both LSTMs and the
   CRF are trained on it in numpy with Adam.
 * **Regions.** Every kind holds a digit or an at sign, so only the run of
@@ -538,11 +539,18 @@ def _varied(piece: str, spans: list, rng) -> tuple[str, list]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """A tagger from a bounded sample of the documents' windows: at most
-    ``sample`` with spans and a third of that without."""
+    """A tagger from a bounded sample of the documents' windows: ``sample``
+    with spans, more of a kind that has less than a quarter of that among them,
+    and a third of it without."""
     w = staged(_windows(docs), "pii-windows")
     key = F.xxhash64("piece", "spans")
-    rows = [r for cond, n in (("spans <> ''", sample), ("spans = ''", sample // 3)) for r in w.filter(cond).orderBy(key, "piece").limit(n).collect()]
+    first = lambda cond, n: w.filter(cond).orderBy(key, "piece").limit(n).collect()
+    rows = first("spans <> ''", sample)
+    for kind in KINDS:
+        holds = lambda r: f"{kind}:" in r.spans  # noqa: B023, E731
+        if len(rows) == sample and sum(map(holds, rows)) < sample // 4:
+            rows += sorted(set(first(f"contains(spans, '{kind}:')", sample // 4)) - set(rows))
+    rows += first("spans = ''", sample // 3)
     rng = np.random.default_rng(5)
     windows = []
     for r in rows:

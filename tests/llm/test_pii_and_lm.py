@@ -159,6 +159,16 @@ def test_personal_data_edges(spark, model, edges, empty):
     assert null.text is None and null.n_chars is None and null.start == "clash"
 
 
+def test_training_has_each_kind(spark, monkeypatch):
+    """A rare kind is trained on, however many windows hold another."""
+    rows = [(i, f"mail user{i}@host{i}.example.com", "en") for i in range(20_000)] + [(-i, f"call +1 (415) 555-26{i} now", "en") for i in range(10, 13)]
+    seen = []
+    monkeypatch.setattr(pii, "fit", seen.extend)
+    pii.train(table(spark, rows))
+    phones = {t for t, spans in seen if any(k == "phone" for k, _, _ in spans) and "+" in t}
+    assert {t for _, t, _ in rows[-3:]} <= phones and len(seen) <= 2 * (pii.SAMPLE + len(pii.KINDS) * pii.SAMPLE // 4) + pii.SAMPLE // 3
+
+
 def test_training_without_windows(spark, empty):
     m = pii.train(empty)
     assert pii.find_spans(m, ["no digits"]) == [([], [])]
