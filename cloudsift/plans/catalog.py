@@ -21,14 +21,16 @@ from cloudsift.operators import filters as FL
 from cloudsift.operators import frames as FR
 from cloudsift.operators import legend as LG
 from cloudsift.operators import palette as PL
+from cloudsift.operators import permute as PM
 from cloudsift.operators import pick as PK
 from cloudsift.operators import profile as PF
 from cloudsift.operators import project as PJ
 from cloudsift.operators import ranks as RK
 from cloudsift.operators.export import export_points, render_cap, render_table
 from cloudsift.plans import bindings as B
+from cloudsift.plans.ingest import run_ingest
 from cloudsift.plans.sqlparts import (TAN_HALF_FOV, sql_gradient_rgb, sql_hash, sql_hash_rgb,
-                                      sql_rgb)
+                                      sql_permutation, sql_rgb)
 from cloudsift.roles import attribute_catalog, essential_columns
 from cloudsift.session import shared_dir
 from cloudsift.sources import shards as SH
@@ -176,6 +178,22 @@ def q_read_unlike_headers(spark, sf):
     return got.select("row_id", "cell", "y", "x", "gene", "note")
 
 
+INGEST_SQL = ("WITH RECURSIVE c AS (" + B.CELLS_SQL + """),
+numbered AS (SELECT row_id, gene, row_number() OVER (ORDER BY row_id) - 1 AS num FROM c),
+""" + sql_permutation("numbered", "row_id, gene", B.SEED))
+
+
+@register("ingest_raw", INGEST_SQL + f"""
+SELECT row_id, gene, hf, row_idx, CAST(CASE WHEN n < {B.N_SHARDS} THEN {B.N_SHARDS} ELSE least(row_idx // (n // {B.N_SHARDS}), {B.N_SHARDS - 1}) + 1 END AS INTEGER) AS shard
+FROM permuted JOIN c USING (row_id, gene), total WHERE row_id % 3 > 0""")
+def q_ingest_raw(spark, sf):
+    """The whole ingest job over gzipped text files: types, permutation of the
+    line numbers, shards; then a filter and a join on an inferred number."""
+    done = run_ingest(spark, f"{_written(spark, sf, 'lines')}/*.gz", shared_dir(spark, "ingest"), R, B.N_SHARDS, B.SEED)
+    rows = spark.read.parquet(done.path).where(F.col("row_id") % 3 > 0).select("row_id", "gene", "row_idx", "shard")
+    return rows.join(B.cells(spark, sf).select("row_id", "hf"), "row_id")
+
+
 @register("normalise_types", "WITH c AS (" + B.CELLS_SQL + """)
 SELECT row_id, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z,
   CAST(t AS FLOAT) AS t, CAST(CAST(time_rank AS SMALLINT) AS DOUBLE) AS time_rank, structure, hf, sample, grp,
@@ -709,6 +727,14 @@ def q_shuffle_rank(spark, sf):
     return RK.shuffle_rank(B.cells(spark, sf), "cell", "row_id", seed=B.SEED).select("row_id", "row_idx")
 
 
+@register("keyed_permutation", INGEST_SQL + "\nSELECT row_id, row_idx FROM permuted")
+def q_keyed_permutation(spark, sf):
+    """W1 where rows are numbered (raw text): a keyed bijection of the line
+    numbers, without a sort, a count per bucket or a window."""
+    rows = TB.read_tables(spark, f"{_written(spark, sf, 'lines')}/*.gz", with_number=True, text_columns=(*CAT_ATTRS, R.id_col))
+    return PM.permute_rows(rows, "source_row", rows.count(), B.SEED).select("row_id", "row_idx")
+
+
 @register("line_number", "WITH c AS (" + B.CELLS_SQL + """)
 SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS line, row_id FROM c""")
 def q_line_number(spark, sf):

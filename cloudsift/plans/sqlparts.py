@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+from cloudsift.operators import permute as PM
+
 THIRD = "(1::DOUBLE/3)"
 SIXTH = "(1::DOUBLE/6)"
 TWO3 = "(2::DOUBLE/3)"
@@ -82,3 +84,25 @@ def sql_gradient_rgb(inner: str, v: str, lo: str, hi: str) -> str:
 
     return (f"SELECT * EXCLUDE (_n, _vt, _gr, _gg, _gb, _hr, _hg, _hb), {pick('r')}, {pick('g')}, {pick('b')} "
             f"FROM ({hashed}) _g1")
+
+
+def sql_permutation(numbered: str, keep: str, seed: int) -> str:
+    """W1 as a keyed bijection: rows of the CTE ``numbered`` (columns ``keep``
+    and ``num`` 0 .. n-1) with ``row_idx``. A list of CTEs (recursive: the walk
+    back below n), the last one named ``permuted``."""
+    p, q, keys = PM.P, PM.Q, PM.Permutation(1, seed).keys
+
+    def network(inner: str) -> str:
+        text = f"SELECT *, v // b AS l, v % b AS r FROM ({inner}) n0"
+        for i, (add, first, second) in enumerate(keys):
+            half, other, size = ("r", "l", "a") if i % 2 == 0 else ("l", "r", "b")
+            mixed = f"((({half} + {add}) % {p}) * {first} % {p}) * {second} % {q}"
+            text = f"SELECT * REPLACE (({other} + {mixed}) % {size} AS {other}) FROM ({text}) n{i + 1}"
+        return f"SELECT num, n, a, b, k + 1 AS k, l * b + r AS v FROM ({text}) w"
+
+    return f"""total AS (SELECT count(*) AS n FROM {numbered}),
+grid AS (SELECT n, CAST(floor(sqrt(greatest(n - 1, 0))) AS BIGINT) + 1 AS a FROM total),
+sides AS (SELECT n, a, greatest((n + a - 1) // a, 1) AS b FROM grid),
+walk AS (SELECT num, n, a, b, CAST(0 AS BIGINT) AS k, CAST(num AS BIGINT) AS v FROM {numbered}, sides
+  UNION ALL {network("SELECT * FROM walk WHERE k = 0 OR v >= n")}),
+permuted AS (SELECT {keep}, v AS row_idx FROM {numbered} JOIN walk USING (num) WHERE k > 0 AND v < n)"""

@@ -52,6 +52,73 @@ def test_read_tables_as_pandas_reads(spark, tmp_dir):
     assert dict(ids.dtypes)["cell"] == "string"          # 12d is not a number
 
 
+def test_inferred_numbers_can_be_used(spark, tmp_dir):
+    """Filter, join, dropna and a given schema on numeric columns: no plan
+    casts the header's text."""
+    for k in range(2):
+        _write_gz(f"{tmp_dir}/{k}.tsv.gz", b"row_id\tv\tname\n" + b"".join(b"%d\t%d.5\tn%d\n" % (i + 10 * k, i, i) for i in range(10)))
+    df = TB.read_tables(spark, f"{tmp_dir}/*.tsv.gz")
+    assert dict(df.dtypes) == {"row_id": "bigint", "v": "double", "name": "string"}
+    assert df.where("row_id > 5").count() == 14 and df.where("v < 3").count() == 6
+    assert df.dropna(subset=["row_id"]).count() == 20
+    keys = spark.createDataFrame([(3,), (17,), (99,)], "row_id bigint")
+    assert sorted(r.name for r in df.join(keys, "row_id").collect()) == ["n3", "n7"]
+    assert df.join(df.select("row_id"), "row_id", "left_semi").where("v + row_id > 20").count() == 5
+    typed = TB.read_tables(spark, f"{tmp_dir}/*.tsv.gz", schema="row_id int, v float")
+    assert typed.where("row_id >= 18").count() == 2 and dict(typed.dtypes)["v"] == "float"
+    assert df.groupBy("row_id").count().where("row_id = 4").first()["count"] == 1
+
+
+def test_nothing_is_lost_silently(spark, tmp_dir):
+    import pandas as pd
+    _write_gz(f"{tmp_dir}/eq.tsv.gz", b"\ta\tb\ta\n0\t1\t2\t3\n1\t4\t5\t6\n")
+    df = TB.read_tables(spark, f"{tmp_dir}/eq.tsv.gz")
+    want = pd.read_csv(f"{tmp_dir}/eq.tsv.gz", sep="\t")
+    assert df.columns == list(want.columns) == ["Unnamed: 0", "a", "b", "a.1"]
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.values.tolist()))
+    _write_gz(f"{tmp_dir}/wide.tsv.gz", b"a\tb\n1\t2\n1\t2\t3\n")
+    with pytest.raises(ValueError, match="more fields"):
+        TB.read_tables(spark, f"{tmp_dir}/wide.tsv.gz")
+    _write_gz(f"{tmp_dir}/twice.tsv.gz", b"a\ta.1\ta\n1\t2\t3\n")
+    with pytest.raises(ValueError, match="told apart"):
+        TB.read_tables(spark, f"{tmp_dir}/twice.tsv.gz")
+    _write_gz(f"{tmp_dir}/key.tsv.gz", b"a\tsource_line\n1\t2\n")
+    with pytest.raises(ValueError, match="named"):
+        TB.read_tables(spark, f"{tmp_dir}/key.tsv.gz")
+    with pytest.raises(ValueError, match="max_columns"):
+        TB.read_records(spark, f"{tmp_dir}/eq.tsv.gz", max_columns=3)
+
+
+def test_plain_files_are_split(spark, tmp_dir):
+    """A plain file is read in many tasks, its lines numbered over all splits;
+    rows of missing values stay, blank lines go."""
+    lines = [f"{i}\tv{i}\t" for i in range(20_000)]
+    lines[7] = "\t\t"
+    with open(f"{tmp_dir}/a.tsv", "w") as f:
+        f.write("id\tv\tw\n\n" + "\n".join(lines) + "\n\n")
+    with open(f"{tmp_dir}/b.tsv", "w") as f:
+        f.write("w\tid\nx\t5\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        df = TB.read_tables(spark, f"{tmp_dir}/*.tsv", with_source=True, with_number=True, infer=False)
+        raw = TB._raw_records(spark, TB.list_inputs(spark, f"{tmp_dir}/a.tsv"), "\t", ["_c0", "_c1", "_c2", "_c3"], False)
+        assert raw.rdd.getNumPartitions() > 3
+        rows = df.orderBy("source_row").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.source_row for r in rows] == list(range(20_001))
+    assert [r.source_line for r in rows] == [*range(1, 20_001), 1]
+    assert [r.id for r in rows] == [None if i == 7 else str(i) for i in range(20_000)] + ["5"]
+    assert rows[-1].w == "x" and rows[3].v == "v3" and rows[3].w is None and rows[-1].v is None
+
+
+def test_header_only_and_empty_files(spark, tmp_dir):
+    _write_gz(f"{tmp_dir}/a.tsv.gz", b"x\ty\n")
+    _write_gz(f"{tmp_dir}/b.tsv.gz", b"")
+    df = TB.read_tables(spark, f"{tmp_dir}/*.tsv.gz", with_source=True, with_number=True)
+    assert df.columns == ["x", "y", *TB.SOURCE_KEY] and df.count() == 0
+
+
 def test_read_tables_empty_glob_fails(spark, tmp_dir):
     with pytest.raises(FileNotFoundError):
         TB.read_tables(spark, f"{tmp_dir}/*.tsv.gz")
