@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudsift.llm import bpe, fingerprints, langid, lm, neardup, packing, pii, quality_clf, quality_rules, sql, token_counts
+from cloudsift.llm import (bpe, fingerprints, langid, lm, neardup, packing, pii, quality_clf, quality_rules, repeats, spelling, sql,
+                           token_counts, whitening)
 from cloudsift.session import show_package
 
 
@@ -93,6 +94,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _in_fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    show_package(spark)
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_documents(spark, sf_dir))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -104,9 +118,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op7_near_duplicates": sql.near_duplicates(),
     "op9_quality_rules": sql.quality_rules(),
+    "op13_substring_dedup": sql.substring_dedup(),
 }

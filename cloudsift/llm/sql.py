@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cloudsift.llm.neardup import PERCENT
 from cloudsift.llm.quality_rules import _CLOSE, _CLOSE_WIDE, _SEPARATORS, BOILERPLATE, MAX_LOST, MAX_REPEAT, MIN_WORDS, OPEN_WORDS
+from cloudsift.llm.repeats import LENGTH
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,6 +27,21 @@ SELECT w.doc_id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, compo
 FROM w JOIN c ON c.x = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id"""
 
 
+def substring_dedup() -> str:
+    """op13: every window of 13 words, the first document that holds it, and
+    the words that no later window covers."""
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - {LENGTH - 2})) AS i,
+    unnest(list_transform(range(1, len(ws) - {LENGTH - 2}), lambda i: array_to_string(ws[i:i + {LENGTH - 1}], ' '))) AS seq FROM d WHERE len(ws) >= {LENGTH}),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY seq) AS first_id FROM win) f WHERE doc_id > first_id),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+marked AS (SELECT w.doc_id, w.i, word, max(l.i) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words w LEFT JOIN later l ON l.doc_id = w.doc_id AND l.i = w.i),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+
 def _strings(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
