@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 PROBES = 5
 BITS_PER_HASH = 12
-MAX_WORDS = 1 << 21          # 16 MB
+MAX_WORDS = 1 << 23          # 64 MB
 
 
 def words_for(n: int, most: int = MAX_WORDS) -> int:

@@ -8,17 +8,21 @@ a smaller doc_id is a repeat; its words go.
   common window have its anchor in common. Anchors are a fifth of the words;
   Spark keeps those that stand in two documents (partial minimum and maximum
   of the doc_id, no pairs).
-* **Extension.** Around each shared anchor all windows that chose it, up to
-  eight words to either side, are joined on 96 bits of their words with the
-  first document that holds them. Consecutive windows with an earlier document
-  make one maximal repeat, which thereby reaches as far as the match does.
+* **Extension.** A seed is extended to all windows that chose it, up to eight
+  words to either side: its region. Regions of equal words are one class, and
+  an occurrence behind the class's first document is a repeat as a whole. The
+  first occurrences of a class may still share some windows with another class
+  of the same seed (where a match ends); only these are joined window by
+  window, on 96 bits of their words, with the first document that holds them.
+  Consecutive repeated windows make one maximal repeat.
 * **Copies.** Documents with equal words are one class: all but the smallest
   doc_id go whole, only that one is searched.
 
-Two bounded Bloom filters (documents to search, shared anchors) spare work;
-a yes is always followed by the exact join, and when they are full everything
-is joined. Hot passages: every sum is a partial aggregate, and the join is a
-plain equi-join with one row per window on one side, which AQE may split.
+Bounded Bloom filters (documents to search, shared anchors, classes) spare
+work; a yes is always followed by an exact step, and when they are full
+everything is joined. The texts are read again rather than rows of every word
+kept on disk. Hot passages: every sum is a partial aggregate, and the joins are
+plain equi-joins with one row per key on one side, which AQE may split.
 
 Rows: null and empty texts have no words. Fewer than 13 words: nothing is
 removed. Rows with a null doc_id are returned, but neither cut nor a source.
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudsift.llm import _filter
-from cloudsift.llm._text import Words, chunks, mix64, seeds, utf8
+from cloudsift.llm._text import Words, chunks, mix64, ragged, seeds, utf8
 from cloudsift.session import staged
 
 LENGTH = 13
@@ -123,28 +127,75 @@ def _seeds(wanted):
     return run
 
 
-def _windows(wanted, shared):
-    """Rows of every window whose anchor may be shared."""
+class Regions:
+    """The regions of a chunk whose anchor may be shared: first window, number
+    of windows, class (hash of all words, 32 bits of the anchor), row."""
+
+    def __init__(self, w: Words, shared: np.ndarray):
+        start, at, h = anchors(w)
+        head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]) if len(at) else at
+        count = np.diff(np.r_[head, len(at)])
+        yes = _filter.holds(shared, h[at[head]])
+        self.start, self.count, h = start[head][yes], count[yes], h[at[head]][yes]
+        self.one = _sliding(w.hash, _WINDOW_COEF[0])
+        with np.errstate(over="ignore"):                          # two windows that hold all words between them
+            self.words = mix64(self.one[self.start] + np.uint64(3) * self.one[self.start + self.count - 1] + self.count.astype(np.uint64)) if len(h) else h
+        self.anchor = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        self.row = w.row[self.start]
+
+
+def _first_key(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Hash of (class, document)."""
+    with np.errstate(over="ignore"):
+        return mix64(words + mix64(ids.view(np.uint64)))
+
+
+def _regions(wanted, shared, useful=None):
+    """Rows of the regions; with ``useful`` those of classes it may hold, with
+    their text and place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hashes, w in _searched(batches, wanted):
-            start, at, h = anchors(w)
-            yes = _filter.holds(shared.value, h)[at]
-            start = start[yes]
-            one, two = (_sliding(w.hash, c)[start] for c in _WINDOW_COEF) if len(start) else (h[:0], h[:0])
+            r = Regions(w, shared.value)
+            keep = np.ones(len(r.row), bool) if useful is None else _filter.holds(useful.value, r.words)
+            row = r.row[keep]
+            cols = {"words": r.words[keep].view(np.int64), "anchor": r.anchor[keep], "doc_id": ids[row]}
+            if useful is not None:
+                cols |= {"text_hash": hashes[row], "start": (r.start[keep] - w.first[row]).astype(np.int32), "n": r.count[keep].astype(np.int32)}
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], names=list(cols))
+
+    return run
+
+
+def _windows(wanted, shared, firsts):
+    """Rows of every window of the regions that are first of their class and
+    not the only class of their anchor (or that the filter takes for such)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, hashes, w in _searched(batches, wanted):
+            r = Regions(w, shared.value)
+            keep = _filter.holds(firsts.value, _first_key(r.words, ids[r.row]))
+            start = ragged(r.start[keep], r.count[keep])
+            two = _sliding(w.hash, _WINDOW_COEF[1])[start] if len(start) else start.astype(np.uint64)
             row = w.row[start]
             yield pa.RecordBatch.from_arrays([
-                pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                pa.array(r.one[start].view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                 pa.array(ids[row]), pa.array(hashes[row]), pa.array((start - w.first[row]).astype(np.int32))], names=["w", "v", "doc_id", "text_hash", "start"])
 
     return run
 
 
+def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(_first_key(words.view(np.uint64), ids).view(np.int64))], names=["k"])
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Consecutive windows become one passage [begin, end)."""
     for b in batches:
         begins, ends = [], []
-        for s in b.column(2):
-            s = np.sort(np.asarray(s.values.to_numpy(zero_copy_only=False)))
+        for places in b.column(2):
+            start, n = (places.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            s = np.unique(ragged(start, n))
             cut = np.flatnonzero(np.diff(s) > 1)
             begins.append(s[np.r_[0, cut + 1]])
             ends.append(s[np.r_[cut, len(s) - 1]] + LENGTH)
@@ -164,10 +215,21 @@ def find_repeats(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     texts = _numbered(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     seen = texts.mapInArrow(_seeds(wanted), "h bigint, doc_id bigint").groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = staged(seen.where("first < last").select("h"), "shared-anchors")
-    anchors_ = spark.sparkContext.broadcast(_filter.build(shared, "h", _filter.words_for(shared.count())))
-    windows = staged(texts.mapInArrow(_windows(wanted, anchors_), "w bigint, v int, doc_id bigint, text_hash bigint, start int"), "windows")
+    spread = lambda table, column: spark.sparkContext.broadcast(_filter.build(table, column, _filter.words_for(table.count())))
+    anchors_ = spread(shared, "h")
+    classes = staged(texts.mapInArrow(_regions(wanted, anchors_), "words bigint, anchor int, doc_id bigint").groupBy("words", "anchor")
+                     .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "regions")
+    repeated = classes.where("first < last").select("words", "anchor", "first")
+    found = texts.mapInArrow(_regions(wanted, anchors_, spread(repeated, "words")), "words bigint, anchor int, doc_id bigint, text_hash bigint, start int, n int")
+    whole = found.join(repeated, ["words", "anchor"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "text_hash", "start", "n")
+    # where one anchor has several classes, their first documents are compared window by window
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("anchor")
+    edges = staged(classes.join(several, "anchor", "left_semi").select("words", "first").mapInArrow(_first_keys, "k bigint"), "region-edges")
+    rows = "w bigint, v int, doc_id bigint, text_hash bigint, start int"
+    windows = texts.mapInArrow(_windows(wanted, anchors_, spread(edges, "k")), rows)
     firsts = windows.groupBy("w", "v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "v", "first")
-    later = windows.join(firsts, ["w", "v"]).where(F.col("doc_id") > F.col("first")).groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))
+    parts = windows.join(firsts, ["w", "v"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "text_hash", "start", F.lit(1).alias("n"))
+    later = whole.unionAll(parts).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("places"))
     return staged(later.mapInArrow(_runs, "doc_id bigint, text_hash bigint, begins array<int>, ends array<int>"), "repeats")
 
 

@@ -12,7 +12,7 @@ at least ``LEAST_LENGTH`` code points that occur ``LEAST_COUNT`` times.
   the other word, so it needs no probe.)
 * **Exact join.** Only edits the filter may hold are shuffled, and joined with
   the vocabulary by their text, which removes the false positives. The filter
-  is at most 16 MB however large the vocabulary; a fuller one says yes more
+  is at most 64 MB however large the vocabulary; a fuller one says yes more
   often and changes no result.
 * **Forms and roots.** The form of a word is its near word of largest n, if
   that is ``RATIO`` times its own; forms grow by that factor, so a chain is
