@@ -31,7 +31,9 @@ def write_shards(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE,
     by (shard, row_idx) is the writer's required order).
     ``repartition=True`` range-partitions on row_idx first (for inputs whose
     partitioning is unknown). zstd level 9, dictionary, statistics, at most
-    500 000 rows per row group and ``rows_per_file`` rows per file."""
+    500 000 rows per row group and ``rows_per_file`` rows per file. No rows
+    give one empty file in the last shard, so that the dataset keeps its
+    columns and every reader gives an empty table."""
     out = df
     if repartition:
         if n_rows is None:
@@ -45,9 +47,27 @@ def write_shards(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE,
      .option("parquet.block.row.count.limit", str(ROWS_PER_GROUP))
      .option("maxRecordsPerFile", rows_per_file)
      .parquet(path))
+    if not shard_files(df.sparkSession, path):
+        df.limit(0).drop("shard").coalesce(1).write.parquet(f"{path}/shard={EMPTY_SHARD}")
     return path
 
 
+EMPTY_SHARD = 10  # where the schema of an empty dataset lies
+
+
+def shard_files(spark: SparkSession, path: str) -> dict[int, int]:
+    """Files per shard of a written dataset, from the listing alone."""
+    jvm = spark.sparkContext._jvm
+    found = {}
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for shard in fs.listStatus(folder):
+        name = shard.getPath().getName()
+        if shard.isDirectory() and name.startswith("shard="):
+            found[int(name.removeprefix("shard="))] = sum(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(shard.getPath()))
+    return found
+
+
 def read_shards(spark: SparkSession, path: str, k: int, columns: list[str] | None = None) -> DataFrame:
     """The first k shards, only the named columns (partition pruning +
     column pruning reach the scan)."""
@@ -111,3 +131,17 @@ def size_reduction(spark: SparkSession, source_pattern: str, shards_path: str) -
     both = old.select("*", new.select("new_bytes").scalar().alias("new_bytes"),
                       new.select("new_files").scalar().alias("new_files"))
     return both.withColumn("reduction_pct", reduction_percent(F.col("new_bytes"), F.col("old_bytes")))
+
+
+def footer_report(spark: SparkSession, path: str, numbers: tuple[str, ...] = ()) -> DataFrame:
+    """A10/A4 from the Parquet footers alone: per shard the rows, and the least
+    and greatest value of each column in ``numbers`` (no NaN, as ingest leaves
+    none), without reading data. The settings this needs hold in a session of
+    its own, on the same context."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for c in numbers:
+        aggs += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
+    return own.read.parquet(path).groupBy("shard").agg(*aggs)

@@ -2,6 +2,7 @@ import gzip
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloudsift.plans import bindings as B
 from cloudsift.sources import shards as SH
@@ -246,3 +247,39 @@ def test_parts_for_limit(spark, tmp_dir):
         f.write(b"h\n" + b"x" * 5000 + b"\n")
     assert TS.parts_for_limit(spark, src, limit_bytes=1000) >= 5
     assert TS.parts_for_limit(spark, src) == 1
+
+
+def test_footer_report_reads_no_data(spark, tmp_dir):
+    """Rows and ranges are pushed to the footers; they equal the scan's."""
+    SH.write_shards(B.points(spark, SF_TINY).drop("n_rows"), f"{tmp_dir}/d", rows_per_file=40)      # several files a shard
+    got = SH.footer_report(spark, f"{tmp_dir}/d", ("t", "x", "time_rank"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(t), MAX(t), MIN(x), MAX(x), MIN(time_rank), MAX(time_rank)]" in plan
+    assert "PushedGroupBy: [shard]" in plan
+    aggs = [f"{f}({c})" for c in ("t", "x", "time_rank") for f in ("min", "max")]
+    want = spark.read.parquet(f"{tmp_dir}/d").groupBy("shard").agg(F.count(F.lit(1)), *map(F.expr, aggs))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_reported_bytes_are_the_files_sizes(spark, tmp_dir):
+    """Bytes per shard, in total, and per part, as the file
+    system has them."""
+    import glob
+    SH.write_shards(B.points(spark, SF_TINY).drop("n_rows"), f"{tmp_dir}/d", rows_per_file=40)
+    size = {k: [os.path.getsize(f) for f in glob.glob(f"{tmp_dir}/d/shard={k}/*.parquet")] for k in range(1, 11)}
+    rep = {r.shard: r for r in SH.shard_report(spark, f"{tmp_dir}/d").collect()}
+    assert {k: (rep[k].files, rep[k].bytes, rep[k].max_file_bytes, rep[k].over_limit) for k in size} == \
+        {k: (len(v), sum(v), max(v), False) for k, v in size.items()}
+    assert rep[None].bytes == sum(map(sum, size.values())) and rep[None].files == sum(map(len, size.values()))
+    cum = SH.cumulative_size(SH.shard_report(spark, f"{tmp_dir}/d")).orderBy("shard").collect()
+    assert [r.cum_bytes for r in cum] == [sum(sum(size[j]) for j in range(1, k + 1)) for k in range(1, 11)]
+    _write_gz(f"{tmp_dir}/a.tsv.gz", b"x\n" + b"1\n" * 5000)
+    red, old = SH.size_reduction(spark, f"{tmp_dir}/*.gz", f"{tmp_dir}/d").first(), os.path.getsize(f"{tmp_dir}/a.tsv.gz")
+    new = rep[None].bytes
+    assert (red.old_bytes, red.new_bytes, red.old_files) == (old, new, 1) and abs(red.reduction_pct - 100 * (1 - new / old)) < 1e-9
+    names = TS.split_with_header(spark, f"{tmp_dir}/a.tsv.gz", f"{tmp_dir}/p", 4)
+    mib = [os.path.getsize(n.replace("file:", "")) / 2**20 for n in names]
+    part = TS.part_report(spark, f"{tmp_dir}/p").first()
+    assert part.parts == 4 and abs(part.max_mib - max(mib)) < 1e-12 and abs(part.min_mib - min(mib)) < 1e-12
+    assert abs(part.avg_mib - sum(mib) / 4) < 1e-12 and part.any_over_limit is False
