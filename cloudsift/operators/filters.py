@@ -24,6 +24,9 @@ class FilterSpec:
     type: str | None = None  # 'categorical' | 'continuous' | None
     values: tuple[str, ...] | None = None
     range: tuple[float, float] | None = None
+    #: All values without naming them (for domains too large to list): rows with
+    #: a value, and with ``"empty"`` also those whose value is null or ''.
+    whole: str | None = None
 
     def is_active(self) -> bool:
         if not self.attribute or not self.type:
@@ -31,7 +34,7 @@ class FilterSpec:
         if self.type == "continuous":
             return self.range is not None
         if self.type == "categorical":
-            return bool(self.values)
+            return bool(self.values) or self.whole is not None
         return False
 
 
@@ -56,6 +59,8 @@ def compile_spec(spec: FilterSpec) -> Column | None:
         return None
     if spec.type == "continuous":
         return filter_range(spec.attribute, *spec.range)
+    if spec.whole is not None:
+        return F.lit(True) if spec.whole == "empty" else F.col(spec.attribute).isNotNull()
     return filter_in(spec.attribute, spec.values)
 
 
@@ -122,7 +127,7 @@ def filter_funnel(df: DataFrame, specs: list[FilterSpec]) -> DataFrame:
             acc = acc & F.coalesce(p, F.lit(False))
         conds.append(acc)
     aggs = [F.count(F.lit(1)).alias("n0")]
-    aggs += [F.sum(F.when(c, 1).otherwise(0)).cast("bigint").alias(f"n{i + 1}") for i, c in enumerate(conds)]
+    aggs += [F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint").alias(f"n{i + 1}") for i, c in enumerate(conds)]
     counts = df.agg(*aggs)
     rows = [F.struct(F.lit(0).alias("step"), F.lit("(all)").alias("attribute"),
                      F.lit(True).alias("applied"), F.col("n0").alias("n_before"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloudsift.functions import color as C
 from cloudsift.functions.text import fixed
-from cloudsift.operators.ranks import two_level_rank
+from cloudsift.operators.ranks import range_rank
 
 LEGEND_LIMIT = 100  # fixed value: legend rows the viewer shows; not a default here
 MORE_RGB8 = (149, 165, 166)  # fixed value: text colour of the '... and N more' line
@@ -16,12 +16,11 @@ STOPS = 100  # fixed value: gradient stops 0..100
 
 def legend_top(domain: DataFrame, attribute: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The first `limit` sorted values (a distributed top-k) and the count
-    of the rest; without a limit all values, ranked in value-prefix buckets
-    (no one-partition sort)."""
+    of the rest; without a limit all values, ranked in sampled ranges (no
+    one-partition sort, whatever prefix the values share)."""
     dom = domain.where(F.col("attribute") == attribute)
     if limit is None:
-        # the bucket is a prefix of the order key (UTF-8 bytes), so bucket order is value order
-        top = two_level_rank(dom, F.hex(F.substring(F.col("value").cast("binary"), 1, 3)), [F.col("value")], "_pos")
+        top = range_rank(dom, ["value"], "_pos")
         top = top.withColumn("ord", F.col("_pos").cast("int") + 1).drop("_pos")
         return top, dom.agg(F.lit(0).cast("bigint").alias("remaining"))
     top = dom.orderBy("value").limit(limit)

@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudsift.operators.ranks import visible_ordinal
+from cloudsift.session import small_or_whole
 
 # Default point size and the picking radius per unit of size.
 POINT_SIZE = 1.0
 THRESHOLD_PER_SIZE = 5.0
 MAX_SLABS = 256         # grid cells along the box's longest side
+CELL_ROWS = 500_000     # points of a cell before it is split
+LEVELS = 3              # times that a cell is split in eight
 
 
 def normalise_rays(rays: DataFrame) -> DataFrame:
@@ -67,26 +70,93 @@ def _ray_cells(rays: DataFrame, low: list[float], high: list[float], edge: float
     return r.select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz", *(pick(i).alias(f"_c{i}") for i in range(3)))
 
 
+def _cell(c: str, edge: float) -> Column:
+    return F.floor(F.col(c) / edge).cast("bigint")
+
+
+def dense_cells(points: DataFrame, edge: float, limit: int, levels: int = LEVELS) -> DataFrame:
+    """Cells of the octree (level, c0, c1, c2, n) with more than ``limit``
+    points; level l has an edge of ``edge`` / 2^l. One count of the finest
+    cells (a partial aggregation) gives the coarser ones. At most
+    (levels + 1) * points / limit rows."""
+    fine = points.groupBy(*(_cell(c, edge / 2 ** levels).alias(f"f{i}") for i, c in enumerate(("_px", "_py", "_pz")))).agg(F.count(F.lit(1)).alias("n"))
+    up = fine.select("n", *(f"f{i}" for i in range(3)), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    coarse = [F.call_function("shiftright", F.col(f"f{i}"), F.lit(levels) - F.col("level")).alias(f"c{i}") for i in range(3)]
+    return up.groupBy("level", *coarse).agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+
+
+def _leaves(points: DataFrame, dense: DataFrame, edge: float, limit: int, levels: int, idx: str) -> DataFrame:
+    """Each point with its leaf: the first cell on the way down that is not
+    dense; in a finest cell that still is (copies of a position), a number by
+    row spreads the points."""
+    out = points.withColumns({"_level": F.lit(0), "_salt": F.lit(0).cast("bigint")})
+    for level in range(levels + 1):
+        here = dense.where(F.col("level") == level).select(*(F.col(f"c{i}").alias(f"_d{i}") for i in range(3)), F.col("n").alias("_dn"))
+        on = F.col("_level") == level
+        for i, c in enumerate(("_px", "_py", "_pz")):
+            on = on & (_cell(c, edge / 2 ** level) == F.col(f"_d{i}"))
+        out = out.join(here, on, "left")
+        if level < levels:
+            out = out.withColumn("_level", F.when(F.col("_dn").isNotNull(), level + 1).otherwise(F.col("_level")))
+        else:
+            out = out.withColumn("_salt", F.coalesce(F.pmod(F.col(idx), F.ceil(F.col("_dn") / limit)), F.lit(0)).cast("bigint"))
+        out = out.drop("_d0", "_d1", "_d2", "_dn")
+    at = lambda c: F.floor(F.col(c) / (F.lit(edge) / F.pow(F.lit(2.0), F.col("_level")))).cast("bigint")
+    return out.withColumns({f"_c{i}": at(c) for i, c in enumerate(("_px", "_py", "_pz"))})
+
+
+def _ray_leaves(rays: DataFrame, dense: DataFrame, low: list[float], high: list[float], edge: float, reach: float, limit: int, levels: int) -> DataFrame:
+    """The leaves that each ray passes: its cells of level 0, and of each finer
+    level those whose parent is dense (then all further ancestors are)."""
+    ray, found = rays, None
+    names = ["ray_id", "ox", "oy", "oz", "dx", "dy", "dz", "_c0", "_c1", "_c2"]
+    for level in range(levels + 1):
+        cells = _ray_cells(ray, low, high, edge / 2 ** level, reach).select(*names)
+        if level:
+            parent = dense.where(F.col("level") == level - 1).select(*(F.col(f"c{i}").alias(f"_d{i}") for i in range(3)))
+            on = [F.call_function("shiftright", F.col(f"_c{i}"), F.lit(1)) == F.col(f"_d{i}") for i in range(3)]
+            cells = cells.join(parent, on[0] & on[1] & on[2], "left_semi")
+        here = dense.where(F.col("level") == level).select(*(F.col(f"c{i}").alias(f"_c{i}") for i in range(3)), F.col("n").alias("_dn"))
+        cells = cells.join(here, ["_c0", "_c1", "_c2"], "left").withColumn("_level", F.lit(level))
+        if level < levels:
+            cells = cells.where(F.col("_dn").isNull()).withColumn("_salt", F.lit(0).cast("bigint"))
+        else:
+            parts = F.coalesce(F.ceil(F.col("_dn") / limit), F.lit(1)).cast("bigint")
+            cells = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        cells = cells.select(*names, "_level", "_salt")
+        found = cells if found is None else found.unionAll(cells)
+    return found
+
+
 def pick_points(points: DataFrame, rays: DataFrame, threshold: float = POINT_SIZE * THRESHOLD_PER_SIZE,
-                idx: str = "row_idx") -> DataFrame:
+                idx: str = "row_idx", cell_rows: int = CELL_ROWS, levels: int = LEVELS) -> DataFrame:
     """For each ray, the nearest point along it within the radius:
     (ray_id, <idx>, distance).
 
     Points get the cell of a grid over their box; each ray becomes the cells
     it passes inside the box; both meet in an equi-join on the cell, the exact
-    predicate follows. Neither side is broadcast, there is no loop over rays,
-    and the winner of a ray is a partially aggregated min. A crowded cell is
-    split by the join's skew handling."""
+    predicate follows. A cell with more than ``cell_rows`` points is split in
+    eight, up to ``levels`` times, and a finest cell that still holds more is
+    dealt by row, so no cell holds more than ``cell_rows``. Neither side is
+    broadcast (the few dense cells are, when they are measured to be small),
+    there is no loop over rays, and the winner of a ray is a partially
+    aggregated min."""
     p = points.select(idx, _f32("x").alias("_px"), _f32("y").alias("_py"), _f32("z").alias("_pz"))
-    box = p.agg(*(f(c).alias(f"{n}{c}") for c in ("_px", "_py", "_pz") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    box = p.agg(*(f(c).alias(f"{n}{c}") for c in ("_px", "_py", "_pz") for n, f in (("lo", F.min), ("hi", F.max))), F.count(F.lit(1)).alias("rows")).first()
     low, high = ([box[f"{n}{c}"] for c in ("_px", "_py", "_pz")] for n in ("lo", "hi"))
     if None in low:
         return rays.select("ray_id", F.lit(0).cast("bigint").alias(idx), F.lit(0.0).alias("distance")).limit(0)
     edge = max(4 * threshold, max(h - l for l, h in zip(low, high)) / MAX_SLABS, 1e-9)
-    cells = p.withColumns({f"_c{i}": F.floor(F.col(c) / edge).cast("bigint") for i, c in enumerate(("_px", "_py", "_pz"))})
     # a little more than the radius, so that rounding cannot lose a cell
     reach = threshold * (1 + 1e-9) + 1e-9 * max(map(abs, [*low, *high, 1.0]))
-    both = cells.join(_ray_cells(rays, low, high, edge, reach).hint("shuffle_merge"), ["_c0", "_c1", "_c2"])
+    if box.rows <= cell_rows:                                # no cell can be dense
+        cells = p.withColumns({f"_c{i}": _cell(c, edge) for i, c in enumerate(("_px", "_py", "_pz"))})
+        both = cells.join(_ray_cells(rays, low, high, edge, reach).hint("shuffle_merge"), ["_c0", "_c1", "_c2"])
+    else:
+        dense = small_or_whole(dense_cells(p, edge, cell_rows, levels))
+        cells = _leaves(p, dense, edge, cell_rows, levels, idx)
+        passed = _ray_leaves(rays, dense, low, high, edge, reach, cell_rows, levels)
+        both = cells.join(passed.hint("shuffle_merge"), ["_level", "_c0", "_c1", "_c2", "_salt"])
     t = ((F.col("_px") - F.col("ox")) * F.col("dx") + (F.col("_py") - F.col("oy")) * F.col("dy")
          + (F.col("_pz") - F.col("oz")) * F.col("dz"))
     behind = t < 0

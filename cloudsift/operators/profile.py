@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudsift.operators.ranks import range_rank
 from cloudsift.roles import Roles
 
 # Slider step = max((max - min) / 1000, 1e-4), 1e-4 when flat.
@@ -95,3 +96,10 @@ def sorted_domain(domain: DataFrame) -> DataFrame:
     """O1: values in binary string order within each attribute (a distributed
     range sort, not a one-partition window)."""
     return domain.orderBy("attribute", "value")
+
+
+def ranked_domain(domain: DataFrame) -> DataFrame:
+    """O1 with positions: each (attribute, value) and ``ord``, its 0-based
+    place in binary string order over all attributes, ranked in sampled
+    ranges."""
+    return range_rank(domain, ["attribute", "value"], "ord")

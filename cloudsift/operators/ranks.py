@@ -72,6 +72,37 @@ def two_level_rank(df: DataFrame, bucket: Column, order: list[Column], out: str,
     return res.drop(*[c for c in drop if c in res.columns])
 
 
+ROWS_PER_RANGE = 200_000
+MAX_RANGES = MAX_BROADCAST_SPLITS
+
+
+def in_ranges(df: DataFrame, order: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """The rows in sampled ranges of ``order``, sorted and staged, with the
+    number of their range (``_range``, in the order of the keys) and an id
+    (``_at``) that is consecutive inside a range."""
+    rows = staged(df, "to-rank")
+    ranges = min(MAX_RANGES, max(1, math.ceil(rows.count() / rows_per_range)))
+    return staged(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+                  .select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")), "ranges")
+
+
+def range_rank(df: DataFrame, order: list[str], out: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Exact 0-based rank by ``order`` (columns that together are distinct),
+    for keys of any distribution: values that share a long prefix spread like
+    any others.
+
+    Spark samples the keys and picks splitters at their quantiles; each range
+    is sorted and written with its number and the consecutive ids of its rows,
+    so the rank inside a range needs no window and stays as written however
+    often a task runs again. The ranges' counts (at most ``MAX_RANGES`` rows,
+    so they may be broadcast) give the offsets. No rows give no rows."""
+    placed = in_ranges(df, order, rows_per_range)
+    starts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = starts.select("_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    return placed.join(F.broadcast(offsets), "_range").withColumn(out, (F.col("_off") + F.col("_at")).cast("bigint")).drop("_range", "_at", "_off")
+
+
 def shuffle_key(key: str, seed: int, tiebreak: str | None = None) -> Column:
     """md5 of 'seed:key' (or 'seed:key:tiebreak'): the permutation order."""
     parts = [F.lit(f"{seed}:"), F.col(key).cast("string")]

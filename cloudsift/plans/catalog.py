@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cloudsift.functions import color as C
 from cloudsift.functions.text import fixed, grouped, part_name, percent_ratio
+from cloudsift.operators import bitmaps as BM
 from cloudsift.operators import extent as E
 from cloudsift.operators import filters as FL
 from cloudsift.operators import frames as FR
@@ -26,6 +27,7 @@ from cloudsift.operators import pick as PK
 from cloudsift.operators import profile as PF
 from cloudsift.operators import project as PJ
 from cloudsift.operators import ranks as RK
+from cloudsift.operators import sketches as SK
 from cloudsift.operators.export import export_points, render_cap, render_table
 from cloudsift.plans import bindings as B
 from cloudsift.plans.ingest import run_ingest
@@ -464,6 +466,26 @@ def q_filter_funnel(spark, sf):
     return FL.filter_funnel(loaded(spark, sf), FILTERS)
 
 
+def _bitmaps(spark, sf) -> BM.BitmapIndex:
+    """The bitmap index of the written shards, built once per application."""
+    key = (spark.sparkContext.applicationId, sf, "bitmaps")
+    if key not in _cache:
+        _cache[key] = BM.build_index(loaded(spark, sf), R).path
+    return BM.BitmapIndex(spark, _cache[key], CAT_ATTRS, R.continuous)
+
+
+@register("bitmap_filter", cte(VISIBLE_CTE) + "\nSELECT row_idx FROM visible")
+def q_bitmap_filter(spark, sf):
+    """F3 from the bitmap index: the filter list as an AND of bitmaps."""
+    return BM.bitmap_filter(_bitmaps(spark, sf), FILTERS)
+
+
+@register("bitmap_funnel", ORACLE["filter_funnel"])
+def q_bitmap_funnel(spark, sf):
+    """F8 from the bitmap index: popcounts of the running ANDs."""
+    return BM.bitmap_funnel(_bitmaps(spark, sf), FILTERS)
+
+
 # ================================================================ joins
 
 @register("palette_join", sql_hash_rgb(P + "\nSELECT row_idx, gene FROM loaded", "gene"))
@@ -632,6 +654,18 @@ def _box_sql(src: str) -> str:
 MAPPED_VISIBLE = "mv AS (SELECT coalesce(x, 0.0) AS x, coalesce(y, 0.0) AS y, coalesce(z, 0.0) AS z FROM visible)"
 
 
+@register("sketch_distinct", P + "\n" + " UNION ALL ".join(
+    f"SELECT '{a}' AS attribute, CAST(count(DISTINCT {a}) AS BIGINT) AS n_distinct, true AS close FROM loaded" for a in (*CAT_ATTRS, R.id_col)))
+def q_sketch_distinct(spark, sf):
+    """A5/U3 from mergeable sketches per shard: the exact count beside whether
+    the union's estimate is within 2 % of it."""
+    store = shared_dir(spark, "sketches")
+    SK.update_sketches(spark, _written(spark, sf, "shards"), store, R)
+    est = SK.estimated_counts(spark.read.parquet(store)).withColumnRenamed("n_distinct", "estimate")
+    exact = PF.distinct_counts(loaded(spark, sf), R)
+    return exact.join(est, "attribute").select("attribute", "n_distinct", (F.abs(F.col("estimate") - F.col("n_distinct")) <= 0.02 * F.col("n_distinct")).alias("close"))
+
+
 @register("bounding_box", cte(VISIBLE_CTE, MAPPED_VISIBLE) + "\n" + _box_sql("mv"))
 def q_bounding_box(spark, sf):
     """Box of the visible points on the default axes."""
@@ -688,6 +722,13 @@ def q_shard_report(spark, sf):
                       ((F.col("files") > 0) & (F.col("bytes") > 0) & (F.col("max_file_bytes") <= F.col("bytes"))).alias("sized"))
 
 
+@register("footer_report", P + "\nSELECT shard, count(*) AS rows, min(t) AS min_t, max(t) AS max_t FROM points GROUP BY shard")
+def q_footer_report(spark, sf):
+    """A10/A4 from the footers of the written shards: rows and the range of t
+    per shard, no data read."""
+    return SH.footer_report(spark, _written(spark, sf, "shards"), ("t",))
+
+
 @register("size_reduction", P + """
 SELECT count(DISTINCT shard) > 0 AS written, count(*) AS rows, true AS adds_up FROM points""")
 def q_size_reduction(spark, sf):
@@ -822,6 +863,12 @@ def q_sorted_domain(spark, sf):
     return _positions(spark, PF.sorted_domain(PF.attribute_domain(loaded(spark, sf), R)), "sorted-domain")
 
 
+@register("ranked_domain", P + "\nSELECT *, row_number() OVER (ORDER BY attribute, value) - 1 AS ord FROM (" + domain_sql("loaded") + ") d")
+def q_ranked_domain(spark, sf):
+    """O1: domain values with their positions, ranked in sampled ranges."""
+    return PF.ranked_domain(PF.attribute_domain(loaded(spark, sf), R))
+
+
 @register("sorted_frames", P + """
 SELECT time_rank, row_number() OVER (ORDER BY time_rank) - 1 AS ord
 FROM (SELECT DISTINCT CAST(coalesce(time_rank, 0) AS INTEGER) AS time_rank FROM loaded) d""")
@@ -1128,6 +1175,12 @@ def q_items_funnel(spark, sf):
     return FL.filter_funnel(_items(spark, sf), ITEM_FILTERS)
 
 
+@register("items_bitmap_funnel", ORACLE["items_funnel"])
+def q_items_bitmap_funnel(spark, sf):
+    """F8 from a bitmap index over lineitem ⋈ part."""
+    return BM.bitmap_funnel(BM.build_index(B.item_points(spark, sf), IR), ITEM_FILTERS)
+
+
 @register("items_frame_counts", I_CTE + f"""
 SELECT CAST(coalesce(year_rank, 0) AS INTEGER) AS time_rank, count(*) AS n FROM items WHERE {I_WHERE} GROUP BY 1""")
 def q_items_frame_counts(spark, sf):

@@ -26,6 +26,8 @@ from cloudsift.roles import Roles
 from cloudsift.session import small_or_whole, staged
 from cloudsift.sources import shards as SH
 
+MAX_LISTED = 10_000      # values of a domain that a filter lists
+
 
 @dataclass
 class Explorer:
@@ -64,18 +66,27 @@ class Explorer:
 
     def default_filter(self, attribute: str) -> int:
         """a filter on an attribute with all its values, or its full range
-        ([0, 1] without data). The values are collected: use it for domains a
-        person would pick from."""
+        ([0, 1] without data). Up to ``MAX_LISTED`` values are listed, so that
+        one can take some away; of a larger domain (an id) none is collected,
+        and the filter stands for all of them."""
         self.filters = FL.add_filter(self.filters)
-        values = span = None
+        values = span = whole = None
         if attribute in self.roles.continuous:
             r = self.ranges().where(F.col("attribute") == attribute).first()
             span = (r.min_value, r.max_value) if r else None
         else:
-            values = [r.value for r in self.domain().where(F.col("attribute") == attribute).orderBy("value").collect()]
-        self.filters[-1] = FL.default_spec(self.filters[-1].id, attribute, self.roles, values, span)
+            values, whole = self._values(attribute)
+        self.filters[-1] = replace(FL.default_spec(self.filters[-1].id, attribute, self.roles, values, span), whole=whole)
         return self.filters[-1].id
 
+    def _values(self, attribute: str) -> tuple[tuple[str, ...], str | None]:
+        """(the values, None), or for more than MAX_LISTED ((), what stands for
+        all of them)."""
+        values = self.domain().where(F.col("attribute") == attribute).select("value")
+        if values.count() <= MAX_LISTED:
+            return tuple(r.value for r in values.orderBy("value").collect()), None
+        return (), "values" if values.where("value = ''").isEmpty() else "empty"
+
     def _change(self, filter_id: int, change) -> Explorer:
         self.filters = [change(s) if s.id == filter_id else s for s in self.filters]
         return self
@@ -83,13 +94,13 @@ class Explorer:
     def select_all(self, filter_id: int) -> Explorer:
         """All values of the filter's attribute."""
         def change(s):
-            rows = self.domain().where(F.col("attribute") == s.attribute).orderBy("value").collect()
-            return replace(s, values=tuple(r.value for r in rows))
+            values, whole = self._values(s.attribute)
+            return replace(s, values=values, whole=whole)
         return self._change(filter_id, change)
 
     def deselect_all(self, filter_id: int) -> Explorer:
         """No value: the filter is skipped."""
-        return self._change(filter_id, lambda s: replace(s, values=()))
+        return self._change(filter_id, lambda s: replace(s, values=(), whole=None))
 
     def move_range(self, filter_id: int, end: str, value: float) -> Explorer:
         """set one end ('min' or 'max'); it drags the other end along."""

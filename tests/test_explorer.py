@@ -65,3 +65,21 @@ def test_explorer_colours_frames_and_filters(spark):
     ex.select_all(f).move_range(g, "min", hi + 5)
     assert next(s.range for s in ex.filters if s.id == g) == (hi + 5, hi + 5)
     assert ex.visible().count() == 0
+
+
+def test_all_values_of_a_large_domain_are_not_listed(spark, monkeypatch):
+    from cloudsift.plans import explorer
+    for attribute in ("structure", "cell_type"):
+        listed, whole = (Explorer(spark, B.shards_path(spark, SF_TINY), B.ROLES, loaded_shards=10) for _ in range(2))
+        f = listed.default_filter(attribute)
+        monkeypatch.setattr(explorer, "MAX_LISTED", 1)
+        g = whole.default_filter(attribute)
+        assert whole.filters[-1].values == () and whole.filters[-1].is_active()
+        rows = lambda ex: sorted(r.row_idx for r in ex.visible().select("row_idx").collect())
+        assert rows(listed) == rows(whole) and sorted(map(tuple, listed.funnel().collect())) == sorted(map(tuple, whole.funnel().collect()))
+        whole.deselect_all(g)
+        assert not whole.filters[-1].is_active()
+        whole.select_all(g)
+        assert rows(listed) == rows(whole)
+        monkeypatch.undo()
+        assert f == g

@@ -96,3 +96,21 @@ def test_two_digit_part_names_do_not_cut(spark):
     from cloudsift.functions.text import part_name
     nums = spark.range(1, 1201).select("id", part_name(F.lit("/x/cells.tsv.gz"), F.col("id")).alias("n"))
     assert [r.n for r in nums.orderBy("id").collect()] == [f"cells.part{i:02d}.tsv.gz" for i in range(1, 1201)]
+
+
+def test_values_with_a_common_prefix_rank_in_many_ranges(spark):
+    """50 000 values share their first 20 bytes: the largest range is below
+    twice the mean, and no exchange brings the values to one task."""
+    df = spark.range(50_000).select(F.concat(F.lit("the-same-twenty-byte"), (F.col("id") * 7919 % 50_000).cast("string")).alias("value"), "id")
+    ranked = RK.range_rank(df, ["value"], "ord", rows_per_range=2_000)
+    rows = ranked.select("value", "ord").collect()
+    assert [r.ord for r in sorted(rows, key=lambda r: r.value)] == list(range(50_000))
+    sizes = [r["count"] for r in RK.in_ranges(df, ["value"], 2_000).groupBy("_range").count().collect()]
+    assert len(sizes) == 25 and max(sizes) < 2 * 50_000 / len(sizes)
+    assert "Window" not in ranked._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_range_rank_of_little(spark):
+    df = spark.createDataFrame([("b", 1), ("", 2), ("a", 3), ("ä", 4), ("B", 5)], "v string, i int")
+    assert [(r.v, r.ord) for r in RK.range_rank(df, ["v"], "ord", 2).orderBy("ord").collect()] == [("", 0), ("B", 1), ("a", 2), ("b", 3), ("ä", 4)]
+    assert RK.range_rank(df.where("false"), ["v"], "ord").collect() == []

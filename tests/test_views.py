@@ -126,6 +126,32 @@ def test_pick_equals_brute_force(spark):
     assert PK.pick_points(p.where("row_idx < 0"), r).count() == 0
 
 
+def test_dense_cells_are_split(spark):
+    """Half of the points in one grid cell and many at one position: every
+    leaf stays within its size, and each ray finds the point that the uniform
+    grid finds."""
+    import random
+    rng = random.Random(4)
+    pts = [(rng.uniform(-500, 500), rng.uniform(-500, 500), rng.uniform(-50, 50)) for _ in range(4000)]
+    pts += [(rng.uniform(1, 9), rng.uniform(1, 9), rng.uniform(1, 9)) for _ in range(5000)] + [(100.0, 100.0, 0.0)] * 1500
+    pts = [(i, *p) for i, p in enumerate(pts)]
+    rays = []
+    for k in range(60):
+        goal, src = rng.choice(pts)[1:], [rng.uniform(-600, 600) for _ in range(3)]
+        d = [g - o + rng.uniform(-1, 1) for g, o in zip(goal, src)]
+        n = math.sqrt(sum(x * x for x in d))
+        rays.append((f"r{k}", *src, *(x / n for x in d)))
+    p = spark.createDataFrame(pts, "row_idx long, x double, y double, z double")
+    r = spark.createDataFrame(rays, "ray_id string, ox double, oy double, oz double, dx double, dy double, dz double")
+    same = lambda d: sorted(map(tuple, d.collect()))
+    for thr in (0.3, 5.0):
+        assert same(PK.pick_points(p, r, thr, cell_rows=200, levels=3)) == same(PK.pick_points(p, r, thr))
+    q = p.select("row_idx", *(F.col(c).cast("float").cast("double").alias(f"_p{c}") for c in "xyz"))
+    dense = PK.dense_cells(q, 20.0, 200, 3)
+    leaf = PK._leaves(q, dense, 20.0, 200, 3, "row_idx").groupBy("_level", "_c0", "_c1", "_c2", "_salt").count()
+    assert leaf.agg(F.sum("count")).first()[0] == len(pts) and leaf.agg(F.max("count")).first()[0] <= 200
+
+
 def test_fetch_rows(spark):
     df = spark.range(0, 30000, 2).select(F.col("id").alias("row_idx"), F.col("id").cast("double").alias("x"))
     ords = spark.createDataFrame([(0,), (5,), (5,), (14999,), (20000,)], "ordinal long")
