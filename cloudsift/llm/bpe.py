@@ -353,11 +353,17 @@ def automaton(spec: str) -> Automaton:
     return _per_worker("automaton", spec, Automaton)
 
 
-def library_words(spec: str) -> WordTable:
-    """Words encoded by the tokenizers library."""
+def forget() -> None:
+    """Drop what a worker has loaded: for work after the texts are encoded."""
+    _loaded.clear()
+
+
+def library_words(spec: str, limit: int = _WORDS) -> WordTable:
+    """Words encoded by the tokenizers library; a worker's first call sets how
+    many it remembers."""
     def make(text: str):
         t = library(text)
-        return WordTable(lambda words: [np.array(e.ids, np.int32) for e in t.encode_batch_fast(words, add_special_tokens=False)])
+        return WordTable(lambda words: [np.array(e.ids, np.int32) for e in t.encode_batch_fast(words, add_special_tokens=False)], limit)
     return _per_worker("library words", spec, make)
 
 

@@ -111,6 +111,12 @@ class Filters:
             yield ((h >> np.uint64(20 * i)) & mask).astype(np.int64)
 
     def predict(self, b: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
+        return self.judge(b, offs)[:2]
+
+    def judge(self, b: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, share of the text's own n-grams that the language
+        holds) of each text. The share does not depend on how many languages
+        there are."""
         n = len(offs) - 1
         row, h, some = ngrams(b, offs)
         hits = np.zeros((n, len(self.languages)))
@@ -125,7 +131,8 @@ class Filters:
         of = hits.sum(1)
         best[of == 0] = self.usual
         score = np.where((of > 0) & some, hits[np.arange(n), best] / np.maximum(of, 1e-300), 0.0)
-        return [self.languages[k] if s else UNKNOWN for k, s in zip(best.tolist(), some.tolist())], score
+        share = np.where(some, hits[np.arange(n), best] / np.maximum(total, 1), 0.0)
+        return [self.languages[k] if s else UNKNOWN for k, s in zip(best.tolist(), some.tolist())], score, share
 
 
 def _build(rows: list, totals: dict[str, int]) -> Filters | None:
@@ -223,8 +230,8 @@ def predict(docs: DataFrame, filters: Filters | None) -> DataFrame:
 
 
 def select_known(docs: DataFrame, filters: Filters | None, least: float = 0.0) -> DataFrame:
-    """``docs`` whose language is known with a score of at least ``least``;
-    all columns stay. Without filters every document stays."""
+    """``docs`` whose best language holds at least the share ``least`` of their
+    n-grams; all columns stay. Without filters every document stays."""
     bc = docs.sparkSession.sparkContext.broadcast(filters)
     at = docs.columns.index("text")
 
@@ -234,8 +241,8 @@ def select_known(docs: DataFrame, filters: Filters | None, least: float = 0.0) -
             keep = [np.zeros(0, bool)]
             for i, j, raw, offs in _text.chunks(b.column(at)):
                 if f:
-                    langs, score = f.predict(raw, offs)
-                    keep.append((np.array(langs) != UNKNOWN) & (score >= least))
+                    langs, _, share = f.judge(raw, offs)
+                    keep.append((np.array(langs) != UNKNOWN) & (share >= least))
                 else:
                     keep.append(np.ones(j - i, bool))
             yield b.filter(pa.array(np.concatenate(keep)))

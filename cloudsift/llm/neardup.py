@@ -183,6 +183,7 @@ def _open(rows: DataFrame) -> DataFrame:
 STEP = 1.02             # ratio of neighbouring size classes
 SLOTS = 1 << 24         # counters of the order of elements: 16 MB, whatever the data
 _BLOCKS = 256
+KEYS = 1 << 17          # finer keys that a task holds before it hands them on
 
 
 def _slot(items: np.ndarray) -> np.ndarray:
@@ -191,32 +192,24 @@ def _slot(items: np.ndarray) -> np.ndarray:
 
 def _rarity(sets: DataFrame) -> np.ndarray:
     """How many sets (255 at most) have an element in each of SLOTS hash
-    slots. Tasks count their own sets; the counts of a block of slots are added
-    up in one group, a bounded array per task."""
+    slots. Tasks count batch by batch, Spark adds up per slot; then the at most
+    ``size`` sums of a block of slots become an array."""
     size = SLOTS // _BLOCKS
 
     def count(batches):
-        found = [np.zeros(0, np.int64)]
         for b in batches:
-            found.append(_slot(b.column(0).flatten().to_numpy().view(np.uint64)))
-        slot, n = np.unique(np.concatenate(found), return_counts=True)
-        cut = np.searchsorted(slot, np.arange(_BLOCKS + 1) * size)
-        at = np.flatnonzero(np.diff(cut))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)),
-             pa.array([(slot[cut[k]:cut[k + 1]] - k * size).astype("<u4").tobytes() for k in at], pa.binary()),
-             pa.array([np.minimum(n[cut[k]:cut[k + 1]], 255).astype(np.uint8).tobytes() for k in at], pa.binary())],
-            names=["block", "slots", "counts"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.int64)
-        for slots, counts in zip(t.column("slots").to_pylist(), t.column("counts").to_pylist()):
-            total[np.frombuffer(slots, "<u4")] += np.frombuffer(counts, np.uint8)
-        return pa.table({"block": t.column("block").slice(0, 1), "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
-
-    parts = sets.select("items").mapInArrow(count, "block int, slots binary, counts binary")
+            slot, n = np.unique(_slot(b.column(0).flatten().to_numpy().view(np.uint64)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+
+    def pack(t: pa.Table) -> pa.Table:
+        counts = np.zeros(size, np.uint8)
+        counts[t.column("slot").to_numpy() % size] = t.column("n").to_numpy()
+        return pa.table({"block": pa.array([t.column("slot")[0].as_py() // size], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    parts = sets.select("items").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(255)).alias("n"))
+    blocks = parts.groupBy(F.floor(F.col("slot") / size).alias("b")).applyInArrow(pack, "block int, counts binary")
     out = np.zeros(SLOTS, np.uint8)
-    for r in parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect():     # SLOTS bytes
+    for r in blocks.collect():                                           # SLOTS bytes
         out[r.block * size:(r.block + 1) * size] = np.frombuffer(r.counts, np.uint8)
     return out
 
@@ -236,12 +229,16 @@ def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
     t = percent / 100
     bc = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
+    def rows(keys, reps, ns, sides):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(sides))],
+                                          names=["key", "rep", "n", "side"])
+
     def run(batches):
         rare = bc.value
         for b in batches:
             items, offs = b.column(1).flatten().to_numpy().view(np.uint64), b.column(1).value_lengths().to_numpy()
             end = np.cumsum(offs)
-            keys, reps, ns, sides = [], [], [], []
+            keys, reps, ns, sides, held = [], [], [], [], 0
             for rep, hi, n, c, others in zip(b.column(0).to_pylist(), end.tolist(), offs.tolist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 mine = items[hi - n:hi]
                 count = rare[_slot(mine)]
@@ -258,9 +255,12 @@ def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
                         reps.append(np.full(len(first), rep))
                         ns.append(np.full(len(first), n))
                         sides.append(np.full(len(first), (c > d) - (c < d), np.int32))
+                        held += len(first)
+                if held >= KEYS:
+                    yield rows(keys, reps, ns, sides)
+                    keys, reps, ns, sides, held = [], [], [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(sides))],
-                                                 names=["key", "rep", "n", "side"])
+                yield rows(keys, reps, ns, sides)
 
     return sets.select("rep", "items", "own", "classes").mapInArrow(run, "key long, rep long, n long, side int")
 
@@ -406,5 +406,8 @@ def deduplicate(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     """``docs`` with one document of each group of near copies; of repeated
     rows with one doc_id, one stays. Rows without doc_id all stay."""
     kept = near_duplicates(docs, k, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    named = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    rows = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    # of rows with one doc_id the smallest text stays, whatever task comes first
+    one = named.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(rows, F.struct("text", F.xxhash64(rows))).alias("_row")).select("_row.*")
+    return one.unionByName(docs.filter("doc_id is null"))

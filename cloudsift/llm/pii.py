@@ -29,6 +29,7 @@ text and has no spans; repeated rows get equal results; other columns stay in
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from dataclasses import dataclass
@@ -44,6 +45,9 @@ from cloudsift.session import staged
 KINDS = ["email", "ip", "card", "phone"]
 SAMPLE = 600
 MARGIN, LENGTH, STEP = 32, 96, 48
+#: Code points of a region that are decoded at a time, and what they see on both
+#: sides: whole steps, so the windows are those of the whole region.
+STRETCH, CONTEXT = 340 * STEP, 21 * STEP
 SURE = 0.5
 
 # --- base detector -----------------------------------------------------------
@@ -410,10 +414,24 @@ def _whole_email(text: str, lo: int, hi: int) -> tuple[int, int]:
     return lo, hi
 
 
+def stretches(a: int, b: int):
+    """(start, end, own start, own end) of the parts in which a region is
+    decoded: the whole region, or beyond STRETCH code points parts of that
+    size with CONTEXT more on both sides. A part yields the spans that begin in
+    its own code points, so memory does not grow with the region; a span of
+    more than CONTEXT code points may be cut."""
+    if b - a <= STRETCH + 2 * CONTEXT:
+        yield a, b, a, b
+        return
+    for lo in range(a, b, STRETCH):
+        hi = min(b, lo + STRETCH)
+        yield max(a, lo - CONTEXT), min(b, hi + CONTEXT), lo, hi
+
+
 def tagged(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans of the tagger in each text, before base spans are looked at."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    todo = sorted(((b - a, r, a, b) for r, t in enumerate(texts) for a, b in regions(t)))
+    todo = sorted((b - a, r, a, b, lo, hi) for r, t in enumerate(texts) for region in regions(t) for a, b, lo, hi in stretches(*region))
     i = 0
     while i < len(todo):
         j = i + 1
@@ -430,12 +448,12 @@ def _decode(model: Tagger, texts: list[str], some: list, out: list) -> None:
     count = np.maximum(1, -(-(size - LENGTH) // STEP) + 1)
     ids = np.full((int(count.sum()), LENGTH), _PAD)
     first = np.cumsum(count) - count
-    for k, (n, r, a, b) in enumerate(some):
+    for k, (_, r, a, b, *_) in enumerate(some):
         s = symbols(texts[r][a:b])
         for c in range(int(count[k])):
             part = s[c * STEP:c * STEP + LENGTH]
             ids[first[k] + c, :len(part)] = part
-    e_win = np.concatenate([model.emissions(ids[i:i + 2000]) for i in range(0, len(ids), 2000)])
+    e_win = np.concatenate([model.emissions(ids[i:i + 500]) for i in range(0, len(ids), 500)])
     top = int(size.max())
     pos = np.arange(top)
     own = np.clip((pos[None, :] - (LENGTH - STEP) // 2) // STEP, 0, count[:, None] - 1)
@@ -449,10 +467,12 @@ def _decode(model: Tagger, texts: list[str], some: list, out: list) -> None:
     alpha, beta = forward_backward(e[hit], size[hit], tr)
     post = np.exp(alpha + beta - _lse(alpha[:, -1], 1)[:, None, None])
     for k, row, sure in zip(hit.tolist(), path[hit], post):
-        _, r, a, b = some[k]
+        _, r, a, b, own_lo, own_hi = some[k]
         text = texts[r]
         begin = np.flatnonzero(row % 2 == 1)
         for s in begin.tolist():
+            if not own_lo <= a + s < own_hi:
+                continue
             end = s + 1
             while end < b - a and row[end] == row[s] + 1:
                 end += 1
@@ -474,16 +494,39 @@ def _widens(text: str, s: tuple, o: tuple) -> bool:
     return s[0] == o[0] and s[1] <= o[1] and o[2] <= s[2] and any(c.isalnum() for c in more)
 
 
+class _Spans:
+    """Spans by kind and start, with the longest of each kind: what a span
+    meets is found without looking at all."""
+
+    def __init__(self, spans: list):
+        self.by_kind: dict[str, tuple[list, list, list]] = {k: ([], [], [0]) for k in KINDS}
+        for s in spans:
+            self.add(s)
+
+    def add(self, s: tuple) -> None:
+        starts, spans, longest = self.by_kind[s[0]]
+        at = bisect.bisect_right(starts, s[1])
+        starts.insert(at, s[1])
+        spans.insert(at, s)
+        longest[0] = max(longest[0], s[2] - s[1])
+
+    def met(self, s: tuple):
+        for starts, spans, longest in self.by_kind.values():
+            for o in spans[bisect.bisect_left(starts, s[1] - longest[0]):bisect.bisect_left(starts, s[2])]:
+                if s[1] < o[2]:
+                    yield o
+
+
 def find_spans(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     out = []
     for text, more in zip(texts, tagged(model, texts)):
-        base = base_spans(text)
-        extra: list = []
+        base, extra = base_spans(text), []
+        known = _Spans(base)
         for s in more:
-            met = [o for o in [*base, *extra] if s[1] < o[2] and o[1] < s[2]]
-            if all(_widens(text, s, o) for o in met):
+            if all(_widens(text, s, o) for o in known.met(s)):
                 extra.append(s)
+                known.add(s)
         out.append((base, sorted(base + extra, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 

@@ -46,6 +46,7 @@ from cloudsift.session import staged
 
 LENGTH = 13
 ANCHOR = 5
+ROWS = 256
 _SEED_COEF = seeds(ANCHOR, salt=21) | np.uint64(1)
 _WINDOW_COEF = seeds(LENGTH, salt=22) | np.uint64(1), seeds(LENGTH, salt=23) | np.uint64(1)
 
@@ -106,9 +107,16 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ROWS rows at a time: what is copied of a batch stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _searched(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[tuple[np.ndarray, np.ndarray, Words]]:
     """(doc_id, text hash, words) of each chunk of the rows that may be searched."""
-    for b in batches:
+    for b in _parts(batches):
         ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         yes = _filter.holds(wanted.value, mix64(ids.view(np.uint64)))
         b, ids = b.filter(pa.array(yes)), ids[yes]
@@ -239,7 +247,7 @@ def first_copies(known: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _parts(batches):
         data, offs = utf8(b.column(1))
         kept, gone = [], []
         begins, ends = b.column(3), b.column(4)
@@ -273,7 +281,7 @@ def _id_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _maybe(wanted):
     """The rows whose doc_id may be wanted: most texts stay where they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             yield b.filter(pa.array(_filter.holds(wanted.value, mix64(ids.view(np.uint64)))))
 

@@ -29,8 +29,8 @@ def test_pipeline_equals_brute_force(spark):
     here = {i: t for i, t in here.items() if model.score(quality_clf.statistics(*one(t)))[0] >= 0.5}
     left = docs.filter(F.col("doc_id").isin(list(here)))
     f = langid.learn(langid.training(left))
-    told = {i: f.predict(*one(t)) for i, t in here.items()}
-    here = {i: t for i, t in here.items() if told[i][0][0] != "und" and told[i][1][0] >= cp.LEAST_LANGUAGE}
+    told = {i: f.judge(*one(t)) for i, t in here.items()}
+    here = {i: t for i, t in here.items() if told[i][0][0] != "und" and told[i][2][0] >= cp.LEAST_LANGUAGE}
     groups = brute(here, cp.SHINGLE, cp.PERCENT)
     here = {i: t for i, t in here.items() if groups[i][1] == i}
     left = docs.filter(F.col("doc_id").isin(list(here)))

@@ -170,3 +170,113 @@ def test_filter_bits_equal_sets():
     for k in range(3):
         rate = ((mask >> np.uint64(k)) & np.uint64(1)).mean()
         assert rate == pytest.approx(f.fill[k] ** langid.HASHES, abs=0.01)
+
+
+def _ngrams(text):
+    """The n-grams of a text as strings, by plain code."""
+    low = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
+    low = re.sub(" +", " ", " " + low)
+    return [low[i:i + k] for k in langid.SIZES for i in range(len(low) - k + 1)]
+
+
+def test_language_query_equals_exact_sets(spark):
+    """The whole query against exact n-gram sets: the same language wherever
+    the two best are apart, scores within the filters' false positives."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    seen = {}
+    for r in docs:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            seen.setdefault(r.lang, Counter()).update(_ngrams(r.text))
+    share = {k: {g: n / c.total() for g, n in c.items()} for k, c in seen.items()}
+    top = Counter()
+    for s in share.values():
+        for g, x in s.items():
+            top[g] = max(top[g], x)
+    sets = {k: {g for g, x in s.items() if x >= langid.RATE and 4 * x >= top[g]} for k, s in share.items()}
+    got = {r.doc_id: r for r in queries.op5_language_id(spark, SF).collect()}
+    assert len(got) == len(docs) and len(sets) > 1
+    clear = 0
+    for r in docs:
+        told = got[r.doc_id]
+        assert told.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (told.lang_pred, told.score) == ("und", 0.0)
+            continue
+        grams = _ngrams(r.text)
+        hits = sorted(((sum(g in s for g in grams), k) for k, s in sets.items()), reverse=True)
+        if hits[0][0] > 1.1 * hits[1][0] + 3:
+            clear += 1
+            assert told.lang_pred == hits[0][1]
+            assert abs(told.score - hits[0][0] / sum(n for n, _ in hits)) < 0.05
+    assert clear > 0.9 * len(docs)
+
+
+def _plain_statistics(text):
+    """The statistics of a text by plain string code."""
+    text = text or ""
+    raw, w = text.encode(), re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars, symbols, dup, again, _ = counts(text)
+    closing = {chr(c) for c in range(256) if quality_rules._CLOSE[c]} | {int(x).to_bytes(3, "big").lstrip(b"\0").decode() for x in quality_rules._CLOSE_WIDE}
+    bars = {s.decode() for s in quality_rules._SEPARATORS}
+    lines = lost = 0
+    for line in text.split("\n"):
+        x = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if x:
+            lines += 1
+            signs, shouts = len(re.findall(r"[#*$%&|<>]", line)), line.count("!")
+            marks = sum(y in bars for y in x)
+            bad = 2 * signs > len(x) or (2 * shouts > len(x) and shouts > 1) or (x[-1][-1] not in closing and len(x) < quality_rules.OPEN_WORDS)
+            lost += len(x) if bad or (marks >= 2 and 5 * marks >= len(x)) else 0
+    few = lambda v, of: np.log((v + 1) / (of + 10))
+    share = lambda ok: sum(map(ok, raw)) / max(len(raw), 1)
+    often = Counter(w)
+    return [np.log1p(n), np.log(max(chars, 1) / max(n, 1)), few(symbols, n), np.log(share(lambda c: 65 <= c <= 90) + 1e-3),
+            np.log(share(lambda c: 48 <= c <= 57) + 1e-3), np.log(share(lambda c: c == 33) + 1e-3), np.sqrt(share(lambda c: c in (44, 46))),
+            np.log(share(lambda c: c >= 0xC0) + 1e-3), few(again, n), few(dup, lines), np.log(max(len(often), 1)) / np.log(max(n, 1) + 1),
+            few(max(often.values(), default=0), n), np.log(max(n, 1) / max(lines, 1)), few(lost, n),
+            few(sum(len(x.encode()) > 20 for x in w), n), few(sum(a == b for a, b in zip(w, w[1:])), n)]
+
+
+def test_classifier_query_equals_plain_code(spark):
+    """The whole query against statistics by plain string code and densities
+    from numpy's determinants and solutions, all scores of all documents."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    x = {r.doc_id: np.array(_plain_statistics(r.text)) for r in docs}
+    train = [(x[r.doc_id], r.quality) for r in labels if r.quality in (0, 1) and r.doc_id in x and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    groups = [np.array([v for v, y in train if y == k]) for k in (0, 1)]
+    cov = [np.cov(g.T, bias=True) for g in groups]
+    pooled = sum(len(g) * c for g, c in zip(groups, cov)) / len(train)
+    cov = [0.65 * c + 0.3 * pooled + 0.05 * np.trace(pooled) / 16 * np.eye(16) for c in cov]
+
+    def density(v, k):
+        off = v - groups[k].mean(axis=0)
+        return np.log(len(groups[k]) / len(train)) - 0.5 * np.linalg.slogdet(cov[k])[1] - 0.5 * off @ np.linalg.solve(cov[k], off)
+
+    got = {r.doc_id: r for r in queries.op10_quality_classifier(spark, SF).collect()}
+    assert len(got) == len(docs) and min(map(len, groups)) > 5
+    for r in docs:
+        want = 1 / (1 + np.exp(np.clip(density(x[r.doc_id], 0) - density(x[r.doc_id], 1), -500, 500)))
+        told = got[r.doc_id]
+        assert abs(told.score - want) < 1e-6, (r.doc_id, told.score, want)
+        assert told.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and told.predicted == (told.score >= 0.5)
+
+
+def test_clean_documents_stay_among_many_close_languages(spark):
+    """Twenty languages that share most of their words: the share of a text's
+    own n-grams that its language holds stays high, though the share of all
+    hits falls; text of no language goes."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(3, 9)))
+    common = [word() for _ in range(300)]
+    own = [[word() for _ in range(60)] for _ in range(20)]
+    text = lambda k: " ".join(rng.choice(common + own[k], 120))
+    rows = [(i, text(i % 20), f"l{i % 20:02d}") for i in range(200)]
+    noise = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 20000, 300))
+    docs = table(spark, rows + [(900, noise, None)])
+    filters = langid.learn(docs.select("text", "lang"))
+    assert len(filters.languages) == 20
+    kept = {r.doc_id for r in langid.select_known(docs, filters, 0.2).collect()}
+    assert kept == set(range(200))
+    score = [r.score for r in langid.predict(docs, filters).collect()]
+    assert max(score) < 0.3                               # what a cut on the score would have thrown away
