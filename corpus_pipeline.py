@@ -21,8 +21,9 @@ from cloudsift.session import show_package, staged
 
 #: Near copies: runs of five words, similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
-#: A document whose best language has a smaller share of the hits has none.
-LEAST_LANGUAGE = 0.3
+#: A document of whose n-grams the best language holds a smaller share has no
+#: language (known ones hold over half, however many languages there are).
+LEAST_LANGUAGE = 0.2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
