@@ -23,6 +23,9 @@ writes the labels of the arcs.
 
 Texts: null is the empty text. The strings of the vocabulary's special tokens
 are tokens of their own, as in the library's default.
+
+Repeated rows are encoded alike, extra columns stay or are ignored, and an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -492,7 +495,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
             n, h, d = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _shown(spec: str) -> tuple[list[bytes], list[bytes]]:
