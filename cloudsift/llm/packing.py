@@ -16,6 +16,8 @@ of the input are not read.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,6 +32,8 @@ END = 2
 
 _STAGED = "part int, doc_id long, at long, n_ids long, ids binary"
 _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Words that a worker remembers the ids of; it keeps them for later tasks.
+WORDS = 150_000
 
 
 def token_rows(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
@@ -39,11 +43,12 @@ def token_rows(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(bpe.read_spec(vocabulary))
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # the task's core does the work; threads would each keep memory
         part, at = TaskContext.get().partitionId(), 0
         odd = lambda x: np.array(bpe.library(spec.value).encode(x, add_special_tokens=False).ids, np.int32)
         for b in batches:
             for i, j, texts in bpe.text_chunks(b.column(1)):
-                ids, n = bpe.id_rows(texts, bpe.library_words(spec.value), odd)
+                ids, n = bpe.id_rows(texts, bpe.library_words(spec.value, WORDS), odd)
                 flat = np.full(len(ids) + len(n), end, "<u4")
                 flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
                 n = n + 1
