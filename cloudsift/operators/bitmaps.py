@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from cloudsift.operators.filters import FilterSpec, norm_category
 from cloudsift.operators.profile import attribute_domain, clean_number
 from cloudsift.roles import Roles
-from cloudsift.session import shared_dir
+from cloudsift.session import shared_dir, staged
 
 MAX_VALUES = 10_000
 BUCKET = 32_768                 # bits of Spark's bitmaps
 ROWS_PER_RANGE = 2_000_000      # rows of a sorted number file
+ROWS_PER_TASK = 500_000         # rows that a task turns into bitmaps
 
 
 _SCHEMA = {"rows": "shard int, bucket bigint, bits binary", "values": "shard int, value string, bucket bigint, bits binary, attribute string",
@@ -44,6 +45,7 @@ class BitmapIndex:
     path: str
     categorical: tuple[str, ...]
     continuous: tuple[str, ...]
+    tasks: int = 2                  # that turn all rows into bitmaps
 
     def read(self, part: str, shards: int | None = None) -> DataFrame:
         df = self.spark.read.schema(_SCHEMA[part]).parquet(f"{self.path}/{part}")
@@ -56,29 +58,42 @@ def _position(idx: str = "row_idx"):
 
 
 def build_index(df: DataFrame, roles: Roles, path: str | None = None, max_values: int = MAX_VALUES) -> BitmapIndex:
-    """Index of the dataset ``df`` (with ``row_idx`` and ``shard``): three
-    scans, each of the columns it needs."""
+    """Index of the dataset ``df`` (with ``row_idx`` and ``shard``). Its
+    columns are staged and scanned three times.
+
+    A bucket's rows first meet in one task, whatever order ``df`` has: where
+    they lie in many, each of these would make bitmaps of 4 KB for nearly every
+    bucket and value. The tasks follow the number of rows, so what one of them
+    sorts does not grow with the table."""
     spark = df.sparkSession
     path = path or shared_dir(spark, "bitmaps")
     present = tuple(a for a in roles.categorical if a in df.columns)
+    continuous = tuple(a for a in roles.continuous if a in df.columns)
+    df = staged(df.select("shard", "row_idx", *present, *(a for a in continuous if a not in present)), "to-index")
     sizes = attribute_domain(df, roles, present).groupBy("attribute").count().where(F.col("count") > max_values).collect() if present else []
     categorical = tuple(a for a in present if a not in {r.attribute for r in sizes})
-    continuous = tuple(a for a in roles.continuous if a in df.columns)
+    n_rows = df.count()
+    index = BitmapIndex(spark, path, categorical, continuous, max(2, math.ceil(n_rows / ROWS_PER_TASK)))
     bits = F.bitmap_construct_agg(F.bitmap_bit_position(_position())).alias("bits")
-    bucket = F.bitmap_bucket_number(_position()).alias("bucket")
-    df.groupBy("shard", bucket).agg(bits).write.mode("overwrite").parquet(f"{path}/rows")
+    met = _by_bucket(df, index.tasks)
+    met.groupBy("shard", "bucket").agg(bits).write.mode("overwrite").parquet(f"{path}/rows")
     if categorical:
         pairs = F.array(*(F.struct(F.lit(a).alias("attribute"), norm_category(F.col(a)).alias("value")) for a in categorical))
-        (df.select("shard", "row_idx", F.inline(pairs)).groupBy("shard", "attribute", "value", bucket).agg(bits)
+        (met.select("shard", "row_idx", "bucket", F.inline(pairs)).groupBy("shard", "attribute", "value", "bucket").agg(bits)
          .write.mode("overwrite").partitionBy("attribute").parquet(f"{path}/values"))
     if continuous:
         pairs = F.array(*(F.struct(F.lit(a).alias("attribute"), clean_number(F.col(a)).alias("value")) for a in continuous))
         numbers = df.select("shard", "row_idx", F.inline(pairs)).where(F.col("value").isNotNull())
-        files = max(1, math.ceil(df.count() * len(continuous) / ROWS_PER_RANGE))
+        files = max(1, math.ceil(n_rows * len(continuous) / ROWS_PER_RANGE))
         # a value that fills more than one range is dealt on by row_idx
         (numbers.repartitionByRange(files, "attribute", "value", "row_idx").sortWithinPartitions("attribute", "value")
          .write.mode("overwrite").partitionBy("attribute").parquet(f"{path}/numbers"))
-    return BitmapIndex(spark, path, categorical, continuous)
+    return index
+
+
+def _by_bucket(df: DataFrame, tasks: int) -> DataFrame:
+    """``df`` with its ``bucket``, dealt to ``tasks`` tasks by it."""
+    return df.withColumn("bucket", F.bitmap_bucket_number(_position())).repartition(tasks, "bucket")
 
 
 def _one(index: BitmapIndex, spec: FilterSpec, shards: int | None) -> DataFrame:
@@ -93,7 +108,7 @@ def _one(index: BitmapIndex, spec: FilterSpec, shards: int | None) -> DataFrame:
     if spec.attribute not in index.continuous:
         raise KeyError(f"{spec.attribute} is not indexed: filter by its column")
     found = index.read("numbers", shards).where((F.col("attribute") == spec.attribute) & F.col("value").between(*map(float, spec.range)))
-    return found.groupBy(F.bitmap_bucket_number(_position()).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_position())).alias("bits"))
+    return _by_bucket(found.select("row_idx"), index.tasks).groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position(_position())).alias("bits"))
 
 
 def _steps(index: BitmapIndex, specs: list[FilterSpec], shards: int | None) -> DataFrame:

@@ -87,3 +87,20 @@ def test_many_buckets_hot_values_and_gaps(spark, tmp_dir):
 def test_empty_dataset(spark, points, tmp_dir):
     index = BM.build_index(points.where("false"), R, f"{tmp_dir}/i")
     _same(points.where("false"), index, [_spec(1, "t", None, (0.0, 1.0)), _spec(2)])
+
+
+def test_a_bucket_meets_in_one_task(spark, points, monkeypatch):
+    """Rows in any order: no bucket is split over tasks (each would make a
+    bitmap of 4 KB for nearly every value), and the tasks follow the rows."""
+    monkeypatch.setattr(BM, "ROWS_PER_TASK", 100)
+    spread = points.unionAll(points.withColumn("row_idx", F.col("row_idx") + 200_000)).repartition(6, "row_id")
+    index = BM.build_index(spread, R)
+    assert index.tasks == -(-spread.count() // 100) > 2
+    met = BM._by_bucket(spread.select("row_idx"), index.tasks)
+    assert met.rdd.getNumPartitions() == index.tasks
+    assert met.select("bucket", F.spark_partition_id()).distinct().count() == met.select("bucket").distinct().count()
+    for part in ("rows", "values"):
+        got = index.read(part)
+        keys = [c for c in got.columns if c != "bits"]
+        assert got.groupBy(*keys).count().where("count > 1").count() == 0
+    _same(spread, index, [_spec(1, "structure", ("click", "")), _spec(2, "t", None, (10, 200))])
