@@ -98,6 +98,12 @@ def domain_sql(src: str, attrs=CAT_ATTRS) -> str:
 
 
 _cache: dict[tuple, str] = {}
+ROWS_PER_TEXT_FILE = 250_000        # gzip is not split: a file is a task of its reader
+
+
+def _text_files(spark: SparkSession, sf: str) -> int:
+    """Tasks that write the cells as text, by their number."""
+    return max(1, -(-B.cells(spark, sf).count() // ROWS_PER_TEXT_FILE))
 
 
 def _written(spark: SparkSession, sf: str, what: str) -> str:
@@ -120,7 +126,7 @@ def _written(spark: SparkSession, sf: str, what: str) -> str:
          .option("sep", "\t").option("header", True).option("compression", "gzip").csv(path))
     elif what == "by-sample":
         path = shared_dir(spark, "by-sample")
-        (B.cells(spark, sf).repartition("sample").withColumn("file", F.col("sample")).write.mode("overwrite")
+        (B.cells(spark, sf).repartition(_text_files(spark, sf)).withColumn("file", F.col("sample")).write.mode("overwrite")
          .partitionBy("file").option("sep", "\t").option("header", True).option("compression", "gzip").csv(path))
     else:
         raise ValueError(what)

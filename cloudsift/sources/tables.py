@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -89,6 +91,21 @@ def _column_names(head):
     return F.transform(named, unlike)
 
 
+def _widest_record(spark: SparkSession, files: list[str], sep: str, most: int, multi_line: bool) -> int:
+    """At least the number of fields of every record, and at most ``most``:
+    one more than the separators of any line. Lines are records unless quotes
+    are left once the quoted fields that end on their line are taken out; then
+    a record may go on over lines, and the answer is ``most``."""
+    lines = spark.read.option("lineSep", "\n").text(files)
+    value, cut = F.col("value"), re.escape(sep)
+    seps = F.max((F.length(value) - F.length(F.replace(value, F.lit(sep), F.lit("")))) / len(sep))
+    # possessive: no turning back on long fields
+    quoted = rf'(?:^|(?<={cut}))"(?:[^"]++|"")*+"(?=\r?$|{cut})'
+    left = F.when(value.contains('"'), F.regexp_replace(value, quoted, "").contains('"'))
+    got = lines.agg(seps.alias("seps"), F.coalesce(F.bool_or(left), F.lit(False)).alias("left")).first()
+    return most if multi_line and got.left else max(1, min(most, int(got.seps or 0) + 1))
+
+
 def _raw_records(spark: SparkSession, files: list[str], sep: str, columns: list[str], multi_line: bool) -> DataFrame:
     """The fields of every record (headers too) as one array ``_f`` up to the
     last that is not empty, with the split it comes from."""
@@ -118,8 +135,9 @@ def read_records(spark: SparkSession, pattern: str, sep: str = "\t", max_columns
     cannot be told apart, and columns named as ``SOURCE_KEY`` raise ValueError:
     nothing is left out silently. Only headers: no rows.
 
-    The files are read once: the records (quotes honoured, blank lines skipped)
-    are staged in the shared folder with their file, split and position. The
+    A look at the lines finds how many fields a record can have, so that no
+    more are parsed. Then the records (quotes honoured, blank lines skipped) are
+    read once and staged in the shared folder with their file, split and position. The
     header is the first record of a file; a header row yields null in every
     column, under any plan the optimizer makes of it, and is then dropped, so
     a filter, cast or join that moves below that step never meets its text.
@@ -130,7 +148,8 @@ def read_records(spark: SparkSession, pattern: str, sep: str = "\t", max_columns
     files = list_inputs(spark, pattern)
     if multi_line is None:
         multi_line = all(f.endswith(".gz") for f in files)
-    rec = staged(_raw_records(spark, files, sep, [f"_c{i}" for i in range(max_columns + 1)], multi_line), "records")
+    width = _widest_record(spark, files, sep, max_columns + 1, multi_line)
+    rec = staged(_raw_records(spark, files, sep, [f"_c{i}" for i in range(width)], multi_line), "records")
     splits = staged(rec.groupBy("_fp", "_fn", "_fs").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"), F.max("_width").alias("_widest")), "splits")
     # one row per file: its header, its widest record, the data records of the files before it

@@ -283,3 +283,42 @@ def test_reported_bytes_are_the_files_sizes(spark, tmp_dir):
     part = TS.part_report(spark, f"{tmp_dir}/p").first()
     assert part.parts == 4 and abs(part.max_mib - max(mib)) < 1e-12 and abs(part.min_mib - min(mib)) < 1e-12
     assert abs(part.avg_mib - sum(mib) / 4) < 1e-12 and part.any_over_limit is False
+
+
+def test_no_more_fields_are_parsed_than_a_record_can_have(spark, tmp_dir):
+    """The widest record sets the columns; quotes that stay open at the end of
+    a line leave them at the most."""
+    most = TB.MAX_COLUMNS + 1
+    def width(text, sep="\t", multi_line=True):
+        _write_gz(f"{tmp_dir}/w.gz", text)
+        return TB._widest_record(spark, [f"{tmp_dir}/w.gz"], sep, most, multi_line)
+    assert width(b"a\tb\tc\n1\t2\t3\n") == 3
+    assert width(b"a\tb\n1\t2\t3\t4\n") == 4                       # a record wider than the header is still seen
+    assert width(b'a\tb\n""\t"x ""y"" z"\n"1"\t2\r\n') == 2
+    assert width(b'a\tb\n1\t"x\n2\t3"\n') == most
+    assert width(b'a\tb\n1"\t"x\n') == most
+    assert width(b'a\tb\n1\t"x\n', multi_line=False) == 2
+    assert width(b"a||b||c\n", "||") == 3
+    assert width(b"\n") == 1 and width(b"\t" * 500) == most
+
+
+def test_wide_records_and_broken_lines_as_before(spark, tmp_dir):
+    _write_gz(f"{tmp_dir}/a.gz", b"a\tb\n1\t2\t\tx\n")
+    with pytest.raises(ValueError, match="more fields"):
+        TB.read_tables(spark, f"{tmp_dir}/a.gz").collect()
+    _write_gz(f"{tmp_dir}/b.gz", b'a\tb\tc\n1\t"x\ny\tz\tz"\t3\n""\t5\t6\n')
+    assert sorted(map(tuple, TB.read_tables(spark, f"{tmp_dir}/b.gz", infer=False).collect()), key=str) == [("1", "x\ny\tz\tz", "3"), (None, "5", "6")]
+
+
+def test_text_files_follow_the_rows(spark, monkeypatch):
+    """A gzip file is one task of its reader, so a sample must not be one file."""
+    from cloudsift.plans import catalog
+    monkeypatch.setattr(catalog, "ROWS_PER_TEXT_FILE", 100)
+    monkeypatch.setattr(catalog, "_cache", {})
+    n = B.cells(spark, SF_TINY).count()
+    path = catalog._written(spark, SF_TINY, "by-sample")
+    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("p"), "file").distinct().groupBy("file").count().collect()
+    assert len(files) == 3 and all(r["count"] > 1 for r in files)
+    got = {r.file: r.n for r in catalog.q_row_counts(spark, SF_TINY).collect()}
+    want = {r.sample: r["count"] for r in B.cells(spark, SF_TINY).groupBy("sample").count().collect()}
+    assert got == {**want, None: n}
