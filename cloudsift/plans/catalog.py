@@ -122,7 +122,7 @@ def _written(spark: SparkSession, sf: str, what: str) -> str:
          .option("compression", "gzip").csv(path))
     elif what == "lines":
         path = shared_dir(spark, "lines-in")
-        (B.cells(spark, sf).repartitionByRange(8, "row_id").sortWithinPartitions("row_id").write.mode("overwrite")
+        (B.cells(spark, sf).repartitionByRange(max(8, _text_files(spark, sf)), "row_id").sortWithinPartitions("row_id").write.mode("overwrite")
          .option("sep", "\t").option("header", True).option("compression", "gzip").csv(path))
     elif what == "by-sample":
         path = shared_dir(spark, "by-sample")

@@ -322,3 +322,13 @@ def test_text_files_follow_the_rows(spark, monkeypatch):
     got = {r.file: r.n for r in catalog.q_row_counts(spark, SF_TINY).collect()}
     want = {r.sample: r["count"] for r in B.cells(spark, SF_TINY).groupBy("sample").count().collect()}
     assert got == {**want, None: n}
+
+
+def test_line_files_follow_the_rows(spark, monkeypatch):
+    from cloudsift.plans import catalog
+    monkeypatch.setattr(catalog, "ROWS_PER_TEXT_FILE", 50)
+    monkeypatch.setattr(catalog, "_cache", {})
+    lines = spark.read.option("header", True).option("sep", "\t").csv(catalog._written(spark, SF_TINY, "lines"))
+    parts = lines.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.min(F.col("row_id").cast("long")).alias("a"), F.max(F.col("row_id").cast("long")).alias("b")).orderBy("f").collect()
+    assert len(parts) > 8 and lines.count() == B.cells(spark, SF_TINY).count()
+    assert all(p.b < q.a for p, q in zip(parts[:-1], parts[1:]))
