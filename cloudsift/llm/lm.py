@@ -2,8 +2,8 @@
 
 Every token is predicted from the tokens on both sides of it, itself left out;
 the sum of the conditional log-probabilities scores the document. A token's
-probability has two factors: its class given the window, from a network, and
-the token given its class, from its count. The most frequent tokens are
+probability has two factors, both given the window: its class, from a network,
+and the token in its class, from a second one. The most frequent tokens are
 classes of their own; the others share classes of about equal weight.
 
 * **Counts** of all tokens of all documents, added up per task and then in
@@ -14,6 +14,13 @@ classes of their own; the others share classes of about equal weight.
   its share of its partition's tokens, and Spark averages the tasks' weights,
   weighted by their numbers of tokens. A round takes every ``ROUNDS``-th token
   of a document, each round another one, so every token is a target once.
+* **Tokens in their classes.** The tokens of a shared class are the leaves of
+  a Huffman tree over their counts; a path multiplies the probabilities of its
+  turns (a hierarchical softmax), so they add up to one over the class. Every
+  inner node has a vector and a bias, every token of the vocabulary a vector as
+  a neighbour. The biases start at the counts' shares. Each task takes Adagrad
+  steps over all its tokens; Spark averages a vector's change over the tasks
+  that changed it, weighted by their numbers of steps on it.
 * **Scores** run over all tokens of all documents.
 
 Token ids are staged once in the shared folder. Rows: null text and text
@@ -24,16 +31,17 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudsift.llm import bpe
+from cloudsift.llm import _text, bpe
 from cloudsift.session import staged
 
 OFFSETS = (-2, -1, 1, 2)
@@ -41,6 +49,9 @@ CLASSES, SHARED, HIDDEN = 128, 32, 24
 #: Words that a worker remembers the ids of.
 WORDS = 150_000
 ROUNDS, BATCH, RATE = 2, 2048, 0.02
+#: Entries of a neighbour's vector in the second network, and its rate.
+WIDE, STEP = 15, 0.1
+SLICE = 1 << 10             # vectors in a row on their way to the driver
 _BLOCK = 1 << 10            # positions whose class scores stay in the cache
 
 
@@ -113,29 +124,28 @@ def fresh(seed: int = 3) -> dict[str, np.ndarray]:
     }
 
 
-def windows(c: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Classes at the window's offsets of every position (offsets x n); the
-    class CLASSES stands outside the row."""
+def windows(c: np.ndarray, offs: np.ndarray, outside: int = CLASSES) -> np.ndarray:
+    """Classes (or tokens) at the window's offsets of every position
+    (offsets x n); ``outside`` stands outside the row."""
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    out = np.full((len(OFFSETS), len(c)), CLASSES, np.int32)
+    out = np.full((len(OFFSETS), len(c)), outside, np.int32)
     for k, d in enumerate(OFFSETS):
         a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
         if abs(d) < len(c):
-            out[k, a] = np.where(row[a] == row[b], c[b], CLASSES)
+            out[k, a] = np.where(row[a] == row[b], c[b], outside)
     return out
 
 
-def _forward(p: dict, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    z = p["hidden"] + sum(p["table"][k][w[k]] for k in range(len(OFFSETS)))
-    h = np.tanh(z)
-    return h, h @ p["out"] + p["bias"]
+def _bounded(p: dict) -> bool:
+    """Whether no class score can leave the range of exp: the hidden layer is
+    in [-1, 1], so the weights bound them."""
+    return bool((np.abs(p["out"]).sum(0) + np.abs(p["bias"])).max() < 80)
 
 
 def log_probs(p: dict, w: np.ndarray, c: np.ndarray) -> np.ndarray:
     """log P(class | window) of every position."""
     out = np.empty(len(c), np.float32)
-    # the hidden layer is in [-1, 1], so this bounds every class score
-    tame = (np.abs(p["out"]).sum(0) + np.abs(p["bias"])).max() < 80
+    tame = _bounded(p)
     rows = np.concatenate([p["out"], p["bias"][None, :]])
     h = np.ones((_BLOCK, HIDDEN + 1), np.float32)           # the last entry meets the bias
     for i in range(0, len(c), _BLOCK):
@@ -156,22 +166,30 @@ def log_probs(p: dict, w: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def gradient(p: dict, w: np.ndarray, c: np.ndarray) -> tuple[float, dict]:
     """Mean negative log-likelihood and its gradient."""
-    h, x = _forward(p, w)
-    x -= x.max(1, keepdims=True)
-    prob = np.exp(x, out=x)
-    prob /= prob.sum(1, keepdims=True)
+    z = np.take(p["table"][0], w[0], 0)
+    for k in range(1, len(OFFSETS)):
+        z += np.take(p["table"][k], w[k], 0)
+    h = np.ones((len(c), HIDDEN + 1), z.dtype)              # the last entry meets the bias
+    np.tanh(z + p["hidden"], out=h[:, :HIDDEN])
+    x = h @ np.concatenate([p["out"], p["bias"][None, :]])
+    if not _bounded(p):
+        x -= x.max(1, keepdims=True)
     at = np.arange(len(c))
-    loss = -float(np.log(np.maximum(prob[at, c], 1e-37)).mean())
-    prob[at, c] -= 1
-    prob /= len(c)
-    dz = (prob @ p["out"].T) * (1 - h * h)
+    own = x[at, c]
+    prob = np.exp(x, out=x)
+    total = prob.sum(1)
+    loss = float((np.log(total) - own).mean())
+    prob *= (1 / (total * len(c)))[:, None]
+    prob[at, c] -= 1 / len(c)
+    dz = (prob @ p["out"].T) * (1 - h[:, :HIDDEN] * h[:, :HIDDEN])
+    out = h.T @ prob
     table = np.zeros_like(p["table"])
     for k in range(len(OFFSETS)):
         order = np.argsort(w[k].astype(np.int16), kind="stable")
         s = w[k][order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         table[k][s[first]] = np.add.reduceat(dz[order], first)
-    return loss, {"table": table, "hidden": dz.sum(0), "out": h.T @ prob, "bias": prob.sum(0)}
+    return loss, {"table": table, "hidden": dz.sum(0), "out": out[:-1], "bias": out[-1]}
 
 
 class Adam:
@@ -187,10 +205,153 @@ class Adam:
             self.p[k] -= self.rate * (self.m[k] / (1 - 0.9 ** self.step)) / (np.sqrt(self.v[k] / (1 - 0.99 ** self.step)) + 1e-8)
 
 
+@dataclass
+class Tokens:
+    """The tokens of the shared classes given the window. ``node`` and ``turn``
+    (1 or -1) list the paths one after the other, token t's from ``first[t]``,
+    ``depth[t]`` long; a token alone in its class has none."""
+    first: np.ndarray
+    depth: np.ndarray
+    node: np.ndarray
+    turn: np.ndarray
+    near: np.ndarray            # a vector per token as neighbour, and for the outside
+    at: np.ndarray              # a vector per inner node, its bias last
+
+
 @dataclass
 class Model:
     classes: Classes
     weights: dict[str, np.ndarray]
+    tokens: Tokens | None = None        # without: a token's share of its class's count
+
+
+def trees(of: np.ndarray, counts: np.ndarray, seed: int = 5) -> Tokens:
+    """A Huffman tree per class; every path's probability is the token's share
+    of its class until trained."""
+    mass = counts.astype(float) + 1
+    paths: list[list[tuple[int, int]]] = [[] for _ in mass]
+    bias: list[float] = []
+    for c in np.unique(of):
+        # (mass, a number that no two share, the tokens below or the two sides)
+        heap = [(mass[i], int(i), int(i)) for i in np.flatnonzero(of == c)]
+        heapq.heapify(heap)
+        made = len(mass)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (a[0] + b[0], made, (a, b)))
+            made += 1
+        todo = [(heap[0], [])]
+        while todo:
+            (_, _, x), way = todo.pop()
+            if isinstance(x, int):
+                paths[x] = way
+                continue
+            k = len(bias)
+            bias.append(float(np.log(x[0][0] / x[1][0])))
+            todo += [(x[0], [*way, (k, 1)]), (x[1], [*way, (k, -1)])]
+    depth = np.array([len(w) for w in paths], np.int64)
+    flat = np.array([s for w in paths for s in w], np.int32).reshape(-1, 2)
+    at = np.zeros((len(bias), WIDE + 1), np.float32)
+    at[:, WIDE] = bias
+    near = np.random.default_rng(seed).normal(0, 0.3, (len(mass) + 1, WIDE)).astype(np.float32)
+    return Tokens(np.cumsum(depth) - depth, depth, flat[:, 0].copy(), flat[:, 1].astype(np.float32), near, at)
+
+
+def _turned(x: np.ndarray, k: int, back: bool = False) -> np.ndarray:
+    """A neighbour's vectors as the window's offset ``k`` sees them: turned by
+    some places, so that the offsets differ."""
+    s = k * WIDE // len(OFFSETS)
+    return np.roll(x, -s if back else s, 1) if k else x
+
+
+def _turns(m: Tokens, w: np.ndarray, t: np.ndarray):
+    """Of tokens that have a path, given their neighbours ``w``: the each
+    path's begin, the nodes and turns of all steps, the vectors of window and
+    node there and the log-odds of the turn taken."""
+    h = np.ones((len(t), WIDE + 1), np.float32)            # the last entry meets the bias
+    h[:, :WIDE] = np.take(m.near, w[0], 0)
+    for k in range(1, len(OFFSETS)):
+        h[:, :WIDE] += _turned(np.take(m.near, w[k], 0), k)
+    n = m.depth[t]
+    step = _text.ragged(m.first[t], n)
+    node, turn = m.node[step], m.turn[step]
+    hs, vs = np.repeat(h, n, 0), np.take(m.at, node, 0)
+    return np.cumsum(n) - n, node, turn, hs, vs, turn * np.einsum("ij,ij->i", hs, vs)
+
+
+def token_log_probs(m: Tokens, w: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log P(token | its class, window) of every position."""
+    out = np.zeros(len(t), np.float32)
+    some = np.flatnonzero(m.depth[t])
+    for i in range(0, len(some), 4 * _BLOCK):
+        at = some[i:i + 4 * _BLOCK]
+        begin, *_, odds = _turns(m, w[:, at], t[at])
+        out[at] = -np.add.reduceat(np.logaddexp(np.float32(0), -odds), begin)
+    return out
+
+
+def _gathered(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the rows of ``x`` by key: the keys, their numbers of rows, sums."""
+    order = np.argsort(key)
+    s = key[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return s[first], np.diff(np.append(first, len(s))), np.add.reduceat(np.take(x, order, 0), first)
+
+
+def token_gradient(m: Tokens, w: np.ndarray, t: np.ndarray):
+    """Of the summed log-likelihood of tokens that have a path: (rows, numbers
+    of terms, gradient) of ``near`` and of ``at``."""
+    begin, node, turn, hs, vs, odds = _turns(m, w, t)
+    g = (turn / (1 + np.exp(np.minimum(odds, 80))))[:, None]
+    dh = np.add.reduceat(g * vs[:, :WIDE], begin)
+    near = _gathered(w.ravel(), np.concatenate([_turned(dh, k, True) for k in range(len(OFFSETS))]))
+    return near, _gathered(node, g * hs)
+
+
+def refine(ids: DataFrame, model: Model, counts: np.ndarray) -> Model:
+    """``model`` with the tokens of its classes learned from their windows."""
+    start = replace(model, tokens=trees(model.classes.of, counts))
+    bc = ids.sparkSession.sparkContext.broadcast(start.tokens)
+    size = len(counts)
+
+    def run(batches):
+        bpe.forget()
+        m = replace(bc.value, near=bc.value.near.copy(), at=bc.value.at.copy())
+        parts = {"near": m.near, "at": m.at}
+        power, terms = ({k: np.zeros(len(v), np.float32) for k, v in parts.items()} for _ in range(2))
+        for b in batches:
+            flat, offs = _rows(b.column(0))
+            for i, j in _blocks(offs):
+                t = flat[offs[i]:offs[j]]
+                w = windows(t, offs[i:j + 1] - offs[i], size)
+                some = np.flatnonzero(m.depth[t])
+                for k in range(0, len(some), BATCH):
+                    at = some[k:k + BATCH]
+                    for name, (rows, n, g) in zip(parts, token_gradient(m, w[:, at], t[at])):
+                        power[name][rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+                        parts[name][rows] += STEP * g / np.sqrt(power[name][rows] + 1e-6)[:, None]
+                        terms[name][rows] += n
+        for name, v in parts.items():
+            change = np.concatenate([(v - getattr(bc.value, name)) * terms[name][:, None], terms[name][:, None]], 1)
+            for i in range(0, len(v), SLICE):
+                if terms[name][i:i + SLICE].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{name}:{i}"]), pa.array([change[i:i + SLICE].astype("<f4").tobytes()])], names=["slice", "v"])
+
+    def add(batches):
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[key] = total.get(key, 0) + np.frombuffer(v, "<f4").astype(float)
+        for key, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([v.astype("<f4").tobytes()])], names=["slice", "v"])
+
+    changed = ids.select("ids").mapInArrow(run, "slice string, v binary").repartition(8, "slice").mapInArrow(add, "slice string, v binary")
+    for r in changed.collect():                         # one row per SLICE vectors of the vocabulary
+        name, i = r.slice.split(":")
+        into = getattr(start.tokens, name)[int(i):int(i) + SLICE]
+        v = np.frombuffer(r.v, "<f4").reshape(len(into), -1)
+        into += v[:, :-1] / np.maximum(v[:, -1:], 1)
+    return start
 
 
 def _count(ids: DataFrame, size: int) -> np.ndarray:
@@ -267,7 +428,10 @@ def _round(ids: DataFrame, model: Model, turn: int, rounds: int) -> dict[str, np
 
 def train(ids: DataFrame, size: int, rounds: int = ROUNDS) -> Model:
     """A model of the staged token ids of a vocabulary of ``size`` entries."""
-    counts = _count(ids, size)
+    return _train(ids, _count(ids, size), rounds)
+
+
+def _train(ids: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
     model = Model(classes(counts), fresh())
     own = np.bincount(model.classes.of, weights=counts + 1.0, minlength=CLASSES)
     model.weights["bias"] = np.log(np.maximum(own, 1e-9) / own.sum()).astype(np.float32)      # small vocabularies leave classes empty
@@ -285,7 +449,11 @@ def score_ids(model: Model, flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
             continue
         local = offs[i:j + 1] - offs[i]
         c = model.classes.of[ids]
-        lp = log_probs(model.weights, windows(c, local), c) + model.classes.log_share[ids]
+        lp = log_probs(model.weights, windows(c, local), c)
+        if model.tokens is None:
+            lp = lp + model.classes.log_share[ids]
+        else:
+            lp += token_log_probs(model.tokens, windows(ids, local, len(model.classes.of)), ids)
         acc = np.concatenate([[0.0], np.cumsum(lp, dtype=float)])
         out[i:j] = acc[local[1:]] - acc[local[:-1]]
     return out
@@ -309,7 +477,8 @@ def score(ids: DataFrame, model: Model) -> DataFrame:
 def score_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Train on ``docs`` and score every row of it."""
     ids = tokens(docs, vocabulary)
-    return score(ids, train(ids, vocabulary_size(vocabulary)))
+    counts = _count(ids, vocabulary_size(vocabulary))
+    return score(ids, refine(ids, _train(ids, counts), counts))
 
 
 def vocabulary_size(vocabulary: str) -> int:

@@ -231,6 +231,65 @@ def test_rounds_take_each_position_once():
         assert sorted(np.concatenate(parts).tolist()) == list(range(13))
 
 
+def _bent(seed=1, size=300):
+    """Classes and trees of a small vocabulary with trained-looking vectors."""
+    rng = np.random.default_rng(seed)
+    counts = (10_000 / np.arange(1, size + 1)).astype(int)
+    c = lm.classes(counts)
+    m = lm.trees(c.of, counts)
+    m.at[:, :lm.WIDE] = rng.normal(0, 0.5, (len(m.at), lm.WIDE))
+    return c, m, rng
+
+
+def test_tokens_of_a_class_given_the_window_add_up_to_one():
+    c, m, rng = _bent()
+    t = np.arange(300)
+    w = np.repeat(rng.integers(0, 301, (4, 1)), 300, 1)
+    p = np.exp(lm.token_log_probs(m, w, t))
+    assert np.bincount(c.of, weights=p) == pytest.approx(np.ones(c.of.max() + 1), rel=1e-4)
+    start = lm.trees(c.of, (10_000 / np.arange(1, 301)).astype(int))
+    assert lm.token_log_probs(start, w, t) == pytest.approx(c.log_share, abs=1e-4)      # untrained: the shares
+    assert abs(lm.token_log_probs(m, w, t) - c.log_share).max() > 0.1
+    for i in (120, 299):                                    # a loop
+        h = sum(np.roll(m.near[w[k, i]], k * lm.WIDE // 4) for k in range(4))
+        path = range(m.first[i], m.first[i] + m.depth[i])
+        assert np.log(p[i]) == pytest.approx(-sum(np.logaddexp(0, -m.turn[s] * (m.at[m.node[s], :-1] @ h + m.at[m.node[s], -1])) for s in path), rel=1e-3)
+
+
+def test_gradient_of_the_tokens():
+    c, m, rng = _bent()
+    m = lm.replace(m, near=m.near.astype(float), at=m.at.astype(float))
+    t, w = np.flatnonzero(m.depth)[rng.integers(0, 200, 20)], rng.integers(0, 301, (4, 20))
+    near, at = lm.token_gradient(m, w, t)
+    assert near[1].sum() == 80 and at[1].sum() == m.depth[t].sum()
+    for table, (rows, _, g) in ((m.near, near), (m.at, at)):
+        for r in rng.integers(0, len(rows), 5):
+            k, e = int(rng.integers(0, table.shape[1])), 1e-2
+            old = table[rows[r], k]
+            table[rows[r], k] = old + e
+            up = lm.token_log_probs(m, w, t).astype(float).sum()
+            table[rows[r], k] = old - e
+            down = lm.token_log_probs(m, w, t).astype(float).sum()
+            table[rows[r], k] = old
+            assert (up - down) / (2 * e) == pytest.approx(g[r, k], abs=2e-2)
+
+
+def test_rare_tokens_are_predicted_from_their_window(spark):
+    """Two rare tokens of one class and count, each with its own neighbours:
+    exchanged, they score lower."""
+    size, common = 400, np.arange(200)
+    counts = np.where(np.arange(size) < 200, 5000, 1)
+    of = lm.classes(counts).of
+    a, b = next((i, j) for i in range(200, size) for j in range(i + 1, size) if of[i] == of[j])
+    rows = [np.array([x, y, r, x, y], "<u4") for r, x, y in ((a, 3, 5), (b, 7, 9))]
+    mixed = [np.array([x, y, r, x, y], "<u4") for r, x, y in ((b, 3, 5), (a, 7, 9))]
+    df = lambda rs: spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(rs)], "doc_id long, ids binary")
+    ids = df(rows * 8000 + [common.astype("<u4")] * 20).coalesce(2)
+    m = lm.refine(ids, lm._train(ids, counts, 0), counts)
+    right, wrong = ({r.doc_id: r.score for r in lm.score(df(x), m).collect()} for x in (rows, mixed))
+    assert right[0] > wrong[0] + 0.5 and right[1] > wrong[1] + 0.5
+
+
 def test_lm_edges(edges, empty):
     got = lm.score_documents(edges, queries.vocabulary()).collect()
     assert len(got) == len(EDGES)
