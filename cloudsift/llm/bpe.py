@@ -297,8 +297,9 @@ class Split:
 
 
 class WordTable:
-    """Token ids of the distinct words seen by this worker: at most
-    ``limit`` words are remembered, then the table starts anew."""
+    """Token ids of the distinct words seen by this worker. Beyond ``limit``
+    words only those stay that came up again since the last time (none if these
+    are over half of the limit)."""
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = _WORDS):
         self.encode, self.limit = encode, limit
@@ -307,18 +308,31 @@ class WordTable:
     def _clear(self) -> None:
         self.index = _text.HashIndex(16)
         self.ids, self.end = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.hash, self.again = np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def _prune(self) -> None:
+        keep = np.flatnonzero(self.again)
+        hashes, (ids, n) = self.hash[keep], self.flat(keep)
+        self._clear()
+        if len(keep) and 2 * len(keep) <= self.limit:
+            self.index.add(hashes, np.arange(len(keep), dtype=np.int32))
+            self.ids, self.end = ids, np.concatenate([[0], np.cumsum(n)])
+            self.hash, self.again = hashes, np.zeros(len(keep), bool)
 
     def look_up(self, words: Split) -> np.ndarray:
         """Entry number of each word; valid until the next call."""
         if self.index.used > self.limit:
-            self._clear()
+            self._prune()
         at = self.index.find(words.hash)
+        self.again[at[at >= 0]] = True
         new = np.flatnonzero(at < 0)
         if len(new):
             _, one = np.unique(words.hash[new], return_index=True)
             one = new[one]
             got = self.encode(words.strings(one))
             self.index.add(words.hash[one], np.arange(len(self.end) - 1, len(self.end) - 1 + len(one), dtype=np.int32))
+            self.hash = np.concatenate([self.hash, words.hash[one]])
+            self.again = np.concatenate([self.again, np.zeros(len(one), bool)])
             size = np.fromiter(map(len, got), np.int64, len(got))
             self.ids = np.concatenate([self.ids, *got])
             self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(size)])

@@ -47,7 +47,7 @@ from cloudsift.session import staged
 OFFSETS = (-2, -1, 1, 2)
 CLASSES, SHARED, HIDDEN = 128, 32, 24
 #: Words that a worker remembers the ids of.
-WORDS = 150_000
+WORDS = 300_000
 ROUNDS, BATCH, RATE = 2, 2048, 0.02
 #: Entries of a neighbour's vector in the second network, and its rate.
 WIDE, STEP = 15, 0.1

@@ -32,8 +32,9 @@ END = 2
 
 _STAGED = "part int, doc_id long, at long, n_ids long, ids binary"
 _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-#: Words that a worker remembers the ids of; it keeps them for later tasks.
-WORDS = 150_000
+#: Words that a worker remembers the ids of; it keeps them for later tasks of
+#: pass one.
+WORDS = 300_000
 
 
 def token_rows(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
@@ -70,6 +71,7 @@ def pieces(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
         at += row.n
 
     def run(batches):
+        bpe.forget()                                        # the tokenizer's words are not needed any more
         for b in batches:
             if not b.num_rows:
                 continue

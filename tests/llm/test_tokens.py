@@ -169,3 +169,24 @@ def test_token_count_edges(edges, empty):
     want = {i: len(lib.encode(t or "").ids) for i, t, _ in EDGES}
     assert {r.doc_id: r.n_tokens for r in rows} == want
     assert token_counts.count(empty, v, public_tokenizers.PATTERN).count() == 0
+
+
+def test_recurring_words_stay_when_the_table_is_full():
+    spec = bpe.read_spec(queries.vocabulary())
+    lib = bpe.library(spec)
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return [np.array(e.ids, np.int32) for e in lib.encode_batch_fast(words, add_special_tokens=False)]
+
+    odd = lambda x: np.array(lib.encode(x, add_special_tokens=False).ids, np.int32)
+    t = bpe.WordTable(encode, limit=100)
+    for k in range(12):
+        text = "always here " + " ".join(f"{'abcdefghijkl'[k]}{a}{b}" for a in "qwert" for b in "asdfgh")
+        ids, n = bpe.id_rows([text, "", "here always"], t, odd)
+        assert ids.tolist() == odd(text).tolist() + odd("here always").tolist() and n[1] == 0
+    assert sum("always" in w for w in asked) <= 2 and sum("here" in w for w in asked) <= 2     # at a text's begin and inside it
+    full = bpe.WordTable(encode, limit=2)
+    for _ in range(3):
+        assert bpe.id_rows(["one two three four"], full, odd)[0].tolist() == odd("one two three four").tolist()
