@@ -22,6 +22,13 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 BROADCAST_MAX_ROWS = 250_000
 BROADCAST_MAX_BYTES = 16 << 20
 
+# Bytes after which a batch of rows for a Python worker ends. Spark's own limit
+# is 64 MB; a batch lies in the JVM's memory, twice while it grows, and twice in
+# the worker's, which reads the next while it works on one.
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARK_BATCH = 64 << 20
+BATCH_BYTES = 4 << 20
+
 
 def cluster_conf(input_bytes: float, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings sized to the data: enough shuffle partitions that each holds
@@ -153,6 +160,14 @@ def small_or_whole(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes:
     return F.broadcast(t) if size.n <= max_rows and size.b <= max_bytes else t
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of about ``BATCH_BYTES`` for Python workers, unless the session
+    has a limit of its own. The rows are the same, in more batches; a batch
+    ends with the row that passes the limit."""
+    if spark.conf.get(_BATCH_KEY) == f"{_SPARK_BATCH}b":
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+
+
 def show_package(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the
     driver has it. On a cluster, install it there or pass it as --py-files."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cloudsift.llm import langid, neardup, packing, pii, quality_clf
 from cloudsift.llm.queries import vocabulary
-from cloudsift.session import show_package, staged
+from cloudsift.session import bound_batches, show_package, staged
 
 #: Near copies: runs of five words, similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
@@ -26,9 +26,16 @@ SHINGLE, PERCENT = 5, 80
 LEAST_LANGUAGE = 0.2
 
 
+def _prepare(spark: SparkSession) -> None:
+    """What every stage needs: executors keep the heap that earlier stages
+    filled, so that its Python workers get their rows in small batches."""
+    show_package(spark)
+    bound_batches(spark)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier scores below 0.5."""
-    show_package(spark)
+    _prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_clf.fit(quality_clf.features(docs), quality_clf.training(labels))
     return quality_clf.select_good(docs, model)
@@ -36,25 +43,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents without a language."""
-    show_package(spark)
+    _prepare(spark)
     return langid.select_known(docs, langid.learn(langid.training(docs)), LEAST_LANGUAGE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of copies."""
-    show_package(spark)
+    _prepare(spark)
     return neardup.deduplicate(docs, SHINGLE, PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts by its kind."""
-    show_package(spark)
+    _prepare(spark)
     return pii.redact(docs, pii.train(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with the ids of each piece."""
-    show_package(spark)
+    _prepare(spark)
     pieces = packing.pack(docs, vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 

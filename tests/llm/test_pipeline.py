@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+from cloudsift import session
 from cloudsift.llm import langid, packing, pii, quality_clf, queries
 from cloudsift.session import staged
 
@@ -64,3 +66,30 @@ def test_clean_documents_stay(spark):
     good = [i for i, q in labels.items() if q == 1]
     assert np.mean([i in kept for i in good]) > 0.95
     assert np.mean([i in kept for i, q in labels.items() if q == 0]) < 0.2
+
+
+def test_workers_get_small_batches(spark):
+    """Every stage bounds the batches of its Python workers: one ends with the
+    row that passes the limit; a session's own limit stays."""
+    key, rows = session._BATCH_KEY, [(i, "a b " * 125_000, "en") for i in range(40)] + [(99, "a b " * 1_500_000, "en")]
+    docs = table(spark, rows).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([len(b.column(1).buffers()[2])])], names=["n", "bytes"])
+
+    at_first = spark.conf.get(key)
+    try:
+        for stage in (cp.quality, cp.language, cp.near_copies, cp.personal_data, cp.pack):
+            spark.conf.unset(key)
+            stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(50), SF)
+            assert spark.conf.get(key) == f"{session.BATCH_BYTES}b"
+        got = docs.select("doc_id", "text").mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 41
+        assert 6_000_000 <= max(r.bytes for r in got) <= session.BATCH_BYTES + 6_000_000
+        assert sum(r.bytes > session.BATCH_BYTES + 500_000 for r in got) == 1       # with the long row
+        spark.conf.set(key, "9000000b")
+        cp._prepare(spark)
+        assert spark.conf.get(key) == "9000000b"
+    finally:
+        spark.conf.set(key, at_first)
