@@ -48,6 +48,7 @@ _INF = 1 << 30
 _MASK = (1 << 64) - 1
 _LONG = 64                  # bytes; longer words go one by one
 _WORDS = 800_000            # distinct words remembered per Python worker
+_LINE = 256                 # words that the library encodes as one text
 
 
 @functools.cache
@@ -299,7 +300,8 @@ class Split:
 class WordTable:
     """Token ids of the distinct words seen by this worker. Beyond ``limit``
     words only those stay that came up again since the last time (none if these
-    are over half of the limit)."""
+    are over half of the limit). ``encode`` gives each word's ids, or the ids of
+    all words in a row and their numbers."""
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = _WORDS):
         self.encode, self.limit = encode, limit
@@ -330,13 +332,13 @@ class WordTable:
             _, one = np.unique(words.hash[new], return_index=True)
             one = new[one]
             got = self.encode(words.strings(one))
+            ids, size = got if isinstance(got, tuple) else (np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)))
             self.index.add(words.hash[one], np.arange(len(self.end) - 1, len(self.end) - 1 + len(one), dtype=np.int32))
             self.hash = np.concatenate([self.hash, words.hash[one]])
             self.again = np.concatenate([self.again, np.zeros(len(one), bool)])
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            self.ids = np.concatenate([self.ids, *got])
+            self.ids = np.concatenate([self.ids, ids])
             self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(size)])
-            at = self.index.find(words.hash)
+            at[new] = self.index.find(words.hash[new])
         return at
 
     def flat(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,7 +382,23 @@ def library_words(spec: str, limit: int = _WORDS) -> WordTable:
     many it remembers."""
     def make(text: str):
         t = library(text)
-        return WordTable(lambda words: [np.array(e.ids, np.int32) for e in t.encode_batch_fast(words, add_special_tokens=False)], limit)
+        model = json.loads(text)["model"]
+        suffix = model.get("end_of_word_suffix")
+        last = np.zeros(2 + max(model["vocab"].values()), bool)     # ids that end a word; other tokens' ids are cut to the last entry
+        last[[i for label, i in model["vocab"].items() if suffix and label.endswith(suffix)]] = True
+
+        def encode(words: list[str]):
+            """Many words as one text, cut after the ids that end a word; one
+            by one where these are not as many as the words."""
+            if suffix:
+                lines = [" ".join(words[i:i + _LINE]) for i in range(0, len(words), _LINE)]
+                ids = np.concatenate([np.array(e.ids, np.int32) for e in t.encode_batch_fast(lines, add_special_tokens=False)])
+                end = np.flatnonzero(last[np.minimum(ids, len(last) - 1)]) + 1
+                if len(end) == len(words) and end[-1] == len(ids):
+                    return ids, np.diff(end, prepend=0)
+            return [np.array(e.ids, np.int32) for e in t.encode_batch_fast(words, add_special_tokens=False)]
+
+        return WordTable(encode, limit)
     return _per_worker("library words", spec, make)
 
 

@@ -31,6 +31,7 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import os
@@ -52,7 +53,7 @@ ROUNDS, BATCH, RATE = 2, 2048, 0.02
 #: Entries of a neighbour's vector in the second network, and its rate.
 WIDE, STEP = 15, 0.1
 SLICE = 1 << 10             # vectors in a row on their way to the driver
-_BLOCK = 1 << 10            # positions whose class scores stay in the cache
+_BLOCK = 1 << 8             # positions whose class scores stay in the cache
 
 
 def tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -127,12 +128,14 @@ def fresh(seed: int = 3) -> dict[str, np.ndarray]:
 def windows(c: np.ndarray, offs: np.ndarray, outside: int = CLASSES) -> np.ndarray:
     """Classes (or tokens) at the window's offsets of every position
     (offsets x n); ``outside`` stands outside the row."""
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    begin, end = offs[:-1, None], offs[1:, None]
     out = np.full((len(OFFSETS), len(c)), outside, np.int32)
     for k, d in enumerate(OFFSETS):
         a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
         if abs(d) < len(c):
-            out[k, a] = np.where(row[a] == row[b], c[b], outside)
+            out[k, a] = c[b]
+        edge = begin + np.arange(-d) if d < 0 else end - 1 - np.arange(d)
+        out[k, edge[(edge >= begin) & (edge < end)]] = outside
     return out
 
 
@@ -142,54 +145,67 @@ def _bounded(p: dict) -> bool:
     return bool((np.abs(p["out"]).sum(0) + np.abs(p["bias"])).max() < 80)
 
 
-def log_probs(p: dict, w: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """log P(class | window) of every position."""
-    out = np.empty(len(c), np.float32)
-    tame = _bounded(p)
+def _hidden(tables: list[tuple[np.ndarray, np.ndarray]], hidden: np.ndarray) -> np.ndarray:
+    """The hidden layer of positions, from tables and the rows of them."""
+    z = np.take(*tables[0], 0)
+    more = np.empty_like(z)
+    for table, at in tables[1:]:
+        z += np.take(table, at, 0, out=more, mode="clip")       # no row is clipped; the other modes copy once more
+    z += hidden
+    return np.tanh(z, out=z)
+
+
+def _class_scores(p: dict, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of positions with the hidden layer ``h``, its last column of ones: the
+    exponentials of all class scores and their sum, all up to one factor; the
+    own class's score on that scale, and its place among the exponentials."""
     rows = np.concatenate([p["out"], p["bias"][None, :]])
-    h = np.ones((_BLOCK, HIDDEN + 1), np.float32)           # the last entry meets the bias
+    e, own = np.empty((len(c), CLASSES), h.dtype), np.empty(len(c), h.dtype)
+    at = np.arange(0, e.size, CLASSES) + c
+    tame = _bounded(p)
     for i in range(0, len(c), _BLOCK):
-        s = slice(i, i + _BLOCK)
-        part = h[:len(c[s])]
-        z = np.take(p["table"][0], w[0, s], 0)
-        for k in range(1, len(OFFSETS)):
-            z += np.take(p["table"][k], w[k, s], 0)
-        np.tanh(z + p["hidden"], out=part[:, :HIDDEN])
-        x = part @ rows
+        x = np.matmul(h[i:i + _BLOCK], rows, out=e[i:i + _BLOCK])
         if not tame:
             x -= x.max(1, keepdims=True)
-        own = x[np.arange(len(x)), c[s]]
+        np.take(e, at[i:i + _BLOCK], out=own[i:i + _BLOCK], mode="clip")
         np.exp(x, out=x)
-        out[s] = own - np.log(x.sum(1))
+    return e, e @ np.ones(CLASSES, h.dtype), own, at
+
+
+def log_probs(p: dict, w: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """log P(class | window) of every position."""
+    out = np.empty(len(c), np.float32)
+    h = np.ones((BATCH, HIDDEN + 1), np.float32)            # the last entry meets the bias
+    for i in range(0, len(c), BATCH):
+        s = slice(i, i + BATCH)
+        part = h[:len(c[s])]
+        part[:, :HIDDEN] = _hidden([(t, w[k, s]) for k, t in enumerate(p["table"])], p["hidden"])
+        _, total, own, _ = _class_scores(p, part, c[s])
+        out[s] = own - np.log(total)
     return out
 
 
 def gradient(p: dict, w: np.ndarray, c: np.ndarray) -> tuple[float, dict]:
     """Mean negative log-likelihood and its gradient."""
-    z = np.take(p["table"][0], w[0], 0)
-    for k in range(1, len(OFFSETS)):
-        z += np.take(p["table"][k], w[k], 0)
-    h = np.ones((len(c), HIDDEN + 1), z.dtype)              # the last entry meets the bias
-    np.tanh(z + p["hidden"], out=h[:, :HIDDEN])
-    x = h @ np.concatenate([p["out"], p["bias"][None, :]])
-    if not _bounded(p):
-        x -= x.max(1, keepdims=True)
-    at = np.arange(len(c))
-    own = x[at, c]
-    prob = np.exp(x, out=x)
-    total = prob.sum(1)
+    tanh = _hidden([(t, w[k]) for k, t in enumerate(p["table"])], p["hidden"])
+    h = np.ones((len(c), HIDDEN + 1), tanh.dtype)           # the last entry meets the bias
+    h[:, :HIDDEN] = tanh
+    e, total, own, at = _class_scores(p, h, c)
     loss = float((np.log(total) - own).mean())
-    prob *= (1 / (total * len(c)))[:, None]
-    prob[at, c] -= 1 / len(c)
-    dz = (prob @ p["out"].T) * (1 - h[:, :HIDDEN] * h[:, :HIDDEN])
-    out = h.T @ prob
+    e.reshape(-1)[at] -= total                              # probabilities less the targets, times the total
+    scale = (1 / (total * len(c)))[:, None]
+    h *= scale
+    back, out, dz = np.ascontiguousarray(p["out"].T), np.zeros((HIDDEN + 1, CLASSES), e.dtype), np.empty_like(tanh)
+    for i in range(0, len(c), _BLOCK):
+        x = e[i:i + _BLOCK]
+        np.matmul(x, back, out=dz[i:i + _BLOCK])
+        out += h[i:i + _BLOCK].T @ x
+    dz *= scale
+    dz *= 1 - tanh * tanh
     table = np.zeros_like(p["table"])
-    for k in range(len(OFFSETS)):
-        order = np.argsort(w[k].astype(np.int16), kind="stable")
-        s = w[k][order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        table[k][s[first]] = np.add.reduceat(dz[order], first)
-    return loss, {"table": table, "hidden": dz.sum(0), "out": out[:-1], "bias": out[-1]}
+    rows, _, g = _gathered((w + (np.arange(len(OFFSETS)) * (CLASSES + 1))[:, None]).ravel(), dz)
+    table.reshape(-1, HIDDEN)[rows] = g
+    return loss, {"table": table, "hidden": np.ones(len(dz), dz.dtype) @ dz, "out": out[:-1], "bias": out[-1]}
 
 
 class Adam:
@@ -257,55 +273,79 @@ def trees(of: np.ndarray, counts: np.ndarray, seed: int = 5) -> Tokens:
     return Tokens(np.cumsum(depth) - depth, depth, flat[:, 0].copy(), flat[:, 1].astype(np.float32), near, at)
 
 
-def _turned(x: np.ndarray, k: int, back: bool = False) -> np.ndarray:
-    """A neighbour's vectors as the window's offset ``k`` sees them: turned by
-    some places, so that the offsets differ."""
-    s = k * WIDE // len(OFFSETS)
-    return np.roll(x, -s if back else s, 1) if k else x
+def _gathered(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the rows of ``x`` by key: the keys, their numbers of rows, sums.
+    With more keys than rows, the rows are taken again from the first."""
+    both = np.sort((key.astype(np.int64) << 32) + np.arange(len(key)))      # faster than to sort places by key
+    s = both >> 32
+    both &= 0xFFFFFFFF
+    begin = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=begin[1:])
+    first = np.flatnonzero(begin)
+    return s[first], np.diff(first, append=len(s)), np.add.reduceat(np.take(x, both, 0, mode="wrap"), first)
+
+
+@functools.cache
+def _turning(kind: np.dtype) -> np.ndarray:
+    """A window's vectors of neighbours side by side, times this: their sum
+    (and a place for the bias), each as its offset sees it, turned by some
+    places, so that the offsets differ."""
+    out = np.zeros((len(OFFSETS), WIDE, WIDE + 1), kind)
+    at = np.arange(WIDE)
+    for k in range(len(OFFSETS)):
+        out[k, at, (at + k * WIDE // len(OFFSETS)) % WIDE] = 1
+    return out.reshape(-1, WIDE + 1)
 
 
 def _turns(m: Tokens, w: np.ndarray, t: np.ndarray):
-    """Of tokens that have a path, given their neighbours ``w``: the each
-    path's begin, the nodes and turns of all steps, the vectors of window and
-    node there and the log-odds of the turn taken."""
-    h = np.ones((len(t), WIDE + 1), np.float32)            # the last entry meets the bias
-    h[:, :WIDE] = np.take(m.near, w[0], 0)
-    for k in range(1, len(OFFSETS)):
-        h[:, :WIDE] += _turned(np.take(m.near, w[k], 0), k)
-    n = m.depth[t]
-    step = _text.ragged(m.first[t], n)
+    """Of tokens that have a path, by falling depth, given their neighbours
+    ``w``: the ends of the levels (a level has the turns of all tokens so
+    deep), and of all turns, level by level, the nodes, the turns, the vectors
+    of window and node and the log-odds of the turn taken."""
+    h = np.take(m.near, w.T.ravel(), 0).reshape(len(t), -1) @ _turning(m.near.dtype)
+    h[:, WIDE] = 1                                         # meets the bias
+    first, size = m.first[t], np.cumsum(np.bincount(m.depth[t])[:0:-1])[::-1]
+    step = np.concatenate([first[:n] + k for k, n in enumerate(size)])
     node, turn = m.node[step], m.turn[step]
-    hs, vs = np.repeat(h, n, 0), np.take(m.at, node, 0)
-    return np.cumsum(n) - n, node, turn, hs, vs, turn * np.einsum("ij,ij->i", hs, vs)
+    hs, vs = np.concatenate([h[:n] for n in size]), np.take(m.at, node, 0)
+    return np.cumsum(size), node, turn, hs, vs, turn * np.einsum("ij,ij->i", hs, vs)
+
+
+def _by_token(ends: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sums over each token's levels."""
+    out = x[:ends[0]].copy()
+    for i, j in zip(ends[:-1], ends[1:]):
+        out[:j - i] += x[i:j]
+    return out
+
+
+def _deep_first(m: Tokens, t: np.ndarray) -> np.ndarray:
+    return np.argsort((-m.depth[t]).astype(np.int16), kind="stable")
 
 
 def token_log_probs(m: Tokens, w: np.ndarray, t: np.ndarray) -> np.ndarray:
     """log P(token | its class, window) of every position."""
     out = np.zeros(len(t), np.float32)
     some = np.flatnonzero(m.depth[t])
-    for i in range(0, len(some), 4 * _BLOCK):
-        at = some[i:i + 4 * _BLOCK]
-        begin, *_, odds = _turns(m, w[:, at], t[at])
-        out[at] = -np.add.reduceat(np.logaddexp(np.float32(0), -odds), begin)
+    for i in range(0, len(some), 2 * BATCH):
+        at = some[i:i + 2 * BATCH]
+        at = at[_deep_first(m, t[at])]
+        ends, *_, odds = _turns(m, np.take(w, at, 1), t[at])
+        out[at] = _by_token(ends, np.minimum(odds, 0) - np.log(1 + np.exp(-np.abs(odds))))
     return out
 
 
-def _gathered(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of the rows of ``x`` by key: the keys, their numbers of rows, sums."""
-    order = np.argsort(key)
-    s = key[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    return s[first], np.diff(np.append(first, len(s))), np.add.reduceat(np.take(x, order, 0), first)
-
-
 def token_gradient(m: Tokens, w: np.ndarray, t: np.ndarray):
     """Of the summed log-likelihood of tokens that have a path: (rows, numbers
     of terms, gradient) of ``near`` and of ``at``."""
-    begin, node, turn, hs, vs, odds = _turns(m, w, t)
+    deep = _deep_first(m, t)
+    w = np.take(w, deep, 1)
+    ends, node, turn, hs, vs, odds = _turns(m, w, t[deep])
     g = (turn / (1 + np.exp(np.minimum(odds, 80))))[:, None]
-    dh = np.add.reduceat(g * vs[:, :WIDE], begin)
-    near = _gathered(w.ravel(), np.concatenate([_turned(dh, k, True) for k in range(len(OFFSETS))]))
-    return near, _gathered(node, g * hs)
+    vs *= g
+    hs *= g
+    near = _gathered(w.T.ravel(), (_by_token(ends, vs) @ _turning(vs.dtype).T).reshape(-1, WIDE))
+    return near, _gathered(node, hs)
 
 
 def refine(ids: DataFrame, model: Model, counts: np.ndarray) -> Model:
@@ -443,17 +483,18 @@ def _train(ids: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
 def score_ids(model: Model, flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Summed conditional log-probabilities of each row."""
     out = np.zeros(len(offs) - 1)
-    for i, j in _blocks(offs):
+    of = np.append(model.classes.of, np.int32(CLASSES))     # the outside's class last
+    for i, j in _blocks(offs, 1 << 17):
         ids = flat[offs[i]:offs[j]]
         if not len(ids):
             continue
         local = offs[i:j + 1] - offs[i]
-        c = model.classes.of[ids]
-        lp = log_probs(model.weights, windows(c, local), c)
+        c, w = of[ids], windows(ids, local, len(of) - 1)
+        lp = log_probs(model.weights, of[w], c)
         if model.tokens is None:
             lp = lp + model.classes.log_share[ids]
         else:
-            lp += token_log_probs(model.tokens, windows(ids, local, len(model.classes.of)), ids)
+            lp += token_log_probs(model.tokens, w, ids)
         acc = np.concatenate([[0.0], np.cumsum(lp, dtype=float)])
         out[i:j] = acc[local[1:]] - acc[local[:-1]]
     return out

@@ -241,6 +241,24 @@ def _bent(seed=1, size=300):
     return c, m, rng
 
 
+def test_rows_are_added_up_by_key():
+    rng = np.random.default_rng(2)
+    for n, times in ((1, 1), (7, 4), (500, 4)):
+        key, x = rng.integers(0, 20, n * times), rng.normal(size=(n, 3))
+        rows, count, got = lm._gathered(key, x)
+        assert rows.tolist() == sorted(set(key.tolist())) and count.tolist() == [int((key == r).sum()) for r in rows]
+        assert got == pytest.approx(np.array([np.tile(x, (times, 1))[key == r].sum(0) for r in rows]))
+
+
+def test_windows_stay_in_their_rows():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        offs = np.concatenate([[0], np.cumsum(rng.integers(0, 5, rng.integers(0, 8)))])
+        c = rng.integers(0, 9, offs[-1])
+        want = [[c[i + o] if a <= i + o < b else 9 for a, b in zip(offs[:-1], offs[1:]) for i in range(a, b)] for o in lm.OFFSETS]
+        assert lm.windows(c, offs, 9).tolist() == want
+
+
 def test_tokens_of_a_class_given_the_window_add_up_to_one():
     c, m, rng = _bent()
     t = np.arange(300)

@@ -190,3 +190,26 @@ def test_recurring_words_stay_when_the_table_is_full():
     full = bpe.WordTable(encode, limit=2)
     for _ in range(3):
         assert bpe.id_rows(["one two three four"], full, odd)[0].tolist() == odd("one two three four").tolist()
+
+
+def test_new_words_are_encoded_many_at_a_time(monkeypatch):
+    """One text a line of words, not one a word; a word that is no single one
+    to the library sends all of them one by one."""
+    spec = bpe.read_spec(queries.vocabulary())
+    lib, asked = bpe.library(spec), []
+
+    class Asked:
+        def encode_batch_fast(self, texts, **kw):
+            asked.append(len(texts))
+            return lib.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(bpe, "_loaded", {})
+    monkeypatch.setattr(bpe, "library", lambda _: Asked())
+    odd = lambda x: np.array(lib.encode(x, add_special_tokens=False).ids, np.int32)
+    table = bpe.library_words(spec)
+    texts = ["It's 1 \u00fcber-long w\u00f6rd... 'tis <b>", "", " ".join(f"{a}{b}{c}x" for a in "qwertzu" for b in "asdfgh" for c in "yxcvbnm"), "can't 've ''s !!'ll"]
+    ids, n = bpe.id_rows(texts, table, odd)
+    assert ids.tolist() == [i for x in texts for i in odd(x)] and n.tolist() == [len(odd(x)) for x in texts]
+    assert sum(asked) == 2                                  # 294 words and some, 256 a text
+    got = table.encode(["one", "two three", "four"])
+    assert [x.tolist() for x in got] == [odd(x).tolist() for x in ("one", "two three", "four")]
